@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from panelspark.functions.series import sliding
 from panelspark.operators.clean import KEYS, all_known, null_runs
-from panelspark.plans.panels import to_long
+from panelspark.functions.reshape import to_long
 from panelspark.schema import literal_rows
 
 FRESH_MONTHS, WARNING_MONTHS = 6, 24

@@ -104,9 +104,3 @@ def ship_panel(t: Tables) -> DataFrame:
         fixed(F.sum("p").cast("double") / 1e6, 4).alias("PRICE"),
         fixed(100.0 * F.sum("d").cast("double") / F.sum("n"), 4).alias("DISCOUNT"))
 
-
-def to_long(panel: DataFrame, indicators=None, keys=("entity", "ts")) -> DataFrame:
-    """One row per (entity, indicator, ts)."""
-    names = list(indicators or [c for c in panel.columns if c not in keys])
-    return panel.unpivot(list(keys), names, "indicator", "value").select(
-        *[k for k in keys if k != "ts"], "indicator", "ts", "value")

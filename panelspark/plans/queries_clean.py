@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from panelspark.operators import audit, clean
 from panelspark.plans.catalog import query
 from panelspark.plans.oracle import define, r
-from panelspark.plans.panels import ENTITIES, INDICATORS, TARGET, TODAY, event_panel, nation_panel, region_panel, to_long
+from panelspark.functions.reshape import to_long
+from panelspark.plans.panels import ENTITIES, INDICATORS, TARGET, TODAY, event_panel, nation_panel, region_panel
 
 COLS = ", ".join(INDICATORS)
 HOUR = "strftime(ts, '%Y-%m-%d %H:%M') AS ts"

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from panelspark.plans.catalog import query, shared_folder
 from panelspark.plans.oracle import define, r
-from panelspark.plans.panels import ENTITIES, INDICATORS, TARGET, nation_panel, region_panel, to_long
+from panelspark.functions.reshape import to_long
+from panelspark.plans.panels import ENTITIES, INDICATORS, TARGET, nation_panel, region_panel
 from panelspark.plans.standins import forecasts
 from panelspark.sources import readers, sinks
 from panelspark.sources import forecasts as adapters

@@ -10,7 +10,8 @@ from panelspark.functions.series import sliding
 from panelspark.operators import clean, transform
 from panelspark.plans.catalog import query
 from panelspark.plans.oracle import define, r
-from panelspark.plans.panels import INDICATORS, TARGET, region_panel, to_long
+from panelspark.functions.reshape import to_long
+from panelspark.plans.panels import INDICATORS, TARGET, region_panel
 from panelspark.plans.queries_sources import effective
 
 LONG_W = "WINDOW w AS (PARTITION BY entity, indicator ORDER BY ts)"
