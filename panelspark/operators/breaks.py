@@ -74,7 +74,7 @@ def chow_classical(df: DataFrame, y: str, xs: Sequence[str], breaks: Sequence[Se
     fan = attach(parts, [(n, d, days.index(d) + 1) for n, d in breaks], ["break_name", "break_date", "_at"])
     size = m * (m + 1) // 2
     sums = fan.groupBy(*keys, "break_name", "break_date").agg(
-        add_arrays("g", size, F.col("_seg") < F.col("_at")).alias("_pre"), add_arrays("g", size).alias("_all"))
+        add_arrays("g", size, "_seg < _at").alias("_pre"), add_arrays("g", size).alias("_all"))
     out = sums.withColumn("_c", _chow(F.col("_pre"), F.col("_all"), m)).withColumn("n_total", F.col("_all")[0].cast("bigint")) \
         .withColumn("n_pre", F.col("_pre")[0].cast("bigint"))
     return _finish(out.select(*keys, "break_name", "break_date", F.col("_c.F").alias("F"), F.nanvl("_c.rss_restricted", F.lit(None)).alias("rss_restricted"),
@@ -178,8 +178,8 @@ def sup_wald_scan(df: DataFrame, y: str, xs: Sequence[str], pi0: float = 0.15, k
     rows = _usable(df, y, xs, keys)
     total = gram(rows, keys, columns).withColumnRenamed("g", "_all")
     upto = prefix_gram(rows, keys, columns)
-    own = [F.col(columns[i]) * F.col(columns[j]) for i in range(m) for j in range(i, m)]
-    before = upto.select(*keys, "ts", F.array(*[F.col("g")[p] - own[p] for p in range(size)]).alias("_pre"))
+    own = [f"`{columns[i]}` * `{columns[j]}`" for i in range(m) for j in range(i, m)]
+    before = upto.select(*keys, "ts", F.expr("array(" + ", ".join(f"g[{p}] - {own[p]}" for p in range(size)) + ")").alias("_pre"))
     scan = before.join(total, list(keys))
     n, i = F.col("_all")[0], F.col("_pre")[0]
     scan = scan.filter((i >= F.ceil(pi0 * n)) & (i <= F.floor((1 - pi0) * n)))

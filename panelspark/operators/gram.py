@@ -29,20 +29,18 @@ def _packed(pos: str = "pos", value: str = "v") -> Column:
     return F.transform(F.array_sort(F.collect_list(F.struct(pos, value))), lambda s: s[value])
 
 
-def add_arrays(column: str, size: int, when: Column | None = None) -> Column:
+def add_arrays(column: str, size: int, when: str | None = None) -> Column:
     """Element-wise sum of short arrays as an aggregate."""
-    def one(p):
-        v = F.col(column)[p]
-        return F.coalesce(F.sum(v if when is None else F.when(when, v)), F.lit(0.0))
-    return F.array(*[one(p) for p in range(size)])
+    item = f"{column}[{{0}}]" if when is None else f"if({when}, {column}[{{0}}], NULL)"
+    return F.expr("array(" + ", ".join(f"coalesce(sum({item.format(p)}), 0D)" for p in range(size)) + ")")
 
 
 def gram(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """(keys, g): packed sums of products of ``columns`` per key. Inputs must not be null."""
     m = len(columns)
     if m <= NARROW:
-        sums = [F.sum(F.col(columns[i]) * F.col(columns[j])) for i, j in triangle(m)]
-        return df.groupBy(*keys).agg(F.array(*sums).alias("g"))
+        sums = ", ".join(f"sum(`{columns[i]}` * `{columns[j]}`)" for i, j in triangle(m))
+        return df.groupBy(*keys).agg(F.expr(f"array({sums})").alias("g"))
     return _gram_wide(df, keys, columns)
 
 
@@ -133,7 +131,7 @@ def hac_fit(df: DataFrame, keys: Sequence[str], y: str, xs: Sequence[str], lags:
     scored = own.join(fits.select(*keys, "beta"), list(keys)).select(
         *keys, ts, *[(F.col(x) * residual).alias(f"_z{i}") for i, x in enumerate(xs)])
     z = [f"_z{i}" for i in range(k)]
-    lagged = sliding(scored, keys, lambda w: {f"{c}_{lag}": F.coalesce(F.lag(c, lag).over(w), F.lit(0.0))
+    lagged = sliding(scored, keys, lambda w: {f"{c}_{lag}": F.lag(c, lag, 0.0).over(w)
                                               for lag in range(1, lags + 1) for c in z}, back=lags, ts=ts, unit=unit)
     columns = [*z, *[f"{c}_{lag}" for lag in range(1, lags + 1) for c in z]]
     meat = gram(lagged, keys, columns).withColumnRenamed("g", "_meat")

@@ -7,10 +7,8 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelspark.functions.numbers import fixed
 from panelspark.plans import oracle
 from panelspark.plans.panels import Tables
 
@@ -20,17 +18,20 @@ ORACLE: dict[str, str] = {}
 
 def tidy(df: DataFrame, digits: int = 6) -> DataFrame:
     """Comparable output: rounded doubles without negative zero, 64-bit integers, timestamps as text."""
+    scale = 10 ** digits
     out = []
     for f in df.schema:
-        c = F.col(f"`{f.name}`")
+        c = f"`{f.name}`"
         if isinstance(f.dataType, (T.DoubleType, T.FloatType, T.DecimalType)):
-            c = fixed(c, digits)
+            e = f"cast(floor(cast({c} as double) * {scale}D + 0.5D) as double) / {scale}D + 0.0D"
         elif isinstance(f.dataType, (T.ByteType, T.ShortType, T.IntegerType)):
-            c = c.cast("bigint")
+            e = f"cast({c} as bigint)"
         elif isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):
-            c = F.date_format(c, "yyyy-MM-dd HH:mm")
-        out.append(c.alias(f.name))
-    return df.select(*out)
+            e = f"date_format({c}, 'yyyy-MM-dd HH:mm')"
+        else:
+            e = c
+        out.append(f"{e} as {c}")
+    return df.selectExpr(*out)
 
 
 def query(name: str, sql: str | None = None, digits: int = 6):

@@ -37,7 +37,9 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
-        return self.spark.read.parquet(f"{self.root}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.root}/{name}.parquet")
+        setattr(self, name, df)
+        return df
 
 
 def money(c: str | Column) -> Column:
