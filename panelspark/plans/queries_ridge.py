@@ -95,7 +95,7 @@ define("stab", f"SELECT *, n_same_sign = 5 AS sign_stable, row_number() OVER (PA
 query("j06_coef_stability", f"SELECT entity, feature, {r('c0')} AS coef, {r('fm')} AS fold_mean, {r('fs')} AS fold_sd, {r('fmin')} AS fold_min, {r('fmax')} AS fold_max, n_same_sign, sign_stable, rank_abs FROM stab")(lambda t: ridge.coef_stability(coefs(t)))
 query("j06_coef_stability_all_features")(lambda t: ridge.coef_stability(ridge.fold_coefs(train(t), XS, TARGET, selection(t), h=1)))
 query("j07_top_features", f"SELECT entity, rank, feature, {r('coef')} AS coef FROM cfull WHERE rank <= 10")(lambda t: ridge.top_features(full_coefs(t)))
-query("j08_category_contribution", f"SELECT e.entity, e.category, CAST(count(coef) AS BIGINT) AS n, {r('coalesce(sum(abs(coef)), 0)')} AS sum_abs, {r('coalesce(avg(abs(coef)), 0)')} AS mean_abs, {r('coalesce(max(abs(coef)), 0)')} AS max_abs, arg_max(feature, abs(coef)) FILTER (WHERE coef IS NOT NULL) AS top_feature FROM "
+query("j08_category_contribution", f"SELECT e.entity, e.category, CAST(count(coef) AS BIGINT) AS n, {r('coalesce(sum(abs(coef)), 0)')} AS sum_abs, {r('coalesce(avg(abs(coef)), 0)')} AS mean_abs, {r('coalesce(max(abs(coef)), 0)')} AS max_abs, arg_max(feature, struct_pack(a := abs(coef), f := feature)) FILTER (WHERE coef IS NOT NULL) AS top_feature FROM "
       "(SELECT DISTINCT entity, c AS category FROM cfull CROSS JOIN (VALUES ('base'), ('lag'), ('rolling'), ('split'), ('period'), ('interaction')) v(c)) e LEFT JOIN cfull USING (entity, category) GROUP BY 1, 2")(
     lambda t: ridge.category_contribution(full_coefs(t)))
 query("j09_magnitude_summary", f"SELECT entity, {r('mx')} AS max_abs, {r('av')} AS mean_abs, {r('sm')} AS sum_abs, {r('md')} AS median_abs, n_stable, {r('mx / (SELECT max(abs(c0)) FROM stab WHERE entity = ' + chr(39) + 'ASIA' + chr(39) + ')')} AS ratio_to_baseline FROM (SELECT entity, max(abs(c0)) AS mx, avg(abs(c0)) AS av, "
