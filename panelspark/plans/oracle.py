@@ -56,6 +56,8 @@ def with_ctes(sql: str) -> str:
     blocks = [f"{n} AS ({CTES[n].strip()})" for n in CTES if n in _needs(body)]
     if not blocks:
         return body
+    if body[:15].upper() == "WITH RECURSIVE ":
+        return "WITH RECURSIVE " + ",\n".join(blocks) + ",\n" + body[15:]
     if body[:5].upper() == "WITH ":
         return "WITH " + ",\n".join(blocks) + ",\n" + body[5:]
     return "WITH " + ",\n".join(blocks) + "\n" + body

@@ -98,12 +98,21 @@ def acf_rows(t):
 
 
 query("e11_acf", f"SELECT entity, CAST(n AS BIGINT) AS n, CAST(lag AS BIGINT) AS lag, {r('acf')} AS acf, {r('1.96 / sqrt(n)')} AS band, abs(acf) > 1.96 / sqrt(n) AS significant FROM acfr")(acf_rows)
-query("e12_pacf")(lambda t: describe.pacf(acf_rows(t)))
+# Durbin-Levinson as a recursion over lags, on the list of autocorrelations
+DL = """WITH RECURSIVE rr AS (SELECT entity, any_value(n) AS n, list(acf ORDER BY lag) AS a FROM acfr GROUP BY 1),
+dl AS (SELECT entity, n, a, 1 AS k, [a[2]] AS phi, a[2] AS v FROM rr UNION ALL
+ SELECT entity, n, a, k + 1, list_concat(list_transform(range(1, k + 1), lambda i: phi[i] - last * phi[k + 1 - i]), [last]), last FROM (
+  SELECT *, (a[k + 2] - list_sum(list_transform(range(1, k + 1), lambda i: phi[i] * a[k + 2 - i]))) / (1 - list_sum(list_transform(range(1, k + 1), lambda i: phi[i] * a[i + 1]))) AS last FROM dl WHERE k < 40)),
+pac AS (SELECT entity, n, 0 AS lag, 1.0::DOUBLE AS v FROM rr UNION ALL SELECT entity, n, k, v FROM dl) """
+HINT = """SELECT entity, CAST(p AS BIGINT) AS p_cand, CAST(q AS BIGINT) AS q_cand, CASE WHEN p > 0 AND al >= 3 THEN 'AR(' || p || ')' WHEN q > 0 AND pl >= 3 THEN 'MA(' || q || ')' WHEN p > 0 AND q > 0 THEN 'ARMA(' || p || ',' || q || ')' ELSE 'white noise' END AS hint
+FROM (SELECT entity, count(CASE WHEN abs(v) > 1.96 / sqrt(n) AND lag BETWEEN 1 AND 5 THEN 1 END) AS p, count(CASE WHEN abs(v) > 1.96 / sqrt(n) AND lag BETWEEN 6 AND 12 THEN 1 END) AS pl FROM pac GROUP BY 1)
+JOIN (SELECT entity, count(CASE WHEN abs(acf) > 1.96 / sqrt(n) AND lag BETWEEN 1 AND 5 THEN 1 END) AS q, count(CASE WHEN abs(acf) > 1.96 / sqrt(n) AND lag BETWEEN 6 AND 12 THEN 1 END) AS al FROM acfr GROUP BY 1) USING (entity)"""
+query("e12_pacf", DL + f"SELECT entity, CAST(n AS BIGINT) AS n, CAST(lag AS BIGINT) AS lag, {r('v')} AS pacf, abs(v) > 1.96 / sqrt(n) AS significant FROM pac")(lambda t: describe.pacf(acf_rows(t)))
 define("lbq", "SELECT entity, any_value(n) AS n, m, any_value(n) * (any_value(n) + 2) * sum(acf * acf / (n - lag)) AS q FROM acfr JOIN (VALUES (12), (24), (36)) v(m) ON lag BETWEEN 1 AND m GROUP BY entity, m")
 _lbp = "CASE m WHEN 12 THEN " + chi2_even("q", 12) + " WHEN 24 THEN " + chi2_even("q", 24) + " ELSE " + chi2_even("q", 36) + " END"
 query("e13_ljung_box", f"SELECT entity, CAST(n AS BIGINT) AS n, CAST(m AS BIGINT) AS lags, {r('q')} AS q, {r(_lbp)} AS p_value, {_lbp} < 0.05 AS reject FROM lbq")(
     lambda t: describe.ljung_box(acf_rows(t)))
-query("e14_arma_hint")(lambda t: describe.arma_hint(acf_rows(t), describe.pacf(acf_rows(t))))
+query("e14_arma_hint", DL + HINT)(lambda t: describe.arma_hint(acf_rows(t), describe.pacf(acf_rows(t))))
 query("e15_rolling_abs_mean", f"SELECT entity, ts, {r('CASE WHEN rn >= 12 THEN avg(abs(yoy)) OVER (PARTITION BY entity ORDER BY ts ROWS 11 PRECEDING) END')} AS rolling_abs_mean FROM pyn")(
     lambda t: describe.rolling_abs_mean(growth(t), "yoy").select("entity", "ts", "rolling_abs_mean"))
 query("e16_heatmap_pivot", "SELECT entity, " + ", ".join(f"max(CASE WHEN indicator = '{c}' AND lag = 3 THEN {r('-log10(' + t_two_sided('tt', '(n - 2)') + ')')} END) AS {c}" for c in OTHERS) + " FROM clagt GROUP BY 1")(

@@ -6,8 +6,8 @@ import importlib
 
 from panelspark.plans.catalog import ORACLE, QUERIES
 
-for _name in ("sources", "clean", "transforms", "features", "describe", "stationarity", "breaks", "sarma", "var",
-              "ridge", "evaluate", "textscan"):
+for _name in ("sources", "clean", "transforms", "features", "describe", "stationarity", "breaks", "evaluate", "sarma",
+              "var", "ridge", "textscan"):
     try:
         importlib.import_module(f"panelspark.plans.queries_{_name}")
     except ModuleNotFoundError as missing:
