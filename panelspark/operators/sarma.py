@@ -82,6 +82,8 @@ def _lag_list(season: int, short: int, seasonal: int) -> list[int]:
 
 def _stage_two(one: DataFrame, season: int, unit: str, p=P_MAX, q=Q_MAX, sp=SP_MAX, sq=SQ_MAX) -> tuple[DataFrame, list[str]]:
     """Rows with every lag any order of the grid may use, on one common sample."""
+    if season <= max(p, q):
+        raise ValueError("the season must be longer than the short orders")
     ar, ma = _lag_list(season, p, sp), _lag_list(season, q, sq)
     by = [*KEY, "D_s"]
     rows = sliding(one, by, lambda w: {**{f"_a{k}": F.lag("w", k).over(w) for k in ar}, **{f"_m{k}": F.lag("e", k).over(w) for k in ma}}, back=max(*ar, *ma), unit=unit)

@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from panelspark.schema import first_present, nan_to_null, require_columns
 
-#: Names under which a date column is recognised, and texts that stand for a missing value.
+# Names under which a date column is recognised, texts that stand for a missing value, and encodings in
+# the order in which they are tried.
 DATE_NAMES = ("date", "DATE", "Date", "observation_date", "ts", "time")
 NULL_TOKENS = ("", "nan", "None", "-", "...")
+ENCODINGS = ("utf-8-sig", "cp932", "utf-8", "shift_jis", "cp1252")
 
 
 def read_series(spark: SparkSession, path: str, column: str, date_column: str = "date") -> DataFrame:
@@ -63,11 +67,23 @@ def sniff_date_column(df: DataFrame, value: str, candidates: Sequence[str] = DAT
     return df.select(*rest, parse_date(F.col(name).cast("string")).alias("ts"), F.col(value)).filter(F.col("ts").isNotNull())
 
 
-def messy_lines(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
-    """(file, line_no, text) of the text files under ``path`` in the given encoding; files are read side by side."""
+@F.pandas_udf(T.StringType())
+def decode_text(content: pd.Series) -> pd.Series:
+    """Text of each file in the first encoding that fits; Spark's own readers take Unicode and Latin-1 only."""
+    def decode(raw: bytes) -> str | None:
+        for encoding in ENCODINGS:
+            try:
+                return bytes(raw).decode(encoding)
+            except UnicodeDecodeError:
+                continue
+        return None
+    return content.map(decode)
+
+
+def messy_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line_no, text) of the text files under ``path``, whatever their encoding. One row per file before the split."""
     raw = spark.read.format("binaryFile").load(path)
-    text = F.decode(F.col("content"), encoding)
-    return raw.select(F.col("path").alias("file"), F.posexplode(F.split(text, "\r?\n")).alias("line_no", "text"))
+    return raw.select(F.col("path").alias("file"), F.posexplode(F.split(decode_text("content"), "\r?\n")).alias("line_no", "text"))
 
 
 def ingest_messy(lines: DataFrame, date_hints: Sequence[str], value_hints: Sequence[str], start=None) -> DataFrame:
