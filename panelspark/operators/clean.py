@@ -30,14 +30,18 @@ def period_start(idx: Column, unit: str) -> Column:
 
 
 def calendar(df: DataFrame, keys: Sequence[str] = KEYS, ts: str = "ts", unit: str = "month") -> DataFrame:
-    """Every period between the first and last observation of each key.
+    """Every period between the first and last row of each key.
 
-    Generated block by block, so that a very long calendar is never one array.
+    Generated block by block, spread over tasks, so that a very long calendar is neither one array nor one task. The
+    bounds refer to the value columns (a condition that always holds), so that this branch and the one it is joined to
+    need the same columns and share one scan of the facts.
     """
-    bounds = df.groupBy(*keys).agg(F.min(period_index(ts, unit)).alias("_lo"),
-                                   F.max(period_index(ts, unit)).alias("_hi"))
+    values = [c for c in df.columns if c not in (*keys, ts)]
+    rows = F.count_if(F.greatest(*[F.col(c).isNotNull() for c in values]) if len(values) > 1 else F.col(values[0]).isNotNull()) if values else F.count(F.lit(1))
+    bounds = df.groupBy(*keys).agg(F.min(period_index(ts, unit)).alias("_lo"), F.max(period_index(ts, unit)).alias("_hi"),
+                                   rows.alias("_rows")).filter(F.col("_rows") >= 0)
     first, last = F.floor(F.col("_lo") / SPAN), F.floor(F.col("_hi") / SPAN)
-    blocks = bounds.withColumn("_b", F.explode(F.sequence(first, last)))
+    blocks = bounds.withColumn("_b", F.explode(F.sequence(first, last))).repartition(*keys, "_b")
     lo = F.greatest(F.col("_lo"), F.col("_b") * SPAN)
     hi = F.least(F.col("_hi"), F.col("_b") * SPAN + SPAN - 1)
     return blocks.withColumn("_i", F.explode(F.sequence(lo, hi))).select(
@@ -45,8 +49,9 @@ def calendar(df: DataFrame, keys: Sequence[str] = KEYS, ts: str = "ts", unit: st
 
 
 def densify(df: DataFrame, keys: Sequence[str] = KEYS, ts: str = "ts", unit: str = "month") -> DataFrame:
-    """Insert the missing periods with null values."""
-    return calendar(df, keys, ts, unit).join(df, [*keys, ts], "left").select(*df.columns)
+    """Insert the missing periods with null values. Rows without key or date have no place in a calendar."""
+    placed = df.filter(all_known([*keys, ts]))
+    return calendar(placed, keys, ts, unit).join(placed, [*keys, ts], "left").select(*df.columns)
 
 
 def _neighbours(df, value, keys, ts, unit):

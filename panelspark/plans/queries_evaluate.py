@@ -83,7 +83,7 @@ query("k11_align_matched", f"SELECT {CELLS}, target_date, {r('y_true')} AS y_tru
 
 
 def manifest(t):
-    return ev.cell_manifest(region_panel(t), PAIRS, MULTI, (1, 3, 6, 12), "level", EXTRA)
+    return ev.cell_manifest(t.region.select(F.col("r_name").alias("entity")), PAIRS, MULTI, (1, 3, 6, 12), "level", EXTRA)
 
 
 _one = " UNION ALL ".join(f"SELECT 'level' AS form, 1 AS h, '{a}' AS layer_1, '{b}' AS layer_2, 'primary_h1' AS scope" for a, b in PAIRS)

@@ -144,10 +144,9 @@ OVERRIDES = [("ASIA", "REVENUE", "first_diff"), ("EUROPE", "REVENUE", "log_diff_
 
 
 def registry(t):
-    """Transform per series: a default per indicator, taken for the series that the panel really has."""
-    names = F.create_map(*[F.lit(x) for kv in FORMS.items() for x in kv])
-    return to_long(region_panel(t), INDICATORS).select("entity", "indicator").distinct().withColumn(
-        "form", F.element_at(names, F.col("indicator")))
+    """Transform per series: a default per indicator for every region of the dimension table."""
+    forms = F.array(*[F.struct(F.lit(i).alias("indicator"), F.lit(f).alias("form")) for i, f in FORMS.items()])
+    return t.region.select(F.col("r_name").alias("entity"), F.explode(forms).alias("_p")).select("entity", "_p.indicator", "_p.form")
 
 
 _case = "CASE indicator " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in FORMS.items()) + " END"

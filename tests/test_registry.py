@@ -40,3 +40,12 @@ def test_sample_against_sql(spark, duck, name):
 def test_flagship_runs(spark):
     df = entry(spark)
     assert "dm_standard" in df.columns and df.count() >= 0
+
+
+@pytest.mark.parametrize("name", ["k14_dm_battery", "d07_feature_matrix", "g02_chow_hac", "i19_var_walk_forward"])
+def test_facts_are_scanned_once_and_nothing_is_crossed(spark, name):
+    df = queries()[name](spark, ROOT)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert len(re.findall(r"FileScan parquet \[o_", plan)) == 1
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
