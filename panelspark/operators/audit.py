@@ -7,8 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.functions.series import sliding
-from panelspark.operators.clean import KEYS, all_known, null_runs
+from panelspark.operators.clean import all_known, null_runs
 from panelspark.functions.reshape import to_long
 from panelspark.schema import literal_rows
 

@@ -6,7 +6,7 @@ on the number of columns and not on the number of rows.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -44,31 +44,35 @@ def gram(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFram
     return _gram_wide(df, keys, columns)
 
 
-def _partials(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """One packed partial matrix per key and task (map-side combine), so a hot key shuffles no more than a cold one."""
+def _partials(df: DataFrame, keys: Sequence[str], columns: Sequence[str], others: Sequence[str] | None = None) -> DataFrame:
+    """One partial matrix per key and task (map-side combine), so a hot key shuffles no more than a cold one.
+
+    The packed upper triangle of the products of ``columns``, or with ``others`` all products of the two lists, row by row.
+    """
     keys, columns = list(keys), list(columns)
+    right = list(others) if others is not None else columns
     upper = np.triu_indices(len(columns))
     schema = T.StructType([*[df.schema[k] for k in keys], T.StructField("g", DOUBLES)])
 
     def flush(held):
-        rows = [(*k, m[upper].tolist()) for k, m in held.items()]
+        rows = [(*k, m[upper].tolist() if others is None else m.ravel().tolist()) for k, m in held.items()]
         return pd.DataFrame(rows, columns=[*keys, "g"])
 
     def reduce(batches):
         held: dict = {}
         for batch in batches:
-            x = batch[columns].to_numpy(float)
+            x, z = batch[columns].to_numpy(float), batch[right].to_numpy(float)
             for key, rows in batch.groupby(keys, sort=False, dropna=False).indices.items():
                 key = key if isinstance(key, tuple) else (key,)
-                part = x[rows].T @ x[rows]
+                part = x[rows].T @ z[rows]
                 held[key] = held[key] + part if key in held else part
-            if len(held) > HELD:
-                yield flush(held)
-                held = {}
+                if len(held) > HELD:
+                    yield flush(held)
+                    held = {}
         if held:
             yield flush(held)
 
-    return df.select(*keys, *columns).mapInPandas(reduce, schema)
+    return df.select(*keys, *dict.fromkeys([*columns, *right])).mapInPandas(reduce, schema)
 
 
 def _gram_wide(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
@@ -99,6 +103,17 @@ def gram_up_to(df: DataFrame, keys: Sequence[str], columns: Sequence[str], tag:
     return total.groupBy(*keys, tag).agg(_packed().alias("g"))
 
 
+def cross_before(df: DataFrame, keys: Sequence[str], columns: Sequence[str], others: Sequence[str], tag: str) -> DataFrame:
+    """(keys, tag, before, total): products of two column lists, summed over the rows with a smaller tag and over all rows."""
+    cells = _partials(df, [*keys, tag], columns, others).select(*keys, tag, F.posexplode("g").alias("pos", "v"))
+    summed = cells.groupBy(*keys, tag, "pos").agg(F.sum("v").alias("v"))
+    w = Window.partitionBy(*keys, "pos")
+    before = F.coalesce(F.sum("v").over(w.orderBy(tag).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    both = summed.select(*keys, tag, "pos", before.alias("b"), F.sum("v").over(w).alias("t"))
+    ordered = both.groupBy(*keys, tag).agg(F.array_sort(F.collect_list(F.struct("pos", "b", "t"))).alias("_c"))
+    return ordered.select(*keys, tag, F.transform("_c", lambda s: s["b"]).alias("before"), F.transform("_c", lambda s: s["t"]).alias("total"))
+
+
 OLS = T.StructType([T.StructField("beta", DOUBLES), T.StructField("rss", T.DoubleType()), T.StructField("inv", DOUBLES)])
 
 
@@ -171,6 +186,23 @@ def wald_f(beta: Column, cov: Column, k: int, tested: Sequence[int]) -> Column:
     return stat(beta, cov)
 
 
+def per_row(df: DataFrame, keys: Sequence[str], extra: Sequence[T.StructField], fn: Callable[[tuple], Iterator[tuple]]) -> DataFrame:
+    """Apply a small solver to every aggregated row; it may give several output rows. No shuffle."""
+    keys = list(keys)
+    schema = T.StructType([*[df.schema[k] for k in keys], *extra])
+    names = [f.name for f in schema]
+    rest = [c for c in df.columns if c not in keys]
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for row in batch[[*keys, *rest]].itertuples(index=False, name=None):
+                out += [(*row[:len(keys)], *values) for values in fn(*row[len(keys):])]
+            yield pd.DataFrame(out, columns=names)
+
+    return df.select(*keys, *rest).mapInPandas(run, schema)
+
+
 def explode_names(df: DataFrame, names: Sequence[str], keys: Sequence[str], arrays: Sequence[str]) -> DataFrame:
     """Parallel arrays by column position to rows with the column's name."""
     rows = F.array(*[F.struct(F.lit(n).alias("variable"), *[F.col(a)[i].alias(a) for a in arrays]) for i, n in enumerate(names)])
@@ -181,4 +213,4 @@ def with_const(df: DataFrame, name: str = "const") -> DataFrame:
     return df.withColumn(name, F.lit(1.0))
 
 
-__all__ = ["add_arrays", "explode_names", "gram", "gram_up_to", "hac_fit", "ols", "prefix_gram", "wald_f", "with_const"]
+__all__ = ["add_arrays", "cross_before", "explode_names", "gram", "gram_up_to", "hac_fit", "ols", "per_row", "prefix_gram", "wald_f", "with_const"]

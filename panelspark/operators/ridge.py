@@ -6,10 +6,9 @@ zero; the intercept is not penalised.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,7 +17,7 @@ from panelspark.functions.series import sliding
 from panelspark.functions.solve import none_if_nan, unpack
 from panelspark.operators.clean import all_known
 from panelspark.operators.features import CATEGORIES
-from panelspark.operators.gram import gram, gram_up_to
+from panelspark.operators.gram import gram, gram_up_to, per_row
 from panelspark.schema import attach
 
 FOLDS = 5
@@ -49,23 +48,6 @@ def mean_square_error(g: np.ndarray, w, mean, sd, ym) -> float:
     return float((g[-1, -1] - 2 * full @ xy + full @ xx @ full) / g[0, 0])
 
 
-def per_row(df: DataFrame, keys: Sequence[str], extra: Sequence[T.StructField], fn: Callable[[tuple], Iterator[tuple]]) -> DataFrame:
-    """Apply a small solver to every aggregated row; it may give several output rows. No shuffle."""
-    keys = list(keys)
-    schema = T.StructType([*[df.schema[k] for k in keys], *extra])
-    names = [f.name for f in schema]
-    rest = [c for c in df.columns if c not in keys]
-
-    def run(batches):
-        for batch in batches:
-            out = []
-            for row in batch[[*keys, *rest]].itertuples(index=False, name=None):
-                out += [(*row[:len(keys)], *values) for values in fn(*row[len(keys):])]
-            yield pd.DataFrame(out, columns=names)
-
-    return df.select(*keys, *rest).mapInPandas(run, schema)
-
-
 def _rows(df: DataFrame, xs: Sequence[str], y: str, keys: Sequence[str], *extra: str) -> DataFrame:
     return df.filter(all_known([*xs, y])).withColumn("_one", F.lit(1.0)).select(*keys, *extra, "_one", *xs, y)
 

@@ -20,8 +20,7 @@ from panelspark.functions.series import period_index, sliding
 from panelspark.functions.solve import least_squares, unpack
 from panelspark.operators import describe
 from panelspark.operators.clean import all_known
-from panelspark.operators.gram import gram, gram_up_to, ols
-from panelspark.operators.ridge import per_row
+from panelspark.operators.gram import gram, gram_up_to, ols, per_row
 from panelspark.operators.transform import all_transforms
 
 KEY = ("variant_id",)

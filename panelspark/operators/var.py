@@ -19,8 +19,7 @@ from panelspark.functions.series import sliding
 from panelspark.functions.solve import none_if_nan, unpack
 from panelspark.operators import describe
 from panelspark.operators.clean import all_known
-from panelspark.operators.gram import DOUBLES, gram, gram_up_to
-from panelspark.operators.ridge import per_row
+from panelspark.operators.gram import DOUBLES, gram, gram_up_to, per_row
 
 CRITERIA = ("aic", "bic", "hqic", "fpe")
 

@@ -74,6 +74,10 @@ query("g09_sup_wald_scan", f"SELECT entity, candidate_date, CAST(n_pre AS BIGINT
 query("g09_sup_wald_scan_all_regressors")(lambda t: breaks.sup_wald_scan(growth(t), "yoy", ALL))
 
 
+query("g09_robust_sup_wald_scan")(lambda t: breaks.robust_sup_wald_scan(growth(t), "yoy", ALL))
+query("g10_robust_scan_summary")(lambda t: breaks.scan_summary(breaks.robust_sup_wald_scan(growth(t), "yoy", ALL), 5))
+
+
 def summary_sql(table, pi0):
     c10, c5, c1 = breaks.SUP_F_CRIT[pi0][1]
     return (f"SELECT entity, {pi0}::DOUBLE AS pi0, CAST(2 AS BIGINT) AS k, {r('max(wald_f)')} AS sup_w, arg_max(candidate_date, wald_f) AS argmax_date, {r('avg(wald_f)')} AS avg_w, {r('ln(avg(exp(wald_f / 2)))')} AS exp_w, "

@@ -100,6 +100,19 @@ def test_scan_equals_direct_chow(panel, frame):
             assert scan[e, months(90)[at]] == pytest.approx(((rss(0, 90) - free) / 3) / (free / 84), rel=1e-8)
 
 
+@pytest.mark.parametrize("xs", [["x1"], ["x1", "x2"]])
+def test_robust_scan_equals_wald_at_every_date(panel, frame, xs):
+    scan = {(r.entity, r.candidate_date): r.wald_f for r in breaks.robust_sup_wald_scan(panel, "y", xs).collect()}
+    assert len(scan) == 2 * (int(np.floor(0.85 * 90)) - int(np.ceil(0.15 * 90)) + 1)
+    k = len(xs) + 1
+    for e, d in frame.groupby("entity"):
+        x = np.column_stack([np.ones(len(d)), d[xs]])
+        for at in range(14, 77):
+            post = (np.arange(90) >= at)[:, None]
+            b, v = direct_hac(np.hstack([x, x * post]), d.y.to_numpy())
+            assert scan[e, months(90)[at]] == pytest.approx(b[k:] @ np.linalg.solve(v[k:, k:], b[k:]) / k, rel=1e-6)
+
+
 def direct_adf(v, spec):
     n = len(v)
     maxlag = max(1, int(np.floor(12 * (n / 100) ** 0.25)))
