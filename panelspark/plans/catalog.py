@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -53,11 +51,3 @@ def query(name: str, sql: str | None = None, digits: int = 6):
         return fn
 
     return register
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder under the cluster's shared checkpoint folder; a temporary one only where none is named."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root is None:
-        root = tempfile.mkdtemp(prefix="panelspark-")
-    return f"{root.rstrip('/')}/panelspark-{uuid.uuid4().hex}"

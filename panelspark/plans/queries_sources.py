@@ -6,7 +6,8 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from panelspark.plans.catalog import query, shared_folder
+from panelspark.plans.catalog import query
+from panelspark.session import shared_folder
 from panelspark.plans.oracle import define, r
 from panelspark.functions.reshape import to_long
 from panelspark.plans.panels import ENTITIES, INDICATORS, TARGET, nation_panel, region_panel

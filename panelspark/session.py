@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -22,3 +25,15 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSe
         .getOrCreate()
     )
 
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder below the one that driver and executors share (``spark.checkpoint.dir``, or the context's checkpoint folder).
+
+    A session in one process has its own disk only, so a temporary folder serves there; a cluster must name one.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if root is None:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="panelspark-")
+    return f"{root.rstrip('/')}/panelspark-{uuid.uuid4().hex}"

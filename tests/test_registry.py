@@ -13,7 +13,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 
 def test_every_operator_is_registered():
-    names = {re.match(r"([a-l])(\d\d)_", n).groups() for n in queries()}
+    names = {m.groups() for m in (re.match(r"([a-l])(\d\d)_", n) for n in queries()) if m}
     for letter, last in SECTIONS.items():
         missing = [i for i in range(1, last + 1) if (letter, f"{i:02d}") not in names and (letter, i) != ("d", 12)]
         assert not missing, (letter, missing)
