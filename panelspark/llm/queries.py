@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.llm import decontaminate, mixing, sharding, tokens
+from panelspark.llm import decontaminate, mixing, quality, sharding, tokens
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -53,6 +53,12 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(read(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@query
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base rules and robust outliers of every document."""
+    return quality.judge(read(spark, sf_dir), ["doc_id"])
+
+
 ORACLE["op4_decontamination"] = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                   '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
