@@ -26,13 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.llm.graph import components
+from panelspark.llm.retrieval import BROADCAST, flat, offered, present
 from panelspark.llm.tables import saved
 from panelspark.llm.words import mix, shingles, slices, words
 
 #: Coordinates of a point. Fixed: more of them bound closer and cost more.
 GROUPS = 64
-#: Shared tokens that are sent to all tasks; more are joined by a shuffle.
-BROADCAST = 4_000_000
 #: Sets that one tree holds, about. Tokens with more are cut into blocks.
 BLOCK = 2000
 #: Sizes of linked sets are at most one band apart (4/3 and a little).
@@ -117,10 +116,6 @@ def _sets(batch: pa.RecordBatch, column: int, k: int) -> Iterator[tuple[int, np.
             yield first + i, shingle_set(w.of(i), k)
 
 
-def _flat(parts: list[np.ndarray]) -> pa.Array:
-    return pa.array(np.concatenate(parts).view(np.int64) if parts else np.zeros(0, np.int64))
-
-
 def _cut(rows: DataFrame, keys: list[str], block: int) -> DataFrame:
     """Adds ``cut``: into how many blocks the rows of a key go."""
     counts = rows.groupBy(*keys).count()
@@ -159,9 +154,9 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, s
                 owners.append(np.full(len(out[-1]), print_of(s)[0], np.int64))
                 held += len(out[-1])
                 if held > 1 << 18:
-                    yield pa.RecordBatch.from_arrays([_flat(out), _flat(owners)], ["token", "f1"])
+                    yield pa.RecordBatch.from_arrays([flat(out), flat(owners)], ["token", "f1"])
                     out, owners, held = [], [], 0
-            yield pa.RecordBatch.from_arrays([_flat(out), _flat(owners)], ["token", "f1"])
+            yield pa.RecordBatch.from_arrays([flat(out), flat(owners)], ["token", "f1"])
 
     tokens = source.mapInArrow(emit, "token long, f1 long")
     shared = saved(tokens.groupBy("token").agg(F.min("f1").alias("low"), F.max("f1").alias("high")).where("low <> high").select("token"))
@@ -182,30 +177,21 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, s
 def _members(docs, source, shared, key, kind, k, share, broadcast) -> DataFrame:
     """Rows with a shared prefix token: id, n, point, set, and those tokens with their places in the set."""
     schema = f"id {kind}, n long, point binary, body binary, tokens array<long>, places array<int>"
-    small = shared.count() <= broadcast
-    if small:
-        wanted = source.sparkSession.sparkContext.broadcast(np.sort(shared.toPandas()["token"].to_numpy().astype(np.int64).view(np.uint64)))
-        source = source.select("id", "text", F.lit(None).cast("array<long>").alias("own"))
-    else:
-        def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for i, s in _sets(batch, 1, k):
-                    s = s[:prefix(len(s), share)]
-                    yield pa.RecordBatch.from_arrays([pa.repeat(batch.column(0)[i], len(s)), _flat([s])], ["id", "token"])
-
-        wanted = None
-        own = source.mapInArrow(emit, f"id {kind}, token long").join(shared, "token").groupBy("id").agg(F.collect_set("token").alias("own"))
-        source = source.join(own, "id")
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, s in _sets(batch, 1, k):
+                s = s[:prefix(len(s), share)]
+                yield pa.RecordBatch.from_arrays([pa.repeat(batch.column(0)[i], len(s)), flat([s])], ["id", "token"])
+
+    source, known = offered(source, lambda: source.mapInArrow(emit, f"id {kind}, token long"), shared, broadcast)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = wanted.value if wanted is not None else None
         for batch in batches:
             out = []
             for i, s in _sets(batch, 1, k):
                 head = s[:prefix(len(s), share)]
-                some = known if known is not None else np.sort(np.array(batch.column(2)[i].as_py(), np.int64).view(np.uint64))
-                at = np.minimum(np.searchsorted(some, head), max(0, len(some) - 1))
-                places = np.flatnonzero(some[at] == head) if len(some) else np.zeros(0, np.int64)
+                places = np.flatnonzero(present(head, known(batch.column(2)[i])))
                 if len(places):
                     out.append((batch.column(0)[i].as_py(), len(s), point(s).tobytes(), s.tobytes(), head[places].view(np.int64).tolist(), places.tolist()))
                 if len(out) >= 500:

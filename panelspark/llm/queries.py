@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.llm import decontaminate, jaccard, langid, mixing, quality, sharding, tokens
+from panelspark.llm import decontaminate, jaccard, langid, mixing, quality, sharding, substrings, tokens
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -30,6 +30,13 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+@query
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words left of every document without windows of 13 words that an earlier document has."""
+    done = substrings.dedup(read(spark, sf_dir))
+    return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 5-word shingle sets have a Jaccard similarity of 0.75 or more."""
@@ -101,3 +108,14 @@ e AS (SELECT a, b FROM p JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE
 r AS (SELECT doc_id, doc_id AS c FROM d UNION SELECT r.doc_id, CASE WHEN e.a = r.c THEN e.b ELSE e.a END FROM r JOIN e ON r.c = e.a OR r.c = e.b)
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, min(c) AS component_id
 FROM d LEFT JOIN n ON d.doc_id = n.doc_id JOIN r ON d.doc_id = r.doc_id GROUP BY 1, 2"""
+
+ORACLE["op8_substring_dedup"] = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS win FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) > 12)),
+f AS (SELECT win, min(doc_id) AS low FROM p GROUP BY 1),
+g AS (SELECT DISTINCT doc_id, j FROM (SELECT p.doc_id, unnest(range(i, i + 13)) AS j FROM p JOIN f ON p.win = f.win WHERE low < p.doc_id)),
+r AS (SELECT doc_id, list(j) AS js, count(*) AS n FROM g GROUP BY 1)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed,
+       sha256(coalesce(array_to_string(CASE WHEN n IS NULL THEN w ELSE list_transform(list_filter(list_zip(w, range(1, len(w) + 1)),
+       lambda x: NOT list_contains(js, x[2])), lambda x: x[1]) END, ' '), '')) AS kept_sha256
+FROM d LEFT JOIN r ON d.doc_id = r.doc_id"""
