@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.llm import decontaminate, jaccard, langid, mixing, quality, sharding, substrings, tokens
+from panelspark.llm import decontaminate, jaccard, langid, lm, mixing, quality, sharding, substrings, tokens
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -50,6 +50,12 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of every text under the model and its unigram base; a tenth of the documents is held out."""
+    return lm.score(read(spark, sf_dir), F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0)
+
+
 @query
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of documents inside windows of 10 benchmark words."""
