@@ -3,25 +3,47 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from panelspark.llm import mixing, sharding
+from panelspark.llm import decontaminate, jaccard, langid, mixing, sharding
 from panelspark.llm.tables import saved
-from pyspark.sql import functions as F
 
 
-def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a recognised language; a fifth of them doesn't train the model. ``lang`` stays as it came."""
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
+    model = langid.train(docs.where(~held_out))
+    # a row and its prediction stay together: the struct is the key that the operator hands on
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("text"))
+    return langid.identify(rows, model, key="row").where("lang_pred <> 'und'").select("row.*")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each component."""
+    linked = jaccard.link(docs)
+    gone = linked.where("component_id <> doc_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no window of a benchmark item occurs."""
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: not, once or twice."""
-    mixed = mixing.mix(docs, docs.columns)
-    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).where("copies > 0").select(*docs.columns)
+    rows = mixing.mix(docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text", "source"), ["row"])
+    return rows.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
 
-def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows in 40 shards of equal row counts, in a uniform order."""
     return sharding.shard(docs, docs.columns)
 
 
-STAGES = [("mixing", mix_sources), ("sharding", shard)]
-#: Trained models, seeded picks and reachability decide: SQL can't express the stages.
+STAGES = [("language", language), ("near_duplicates", near_duplicates), ("decontamination", decontaminated), ("mixing", mixed),
+          ("sharding", sharded)]
+#: A trained model and seeded picks decide, which SQL can't express.
 ORACLE_SQL = None
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.llm import decontaminate, jaccard, langid, lm, mixing, quality, sharding, substrings, tokens
+from panelspark.llm import decontaminate, jaccard, langid, licenses, lm, mixing, quality, sharding, substrings, tokens
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -20,6 +20,12 @@ def read(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFram
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+@query
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licenses whose notice is contained, to three quarters of its 5-grams, in a window of a document."""
+    return licenses.scan(read(spark, sf_dir))
+
+
 @query
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 40 shards whose row counts are one apart at most."""
@@ -125,3 +131,22 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed,
        sha256(coalesce(array_to_string(CASE WHEN n IS NULL THEN w ELSE list_transform(list_filter(list_zip(w, range(1, len(w) + 1)),
        lambda x: NOT list_contains(js, x[2])), lambda x: x[1]) END, ' '), '')) AS kept_sha256
 FROM d LEFT JOIN r ON d.doc_id = r.doc_id"""
+
+
+def _license_sql() -> str:
+    """Every window compared with every template, by words instead of hashes."""
+    quoted = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in licenses.TEMPLATES)
+    return rf"""
+WITH t0 AS (SELECT license, list_filter(regexp_split_to_array(lower(text), '{licenses.SPLIT}'), lambda x: x <> '') AS w FROM (VALUES {quoted}) v(license, text)),
+t AS (SELECT DISTINCT license, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT license, w, unnest(range(1, len(w) - 3)) AS i FROM t0)),
+n AS (SELECT license, count(*) AS n, CAST(pow(2, greatest(0, floor(log2(greatest(1, count(*) // 4))))) AS BIGINT) AS stride FROM t GROUP BY 1),
+d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '{licenses.SPLIT}'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, i, array_to_string(w[i + 1:i + 5], ' ') AS g FROM (SELECT doc_id, w, unnest(range(0, len(w) - 4)) AS i FROM d WHERE len(w) > 4)),
+m AS (SELECT s.doc_id, i, s.g, t.license, n, stride FROM s JOIN t ON s.g = t.g JOIN n ON t.license = n.license),
+x AS (SELECT doc_id, license, n, spot, count(DISTINCT g) AS k
+      FROM (SELECT *, unnest(range(greatest(0, ((i - (n + stride - 1)) // stride + 1) * stride), i + 1, stride)) AS spot FROM m) GROUP BY ALL)
+SELECT doc_id, license, max(k) AS n_shared, max(n) AS n_shingles, min(spot) AS first_word, count(*) AS n_windows, max(k) / max(n) AS containment
+FROM x WHERE k >= 0.75 * n GROUP BY doc_id, license"""
+
+
+ORACLE["op1_license_scan"] = _license_sql()

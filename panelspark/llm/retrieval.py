@@ -20,7 +20,7 @@ def offered(source: DataFrame, tokens: Callable[[], DataFrame], shared: DataFram
     missing from the result.
     """
     if shared.count() <= limit:
-        values = np.sort(shared.toPandas()["token"].to_numpy().astype(np.int64).view(np.uint64))
+        values = np.sort(shared.toArrow()["token"].to_numpy().view(np.uint64))
         sent = source.sparkSession.sparkContext.broadcast(values)
         return source.withColumn("own", F.lit(None).cast("array<long>")), lambda own: sent.value
     held = tokens().join(shared, "token").groupBy("id").agg(F.collect_set("token").alias("own"))

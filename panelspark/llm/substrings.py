@@ -30,6 +30,8 @@ from panelspark.llm.words import shingles, slices, utf8, words
 WINDOW, GRAM = 13, 5
 #: Words that one index holds, about.
 SHARD = 500_000
+#: Ids of cut documents that are sent to all tasks; for more, all texts are joined by a shuffle.
+TOUCHED = 1_000_000
 #: Distinct segments of one anchor that stay together.
 HOT = 20_000
 
@@ -100,30 +102,31 @@ def removed(docs: DataFrame, key: str = "doc_id", text: str = "text", window: in
     cuts = rows.select("id", "text", "own").mapInArrow(cut, f"id {kind}, anchor long, start long, size long, body binary")
     cuts = cuts.withColumn("seg", F.xxhash64("body"))
     where = saved(cuts.select("id", "anchor", "seg", "start"))
-    distinct = saved(cuts.groupBy("anchor", "seg").agg(F.first("body").alias("body"), F.first("size").alias("size"), F.min("id").alias("low")))
+    distinct = saved(cuts.groupBy("anchor", "seg").agg(F.first("body").alias("body"), F.first("size").alias("size"), F.min("id").alias("low"), F.max("id").alias("high")))
 
+    words_held = distinct.agg(F.sum(F.col("size") + window - 1)).first()[0] or 0
     crowded = saved(distinct.groupBy("anchor").count().where(F.col("count") > hot).select("anchor"))
     calm = distinct.join(crowded, "anchor", "left_anti")
-    found = _search(calm, kind, window, shard).select("anchor", "seg", "lows")
+    found = _search(calm, kind, window, words_held, shard).select("anchor", "seg", "lows")
     if crowded.take(1):
         parts = F.split(F.col("body").cast("string"), " ")
-        single = (distinct.join(crowded, "anchor").select("anchor", "seg", "low", F.posexplode(F.transform(
+        single = (distinct.join(crowded, "anchor").select("anchor", "seg", "low", "high", F.posexplode(F.transform(
             F.sequence(F.lit(1), F.col("size").cast("int")), lambda i: F.array_join(F.slice(parts, i, window), " "))).alias("at", "body"))
             .withColumn("body", F.col("body").cast("binary")).withColumn("own", F.xxhash64("body")))
-        once = single.groupBy("own").agg(F.first("body").alias("body"), F.min("low").alias("low"))
-        low = _search(once.select(F.col("own").alias("anchor"), F.col("own").alias("seg"), "body", F.lit(1).cast("long").alias("size"), "low"), kind, window, shard)
-        back = single.join(low.select(F.col("seg").alias("own"), F.col("lows")[0].alias("least")), "own").groupBy("anchor", "seg").agg(
-            F.transform(F.array_sort(F.collect_list(F.struct("at", "least"))), lambda x: x["least"]).alias("lows"))
+        once = single.groupBy("own").agg(F.first("body").alias("body"), F.min("low").alias("low"), F.max("high").alias("high"))
+        low = _search(once.select(F.col("own").alias("anchor"), F.col("own").alias("seg"), "body", F.lit(1).cast("long").alias("size"), "low", "high"), kind, window, words_held * window, shard)
+        least = F.coalesce("least", "high")  # left out: nothing to lose
+        back = single.join(low.select(F.col("seg").alias("own"), F.col("lows")[0].alias("least")), "own", "left").groupBy("anchor", "seg").agg(
+            F.transform(F.array_sort(F.collect_list(F.struct("at", least.alias("least")))), lambda x: x["least"]).alias("lows"))
         found = found.union(back)
     hits = F.filter(F.transform("lows", lambda x, i: F.when(x < F.col("id"), F.col("start") + i)), lambda x: x.isNotNull())
     return (where.join(found, ["anchor", "seg"]).select("id", hits.alias("starts")).where(F.size("starts") > 0)
             .groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("starts"))).alias("starts")))
 
 
-def _search(segments: DataFrame, kind: str, window: int, shard: int) -> DataFrame:
-    """Adds ``lows``: for each window of a segment the smallest document that holds it."""
-    segments = saved(segments)
-    total = segments.agg(F.sum(F.col("size") + window - 1)).first()[0] or 0
+def _search(segments: DataFrame, kind: str, window: int, total: int, shard: int) -> DataFrame:
+    """(anchor, seg, ``lows``): for each window of a segment the smallest document that holds it. Segments that no document can
+    lose a word to are left out."""
     shards = max(1, math.ceil(total / shard))
 
     def search(group: pd.DataFrame) -> pd.DataFrame:
@@ -147,8 +150,12 @@ def _search(segments: DataFrame, kind: str, window: int, shard: int) -> DataFram
             length, low[i:i + (1 << 17)], high[i:i + (1 << 17)] = index.statistics(text, ends[i:i + (1 << 17)], window)
             assert (length == window).all()  # a segment's own windows are in the index
         least = smallest(ranked, low, high) if len(ends) else least
-        return pd.DataFrame({"anchor": group["anchor"], "seg": group["seg"], "lows": np.split(least, np.cumsum(size)[:-1])})
+        lows = np.split(least, np.cumsum(size)[:-1])
+        useful = np.minimum.reduceat(least, np.cumsum(size) - size) < group["high"].to_numpy()
+        out = pd.DataFrame({"anchor": group["anchor"], "seg": group["seg"], "lows": lows})
+        return out[useful]
 
+    segments = segments.select("anchor", "seg", "body", "size", "low", "high")
     return saved(segments.groupBy(F.pmod(F.xxhash64("anchor"), F.lit(shards))).applyInPandas(search, f"anchor long, seg long, lows array<{kind}>"))
 
 
@@ -159,8 +166,16 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
     null key are neither searched nor cut. Repeats inside one document stay.
     """
     kind = docs.schema[key].dataType.simpleString()
-    starts = removed(docs, key, text, window, **options)
-    rows = docs.select(F.col(key).alias("id"), F.col(text).cast("binary").alias("text")).join(starts, "id", "left").select("id", "text", "starts")
+    starts = saved(removed(docs, key, text, window, **options))
+    rows = docs.select(F.col(key).alias("id"), F.col(text).cast("binary").alias("text"))
+    touched = starts.select("id")
+    if touched.count() <= TOUCHED:  # texts that stay whole needn't be shuffled
+        touched = F.broadcast(touched)
+        rows = rows.join(touched, "id", "left_anti").withColumn("starts", F.lit(None).cast("array<long>")).union(
+            rows.join(touched, "id", "left_semi").join(starts, "id"))
+    else:
+        rows = rows.join(starts, "id", "left")
+    rows = rows.select("id", "text", "starts")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
