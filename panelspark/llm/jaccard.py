@@ -10,8 +10,9 @@ trees are built per such token. Steps:
 1. Equal sets become one class. Prefix tokens of one class only can't link anything and are dropped.
 2. Near copies are joined first: classes meet at their first tokens, in blocks; a tree of leaders finds those worth verifying.
    Every class that matches is linked to the leader; others become leaders.
-3. All other links run between clusters. Tokens that are still shared by several clusters get trees over all their classes,
-   pairs of different clusters that survive the bound are verified. This step loses no link.
+3. All other links run between clusters. Tokens that are still shared by several clusters get trees over all their classes.
+   Pairs of different clusters that survive the bounds are counted over all tokens: what two prefixes share up to the smaller of
+   their ends, and the rest of that set, bounds the overlap again. Survivors are verified. This step loses no link.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ from panelspark.llm.words import mix, shingles, slices, words
 
 #: Coordinates of a point. Fixed: more of them bound closer and cost more.
 GROUPS = 64
+#: Share of the prefix that must be shared for a set to be kept at hand; others are made again from the text if a pair needs them.
+DENSE = 0.3
 #: Sets that one tree holds, about. Tokens with more are cut into blocks.
 BLOCK = 2000
 #: Sizes of linked sets are at most one band apart (4/3 and a little).
@@ -70,30 +73,33 @@ def print_of(tokens: np.ndarray) -> tuple[int, int]:
 
 
 class CountTree:
-    """R-tree over points, packed by size and then by the coordinates that differ most."""
+    """R-tree over points, packed by size and then by the coordinates that differ most.
+
+    ``few`` and ``rest`` bound an overlap as well: by the smaller ``few`` of two sets plus the larger ``rest``.
+    """
 
     FAN = 16
 
-    def __init__(self, points: np.ndarray, sizes: np.ndarray, rest: np.ndarray):
+    def __init__(self, points: np.ndarray, sizes: np.ndarray, few: np.ndarray, rest: np.ndarray):
         spread = np.argsort(-points.astype(float).var(axis=0), kind="stable")[:3] if len(points) else []
         self.order = np.lexsort((*[points[:, d] for d in spread], (np.log(np.maximum(sizes, 1)) * 12).astype(int)))
-        self.levels = [(points[self.order], sizes[self.order], rest[self.order])]
+        self.levels = [(points[self.order], sizes[self.order], few[self.order], rest[self.order])]
         while len(self.levels[-1][1]) > self.FAN:
-            p, s, r = self.levels[-1]
+            p, s, f, r = self.levels[-1]
             at = np.arange(0, len(s), self.FAN)
-            self.levels.append((np.maximum.reduceat(p, at), np.minimum.reduceat(s, at), np.maximum.reduceat(r, at)))
+            self.levels.append((np.maximum.reduceat(p, at), np.minimum.reduceat(s, at), np.maximum.reduceat(f, at), np.maximum.reduceat(r, at)))
 
-    def pairs(self, points: np.ndarray, sizes: np.ndarray, rest: np.ndarray, share: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        """(query, point of the tree) wherever the bound allows a link."""
+    def pairs(self, points, sizes, few, rest, share: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+        """(query, point of the tree) wherever the bounds allow a link."""
         top = len(self.levels[-1][1])
         q, node = np.repeat(np.arange(len(sizes)), top), np.tile(np.arange(top), len(sizes))
         for depth in range(len(self.levels) - 1, -1, -1):
-            p, s, r = self.levels[depth]
+            p, s, f, r = self.levels[depth]
             keep = np.zeros(len(q), bool)
             for i in range(0, len(q), 1 << 15):
                 a, b = q[i:i + (1 << 15)], node[i:i + (1 << 15)]
                 least = need(sizes[a], s[b], share)
-                ok = np.minimum(rest[a], r[b]) >= least
+                ok = np.minimum(few[a], f[b]) + np.maximum(rest[a], r[b]) >= least
                 ok[ok] = np.minimum(points[a[ok]], p[b[ok]]).sum(axis=1, dtype=np.int64) >= least[ok]
                 keep[i:i + (1 << 15)] = ok
             q, node = q[keep], node[keep]
@@ -168,16 +174,15 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, s
     first = components(near)
     label = members.select("id").join(first.select(F.col("node").alias("id"), "component"), "id", "left").select(
         "id", F.coalesce("component", "id").alias("cluster"))
-    far = _far(members, saved(label), kind, share, block)
+    far = _far(members, saved(label), source, kind, k, share, block)
     reach = components(near.union(far))
     return (rows.join(classes, ["f1", "f2", "n"], "left").join(reach.select(F.col("node").alias("rep"), "component"), "rep", "left")
             .select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "id").alias("component_id")))
 
 
 def _members(docs, source, shared, key, kind, k, share, broadcast) -> DataFrame:
-    """Rows with a shared prefix token: id, n, point, set, and those tokens with their places in the set."""
-    schema = f"id {kind}, n long, point binary, body binary, tokens array<long>, places array<int>"
-
+    """Rows with a shared prefix token: id, n, length and end of the prefix, point, those tokens, and the set itself where they
+    are many (only such sets are likely to be verified)."""
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, s in _sets(batch, 1, k):
@@ -191,21 +196,22 @@ def _members(docs, source, shared, key, kind, k, share, broadcast) -> DataFrame:
             out = []
             for i, s in _sets(batch, 1, k):
                 head = s[:prefix(len(s), share)]
-                places = np.flatnonzero(present(head, known(batch.column(2)[i])))
-                if len(places):
-                    out.append((batch.column(0)[i].as_py(), len(s), point(s).tobytes(), s.tobytes(), head[places].view(np.int64).tolist(), places.tolist()))
+                own = head[present(head, known(batch.column(2)[i]))]
+                if len(own):
+                    body = s.tobytes() if len(own) >= DENSE * len(head) else None
+                    out.append((batch.column(0)[i].as_py(), len(s), len(head), int(head[-1] >> np.uint64(1)), point(s).tobytes(), body, own.view(np.int64).tolist()))
                 if len(out) >= 500:
                     yield _batch(out, batch.schema.field(0).type)
                     out = []
             yield _batch(out, batch.schema.field(0).type)
 
-    return source.mapInArrow(build, schema)
+    return source.mapInArrow(build, f"id {kind}, n long, p long, end long, point binary, body binary, tokens array<long>")
 
 
 def _batch(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
-    kinds = [kind, pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32())]
+    kinds = [kind, pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)],
-                                      ["id", "n", "point", "body", "tokens", "places"])
+                                      ["id", "n", "p", "end", "point", "body", "tokens"])
 
 
 def _groups(values: np.ndarray) -> Iterator[slice]:
@@ -225,7 +231,8 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
 
 def _near(members: DataFrame, kind: str, share, block: int) -> DataFrame:
     """Verified links of classes to leaders of their blocks; not all links, see step 3."""
-    rows = members.select("id", "n", "point", "body", F.explode(F.slice("tokens", 1, 2)).alias("token"))
+    members = members.where("body is not null")
+    rows = members.select("id", "point", "body", F.explode(F.slice("tokens", 1, 2)).alias("token"))
     rows = _cut(rows, ["token"], block).withColumn("block", F.pmod(F.xxhash64("id"), F.col("cut")).cast("int"))
     shards = _shards(members, block // 2)
 
@@ -245,11 +252,11 @@ def _near(members: DataFrame, kind: str, share, block: int) -> DataFrame:
 def _leaders(ids: list, sets: list[np.ndarray], points: np.ndarray, share) -> list[tuple]:
     """Each set is verified against the leaders that the tree finds for it; one that matches none becomes a leader."""
     sizes = np.array([len(s) for s in sets])
-    edges, leaders, tree, fresh = [], [], None, []
+    none, edges, leaders, tree, fresh = np.zeros(len(sets), np.int64), [], [], None, []
     for i in range(len(ids)):
         near = list(fresh)
         if tree is not None:
-            near += [leaders[j] for j in tree.pairs(points[i:i + 1], sizes[i:i + 1], sizes[i:i + 1], share)[1].tolist()]
+            near += [leaders[j] for j in tree.pairs(points[i:i + 1], sizes[i:i + 1], sizes[i:i + 1], none[:1], share)[1].tolist()]
         matched = False
         for j in near:
             least = need(sizes[i], sizes[j], share)
@@ -261,52 +268,63 @@ def _leaders(ids: list, sets: list[np.ndarray], points: np.ndarray, share) -> li
             if len(fresh) >= CountTree.FAN:
                 leaders += fresh
                 fresh = []
-                tree = CountTree(points[leaders], sizes[leaders], sizes[leaders])
+                tree = CountTree(points[leaders], sizes[leaders], sizes[leaders], none[leaders])
     return edges
 
 
-def _far(members: DataFrame, label: DataFrame, kind: str, share, block: int) -> DataFrame:
+def _far(members: DataFrame, label: DataFrame, source: DataFrame, kind: str, k: int, share, block: int) -> DataFrame:
     """All links between sets of different clusters."""
-    rows = members.select("id", "n", F.arrays_zip("tokens", "places").alias("tp")).join(label, "id").select(
-        "id", "n", "cluster", F.explode("tp").alias("tp")).select("id", "n", "cluster", "tp.tokens", (F.col("n") - F.col("tp.places")).alias("rest"))
-    rows = rows.withColumnRenamed("tokens", "token")
+    rows = members.select("id", "n", F.explode("tokens").alias("token")).join(label, "id")
     open_ = rows.groupBy("token").agg(F.min("cluster").alias("low"), F.max("cluster").alias("high")).where("low <> high").select("token")
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(BAND)).cast("int")
     # a set meets its own band, and as the smaller one the next
     rows = rows.join(open_, "token").withColumn("own", band).withColumn("band", F.explode(F.array("own", F.col("own") + 1)))
-    rows = saved(_cut(rows, ["token", "band"], block))
-    # tokens of one band and cluster only drop out before points are attached
-    live = rows.groupBy("token", "band").agg(F.min("cluster").alias("low"), F.max("cluster").alias("high"), F.max((F.col("own") == F.col("band")).cast("int")).alias("any"))
-    rows = rows.join(live.where("low <> high and any = 1").select("token", "band"), ["token", "band"])
-    side = F.pmod(F.xxhash64("id"), F.col("cut")).cast("int")
-    rows = rows.withColumn("side", side).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cut") - 1)))
+    stats = rows.groupBy("token", "band").agg(F.min("cluster").alias("low"), F.max("cluster").alias("high"), F.count("*").alias("k"),
+                                              F.max((F.col("own") == F.col("band")).cast("int")).alias("any"))
+    # tokens of one band and cluster only drop out
+    live = stats.where("low <> high and any = 1").select("token", "band", F.ceil(F.col("k") / block).cast("int").alias("cut"))
+    rows = saved(rows.join(live, ["token", "band"]).select("id", "cluster", "token", "band", "cut", (F.col("own") == F.col("band")).alias("own")))
+    # a set shares no more tokens with another cluster than it has open ones
+    few = rows.groupBy("id").agg(F.countDistinct("token").alias("few"))
+    facts = members.join(few, "id").select("id", "n", (F.col("n") - F.col("p")).alias("rest"), "point", "few")
+    rows = rows.withColumn("side", F.pmod(F.xxhash64("id"), F.col("cut")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cut") - 1)))
     rows = rows.withColumn("cell", F.concat_ws(":", F.least("side", "other"), F.greatest("side", "other")))
-    rows = saved(rows.select("id", "n", "cluster", "token", "band", "cell", "rest", (F.col("own") == F.col("band")).alias("own")))
+    rows = rows.select("id", "cluster", "token", "band", "cell", "own")
     shards = _shards(rows, 4 * block)
 
     def search(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["token", "band", "cell", "id"])
         mark = group[["token", "band", "cell"]].ne(group[["token", "band", "cell"]].shift()).any(axis=1).cumsum().to_numpy()
-        found = set()
-        points, sizes = np.stack([np.frombuffer(b, np.uint16) for b in group["point"]]), group["n"].to_numpy()
-        rest, ids, cluster, own = group["rest"].to_numpy(), group["id"].to_numpy(), group["cluster"].to_numpy(), group["own"].to_numpy()
+        found = []
+        points = np.stack([np.frombuffer(b, np.uint16) for b in group["point"]])
+        sizes, few, rest, ids, cluster, own = (group[c].to_numpy() for c in ("n", "few", "rest", "id", "cluster", "own"))
         for g in _groups(mark):
             if g.stop - g.start < 2 or (cluster[g] == cluster[g.start]).all() or not own[g].any():
                 continue
-            p, s, r = points[g], sizes[g], rest[g]
-            tree = CountTree(p, s, r)
-            mine = np.flatnonzero(own[g])
+            p, s, f, r, o, c = points[g], sizes[g], few[g], rest[g], own[g], cluster[g]
+            tree = CountTree(p, s, f, r)
+            mine = np.flatnonzero(o)
             for i in range(0, len(mine), 256):
-                q, t = tree.pairs(p[mine[i:i + 256]], s[mine[i:i + 256]], r[mine[i:i + 256]], share)
-                q = mine[i + q]
-                ok = cluster[g][q] != cluster[g][t]
-                a, b = ids[g][q[ok]], ids[g][t[ok]]
-                found.update(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist()))
-        return pd.DataFrame(sorted(found), columns=["a", "b"])
-
-    with_points = rows.join(members.select("id", "point"), "id")
-    pairs = with_points.groupBy(F.pmod(F.xxhash64("token", "band", "cell"), F.lit(shards))).applyInPandas(search, f"a {kind}, b {kind}")
-    pairs = saved(pairs.distinct())
+                at = mine[i:i + 256]
+                q, t = tree.pairs(p[at], s[at], f[at], r[at], share)
+                q = at[q]
+                ok = (c[q] != c[t]) & (~o[t] | (q < t))
+                found.append(np.stack([np.minimum(ids[g][q[ok]], ids[g][t[ok]]), np.maximum(ids[g][q[ok]], ids[g][t[ok]])], axis=1))
+        found = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+        pairs, common = np.unique(found, axis=0, return_counts=True)
+        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1], "common": common})
+
+    pairs = rows.join(facts, "id").groupBy(F.pmod(F.xxhash64("token", "band", "cell"), F.lit(shards))).applyInPandas(search, f"a {kind}, b {kind}, common long")
+    pairs = pairs.groupBy("a", "b").agg(F.sum("common").alias("common"))
+    fact = {x: members.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("end").alias(f"end_{x}"), (F.col("n") - F.col("p")).alias(f"rest_{x}"))
+            for x in "ab"}
+    most = F.col("common") + F.when(F.col("end_a") <= F.col("end_b"), F.col("rest_a")).otherwise(F.col("rest_b"))
+    p, q = share
+    pairs = saved(pairs.join(fact["a"], "a").join(fact["b"], "b").where(most * (p + q) >= p * (F.col("n_a") + F.col("n_b"))).select("a", "b"))
+    bodies = members.where("body is not null").select("id", "body")
+    lacking = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct().join(bodies.select("id"), "id", "left_anti")
+    if lacking.take(1):
+        bodies = bodies.union(_bodies(source.join(lacking, "id").dropDuplicates(["id"]), kind, k))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -316,6 +334,14 @@ def _far(members: DataFrame, label: DataFrame, kind: str, share, block: int) ->
                 keep.append(overlap(x, y) >= need(len(x), len(y), share))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    bodies = pairs.join(members.select(F.col("id").alias("a"), F.col("body").alias("x")), "a").join(
-        members.select(F.col("id").alias("b"), F.col("body").alias("y")), "b").select("a", "b", "x", "y")
-    return saved(bodies.mapInArrow(verify, f"a {kind}, b {kind}"))
+    both = pairs.join(bodies.select(F.col("id").alias("a"), F.col("body").alias("x")), "a").join(
+        bodies.select(F.col("id").alias("b"), F.col("body").alias("y")), "b").select("a", "b", "x", "y")
+    return saved(both.mapInArrow(verify, f"a {kind}, b {kind}"))
+
+
+def _bodies(texts: DataFrame, kind: str, k: int) -> DataFrame:
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for _, s in _sets(batch, 1, k)], pa.binary())], ["id", "body"])
+
+    return texts.select("id", "text").mapInArrow(build, f"id {kind}, body binary")
