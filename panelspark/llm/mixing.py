@@ -69,7 +69,7 @@ def knapsack(sizes: np.ndarray, counts: np.ndarray, budget: int, order: np.ndarr
 
 
 def fit(sizes: np.ndarray, counts: np.ndarray, budget: int, seed: int, window: int = KNAPSACK) -> np.ndarray:
-    """Documents to take of each size so that their sizes sum up to ``budget`` or as little below as can be."""
+    """Documents to take of each size so that their sizes sum up to ``budget`` or little below."""
     taken = np.zeros(len(sizes), np.int64)
     total = int((sizes * counts).sum())
     if budget >= total:
