@@ -25,7 +25,7 @@ HELD = 512
 DOUBLES = T.ArrayType(T.DoubleType())
 
 
-def _packed(pos: str = "pos", value: str = "v") -> Column:
+def packed_cells(pos: str = "pos", value: str = "v") -> Column:
     return F.transform(F.array_sort(F.collect_list(F.struct(pos, value))), lambda s: s[value])
 
 
@@ -78,7 +78,7 @@ def _partials(df: DataFrame, keys: Sequence[str], columns: Sequence[str], others
 def _gram_wide(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
     cells = _partials(df, keys, columns).select(*keys, F.posexplode("g").alias("pos", "v"))
     summed = cells.groupBy(*keys, "pos").agg(F.sum("v").alias("v"))
-    return summed.groupBy(*keys).agg(_packed().alias("g"))
+    return summed.groupBy(*keys).agg(packed_cells().alias("g"))
 
 
 def prefix_gram(df: DataFrame, keys: Sequence[str], columns: Sequence[str], ts: str = "ts", unit: str = "month",
@@ -100,7 +100,7 @@ def gram_up_to(df: DataFrame, keys: Sequence[str], columns: Sequence[str], tag:
     cells = per_tag.select(*keys, tag, F.posexplode("g").alias("pos", "v"))
     w = Window.partitionBy(*keys, "pos").orderBy(tag).rowsBetween(Window.unboundedPreceding, 0)
     total = cells.select(*keys, tag, "pos", F.sum("v").over(w).alias("v"))
-    return total.groupBy(*keys, tag).agg(_packed().alias("g"))
+    return total.groupBy(*keys, tag).agg(packed_cells().alias("g"))
 
 
 def cross_before(df: DataFrame, keys: Sequence[str], columns: Sequence[str], others: Sequence[str], tag: str) -> DataFrame:

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelspark.functions.dist import adf_crit, adf_pvalue, kpss_clamped, kpss_crit, kpss_pvalue
-from panelspark.functions.series import period_index, running, sliding
+from panelspark.functions.series import SPAN, running
 from panelspark.functions.solve import least_squares, unpack
-from panelspark.operators.gram import gram
+from panelspark.operators.gram import DOUBLES, packed_cells
 from panelspark.operators.transform import PAIR, all_transforms
 from panelspark.schema import attach
 
@@ -30,10 +30,10 @@ def schwert_lag(n: Column) -> Column:
     return F.greatest(F.lit(1), F.floor(12.0 * F.pow(n / 100.0, F.lit(0.25)))).cast("bigint")
 
 
-def _longest(df: DataFrame, keys: Sequence[str]) -> int:
-    """Length of the longest series; one number, needed to fix the number of lag columns before planning."""
-    row = df.groupBy(*keys).count().agg(F.max("count")).first()
-    return int(row[0] or 1)
+def _numbered(df: DataFrame, keys: Sequence[str], unit: str) -> DataFrame:
+    """Known values with their position ``_pos`` (from 1) in the series: a gap closes up, as if the nulls were not there."""
+    known = df.filter(F.col("value").isNotNull())
+    return running(known, keys, {"_pos": F.lit(1).cast("bigint")}, unit=unit)
 
 
 ADF = T.StructType([T.StructField("stat", T.DoubleType()), T.StructField("usedlag", T.LongType()), T.StructField("nobs", T.LongType()),
@@ -51,7 +51,7 @@ def _choose_and_refit(tags, grams, maxlag: int, spec: str, m: int):
     common = full[tags == 0]
     if len(common) == 0:
         return None, -1, -1, "no rows left after lags"
-    common = common[0]
+    common = common.sum(axis=0)
     n = common[0, 0]
     best, used = np.inf, 0
     for p in range(maxlag + 1):
@@ -75,35 +75,45 @@ def _choose_and_refit(tags, grams, maxlag: int, spec: str, m: int):
     return float(beta[0, at] / np.sqrt(var)), used, int(round(nobs)), None
 
 
-def adf(df: DataFrame, keys: Sequence[str], max_obs: int | None = None, unit: str = "month") -> DataFrame:
-    """Augmented Dickey-Fuller statistic per key. Input (keys, ts, value, spec), dense; ``spec`` is 'c' or 'ct'.
+def adf(df: DataFrame, keys: Sequence[str], unit: str = "month") -> DataFrame:
+    """Augmented Dickey-Fuller statistic per key. Input (keys, ts, value, spec); ``spec`` is 'c' or 'ct', null values are dropped.
 
     One pass: sums over the rows that every lag order can use, plus one rank-one matrix for each of the few earlier
-    rows, so that the chosen order can be refitted on its longer sample without reading the series again.
+    rows, so that the chosen order can be refitted on its longer sample without reading the series again. The work is cut into
+    blocks of positions; each block also gets the rows before it that the key's own longest lag reaches.
     """
-    max_obs = max_obs or _longest(df, keys)
-    pmax = max(1, int(np.floor(12 * (max_obs / 100.0) ** 0.25)))
-    known = df.filter(F.col("value").isNotNull())
-    sizes = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_obs"), F.min(period_index("ts", unit)).alias("_first"), F.first("spec").alias("spec")) \
-        .withColumn("maxlag", schwert_lag(F.col("n_obs")))
-
-    def build(w):
-        def lag(k):
-            return F.lag("value", k).over(w) if k else F.col("value")
-        out = {"_x": lag(1), "_d": lag(0) - lag(1)}
-        out |= {f"_d{j}": F.coalesce(lag(j) - lag(j + 1), F.lit(0.0)) for j in range(1, pmax + 1)}
-        return out
-
-    rows = sliding(known.select(*keys, "ts", "value"), keys, build, back=pmax + 1, unit=unit).join(
-        sizes.select(*keys, "_first", "maxlag"), list(keys))
-    number = period_index("ts", unit) - F.col("_first") + 1
-    rows = rows.withColumn("_rn", number).filter((F.col("_rn") >= 2) & F.col("_d").isNotNull())
-    rows = rows.withColumn("_tag", F.when(F.col("_rn") >= F.col("maxlag") + 2, F.lit(0)).otherwise(F.col("_rn")))
-    rows = rows.withColumn("_one", F.lit(1.0)).withColumn("_t", F.col("_rn").cast("double"))
-    columns = ["_one", "_t", "_x", "_d", *[f"_d{j}" for j in range(1, pmax + 1)]]
-    m = len(columns)
-    parts = gram(rows, [*keys, "_tag"], columns)
-    packed = parts.groupBy(*keys).agg(F.collect_list(F.struct("_tag", "g")).alias("_p")).join(sizes, list(keys))
+    keys = list(keys)
+    numbered = _numbered(df, keys, unit)
+    sizes = numbered.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_obs"), F.first("spec").alias("spec")).withColumn("maxlag", schwert_lag(F.col("n_obs")))
+    at, reach = F.col("_pos") - 1, F.col("maxlag") + 1
+    block = F.floor(at / SPAN)
+    following = F.when(reach > SPAN, F.raise_error(F.lit("lags reach beyond a block")).cast("bigint")).when(at % SPAN >= SPAN - reach, block + 1)
+    rows = numbered.select(*keys, "_pos", "value").join(sizes.select(*keys, "maxlag"), keys).withColumn(
+        "_blk", F.explode(F.array_compact(F.array(block, following))))
+    schema = T.StructType([*[df.schema[k] for k in keys], T.StructField("_tag", T.LongType()), T.StructField("g", DOUBLES)])
+
+    def reduce(block: pd.DataFrame) -> pd.DataFrame:
+        block = block.sort_values("_pos")
+        v, pos, lags, own = block["value"].to_numpy(float), block["_pos"].to_numpy(), int(block["maxlag"].iloc[0]), int(block["_blk"].iloc[0])
+        z = np.zeros((len(v), 4 + lags))
+        z[:, 0], z[:, 1] = 1.0, pos
+        z[1:, 2], z[1:, 3] = v[:-1], np.diff(v)
+        for j in range(1, min(lags, len(v) - 2) + 1):
+            z[j + 1:, 3 + j] = np.diff(v)[:-j]
+        mine = ((pos - 1) // SPAN == own) & (pos >= 2)
+        common = z[mine & (pos >= lags + 2)]
+        upper = np.triu_indices(z.shape[1])
+        out = [(0, (common.T @ common)[upper].tolist())] if len(common) else []
+        out += [(int(p), np.outer(row, row)[upper].tolist()) for p, row in zip(pos, z) if 2 <= p < lags + 2 and (p - 1) // SPAN == own]
+        frame = pd.DataFrame(out, columns=["_tag", "g"])
+        for k in reversed(keys):
+            frame.insert(0, k, block[k].iloc[0])
+        return frame
+
+    cells = rows.groupBy(*keys, "_blk").applyInPandas(reduce, schema).select(*keys, "_tag", F.posexplode("g").alias("pos", "v"))
+    parts = cells.groupBy(*keys, "_tag", "pos").agg(F.sum("v").alias("v")).groupBy(*keys, "_tag").agg(packed_cells().alias("g"))
+    packed = parts.groupBy(*keys).agg(F.collect_list(F.struct("_tag", "g")).alias("_p"))
+    packed = sizes.join(packed, keys, "left").withColumn("_p", F.coalesce("_p", F.array().cast("array<struct<_tag:bigint,g:array<double>>>")))
 
     @F.pandas_udf(ADF)
     def fit(tags: pd.Series, grams: pd.Series, maxlag: pd.Series, spec: pd.Series, n: pd.Series) -> pd.DataFrame:
@@ -114,7 +124,7 @@ def adf(df: DataFrame, keys: Sequence[str], max_obs: int | None = None, unit: st
             elif ml > size // 2 - len(sp) - 1:
                 out.append((None, -1, -1, "maxlag too large for the sample"))
             else:
-                out.append(_choose_and_refit(tg, list(gs), int(ml), sp, m))
+                out.append(_choose_and_refit(tg, list(gs), int(ml), sp, 4 + int(ml)))
         frame = pd.DataFrame(out, columns=["stat", "usedlag", "nobs", "error"])
         frame["stat"] = frame["stat"].astype(float)
         return frame
@@ -128,32 +138,33 @@ def adf(df: DataFrame, keys: Sequence[str], max_obs: int | None = None, unit: st
     return out.select("*", *[F.when(ok, adf_crit(F.col("spec"), F.col("adf_nobs"), lv)).alias(f"adf_crit_{lv}") for lv in ("1", "5", "10")])
 
 
-def kpss(df: DataFrame, keys: Sequence[str], lags: int | None = None, max_obs: int | None = None, unit: str = "month") -> DataFrame:
-    """KPSS statistic per key with a Bartlett long-run variance; ``lags=None`` chooses the bandwidth from the data.
+def kpss(df: DataFrame, keys: Sequence[str], lags: int | None = None, unit: str = "month") -> DataFrame:
+    """KPSS statistic per key with a Bartlett long-run variance; ``lags=None`` chooses the bandwidth from the data. Nulls are dropped.
 
     The long-run variance uses the identity  sum of Bartlett-weighted autocovariances = sum of squared moving sums of
     length lags+1 / (n * (lags+1)),  so any bandwidth costs one equi-join of the partial sums with themselves.
     """
-    known = df.filter(F.col("value").isNotNull()).withColumn("_i", period_index("ts", unit))
-    fit = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("_my"), F.avg("_i").alias("_mi"),
-                                   F.regr_slope("value", F.col("_i").cast("double")).alias("_b"), F.first("spec").alias("spec"), F.min("_i").alias("_first"))
-    line = F.col("_my") + F.when(F.col("spec") == "ct", F.coalesce("_b", F.lit(0.0)) * (F.col("_i") - F.col("_mi"))).otherwise(F.lit(0.0))
-    resid = known.drop("spec").join(fit, list(keys)).select(*keys, "ts", "n", "spec", (F.col("_i") - F.col("_first") + 1).alias("_t"), (F.col("value") - line).alias("_e"))
+    keys = list(keys)
+    known = _numbered(df, keys, unit)
+    fit = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("_my"), F.avg("_pos").alias("_mi"),
+                                   F.regr_slope("value", F.col("_pos").cast("double")).alias("_b"), F.first("spec").alias("spec"))
+    line = F.col("_my") + F.when(F.col("spec") == "ct", F.coalesce("_b", F.lit(0.0)) * (F.col("_pos") - F.col("_mi"))).otherwise(F.lit(0.0))
+    resid = known.drop("spec").join(fit, keys).select(*keys, "n", "spec", F.col("_pos").alias("_t"), (F.col("value") - line).alias("_e"))
     if lags is None:
-        cov_max = max(1, int((max_obs or _longest(known, keys)) ** (2.0 / 9.0)))
-        wide = sliding(resid, keys, lambda w: {f"_e{k}": F.lag("_e", k).over(w) for k in range(1, cov_max + 1)}, back=cov_max, unit=unit)
-        own_max = F.floor(F.pow(F.first("n"), F.lit(2.0 / 9.0)))
-        prod = [F.when(F.lit(k) <= own_max, F.coalesce(F.sum(F.col("_e") * F.col(f"_e{k}")), F.lit(0.0)) * 2.0 / F.first("n")).otherwise(F.lit(0.0))
-                for k in range(1, cov_max + 1)]
-        s0 = sum(prod, F.sum(F.col("_e") * F.col("_e")) / F.first("n"))
-        s1 = sum((k * p for k, p in enumerate(prod, 1)), F.lit(0.0))
-        auto = wide.groupBy(*keys).agg(s0.alias("_s0"), s1.alias("_s1"), F.first("n").alias("n"))
+        # products with each of the first n^(2/9) lags, by position
+        most = F.floor(F.pow("n", F.lit(2.0 / 9.0))).cast("int")
+        fan = resid.select(*keys, "n", "_t", "_e", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(1), most))).alias("_k"))
+        back = resid.select(*keys, F.col("_t").alias("_s"), F.col("_e").alias("_e0"))
+        lagged = fan.withColumn("_s", F.col("_t") - F.col("_k")).join(back, [*keys, "_s"])
+        prod = F.col("_e") * F.col("_e0") / F.col("n")
+        auto = lagged.groupBy(*keys).agg(F.sum(F.when(F.col("_k") == 0, prod).otherwise(2.0 * prod)).alias("_s0"),
+                                         F.sum(2.0 * F.col("_k") * prod).alias("_s1"), F.first("n").alias("n"))
         ratio = F.try_divide(F.col("_s1"), F.col("_s0"))
         width = F.floor(1.1447 * F.pow(ratio * ratio, F.lit(1.0 / 3.0)) * F.pow(F.col("n"), F.lit(1.0 / 3.0)))
         auto = auto.select(*keys, F.least(F.coalesce(width, F.lit(0)), F.col("n") - 1).cast("bigint").alias("_lags"))
     else:
         auto = fit.select(*keys, F.least(F.lit(lags), F.col("n") - 1).cast("bigint").alias("_lags"))
-    sums = running(resid, keys, {"_S": F.col("_e")}, unit=unit).join(auto, list(keys))
+    sums = running(resid, keys, {"_S": F.col("_e")}, ts="_t", unit="index").join(auto, keys)
     width = F.col("_lags") + 1
     here = sums.select(*keys, "_t", "_S", "n", "spec", "_lags")
     earlier = sums.select(*keys, (F.col("_t") + width).alias("_t"), F.col("_S").alias("_S0"))
@@ -175,10 +186,9 @@ def classify_quadrant(adf_p: Column, kpss_p: Column, alpha: float = ALPHA) -> Co
     return (F.when(adf_p.isNull() | kpss_p.isNull(), ERROR).when(a & ~k, GOOD).when(~a & k, BAD).when(a & k, CONFLICT).otherwise(UNSURE))
 
 
-def test_series(df: DataFrame, keys: Sequence[str], alpha: float = ALPHA, max_obs: int | None = None, unit: str = "month") -> DataFrame:
+def test_series(df: DataFrame, keys: Sequence[str], alpha: float = ALPHA, unit: str = "month") -> DataFrame:
     """Both tests with the same deterministic terms, and their joint class. Input (keys, ts, value, spec)."""
-    max_obs = max_obs or _longest(df, keys)
-    out = adf(df, keys, max_obs, unit).join(kpss(df, keys, None, max_obs, unit), list(keys))
+    out = adf(df, keys, unit).join(kpss(df, keys, None, unit), list(keys))
     return out.withColumn("class", classify_quadrant(F.col("adf_pvalue"), F.col("kpss_pvalue"), alpha)).withColumn(
         "small_sample", F.col("n_obs") < SMALL).withColumn("very_small", F.col("n_obs") < VERY_SMALL)
 
@@ -187,12 +197,12 @@ def level_spec(long: DataFrame, trending: Sequence[str]) -> DataFrame:
     return long.withColumn("spec", F.when(F.col("indicator").isin(list(trending)), "ct").otherwise("c"))
 
 
-def test_panel(long: DataFrame, trending: Sequence[str] = (), max_obs: int | None = None) -> DataFrame:
+def test_panel(long: DataFrame, trending: Sequence[str] = ()) -> DataFrame:
     """Every level series with the default terms of its indicator."""
-    return test_series(level_spec(long, trending), PAIR, max_obs=max_obs)
+    return test_series(level_spec(long, trending), PAIR)
 
 
-def test_grid(long: DataFrame, forms: Sequence[str], trending: Sequence[str] = (), split=None, max_obs: int | None = None) -> DataFrame:
+def test_grid(long: DataFrame, forms: Sequence[str], trending: Sequence[str] = (), split=None) -> DataFrame:
     """Every series under every form, and with ``split`` also on both sides of it, as one job.
 
     Forms are transform names plus 'level_ct' (the level with trend terms). Key: (entity, indicator, form, subperiod).
@@ -206,7 +216,7 @@ def test_grid(long: DataFrame, forms: Sequence[str], trending: Sequence[str] = (
         both = F.array(F.struct(F.col("form"), F.col("spec")), F.when(F.col("form") == "level", F.struct(F.lit("level_ct").alias("form"), F.lit("ct").alias("spec"))))
         tf = tf.select(*PAIR, "ts", "value", F.explode(F.array_compact(both)).alias("_v")).select(*PAIR, "_v.form", "ts", "value", "_v.spec")
     tf = tf.withColumn("subperiod", F.lit("full")) if split is None else subperiods(tf, split)
-    return test_series(tf, [*PAIR, "form", "subperiod"], max_obs=max_obs)
+    return test_series(tf, [*PAIR, "form", "subperiod"])
 
 
 def _with_classes(tests: DataFrame, forms: Sequence[str]) -> DataFrame:
@@ -237,17 +247,17 @@ def subperiods(df: DataFrame, split, pre: str = "pre", post: str = "post") -> Da
     return df.withColumn("subperiod", F.explode(F.array(F.lit("full"), F.when(F.col("ts") < F.lit(split), pre).otherwise(post))))
 
 
-def subperiod_tests(transformed: DataFrame, split, keys: Sequence[str] = (*PAIR, "form"), max_obs: int | None = None) -> DataFrame:
+def subperiod_tests(transformed: DataFrame, split, keys: Sequence[str] = (*PAIR, "form")) -> DataFrame:
     """Tests on the full, earlier and later sample. Input (keys, ts, value, spec)."""
     parts = subperiods(transformed.filter(F.col("value").isNotNull()), split)
     window = parts.groupBy(*keys, "subperiod").agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
-    return test_series(parts, [*keys, "subperiod"], max_obs=max_obs).join(window, [*keys, "subperiod"])
+    return test_series(parts, [*keys, "subperiod"]).join(window, [*keys, "subperiod"])
 
 
-def break_window_tests(transformed: DataFrame, breaks: Sequence[Sequence], keys: Sequence[str] = (*PAIR, "form"), max_obs: int | None = None) -> DataFrame:
+def break_window_tests(transformed: DataFrame, breaks: Sequence[Sequence], keys: Sequence[str] = (*PAIR, "form")) -> DataFrame:
     fan = attach(transformed.filter(F.col("value").isNotNull()), [(n, d) for n, d in breaks], ["break_name", "break_date"])
     fan = fan.withColumn("window", F.when(F.col("ts") < F.col("break_date"), "pre_break").otherwise("post_break"))
-    return test_series(fan, [*keys, "break_name", "window"], max_obs=max_obs)
+    return test_series(fan, [*keys, "break_name", "window"])
 
 
 def class_counts(tests: DataFrame) -> DataFrame:

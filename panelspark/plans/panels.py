@@ -15,7 +15,6 @@ from panelspark.functions.numbers import fixed
 
 INDICATORS = ("REVENUE", "ORDERS", "URGENT", "BALANCE", "AVGVAL")
 TARGET = "REVENUE"
-PANEL_END = dt.date(2001, 8, 1)          # the last month is partial and left out
 BREAKS = (("B1", dt.date(1997, 7, 1)), ("B2", dt.date(1998, 9, 1)), ("B3", dt.date(2000, 3, 1)))
 PERIODS = (("P1", dt.date(1997, 7, 1), dt.date(1998, 6, 1)), ("P2", dt.date(2000, 3, 1), dt.date(2000, 9, 1)))
 TRAIN_END = dt.date(1999, 12, 1)
@@ -50,18 +49,16 @@ def money(c: str | Column) -> Column:
 def order_panel(t: Tables, level: str = "region") -> DataFrame:
     """(entity, month) panel of orders; ``level`` is 'region' or 'nation'.
 
-    Orders are first summed by customer nation and month, so that the dimension join to a name runs on the
-    aggregated rows.
+    Orders are first summed by customer and month, so that all joins to dimensions run on aggregated rows.
     """
-    orders = t.orders.filter(F.col("o_orderdate") < F.lit(PANEL_END).cast("timestamp_ntz"))
-    facts = orders.select(
-        "o_custkey", F.trunc(F.col("o_orderdate").cast("date"), "MM").alias("ts"), "o_totalprice",
-        F.when(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), 1).otherwise(0).alias("urgent"))
-    joined = facts.join(t.customer.select("c_custkey", "c_nationkey", "c_acctbal"),
-                        F.col("o_custkey") == F.col("c_custkey"))
-    by_nation = joined.groupBy("c_nationkey", "ts").agg(
-        F.sum(F.col("o_totalprice").cast("decimal(18,2)")).alias("price"), F.count(F.lit(1)).alias("n"),
-        F.sum("urgent").alias("urgent"), F.sum(F.col("c_acctbal").cast("decimal(18,2)")).alias("bal"))
+    by_customer = t.orders.select(
+        "o_custkey", F.trunc(F.col("o_orderdate").cast("date"), "MM").alias("ts"), F.col("o_totalprice").cast("decimal(18,2)").alias("price"),
+        F.when(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), 1).otherwise(0).alias("urgent")).groupBy("o_custkey", "ts").agg(
+        F.sum("price").alias("price"), F.count(F.lit(1)).alias("n"), F.sum("urgent").alias("urgent"))
+    joined = by_customer.join(t.customer.select("c_custkey", "c_nationkey", F.col("c_acctbal").cast("decimal(18,2)").alias("bal")),
+                              F.col("o_custkey") == F.col("c_custkey"))
+    by_nation = joined.groupBy("c_nationkey", "ts").agg(F.sum("price").alias("price"), F.sum("n").alias("n"), F.sum("urgent").alias("urgent"),
+                                                        F.sum(F.col("bal") * F.col("n").cast("decimal(18,0)")).alias("bal"))
     named = by_nation.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
     if level == "region":
         named = named.join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))

@@ -20,7 +20,6 @@ from panelspark.plans.queries_transforms import dense_long, registry_forms
 
 TREND = (TARGET,)
 SPLIT = BREAKS[1][1]
-MAX_OBS = 80    # months in the calendar of the order panel
 PAIR = ["entity", "indicator"]
 ALL_FORMS = ["level", "first_diff", "second_diff", "yoy_pct", "log_diff_pct"]
 
@@ -33,7 +32,7 @@ def leveled(t):
     return st.level_spec(dense_long(t), TREND)
 
 
-query("f02_adf_test")(lambda t: st.adf(leveled(t), PAIR, MAX_OBS))
+query("f02_adf_test")(lambda t: st.adf(leveled(t), PAIR))
 
 define("kres", "SELECT entity, indicator, ts, n, t, CASE WHEN indicator = 'REVENUE' THEN value - (my + b * (t - (n + 1) / 2.0)) ELSE value - my END AS e FROM (SELECT *, count(*) OVER p AS n, row_number() OVER (PARTITION BY entity, indicator ORDER BY ts) AS t, "
        "avg(value) OVER p AS my FROM plong WINDOW p AS (PARTITION BY entity, indicator)) JOIN (SELECT entity AS e1, indicator AS i1, regr_slope(value, t) AS b FROM (SELECT *, row_number() OVER (PARTITION BY entity, indicator ORDER BY ts) AS t FROM plong) GROUP BY 1, 2) "
@@ -55,7 +54,7 @@ _c, _ct = (0.347, 0.463, 0.574, 0.739), (0.119, 0.146, 0.176, 0.216)
 query("f03_kpss_test", f"SELECT entity, indicator, {r('stat')} AS kpss_stat, {r(f'CASE WHEN indicator = {chr(39)}REVENUE{chr(39)} THEN {_piecewise(_ct)} ELSE {_piecewise(_c)} END')} AS kpss_pvalue, CAST(4 AS BIGINT) AS kpss_lags, "
       f"CASE WHEN indicator = 'REVENUE' THEN stat < {_ct[0]} OR stat > {_ct[3]} ELSE stat < {_c[0]} OR stat > {_c[3]} END AS kpss_clamped FROM kstat")(
     lambda t: st.kpss(leveled(t), PAIR, 4).select(*PAIR, "kpss_stat", "kpss_pvalue", "kpss_lags", "kpss_clamped"))
-query("f03_kpss_test_auto_bandwidth")(lambda t: st.kpss(leveled(t), PAIR, None, MAX_OBS))
+query("f03_kpss_test_auto_bandwidth")(lambda t: st.kpss(leveled(t), PAIR, None))
 
 def _quadrant(a, k):
     return f"CASE WHEN {a} < 0.05 AND NOT {k} < 0.05 THEN 'Stationary' WHEN NOT {a} < 0.05 AND {k} < 0.05 THEN 'Non-stationary' WHEN {a} < 0.05 THEN 'Trend-stationary (conflict)' ELSE 'Inconclusive' END"
@@ -68,15 +67,15 @@ def f04(t):
 
 
 def panel_tests(t):
-    return st.test_panel(dense_long(t), TREND, MAX_OBS)
+    return st.test_panel(dense_long(t), TREND)
 
 
 def grid(t, forms, split=None):
-    return st.test_grid(dense_long(t), forms, TREND, split, MAX_OBS)
+    return st.test_grid(dense_long(t), forms, TREND, split)
 
 
 def target_grid(t, forms, split=None):
-    return st.test_grid(dense_long(t).filter(F.col("indicator") == TARGET), forms, TREND, split, MAX_OBS)
+    return st.test_grid(dense_long(t).filter(F.col("indicator") == TARGET), forms, TREND, split)
 
 
 def provisional(t):
@@ -93,14 +92,14 @@ def provisional_forms(t):
     return registry_forms(t).select("entity", "indicator", strip_suffix("form").alias("form"))
 
 
-query("f05_test_series")(lambda t: st.test_series(hourly(t), ["entity"], max_obs=720, unit="hour"))
+query("f05_test_series")(lambda t: st.test_series(hourly(t), ["entity"], unit="hour"))
 query("f06_test_panel")(panel_tests)
 query("f07_differencing_ladder")(lambda t: st.differencing_ladder(grid(t, ["level", "first_diff", "second_diff"])))
-query("f08_conflict_retest")(lambda t: st.conflict_retest(st.test_grid(to_long(densify(nation_panel(t)), INDICATORS), ["level", "level_ct", "first_diff"], TREND, None, MAX_OBS)))
+query("f08_conflict_retest")(lambda t: st.conflict_retest(st.test_grid(to_long(densify(nation_panel(t)), INDICATORS), ["level", "level_ct", "first_diff"], TREND, None)))
 query("f09_transform_comparison")(lambda t: target_grid(t, ["level", "first_diff", "yoy_pct", "log_diff_pct"]))
 query("f10_registry_draft")(lambda t: st.registry_draft(grid(t, [*ALL_FORMS, "level_ct"]), TARGET))
-query("f11_subperiod_tests")(lambda t: st.subperiod_tests(provisional(t), SPLIT, max_obs=MAX_OBS))
+query("f11_subperiod_tests")(lambda t: st.subperiod_tests(provisional(t), SPLIT))
 query("f12_decide_target_form")(lambda t: st.decide_target_form(st.target_classes(target_grid(t, ["first_diff", "yoy_pct", "log_diff_pct"], SPLIT))))
 query("f13_final_registry")(lambda t: st.final_registry(grid(t, [*ALL_FORMS, "level_ct"], SPLIT), provisional_forms(t), TARGET))
-query("f14_break_window_tests")(lambda t: st.break_window_tests(provisional(t), BREAKS, max_obs=MAX_OBS))
+query("f14_break_window_tests")(lambda t: st.break_window_tests(provisional(t), BREAKS))
 query("f15_class_counts")(lambda t: st.class_counts(panel_tests(t)))
