@@ -35,7 +35,7 @@ TEMPLATES = [
 ]
 GRAM = 5
 #: Words of a piece of a text that is handled at once (a multiple of every stride).
-PIECE = 4096
+PIECE = 512
 SPLIT = r"[^\p{L}\p{N}]+"
 
 
@@ -92,7 +92,9 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: Se
     if not by_length:
         raise ValueError("no template has as many as 5 words")
     bands = max(plan(n, least, miss)[3] for n in by_length)
-    minima = _minima(docs, known, bands)
+    minima, least_shingles = _minima(docs, known, bands)
+    # a band agrees only where the template's own least shingle occurs, so other pieces needn't be hashed further
+    pieces = pieces.select("id", "base", F.when(F.arrays_overlap("s", F.array(*[F.lit(x).cast("long") for x in least_shingles])), F.col("s")).alias("s"))
     # one minimum hash function per band, over all shingles of a piece once
     pieces = pieces.select("id", "base", "s", *[F.transform("s", _salted(k)).alias(f"h{k}") for k in range(bands)])
     hits, listed = [], []
@@ -129,10 +131,16 @@ def _hits(length: int, window: int, stride: int, values: list[list[int]]) -> Col
         F.lit(length).alias("length"), p.alias("p"), F.slice("s", p + 1, window).alias("w"), F.array(*[low(p, k) for k in bands]).alias("v")))
 
 
-def _minima(docs: DataFrame, known: list[tuple[str, list[int]]], bands: int) -> dict[str, list[int]]:
+def _minima(docs: DataFrame, known: list[tuple[str, list[int]]], bands: int) -> tuple[dict[str, list[int]], list[int]]:
+    """Minimum of each band per template, and the shingles that have them."""
     table = docs.sparkSession.createDataFrame(known, "license string, t array<long>")
-    rows = table.select("license", F.array(*[F.array_min(F.transform("t", _salted(k))) for k in range(bands)]).alias("m")).collect()
-    return {r["license"]: list(r["m"]) for r in rows}
+    least = [F.array_min(F.transform("t", _paired(k))) for k in range(bands)]
+    rows = table.select("license", F.array(*least).alias("m")).collect()
+    return {r["license"]: [x["h"] for x in r["m"]] for r in rows}, sorted({x["x"] for r in rows for x in r["m"]})
+
+
+def _paired(k: int):
+    return lambda x: F.struct(F.xxhash64(x, F.lit(k)).alias("h"), x.alias("x"))
 
 
 def _any(conditions: list[Column]) -> Column:
