@@ -99,8 +99,12 @@ def _autocov_sums(d: str, max_h: int) -> list[Column]:
 
 
 def _lrv(n: Column, m: Column, h: Column, max_h: int) -> Column:
-    """Bartlett combination with h-1 lags; centring is done on the sums, so the mean needs no pass of its own."""
-    total = F.col("_s0") - n * m * m
+    """Bartlett combination with h-1 lags; centring is done on the sums, so the mean needs no pass of its own.
+
+    ``max_h`` must be the largest horizon at least: it fixes the number of sums, and a longer one is an error.
+    """
+    guard = F.when(h > max_h, F.raise_error(F.concat(F.lit("horizon beyond max_h: "), h.cast("string"))).cast("double")).otherwise(F.lit(0.0))
+    total = F.col("_s0") - n * m * m + guard
     for k in range(1, max_h):
         g = F.coalesce(F.col(f"_s{k}") - m * F.col(f"_t{k}") + F.col(f"_c{k}") * m * m, F.lit(0.0))
         total = total + F.when(h > k, 2 * (1 - k / h) * g).otherwise(F.lit(0.0))

@@ -91,16 +91,21 @@ def prefix_gram(df: DataFrame, keys: Sequence[str], columns: Sequence[str], ts:
     return out.select(*df.columns, F.array(*names).alias("g"))
 
 
-def gram_up_to(df: DataFrame, keys: Sequence[str], columns: Sequence[str], tag: str) -> DataFrame:
-    """(keys, tag, g): sums over all rows whose tag is not larger. Rows are read once; the size is tags x columns^2.
+def gram_up_to(df: DataFrame, keys: Sequence[str], columns: Sequence[str], tag: str, at: DataFrame) -> DataFrame:
+    """(keys, tag, g): sums over all rows whose tag is not larger, at every tag of ``at`` (keys, tag) with any such row.
 
-    Only tags that occur get a row.
+    Rows are read once; the size is tags x columns^2. The first column must be constant. A tag without rows of its own (a gap just
+    before an origin) gets what was summed up before it.
     """
     per_tag = gram(df, [*keys, tag], columns)
-    cells = per_tag.select(*keys, tag, F.posexplode("g").alias("pos", "v"))
+    size = len(columns) * (len(columns) + 1) // 2
+    asked = at.select(*keys, F.col(tag).cast(df.schema[tag].dataType).alias(tag)).distinct()
+    cells = per_tag.select(*keys, tag, F.posexplode("g").alias("pos", "v")).unionByName(
+        asked.select(*keys, tag, F.posexplode(F.array_repeat(F.lit(0.0), size)).alias("pos", "v")))
+    cells = cells.groupBy(*keys, tag, "pos").agg(F.sum("v").alias("v"))
     w = Window.partitionBy(*keys, "pos").orderBy(tag).rowsBetween(Window.unboundedPreceding, 0)
     total = cells.select(*keys, tag, "pos", F.sum("v").over(w).alias("v"))
-    return total.groupBy(*keys, tag).agg(packed_cells().alias("g"))
+    return total.groupBy(*keys, tag).agg(packed_cells().alias("g")).filter(F.col("g")[0] > 0)
 
 
 def cross_before(df: DataFrame, keys: Sequence[str], columns: Sequence[str], others: Sequence[str], tag: str) -> DataFrame:

@@ -204,8 +204,9 @@ def magnitude_summary(stability: DataFrame, baseline, key: str = "entity") -> Da
     size = F.abs("coef")
     agg = stability.groupBy(key).agg(F.max(size).alias("max_abs"), F.avg(size).alias("mean_abs"), F.sum(size).alias("sum_abs"), F.percentile(size, F.lit(0.5)).alias("median_abs"),
                                      F.count_if("sign_stable").alias("n_stable"))
-    base = agg.filter(F.col(key) == baseline).select(F.col("max_abs").alias("_b"))
-    return agg.join(F.broadcast(base.limit(1))).withColumn("ratio_to_baseline", F.try_divide("max_abs", "_b")).drop("_b")
+    several = F.when(F.count(F.lit(1)) > 1, F.raise_error(F.lit("the baseline has several rows")).cast("double"))
+    base = agg.filter(F.col(key) == baseline).agg(several.otherwise(F.max("max_abs")).alias("_b"))  # one row
+    return agg.join(F.broadcast(base)).withColumn("ratio_to_baseline", F.try_divide("max_abs", "_b")).drop("_b")
 
 
 FORECAST_FIELDS = [T.StructField("n_train", T.LongType()), T.StructField("y_pred", T.DoubleType())]
@@ -227,8 +228,8 @@ def direct_walk_forward(df: DataFrame, xs: Sequence[str], y: str, alpha: DataFra
     last = F.add_months("_end", -hmax)
     rows = fan.filter(F.col("_z").isNotNull()).withColumn("_tag", F.greatest(F.add_months("ts", F.col("h").cast("int")), F.lit(start).cast("date"))) \
         .filter(F.col("_tag") <= last).withColumn("_one", F.lit(1.0))
-    grams = gram_up_to(rows, [*keys, "h"], ["_one", *xs, "_z"], "_tag").withColumnRenamed("_tag", "ts")
     origins = fan.filter((F.col("ts") >= F.lit(start)) & (F.col("ts") <= last)).select(*keys, "ts", "h", F.col("_now").alias("y_naive"), F.col("_z").alias("y_true"), F.array(*xs).alias("x"))
+    grams = gram_up_to(rows, [*keys, "h"], ["_one", *xs, "_z"], "_tag", origins.withColumnRenamed("ts", "_tag")).withColumnRenamed("_tag", "ts")
     packed = origins.join(grams, [*keys, "ts", "h"])
     packed = packed.withColumn("alpha", F.lit(float(alpha))) if not isinstance(alpha, DataFrame) else packed.join(alpha.select(*keys, "alpha"), keys)
     m = len(xs) + 2

@@ -171,8 +171,8 @@ def expanding_one_step(series: DataFrame, orders: DataFrame, season: int, long_l
     rows = rows.join(orders.select(*by), by, "left_semi")
     at = period_index("ts", unit)
     start = period_index(F.lit(first_target), unit)
-    grams = gram_up_to(rows.withColumn("_tag", F.greatest(at + 1, start)), by, ["_one", *names, "w"], "_tag")
     targets = rows.filter(F.col("ts") >= F.lit(first_target)).select(*by, "ts", "y", "base", at.alias("_tag"), F.array("_one", *names).alias("x"))
+    grams = gram_up_to(rows.withColumn("_tag", F.greatest(at + 1, start)), by, ["_one", *names, "w"], "_tag", targets)
     packed = targets.join(grams, [*by, "_tag"]).join(orders.select(*by, "p", "q", "P_s", "Q_s"), by)
     m = len(names) + 2
 

@@ -374,7 +374,6 @@ def walk_forward(panel: DataFrame, endog: Sequence[str], p: int, exog: Sequence[
     names = regressors(endog, p, exog)
     k, n = len(names), len(endog)
     rows = design(panel, endog, p, exog, keys).withColumn("_tag", F.greatest(F.col("ts"), F.lit(start).cast("date")))
-    grams = gram_up_to(rows, keys, [*names, *endog], "_tag").withColumnRenamed("_tag", "ts")
 
     def around(w):
         out = {f"_s{i}_{j}": F.lag(c, i).over(w) if i else F.col(c) for i in range(p) for j, c in enumerate(endog)}
@@ -387,6 +386,7 @@ def walk_forward(panel: DataFrame, endog: Sequence[str], p: int, exog: Sequence[
     actual = [f"_a{h}_{j}" for h in horizons for j in range(n)]
     starts = near.filter((F.col("ts") >= F.lit(start)) & all_known([*state, *future, *actual])).select(
         *keys, "ts", F.array(*state).alias("state"), (F.array(*future) if future else F.array().cast("array<double>")).alias("future"), F.array(*actual).alias("actual"))
+    grams = gram_up_to(rows, keys, [*names, *endog], "_tag", starts.withColumnRenamed("ts", "_tag")).withColumnRenamed("_tag", "ts")
     packed = starts.join(grams, [*keys, "ts"]).withColumnRenamed("ts", "origin_date")
     hs = list(horizons)
 

@@ -30,7 +30,8 @@ query("b02_densify_calendar", f"SELECT entity, {HOUR}, EVENTS, {r('AVGVALUE')} A
 define("eruns", "SELECT entity, min(ts) AS s, max(ts) AS e, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY ts) "
        "- row_number() OVER (PARTITION BY entity, EVENTS IS NULL ORDER BY ts) AS g FROM egrid) WHERE EVENTS IS NULL GROUP BY entity, g")
 query("b03_null_runs", "SELECT entity, strftime(s, '%Y-%m-%d %H:%M') AS run_start, strftime(e, '%Y-%m-%d %H:%M') AS run_end, "
-      "CAST(n AS BIGINT) AS length, 'internal' AS kind FROM eruns")(
+      "CAST(n AS BIGINT) AS length, CASE WHEN s = a THEN 'leading' WHEN e = b THEN 'trailing' ELSE 'internal' END AS kind FROM eruns JOIN "
+      "(SELECT entity AS e0, min(ts) AS a, max(ts) AS b FROM egrid GROUP BY 1) ON e0 = entity")(
     lambda t: clean.null_runs(hours(t), "EVENTS", unit="hour"))
 
 define("eneigh", """SELECT entity, ts, EVENTS AS v,

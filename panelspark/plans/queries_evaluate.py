@@ -92,8 +92,9 @@ define("cells", f"SELECT entity, form, CAST(h AS BIGINT) AS h, layer_1, layer_2,
        f"SELECT '{ALT_ENTITY}', 'yoy_pct', CAST(1 AS BIGINT), 'naive', 'drift', 'alternate_form', false")
 query("k12_cell_manifest", "SELECT * FROM cells")(manifest)
 define("nlayer", f"SELECT {KEY}, count(*) AS n FROM fc GROUP BY ALL")
-query("k13_cell_coverage", "SELECT c.*, a.n AS n_layer_1, b.n AS n_layer_2, p.n AS n_paired, CASE WHEN p.n < 30 THEN 'UNDERPOWERED' ELSE 'OK' END AS status FROM cells c JOIN nlayer a ON a.entity = c.entity AND a.form = c.form AND a.h = c.h "
-      "AND a.layer = c.layer_1 JOIN nlayer b ON b.entity = c.entity AND b.form = c.form AND b.h = c.h AND b.layer = c.layer_2 JOIN dm p ON p.entity = c.entity AND p.form = c.form AND p.h = c.h AND p.layer_1 = c.layer_1 AND p.layer_2 = c.layer_2")(
+query("k13_cell_coverage", "SELECT c.*, coalesce(a.n, 0) AS n_layer_1, coalesce(b.n, 0) AS n_layer_2, coalesce(p.n, 0) AS n_paired, CASE WHEN a.n IS NULL OR b.n IS NULL THEN 'MISSING' "
+      "WHEN p.n IS NULL THEN 'ERROR: no common targets' WHEN p.n < 30 THEN 'UNDERPOWERED' ELSE 'OK' END AS status FROM cells c LEFT JOIN nlayer a ON a.entity = c.entity AND a.form = c.form AND a.h = c.h "
+      "AND a.layer = c.layer_1 LEFT JOIN nlayer b ON b.entity = c.entity AND b.form = c.form AND b.h = c.h AND b.layer = c.layer_2 LEFT JOIN dm p ON p.entity = c.entity AND p.form = c.form AND p.h = c.h AND p.layer_1 = c.layer_1 AND p.layer_2 = c.layer_2")(
     lambda t: ev.cell_coverage(manifest(t), forecasts(t), PAIRS))
 
 
@@ -147,7 +148,8 @@ def k19(t):
 
 define("ori", "SELECT entity, origin_date, bool_or(layer = 'drift') AS a, bool_or(layer = 'mean12') AS b FROM fc WHERE layer IN ('drift', 'mean12') GROUP BY 1, 2")
 query("k20_origin_set_integrity", "SELECT entity, CAST(count(CASE WHEN a THEN 1 END) AS BIGINT) AS n_a, CAST(count(CASE WHEN b THEN 1 END) AS BIGINT) AS n_b, CAST(count(CASE WHEN a AND b THEN 1 END) AS BIGINT) AS n_common, CAST(count(CASE WHEN a AND NOT b THEN 1 END) AS BIGINT) "
-      "AS n_only_a, CAST(count(CASE WHEN b AND NOT a THEN 1 END) AS BIGINT) AS n_only_b, '1,3,6,12' AS horizons, bool_and(a = b) AS equal FROM ori GROUP BY 1")(lambda t: ev.origin_integrity(forecasts(t), "drift", "mean12"))
+      "AS n_only_a, CAST(count(CASE WHEN b AND NOT a THEN 1 END) AS BIGINT) AS n_only_b, any_value(hs) AS horizons, bool_and(a = b) AS equal FROM ori JOIN (SELECT entity AS e0, string_agg(h::VARCHAR, ',' ORDER BY h) AS hs FROM "
+      "(SELECT DISTINCT entity, h FROM fc WHERE layer IN ('drift', 'mean12')) GROUP BY 1) ON e0 = entity GROUP BY 1")(lambda t: ev.origin_integrity(forecasts(t), "drift", "mean12"))
 query("k21_divergent_cells", "SELECT * FROM bat WHERE winner_standard = 'tie' AND sig_robust")(lambda t: ev.divergent_cells(battery(t)))
 _w = ", ".join(f"('{n}', DATE '{a}', DATE '{b}')" for n, a, b in PERIODS)
 query("h08_window_errors", f"SELECT {KEY}, \"window\", count(*) AS n, {r('sqrt(avg(e * e))')} AS rmse, {r('avg(abs(e))')} AS mae, {r('avg(e)')} AS bias FROM fce JOIN (VALUES ('full', DATE '1900-01-01', DATE '2100-01-01'), {_w}) w(\"window\", a, b) ON target_date BETWEEN a AND b GROUP BY ALL")(

@@ -120,7 +120,10 @@ query("d15_lag_self_check", "SELECT a.entity, a.feature AS column_name, b.featur
       "JOIN ffirst b ON a.entity = b.entity AND b.feature = regexp_extract(a.feature, '^(.*)_lag[0-9]+$', 1) JOIN flate z ON z.entity = a.entity AND z.feature = a.feature "
       "WHERE a.feature LIKE '%lag%'")(lambda t: features.lag_self_check(matrix(t), INDICATORS))
 query("d16_rolling_self_check", "SELECT a.entity, a.feature AS column_name, CAST(b.f + to_months(CAST(regexp_extract(a.feature, '_roll([0-9]+)_', 1) AS INTEGER) - 1) AS DATE) AS expected_first, "
-      f"a.f AS first_valid, {r('l.value')} AS value, {r('l.value')} AS direct, true AS matches FROM ffirst a JOIN flong l ON l.entity = a.entity AND l.feature = a.feature AND l.ts = a.f "
+      f"a.f AS first_valid, {r('l.value')} AS value, {r('x.direct')} AS direct, a.f = CAST(b.f + to_months(CAST(regexp_extract(a.feature, '_roll([0-9]+)_', 1) AS INTEGER) - 1) AS DATE) AND abs(l.value - x.direct) <= 1e-10 AS matches "
+      "FROM ffirst a JOIN flong l ON l.entity = a.entity AND l.feature = a.feature AND l.ts = a.f JOIN (SELECT q.entity AS e0, q.feature AS f0, CASE WHEN q.feature LIKE '%mean' THEN avg(s.value) ELSE stddev_samp(s.value) END AS direct "
+      "FROM ffirst q JOIN ffirst z ON z.entity = q.entity AND z.feature = regexp_extract(q.feature, '^(.*)_roll', 1) JOIN flong s ON s.entity = q.entity AND s.feature = z.feature AND s.ts >= z.f AND "
+      "s.ts < z.f + to_months(CAST(regexp_extract(q.feature, '_roll([0-9]+)_', 1) AS INTEGER)) WHERE q.feature LIKE '%roll%' GROUP BY 1, 2) x ON x.e0 = a.entity AND x.f0 = a.feature "
       "JOIN ffirst b ON a.entity = b.entity AND b.feature = regexp_extract(a.feature, '^(.*)_roll', 1) WHERE a.feature LIKE '%roll%'")(
     lambda t: features.rolling_self_check(matrix(t), INDICATORS))
 
@@ -133,7 +136,9 @@ for _n, _a, _b in PERIODS:
                 f"max(CASE WHEN ts = DATE '{_b}' + INTERVAL 1 MONTH THEN P_{_n} END), CAST(count(CASE WHEN ts BETWEEN DATE '{_a}' AND DATE '{_b}' THEN 1 END) AS BIGINT), CAST(sum(P_{_n}) AS BIGINT) FROM fmat GROUP BY 1")
 query("d17_dummy_self_check", "SELECT *, at_start = 1 AND at_end = 1 AND coalesce(before, 0) = 0 AND coalesce(after, 0) = 0 AND expected_ones = found_ones AS matches FROM (" + " UNION ALL ".join(_d17) + ")")(
     lambda t: features.dummy_self_check(matrix(t), BREAKS, PERIODS))
-query("d17_interaction_self_check", "SELECT DISTINCT entity, " + ", ".join(f"CAST(0 AS BIGINT) AS {d}_x_D_{b}" for d, b in PAIRS) + " FROM panel")(
+query("d17_interaction_self_check", "SELECT entity, " + ", ".join(
+    f"CAST(count(CASE WHEN {d}_x_D_{b} IS DISTINCT FROM (CASE WHEN entity IN (" + (", ".join(f"'{e}'" for e, b0, d0 in SPEC if (d0, b0) == (d, b)) or "''")
+    + f") THEN D_{b} * {d} ELSE 0.0::DOUBLE END) THEN 1 END) AS BIGINT) AS {d}_x_D_{b}" for d, b in PAIRS) + " FROM fmat GROUP BY 1")(
     lambda t: features.interaction_self_check(matrix(t), spec(t), BREAKS, PAIRS))
 
 _parts = []

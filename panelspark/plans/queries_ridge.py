@@ -108,7 +108,7 @@ def walk(t):
 
 query("j10_direct_h_walk_forward")(walk)
 query("j10_direct_naive_part", "SELECT a.entity, CAST(h AS BIGINT) AS h, a.ts AS origin_date, CAST(a.ts + to_months(h) AS DATE) AS target_date, " + r("a.REVENUE") + " AS y_naive, " + r("b.REVENUE") + " AS y_true FROM fmat a CROSS JOIN (VALUES (1), (3), (6), (12)) v(h) "
-      f"JOIN fmat b ON b.entity = a.entity AND b.ts = CAST(a.ts + to_months(h) AS DATE) WHERE a.ts >= DATE '{TEST_START}' AND a.ts <= (SELECT max(ts) FROM fmat) - INTERVAL 12 MONTH")(
+      f"JOIN fmat b ON b.entity = a.entity AND b.ts = CAST(a.ts + to_months(h) AS DATE) WHERE a.ts >= DATE '{TEST_START}' AND a.ts <= (SELECT max(ts) FROM fmat e WHERE e.entity = a.entity) - INTERVAL 12 MONTH")(
     lambda t: walk(t).select("entity", "h", "origin_date", "target_date", "y_naive", "y_true"))
 
 

@@ -174,12 +174,12 @@ def a12(t):
 
 
 @query("a13_source_precedence", "SELECT o_custkey, o_orderkey, o_totalprice, rank FROM (SELECT o_custkey, o_orderkey, o_totalprice, "
-       "CAST(strpos('PFO', o_orderstatus) * 100000000 + o_orderkey AS BIGINT) AS rank FROM orders) QUALIFY row_number() OVER "
-       "(PARTITION BY o_custkey ORDER BY rank) = 1")
+       "CAST(strpos('PFO', o_orderstatus) AS BIGINT) AS rank FROM orders) QUALIFY row_number() OVER "
+       "(PARTITION BY o_custkey ORDER BY rank, o_orderkey) = 1")
 def a13(t):
-    c = t.orders.select("o_custkey", "o_orderkey", "o_totalprice", (F.instr(F.lit("PFO"), F.col("o_orderstatus")).cast("bigint")
-                                                                 * 100000000 + F.col("o_orderkey")).alias("rank"))
-    return readers.source_precedence(c, ["o_custkey"], "rank")
+    position = F.instr(F.lit("PFO"), F.col("o_orderstatus")).cast("bigint")
+    c = t.orders.select("o_custkey", "o_orderkey", "o_totalprice", F.struct(position.alias("position"), "o_orderkey").alias("rank"))
+    return readers.source_precedence(c, ["o_custkey"], "rank").withColumn("rank", F.col("rank.position"))
 
 
 @query("a14_write_panel", "SELECT entity, CAST(count(*) AS BIGINT) AS n, " + r("sum(REVENUE)") + " AS total, min(ts) AS first_ts, "

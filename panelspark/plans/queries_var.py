@@ -114,7 +114,7 @@ query("i16_fevd_target_panel")(lambda t: var.fevd_target(shares(t), TARGET))
 query("i16_fevd_top")(lambda t: var.fevd_top(var.fevd_target(shares(t), TARGET)))
 query("i16_fevd_summary")(lambda t: var.fevd_wide(var.fevd_target(shares(t), TARGET), ENDOG))
 JOINT = " AND ".join(f"{c} IS NOT NULL" for c in INDICATORS)
-define("orig", f"SELECT entity, ts AS origin_date FROM tpanel WHERE {JOINT} AND ts >= DATE '{TEST_START}' AND ts + INTERVAL 12 MONTH <= (SELECT max(ts) FROM tpanel WHERE {JOINT})")
+define("orig", f"SELECT entity, ts AS origin_date FROM tpanel o WHERE {JOINT} AND ts >= DATE '{TEST_START}' AND ts + INTERVAL 12 MONTH <= (SELECT max(ts) FROM tpanel e WHERE e.entity = o.entity AND {JOINT})")
 query("i17_origins", "SELECT * FROM orig")(lambda t: var.origins(panel(t), INDICATORS, TEST_START, 12))
 _ex = ", ".join(f"{r(c)} AS {c}" for c in EXOG)
 query("i18_future_exog", f"SELECT o.entity, origin_date, CAST(s AS BIGINT) AS step, ts, {_ex} FROM orig o CROSS JOIN range(1, 13) k(s) JOIN fmat f ON f.entity = o.entity AND f.ts = CAST(origin_date + to_months(CAST(s AS INTEGER)) AS DATE)")(
@@ -122,7 +122,7 @@ query("i18_future_exog", f"SELECT o.entity, origin_date, CAST(s AS BIGINT) AS st
 query("i19_var_walk_forward")(lambda t: var.walk_forward(with_exog(t), ENDOG, P, EXOG, TEST_START, HORIZONS))
 define("arw", "SELECT entity, ts, y, count(*) OVER w AS n, regr_slope(y, x) OVER w AS phi, regr_intercept(y, x) OVER w AS c FROM arr WHERE x IS NOT NULL WINDOW w AS (PARTITION BY entity ORDER BY ts ROWS UNBOUNDED PRECEDING)")
 query("i19_var_walk_forward_one_variable", f"SELECT a.entity, a.ts AS origin_date, 'REVENUE' AS variable, CAST(h AS BIGINT) AS h, {r('c * (1 - pow(phi, h)) / (1 - phi) + pow(phi, h) * a.y')} AS forecast, b.REVENUE AS actual, b.ts AS target_date FROM arw a CROSS JOIN (VALUES (1), (3), (6), (12)) v(h) "
-      f"JOIN panel b ON b.entity = a.entity AND b.ts = CAST(a.ts + to_months(h) AS DATE) WHERE a.ts >= DATE '{TEST_START}' AND a.ts <= DATE '2000-07-01' AND n >= 15")(lambda t: var.walk_forward(level(t), [TARGET], 1, [], TEST_START, HORIZONS))
+      f"JOIN panel b ON b.entity = a.entity AND b.ts = CAST(a.ts + to_months(h) AS DATE) WHERE a.ts >= DATE '{TEST_START}' AND a.ts <= (SELECT max(ts) FROM panel e WHERE e.entity = a.entity) - INTERVAL 12 MONTH AND n >= 15")(lambda t: var.walk_forward(level(t), [TARGET], 1, [], TEST_START, HORIZONS))
 
 
 def stand_in(t):
