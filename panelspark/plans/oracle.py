@@ -63,9 +63,9 @@ def with_ctes(sql: str) -> str:
     return "WITH " + ",\n".join(blocks) + "\n" + body
 
 
-def r(expr: str) -> str:
-    """Rounded half up to 6 digits in plain floating-point steps, without negative zero."""
-    return f"(floor(CAST({expr} AS DOUBLE) * 1e6 + 0.5) / 1e6 + 0.0::DOUBLE)"
+def r(expr: str, digits: int = 6) -> str:
+    """Rounded half up to ``digits`` in plain floating-point steps, without negative zero."""
+    return f"(floor(CAST({expr} AS DOUBLE) * 1e{digits} + 0.5) / 1e{digits} + 0.0::DOUBLE)"
 
 
 def t_two_sided(t: str, df: str) -> str:

@@ -148,7 +148,7 @@ _needs = ", ".join(f"('{q}','{e}','{i}',DATE '{d}')" for q, e, i, d in NEEDS)
 query("b16_readiness_gate", f"SELECT question, CAST(count(*) AS BIGINT) AS n_required, bool_and(coalesce(effective_end >= d, false)) AS ready FROM (VALUES {_needs}) "
       "n(question, e, i, d) LEFT JOIN naudit ON entity = e AND indicator = i GROUP BY 1")(lambda t: audit.readiness_gate(late_audit(t), NEEDS))
 
-SIG = f"""SELECT entity, indicator, max(value) AS max_value, min(value) AS min_value, {r('avg(value)')} AS mean_value, {r('stddev_samp(value)')} AS sd_value,
+SIG = f"""SELECT entity, indicator, max(value) AS max_value, min(value) AS min_value, {r('avg(value)', 8)} AS mean_value, {r('stddev_samp(value)', 8)} AS sd_value,
  min(CASE WHEN value = mx THEN ts END) AS peak_date, min(CASE WHEN value = mn THEN ts END) AS trough_date FROM (SELECT *, max(value) OVER p AS mx, min(value) OVER p AS mn
  FROM plong WINDOW p AS (PARTITION BY entity, indicator)) GROUP BY 1, 2"""
 define("usig", SIG)
@@ -156,7 +156,7 @@ EXPECTED = [(e, TARGET, dt.date(1998, 6, 1)) for e in ENTITIES]
 
 
 @query("b17_unit_signature", "SELECT *, CAST(CASE WHEN indicator = 'REVENUE' THEN abs(date_diff('month', peak_date, DATE '1998-06-01')) END AS BIGINT) AS months_off, "
-       "CASE WHEN indicator = 'REVENUE' THEN abs(date_diff('month', peak_date, DATE '1998-06-01')) <= 12 END AS matches FROM usig")
+       "CASE WHEN indicator = 'REVENUE' THEN abs(date_diff('month', peak_date, DATE '1998-06-01')) <= 12 END AS matches FROM usig", digits=8)
 def b17(t):
     sig = audit.unit_signature(to_long(region_panel(t), INDICATORS))
     hit = audit.match_expected_peak(sig, EXPECTED, 12).select("entity", "indicator", "months_off", "matches")
