@@ -27,6 +27,8 @@ P = 4
 SAMPLE = 400
 #: Groups with fewer usable rows than this are not judged by distance.
 LEAST = 40
+#: Estimates of so many groups (about 200 bytes each) are sent to all tasks; more are joined by a shuffle.
+GROUPS = 10_000
 #: Share of rows that an estimate must cover.
 COVER = 0.75
 #: Concentration steps over all rows.
@@ -139,11 +141,16 @@ def _row(grp, n, mean, cov) -> pd.DataFrame:
     return pd.DataFrame({"grp": [grp], "n": [int(n)], "mean": [np.round(mean, 12).tolist()], "inverse": [np.linalg.inv(cov).ravel().tolist()]})
 
 
+def _per_group(df: DataFrame) -> DataFrame:
+    """A table of one row per group, sent to all tasks while it is small: rows of a hot group then stay where they are."""
+    return F.broadcast(df) if df.count() <= GROUPS else df
+
+
 def _measured(rows: DataFrame, estimates: DataFrame) -> DataFrame:
     """Squared distance of every row whose group has an estimate, null for others."""
     d = [F.col(f"x{i}") - F.col("mean")[i] for i in range(P)]
     square = sum((d[i] * d[j] * F.col("inverse")[i * P + j] for i in range(P) for j in range(P)), F.lit(0.0))
-    return rows.join(estimates, "grp", "left").withColumn("distance", square)
+    return rows.join(_per_group(estimates), "grp", "left").withColumn("distance", square)
 
 
 def judge(docs: DataFrame, carry: Sequence[str], text: str = "text", groups: Sequence[str] = ("lang", "source"), seed: int = 7,
@@ -172,8 +179,8 @@ def judge(docs: DataFrame, carry: Sequence[str], text: str = "text", groups: Seq
     rows = saved(rows.withColumn("base_failed", failed))
     usable = rows.where("not base_failed").select("grp", "h", *[f"x{i}" for i in range(P)])
 
-    sizes = usable.groupBy("grp").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    sample = usable.join(sizes, "grp").where(F.pmod("h", F.lit(1 << 30)) * F.col("n") < SAMPLE * (1 << 30))
+    sizes = saved(usable.groupBy("grp").agg(F.count("*").alias("n")).where(F.col("n") >= least))
+    sample = usable.join(_per_group(sizes), "grp").where(F.pmod("h", F.lit(1 << 30)) * F.col("n") < SAMPLE * (1 << 30))
 
     def start(group: pd.DataFrame) -> pd.DataFrame:
         x = group.sort_values("h")[[f"x{i}" for i in range(P)]].to_numpy()
@@ -203,7 +210,7 @@ def judge(docs: DataFrame, carry: Sequence[str], text: str = "text", groups: Seq
         running = F.sum("k").over(Window.partitionBy("grp").orderBy("bin"))
         edge = counts.withColumn("upto", running).where(F.col("upto") >= F.ceil(F.col("n") * COVER)).groupBy("grp").agg(F.min("bin").alias("edge"))
         moved = [F.col(f"x{i}") - F.col("mean")[i] for i in range(P)]
-        sums = (near.join(edge, "grp").where("bin <= edge").groupBy("grp", "n")
+        sums = (near.join(_per_group(saved(edge)), "grp").where("bin <= edge").groupBy("grp", "n")
                 .agg(F.count("*").alias("k"), F.array(*[F.sum(m) for m in moved]).alias("sums"),
                      F.array(*[F.sum(moved[i] * moved[j]) for i, j in pairs]).alias("products"), F.first("mean").alias("centre")))
         estimates = saved(sums.groupBy("grp").applyInPandas(refine, _ESTIMATE))
