@@ -10,10 +10,9 @@ trees are built per such token. Steps:
 1. Equal sets become one class. Prefix tokens of one class only can't link anything and are dropped.
 2. Near copies are joined first: classes meet at their first tokens, in blocks; a tree of leaders finds those worth verifying.
    Every class that matches is linked to the leader; others become leaders.
-3. All other links run between clusters. Tokens that are still shared by several clusters are open; each gets a tree over its
-   classes, with the counts of a class's open tokens as point: two prefixes share no more than the sum of minima, and what lies
-   behind the smaller of their ends is bounded by the rest of that set. Pairs of different clusters that survive are verified, each
-   once: the smallest token that the heads of both lists of open tokens share decides which tree reports it. This step loses no link.
+3. All other links run between clusters. Tokens that are still shared by several clusters get trees over all their classes.
+   Pairs of different clusters that survive the bounds are counted over all tokens: what two prefixes share up to the smaller of
+   their ends, and the rest of that set, bounds the overlap again. Survivors are verified. This step loses no link.
 """
 
 from __future__ import annotations
@@ -34,8 +33,6 @@ from panelspark.llm.words import mix, shingles, slices, words
 
 #: Coordinates of a point. Fixed: more of them bound closer and cost more.
 GROUPS = 64
-#: Smallest open tokens of a set that travel with its points.
-HEAD = 12
 #: Share of the prefix that must be shared for a set to be kept at hand; others are made again from the text if a pair needs them.
 DENSE = 0.3
 #: Sets that one tree holds, about. Tokens with more are cut into blocks.
@@ -78,33 +75,36 @@ def print_of(tokens: np.ndarray) -> tuple[int, int]:
 class CountTree:
     """R-tree over points, packed by size and then by the coordinates that differ most.
 
-    An overlap is at most the sum of coordinate minima plus the larger ``rest``; at the leaves, the ``rest`` of the set with the
-    smaller ``end``.
+    ``few`` and ``rest`` bound an overlap as well: by the smaller ``few`` of two sets plus the larger ``rest``; at the leaves, plus the
+    ``rest`` of the set with the smaller ``end``.
     """
 
     FAN = 16
 
-    def __init__(self, points: np.ndarray, sizes: np.ndarray, rest: np.ndarray, end: np.ndarray):
+    def __init__(self, points: np.ndarray, sizes: np.ndarray, few: np.ndarray, rest: np.ndarray, end: np.ndarray):
         spread = np.argsort(-points.astype(float).var(axis=0), kind="stable")[:3] if len(points) else []
         self.order = np.lexsort((*[points[:, d] for d in spread], (np.log(np.maximum(sizes, 1)) * 12).astype(int)))
         self.end = end[self.order]
-        self.levels = [(points[self.order], sizes[self.order], rest[self.order])]
+        self.levels = [(points[self.order], sizes[self.order], few[self.order], rest[self.order])]
         while len(self.levels[-1][1]) > self.FAN:
-            p, s, r = self.levels[-1]
+            p, s, f, r = self.levels[-1]
             at = np.arange(0, len(s), self.FAN)
-            self.levels.append((np.maximum.reduceat(p, at), np.minimum.reduceat(s, at), np.maximum.reduceat(r, at)))
+            self.levels.append((np.maximum.reduceat(p, at), np.minimum.reduceat(s, at), np.maximum.reduceat(f, at), np.maximum.reduceat(r, at)))
 
-    def pairs(self, points, sizes, rest, end, share: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    def pairs(self, points, sizes, few, rest, end, share: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
         """(query, point of the tree) wherever the bounds allow a link."""
         top = len(self.levels[-1][1])
         q, node = np.repeat(np.arange(len(sizes)), top), np.tile(np.arange(top), len(sizes))
         for depth in range(len(self.levels) - 1, -1, -1):
-            p, s, r = self.levels[depth]
+            p, s, f, r = self.levels[depth]
             keep = np.zeros(len(q), bool)
             for i in range(0, len(q), 1 << 15):
                 a, b = q[i:i + (1 << 15)], node[i:i + (1 << 15)]
+                least = need(sizes[a], s[b], share)
                 beyond = np.maximum(rest[a], r[b]) if depth else np.where(end[a] <= self.end[b], rest[a], r[b])
-                keep[i:i + (1 << 15)] = np.minimum(points[a], p[b]).sum(axis=1, dtype=np.int64) + beyond >= need(sizes[a], s[b], share)
+                ok = np.minimum(few[a], f[b]) + beyond >= least
+                ok[ok] = np.minimum(points[a[ok]], p[b[ok]]).sum(axis=1, dtype=np.int64) >= least[ok]
+                keep[i:i + (1 << 15)] = ok
             q, node = q[keep], node[keep]
             if depth:
                 below = len(self.levels[depth - 1][1])
@@ -259,7 +259,7 @@ def _leaders(ids: list, sets: list[np.ndarray], points: np.ndarray, share) -> li
     for i in range(len(ids)):
         near = list(fresh)
         if tree is not None:
-            near += [leaders[j] for j in tree.pairs(points[i:i + 1], sizes[i:i + 1], none[:1], none[:1], share)[1].tolist()]
+            near += [leaders[j] for j in tree.pairs(points[i:i + 1], sizes[i:i + 1], sizes[i:i + 1], none[:1], none[:1], share)[1].tolist()]
         matched = False
         for j in near:
             least = need(sizes[i], sizes[j], share)
@@ -271,7 +271,7 @@ def _leaders(ids: list, sets: list[np.ndarray], points: np.ndarray, share) -> li
             if len(fresh) >= CountTree.FAN:
                 leaders += fresh
                 fresh = []
-                tree = CountTree(points[leaders], sizes[leaders], none[leaders], none[leaders])
+                tree = CountTree(points[leaders], sizes[leaders], sizes[leaders], none[leaders], none[leaders])
     return edges
 
 
@@ -287,18 +287,9 @@ def _far(members: DataFrame, label: DataFrame, source: DataFrame, kind: str, k:
     # tokens of one band and cluster only drop out
     live = stats.where("low <> high and any = 1").select("token", "band", F.ceil(F.col("k") / block).cast("int").alias("cut"))
     rows = saved(rows.join(live, ["token", "band"]).select("id", "cluster", "token", "band", "cut", (F.col("own") == F.col("band")).alias("own")))
-
-    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            points, heads = [], []
-            for t in batch.column(1):
-                t = np.sort(np.array(t.as_py(), np.int64).view(np.uint64))
-                points.append(point(t).tobytes())
-                heads.append(t[:HEAD].tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(points, pa.binary()), pa.array(heads, pa.binary())], ["id", "point", "head"])
-
-    listed = rows.groupBy("id").agg(F.collect_set("token").alias("open")).mapInArrow(describe, f"id {kind}, point binary, head binary")
-    facts = members.select("id", "n", (F.col("n") - F.col("p")).alias("rest"), "end").join(listed, "id")
+    # a set shares no more tokens with another cluster than it has open ones
+    few = rows.groupBy("id").agg(F.countDistinct("token").alias("few"))
+    facts = members.join(few, "id").select("id", "n", (F.col("n") - F.col("p")).alias("rest"), "end", "point", "few")
     rows = rows.withColumn("side", F.pmod(F.xxhash64("id"), F.col("cut")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cut") - 1)))
     rows = rows.withColumn("cell", F.concat_ws(":", F.least("side", "other"), F.greatest("side", "other")))
     rows = rows.select("id", "cluster", "token", "band", "cell", "own")
@@ -309,31 +300,30 @@ def _far(members: DataFrame, label: DataFrame, source: DataFrame, kind: str, k:
         mark = group[["token", "band", "cell"]].ne(group[["token", "band", "cell"]].shift()).any(axis=1).cumsum().to_numpy()
         found = []
         points = np.stack([np.frombuffer(b, np.uint16) for b in group["point"]])
-        heads = np.zeros((len(group), HEAD), np.uint64)  # 0 fills up; a token 0 is reported by all its trees
-        for row, b in zip(heads, group["head"]):
-            row[:len(b) // 8] = np.frombuffer(b, np.uint64)
-        sizes, rest, end, ids, cluster, own = (group[c].to_numpy() for c in ("n", "rest", "end", "id", "cluster", "own"))
-        token = group["token"].to_numpy().view(np.uint64)
+        sizes, few, rest, end, ids, cluster, own = (group[c].to_numpy() for c in ("n", "few", "rest", "end", "id", "cluster", "own"))
         for g in _groups(mark):
             if g.stop - g.start < 2 or (cluster[g] == cluster[g.start]).all() or not own[g].any():
                 continue
-            p, s, r, e, o, c, h = points[g], sizes[g], rest[g], end[g], own[g], cluster[g], heads[g]
-            tree = CountTree(p, s, r, e)
+            p, s, f, r, e, o, c = points[g], sizes[g], few[g], rest[g], end[g], own[g], cluster[g]
+            tree = CountTree(p, s, f, r, e)
             mine = np.flatnonzero(o)
             for i in range(0, len(mine), 256):
                 at = mine[i:i + 256]
-                q, t = tree.pairs(p[at], s[at], r[at], e[at], share)
+                q, t = tree.pairs(p[at], s[at], f[at], r[at], e[at], share)
                 q = at[q]
                 ok = (c[q] != c[t]) & (~o[t] | (q < t))
-                q, t = q[ok], t[ok]
-                first = _first_common(h, q, t)
-                ok = (first == 0) | (first == token[g.start])
                 found.append(np.stack([np.minimum(ids[g][q[ok]], ids[g][t[ok]]), np.maximum(ids[g][q[ok]], ids[g][t[ok]])], axis=1))
-        pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
-
-    pairs = rows.join(facts, "id").groupBy(F.pmod(F.xxhash64("token", "band", "cell"), F.lit(shards))).applyInPandas(search, f"a {kind}, b {kind}")
-    pairs = saved(pairs.distinct())
+        found = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+        pairs, common = np.unique(found, axis=0, return_counts=True)
+        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1], "common": common})
+
+    pairs = rows.join(facts, "id").groupBy(F.pmod(F.xxhash64("token", "band", "cell"), F.lit(shards))).applyInPandas(search, f"a {kind}, b {kind}, common long")
+    pairs = pairs.groupBy("a", "b").agg(F.sum("common").alias("common"))
+    fact = {x: members.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("end").alias(f"end_{x}"), (F.col("n") - F.col("p")).alias(f"rest_{x}"))
+            for x in "ab"}
+    most = F.col("common") + F.when(F.col("end_a") <= F.col("end_b"), F.col("rest_a")).otherwise(F.col("rest_b"))
+    p, q = share
+    pairs = saved(pairs.join(fact["a"], "a").join(fact["b"], "b").where(most * (p + q) >= p * (F.col("n_a") + F.col("n_b"))).select("a", "b"))
     bodies = members.where("body is not null").select("id", "body")
     lacking = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct().join(bodies.select("id"), "id", "left_anti")
     if lacking.take(1):
@@ -352,17 +342,6 @@ def _far(members: DataFrame, label: DataFrame, source: DataFrame, kind: str, k:
     return saved(both.mapInArrow(verify, f"a {kind}, b {kind}"))
 
 
-def _first_common(heads: np.ndarray, q: np.ndarray, t: np.ndarray) -> np.ndarray:
-    """Smallest token that both heads (ascending) hold, 0 if none."""
-    out = np.zeros(len(q), np.uint64)
-    for i in range(0, len(q), 1 << 13):
-        a, b = heads[q[i:i + (1 << 13)]], heads[t[i:i + (1 << 13)]]
-        both = np.where((a[:, :, None] == b[:, None, :]).any(axis=2) & (a > 0), a, np.iinfo(np.uint64).max)
-        least = both.min(axis=1)
-        out[i:i + (1 << 13)] = np.where(least == np.iinfo(np.uint64).max, 0, least)
-    return out
-
-
 def _bodies(texts: DataFrame, kind: str, k: int) -> DataFrame:
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -330,7 +330,7 @@ def test_tree_loses_no_pair():
     points[200:] = np.maximum(points[:200].astype(int) - rng.integers(0, 2, (200, jaccard.GROUPS)), 0)
     sizes = points.sum(1).astype(np.int64)
     none = np.zeros(400, np.int64)
-    q, t = jaccard.CountTree(points, sizes, none, none).pairs(points, sizes, none, none, (3, 4))
+    q, t = jaccard.CountTree(points, sizes, sizes, none, none).pairs(points, sizes, sizes, none, none, (3, 4))
     bound = np.minimum(points[:, None], points).sum(2, dtype=np.int64)
     want = bound >= jaccard.need(sizes[:, None], sizes, (3, 4))
     got = np.zeros((400, 400), bool)
