@@ -2,13 +2,34 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelspark.llm import decontaminate, jaccard, langid, mixing, sharding
-from panelspark.llm.tables import saved
+from panelspark.llm.tables import WRITTEN, discard, saved
+
+#: Working tables of the stage that ran last.
+_LEFT: list[str] = []
+
+
+def stage(work):
+    """A stage: the working tables of the one before go first, as its result has been written and read again by then."""
+
+    @functools.wraps(work)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        discard(spark, _LEFT)
+        before = len(WRITTEN)
+        out = work(spark, docs, sf_dir)
+        _LEFT[:] = WRITTEN[before:]
+        del WRITTEN[before:]
+        return out
+
+    return run_stage
 
 
+@stage
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a recognised language; a fifth of them doesn't train the model. ``lang`` stays as it came."""
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
@@ -18,6 +39,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return langid.identify(rows, model, key="row").where("lang_pred <> 'und'").select("row.*")
 
 
+@stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each component."""
     linked = jaccard.link(docs)
@@ -25,17 +47,20 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
+@stage
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no window of a benchmark item occurs."""
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+@stage
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: not, once or twice."""
     rows = mixing.mix(docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text", "source"), ["row"])
     return rows.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
 
+@stage
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows in 40 shards of equal row counts, in a uniform order."""
     return sharding.shard(docs, docs.columns)
@@ -50,6 +75,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on ``documents``; every stage's result is written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = saved(stage(spark, docs, sf_dir))
+    for _, work in STAGES:
+        docs = saved(work(spark, docs, sf_dir))
     return docs

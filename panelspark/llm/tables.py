@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelspark.session import shared_folder
@@ -14,13 +14,25 @@ from panelspark.session import shared_folder
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Folders that ``saved`` has written in this process since they were last discarded.
+WRITTEN: list[str] = []
+
+
 def saved(df: DataFrame) -> DataFrame:
     """The same rows, written to the shared folder: later steps neither repeat the work nor see another row order."""
     path = shared_folder(df.sparkSession)
     df.write.parquet(path)
+    WRITTEN.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, paths: Sequence[str]) -> None:
+    """Deletes folders that ``saved`` wrote; what reads them must have been written elsewhere."""
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def numbered(df: DataFrame, carry: Sequence[str], **columns: Column) -> DataFrame:
     """``df`` written once with a fixed place (``pid``, ``pos``) for every row.
 
