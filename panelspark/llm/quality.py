@@ -1,8 +1,9 @@
 """Quality rules: base rules on counts, then robust multivariate outliers per language and source.
 
 Each text gets a vector of transformed statistics. Per (language, source) group a minimum-covariance-determinant estimate is made:
-subset searches on a bounded seeded sample give a start, concentration steps over all rows refine it. Rows whose
-Mahalanobis distance exceeds the cutoff are rejected.
+subset searches on a bounded seeded sample give a start, concentration steps over all rows refine it. The same is done per
+language and over all rows, and a group's estimate is drawn towards that of its language, which is drawn towards that of all,
+the more the fewer rows it has. Rows whose Mahalanobis distance exceeds the cutoff are rejected, in groups of any size.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.llm.tables import saved
@@ -25,9 +26,9 @@ SYMBOL[list(b"#*$%&|<>")] = True
 P = 4
 #: Rows of a group, expected, on which the start is searched (the only sample; all else sees all rows).
 SAMPLE = 400
-#: Groups with fewer usable rows than this are not judged by distance.
-LEAST = 40
-#: Estimates of so many groups (about 200 bytes each) are sent to all tasks; more are joined by a shuffle.
+#: So many rows does the estimate of the level above count in that of a group.
+PRIOR = 40
+#: Estimates of so many groups (about 400 bytes each) are sent to all tasks, those of the largest groups; others are joined by a shuffle.
 GROUPS = 10_000
 #: Share of rows that an estimate must cover.
 COVER = 0.75
@@ -134,31 +135,54 @@ def search(x: np.ndarray, seed: int, starts: int = 50) -> tuple[np.ndarray, np.n
     return best[1], best[2]
 
 
-_ESTIMATE = "grp string, n long, mean array<double>, inverse array<double>"
+def pooled(levels: Sequence[tuple[int, np.ndarray, np.ndarray]], prior: float = PRIOR) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and covariance of a group from (rows, mean, covariance) of all rows, of each level below, and of itself.
+
+    Each level is mixed with what the levels above give, which weighs ``prior`` rows. The distance between both means adds to the
+    covariance, so a group that lies apart isn't rejected as a whole. One row can't vouch for itself, and 2 P rows or less say
+    nothing about the covariance, so those don't count; a level with the rows of the level above adds nothing.
+    """
+    (above, mean, cov), *below = levels
+    for n, own_mean, own_cov in below:
+        if n < above:
+            w, v = (max(0, n - free) / (max(0, n - free) + prior) for free in (1, 2 * P))
+            d = own_mean - mean
+            mean, cov = mean + w * d, v * own_cov + (1 - v) * cov + w * (1 - w) * np.outer(d, d)
+        above = n
+    return mean, cov
+
+
+_ESTIMATE = "grp string, n long, mean array<double>, cov array<double>, inverse array<double>"
 
 
 def _row(grp, n, mean, cov) -> pd.DataFrame:
-    return pd.DataFrame({"grp": [grp], "n": [int(n)], "mean": [np.round(mean, 12).tolist()], "inverse": [np.linalg.inv(cov).ravel().tolist()]})
+    return pd.DataFrame({"grp": [grp], "n": [int(n)], "mean": [np.round(mean, 12).tolist()], "cov": [cov.ravel().tolist()],
+                         "inverse": [np.linalg.inv(cov).ravel().tolist()]})
 
 
-def _per_group(df: DataFrame) -> DataFrame:
-    """A table of one row per group, sent to all tasks while it is small: rows of a hot group then stay where they are."""
-    return F.broadcast(df) if df.count() <= GROUPS else df
+def _with(rows: DataFrame, table: DataFrame, limit: int = GROUPS) -> DataFrame:
+    """Rows joined to a table of one row per group with its size ``n``. The largest groups are sent to all tasks, so that their rows
+    stay where they are; the others are too small to be hot."""
+    if table.count() <= limit:
+        return rows.join(F.broadcast(table), "grp")
+    cut = table.select("n").orderBy(F.desc("n")).limit(limit).agg(F.min("n")).first()[0]
+    large, small = table.where(F.col("n") > cut), table.where(F.col("n") <= cut)
+    return rows.join(F.broadcast(large), "grp").unionByName(
+        rows.join(F.broadcast(large.select("grp")), "grp", "left_anti").join(small, "grp"))
 
 
-def _measured(rows: DataFrame, estimates: DataFrame) -> DataFrame:
-    """Squared distance of every row whose group has an estimate, null for others."""
+def _distance() -> Column:
+    """Squared distance of a row to the estimate beside it."""
     d = [F.col(f"x{i}") - F.col("mean")[i] for i in range(P)]
-    square = sum((d[i] * d[j] * F.col("inverse")[i * P + j] for i in range(P) for j in range(P)), F.lit(0.0))
-    return rows.join(_per_group(estimates), "grp", "left").withColumn("distance", square)
+    return sum((d[i] * d[j] * F.col("inverse")[i * P + j] for i in range(P) for j in range(P)), F.lit(0.0))
 
 
 def judge(docs: DataFrame, carry: Sequence[str], text: str = "text", groups: Sequence[str] = ("lang", "source"), seed: int = 7,
-          least: int = LEAST, cutoff: float = CUTOFF) -> DataFrame:
-    """``carry`` columns with the counts, ``base_failed``, ``distance`` (squared, null where not judged) and ``kept``.
+          prior: int = PRIOR, cutoff: float = CUTOFF, limit: int = GROUPS) -> DataFrame:
+    """``carry`` columns with the counts, ``base_failed``, ``distance`` (squared, null where the base rules failed) and ``kept``.
 
     Null languages or sources form groups of their own. Rows that fail the base rules neither shape an estimate nor get a
-    distance. Groups below ``least`` rows are kept as the base rules say. Repeated rows count each.
+    distance; all others get one, see ``pooled`` for small groups. Repeated rows count each.
     """
     names = docs.select(*carry).schema
     kinds = ", ".join(f"`c{i}` {f.dataType.simpleString()}" for i, f in enumerate(names))
@@ -171,16 +195,18 @@ def judge(docs: DataFrame, carry: Sequence[str], text: str = "text", groups: Seq
                 [*batch.columns[:-1], *[pa.array(s[k]) for k in STATS], *[pa.array(x[:, i]) for i in range(P)]],
                 [*batch.schema.names[:-1], *STATS, *[f"x{i}" for i in range(P)]])
 
-    grp = F.to_json(F.struct(*[F.col(g).cast("string").alias(f"g{i}") for i, g in enumerate(groups)]))
-    rows = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)], grp.alias("grp"), F.xxhash64(F.lit(seed), *carry).alias("h"),
+    # the groups of a row: all rows, its language, its language and source
+    keys = [F.col(g).cast("string").alias(f"g{i}") for i, g in enumerate(groups)]
+    grps = F.array(*[F.to_json(F.struct(F.lit(k).alias("level"), *keys[:k])) for k in range(len(keys) + 1)])
+    rows = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)], grps.alias("grps"), F.xxhash64(F.lit(seed), F.monotonically_increasing_id(), *carry).alias("h"),
                        F.col(text).cast("binary").alias("t"))
-    rows = rows.mapInArrow(run, kinds + ", grp string, h long, " + ", ".join(f"{s} long" for s in STATS) + ", " + ", ".join(f"x{i} double" for i in range(P)))
+    rows = rows.mapInArrow(run, kinds + ", grps array<string>, h long, " + ", ".join(f"{s} long" for s in STATS) + ", " + ", ".join(f"x{i} double" for i in range(P)))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     rows = saved(rows.withColumn("base_failed", failed))
-    usable = rows.where("not base_failed").select("grp", "h", *[f"x{i}" for i in range(P)])
+    usable = rows.where("not base_failed").select(F.explode("grps").alias("grp"), "h", *[f"x{i}" for i in range(P)])
 
-    sizes = saved(usable.groupBy("grp").agg(F.count("*").alias("n")).where(F.col("n") >= least))
-    sample = usable.join(_per_group(sizes), "grp").where(F.pmod("h", F.lit(1 << 30)) * F.col("n") < SAMPLE * (1 << 30))
+    sizes = saved(usable.groupBy("grp").agg(F.count("*").alias("n")))
+    sample = _with(usable, sizes, limit).where(F.pmod("h", F.lit(1 << 30)) * F.col("n") < SAMPLE * (1 << 30))
 
     def start(group: pd.DataFrame) -> pd.DataFrame:
         x = group.sort_values("h")[[f"x{i}" for i in range(P)]].to_numpy()
@@ -201,21 +227,29 @@ def judge(docs: DataFrame, carry: Sequence[str], text: str = "text", groups: Seq
             for (i, j), v in zip(pairs, r.products):
                 cov[i, j] = cov[j, i] = v / r.k - m[i] * m[j]
             out.append(_row(r.grp, r.n, np.array(r.centre) + m, scaled(cov, min(1.0, r.k / r.n))))
-        return pd.concat(out) if out else pd.DataFrame({"grp": [], "n": [], "mean": [], "inverse": []})
+        return pd.concat(out) if out else pd.DataFrame({"grp": [], "n": [], "mean": [], "cov": [], "inverse": []})
 
     for _ in range(STEPS):
-        near = _measured(usable, estimates).where("distance is not null").withColumn(
-            "bin", F.floor(F.log2(F.col("distance") + 1e-9) * BINS))
+        near = _with(usable, estimates, limit).withColumn("bin", F.floor(F.log2(_distance() + 1e-9) * BINS))
         counts = near.groupBy("grp", "n", "bin").agg(F.count("*").alias("k"))  # a few hundred bins a group
         running = F.sum("k").over(Window.partitionBy("grp").orderBy("bin"))
-        edge = counts.withColumn("upto", running).where(F.col("upto") >= F.ceil(F.col("n") * COVER)).groupBy("grp").agg(F.min("bin").alias("edge"))
+        edge = counts.withColumn("upto", running).where(F.col("upto") >= F.ceil(F.col("n") * COVER)).groupBy("grp", "n").agg(F.min("bin").alias("edge"))
         moved = [F.col(f"x{i}") - F.col("mean")[i] for i in range(P)]
-        sums = (near.join(_per_group(saved(edge)), "grp").where("bin <= edge").groupBy("grp", "n")
+        sums = (_with(near.drop("n"), saved(edge), limit).where("bin <= edge").groupBy("grp", "n")
                 .agg(F.count("*").alias("k"), F.array(*[F.sum(m) for m in moved]).alias("sums"),
                      F.array(*[F.sum(moved[i] * moved[j]) for i, j in pairs]).alias("products"), F.first("mean").alias("centre")))
         estimates = saved(sums.groupBy("grp").applyInPandas(refine, _ESTIMATE))
 
-    judged = _measured(rows, estimates)
-    judged = judged.withColumn("distance", F.when(~F.col("base_failed"), F.col("distance")))
+    def draw(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("level")
+        levels = [(r.n, np.array(r.mean), np.array(r.cov).reshape(P, P)) for r in group[["n", "mean", "cov"]].itertuples(index=False)]
+        return _row(group["own"].iloc[0], group["n"].iloc[-1], *pooled(levels, prior))
+
+    chains = rows.where("not base_failed").select("grps").distinct().select(
+        F.element_at("grps", -1).alias("own"), F.posexplode("grps").alias("level", "grp"))
+    final = saved(_with(chains, estimates, limit).groupBy("own").applyInPandas(draw, _ESTIMATE))
+    measured = rows.withColumn("grp", F.element_at("grps", -1))
+    judged = _with(measured.where("not base_failed"), final, limit).withColumn("distance", _distance()).drop("n", "mean", "cov", "inverse").unionByName(
+        measured.where("base_failed").withColumn("distance", F.lit(None).cast("double")))
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff, F.lit(True))
     return judged.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(carry)], *STATS, "base_failed", "distance", kept.alias("kept"))

@@ -244,6 +244,20 @@ def test_quality_counts_and_outliers(spark, none):
     assert quality.judge(none, ["doc_id"]).count() == 0
 
 
+@pytest.mark.parametrize("limit", [quality.GROUPS, 3])
+def test_small_groups_are_judged(spark, limit):
+    rng = random.Random(5)
+    rows = [(i, prose(rng, rng.randrange(60, 200), 5000), ("en", "de")[i % 2], f"s{i % 30}") for i in range(200)]
+    junk = " ".join(f"{w}###" for w in prose(rng, 80, 5000).split())
+    rows += [(200, junk, "en", "s0"), (201, junk, "de", "s1"), (202, junk, "en", "alone"), (203, junk, "xx", "alone")]
+    rows += [(None, prose(rng, 100, 5000), "de", None) for _ in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = quality.judge(df, ["doc_id"], limit=limit).collect()
+    assert len(got) == len(rows) and not any(r["base_failed"] or r["distance"] is None for r in got)
+    kept = {r["doc_id"]: r["kept"] for r in got}
+    assert all(kept[i] for i in [*range(200), None]) and not any(kept[i] for i in range(200, 204))
+
+
 def test_minimum_covariance_ignores_a_quarter():
     rng = np.random.default_rng(0)
     x = np.concatenate([rng.normal(0, 1, (320, 4)), rng.normal(12, 0.1, (80, 4))])
