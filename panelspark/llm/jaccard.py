@@ -39,6 +39,7 @@ DENSE = 0.3
 BLOCK = 2000
 #: Sizes of linked sets are at most one band apart (4/3 and a little).
 BAND = 1.334
+#: A coordinate that is this large stands for any count from there on.
 _TOP = np.iinfo(np.uint16).max
 
 
@@ -62,9 +63,16 @@ def prefix(size: int, share: tuple[int, int]) -> int:
 
 
 def point(tokens: np.ndarray) -> np.ndarray:
-    """Counts per token group; a count beyond 16 bits makes all coordinates the largest, which bounds nothing."""
+    """Counts per token group, up to 16 bits; see ``bound`` for larger ones."""
     c = np.bincount((tokens >> np.uint64(40)).astype(np.int64) % GROUPS, minlength=GROUPS)
-    return np.full(GROUPS, _TOP, np.uint16) if c.max(initial=0) >= _TOP else c.astype(np.uint16)
+    return np.minimum(c, _TOP).astype(np.uint16)
+
+
+def bound(a: np.ndarray, b: np.ndarray, full: bool) -> np.ndarray:
+    """Largest overlap that points allow: any, where both have a coordinate at the limit (``full`` unless there are none)."""
+    least = np.minimum(a, b)
+    most = least.sum(axis=-1, dtype=np.int64)
+    return np.where((least == _TOP).any(axis=-1), np.iinfo(np.int64).max, most) if full else most
 
 
 def print_of(tokens: np.ndarray) -> tuple[int, int]:
@@ -85,6 +93,7 @@ class CountTree:
         spread = np.argsort(-points.astype(float).var(axis=0), kind="stable")[:3] if len(points) else []
         self.order = np.lexsort((*[points[:, d] for d in spread], (np.log(np.maximum(sizes, 1)) * 12).astype(int)))
         self.end = end[self.order]
+        self.full = bool((points == _TOP).any())
         self.levels = [(points[self.order], sizes[self.order], few[self.order], rest[self.order])]
         while len(self.levels[-1][1]) > self.FAN:
             p, s, f, r = self.levels[-1]
@@ -103,7 +112,7 @@ class CountTree:
                 least = need(sizes[a], s[b], share)
                 beyond = np.maximum(rest[a], r[b]) if depth else np.where(end[a] <= self.end[b], rest[a], r[b])
                 ok = np.minimum(few[a], f[b]) + beyond >= least
-                ok[ok] = np.minimum(points[a[ok]], p[b[ok]]).sum(axis=1, dtype=np.int64) >= least[ok]
+                ok[ok] = bound(points[a[ok]], p[b[ok]], self.full) >= least[ok]
                 keep[i:i + (1 << 15)] = ok
             q, node = q[keep], node[keep]
             if depth:
@@ -254,7 +263,7 @@ def _near(members: DataFrame, kind: str, share, block: int) -> DataFrame:
 
 def _leaders(ids: list, sets: list[np.ndarray], points: np.ndarray, share) -> list[tuple]:
     """Each set is verified against the leaders that the tree finds for it; one that matches none becomes a leader."""
-    sizes = np.array([len(s) for s in sets])
+    sizes, full = np.array([len(s) for s in sets]), bool((points == _TOP).any())
     none, edges, leaders, tree, fresh = np.zeros(len(sets), np.int64), [], [], None, []
     for i in range(len(ids)):
         near = list(fresh)
@@ -263,7 +272,7 @@ def _leaders(ids: list, sets: list[np.ndarray], points: np.ndarray, share) -> li
         matched = False
         for j in near:
             least = need(sizes[i], sizes[j], share)
-            if np.minimum(points[i], points[j]).sum(dtype=np.int64) >= least and overlap(sets[i], sets[j]) >= least:
+            if bound(points[i], points[j], full) >= least and overlap(sets[i], sets[j]) >= least:
                 edges.append((ids[j], ids[i]))
                 matched = True
         if not matched:

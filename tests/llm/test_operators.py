@@ -352,6 +352,22 @@ def test_tree_loses_no_pair():
     assert (got == want).all()
 
 
+@pytest.mark.parametrize("top", [4, 8, 12])
+def test_no_link_is_lost_at_the_largest_counts(monkeypatch, top):
+    monkeypatch.setattr(jaccard, "_TOP", top)
+    rng = np.random.default_rng(3)
+    sets = []
+    for _ in range(30):
+        s = rng.integers(0, 2 ** 63, 640, dtype=np.uint64)
+        sets += [np.sort(s), np.sort(np.append(s[20:], rng.integers(0, 2 ** 63, 20, dtype=np.uint64)))]
+    points, sizes = np.stack([jaccard.point(s) for s in sets]), np.array([len(s) for s in sets])
+    assert points.max() == top
+    none = np.zeros(len(sets), np.int64)
+    q, t = jaccard.CountTree(points, sizes, sizes, none, none).pairs(points, sizes, sizes, none, none, (3, 4))
+    assert {(i, i ^ 1) for i in range(len(sets))} <= set(zip(q.tolist(), t.tolist()))
+    assert {(i, i + 1) for i in range(0, len(sets), 2)} == set(jaccard._leaders(list(range(len(sets))), sets, points, (3, 4)))
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 200), (200, 100), (300, 300), (205, 201), (206, 205)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
