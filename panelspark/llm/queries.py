@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.llm import decontaminate, jaccard, langid, licenses, lm, mixing, quality, sharding, substrings, tokens
+from panelspark.llm import codes, decontaminate, divergence, jaccard, langid, licenses, lm, mixing, quality, sharding, substrings, tokens
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -93,6 +93,22 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(read(spark, sf_dir), ["doc_id"])
 
 
+@query
+def op11_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How sources of a language differ: every pair's distance and each source's 50 most typical terms."""
+    return divergence.audit(read(spark, sf_dir))
+
+
+@query
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of four parts of every vector, their errors, and the errors of each label together."""
+    found, books = codes.compress(read(spark, sf_dir, "embeddings"), carry=["label"])
+    found = found.select("row.vec_id", "row.label", "code", "error")
+    labels = found.groupBy(F.col("label").alias("_label")).agg(F.sum("error").alias("label_error"))
+    return found.join(labels, F.col("label").eqNullSafe(F.col("_label"))).select(
+        "vec_id", "code", "error", "label_error", F.lit(codes.digest(books)).alias("codebooks_sha256"))
+
+
 ORACLE["op4_decontamination"] = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                   '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
@@ -150,3 +166,50 @@ FROM x WHERE k >= 0.75 * n GROUP BY doc_id, license"""
 
 
 ORACLE["op1_license_scan"] = _license_sql()
+
+
+ORACLE["op11_divergence_audit"] = r"""
+WITH d AS (SELECT row_number() OVER () AS i, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                  '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+t AS (SELECT i, lang, source, term, count(*) AS n FROM (SELECT i, lang, source, unnest(w) AS term FROM d) GROUP BY ALL),
+k AS (SELECT lang, term, CAST(sum(n) AS BIGINT) AS n FROM t GROUP BY 1, 2 HAVING count(*) >= 30),
+l AS (SELECT lang, CAST(count(*) AS BIGINT) AS v, CAST(sum(n) AS BIGINT) AS n FROM k GROUP BY 1),
+c AS (SELECT t.lang, source, term, CAST(sum(t.n) AS BIGINT) AS n FROM t JOIN k USING (lang, term) GROUP BY ALL),
+g AS (SELECT x.lang, x.source, coalesce(v, 0) AS v, CAST(coalesce(sum(c.n), 0) AS BIGINT) AS n FROM (SELECT DISTINCT lang, source FROM d) x
+      LEFT JOIN l ON l.lang = x.lang LEFT JOIN c ON c.lang = x.lang AND c.source = x.source GROUP BY ALL),
+p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + 1000000000 * (coalesce(c.n, 0) + 5) // (g.n + 5 * g.v) AS p,
+             1 + 1000000000 * (k.n + 5) // (l.n + 5 * l.v) AS q
+      FROM g JOIN k ON k.lang = g.lang JOIN l ON l.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item,
+             CAST(coalesce((SELECT sum(abs(x.p - y.p)) FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term
+                            WHERE x.lang = a.lang AND x.source = a.source AND y.source = b.source), 0) AS BIGINT) AS value
+      FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+      UNION ALL SELECT lang, source, 'term', term, CAST(p - q AS BIGINT) FROM p WHERE n > 0 AND p > q)
+SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS INTEGER) AS rank FROM r)
+WHERE part = 'pair' OR rank <= 50"""
+
+
+def _codes_sql() -> str:
+    """All distances of every round, part by part."""
+    steps = []
+    for i in range(5):
+        steps.append(f"""a{i} AS MATERIALIZED (SELECT vec_id, p, s, min(256 * CAST(list_sum(list_transform(range(1, w + 1), lambda i: (s[i] - m[i]) * (s[i] - m[i])))
+                     AS BIGINT) + e) AS best FROM x JOIN c{i} USING (p) GROUP BY ALL)""")
+        if i < 4:
+            steps.append(f"""c{i + 1} AS MATERIALIZED (SELECT c{i}.p, e, coalesce(f, m) AS m FROM c{i} LEFT JOIN (SELECT p, best % 256 AS e,
+                         list(f ORDER BY i) AS f FROM (SELECT p, best % 256 AS best, i, CAST(floor(CAST(sum(s[i]) AS DOUBLE) / count(*)) AS BIGINT) AS f
+                         FROM a{i}, range(1, (SELECT max(w) FROM x) + 1) r(i) GROUP BY p, best % 256, i) GROUP BY 1, 2) USING (p, e))""")
+    return r"""
+WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda y: CAST(floor(1024 * CAST(y AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0),
+x AS MATERIALIZED (SELECT vec_id, p, len(v) // 4 AS w, v[p * (len(v) // 4) + 1:(p + 1) * (len(v) // 4)] AS s FROM v, range(4) r(p)),
+c0 AS MATERIALIZED (SELECT p, n - 1 AS e, s AS m FROM (SELECT p, s, row_number() OVER (PARTITION BY p ORDER BY vec_id) AS n FROM x) WHERE n <= 256),
+""" + ",\n".join(steps) + r""",
+b AS (SELECT sha256(string_agg(CAST(m[i] AS VARCHAR), ',' ORDER BY p, e, i)) AS h FROM c4, range(1, (SELECT max(w) FROM x) + 1) r(i)),
+o AS (SELECT vec_id, string_agg(lower(lpad(hex(best % 256), 2, '0')), '' ORDER BY p) AS code, CAST(sum(best // 256) AS BIGINT) AS error FROM a4 GROUP BY 1)
+SELECT o.vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h AS codebooks_sha256
+FROM o JOIN v USING (vec_id), b"""
+
+
+ORACLE["op13_vector_codes"] = _codes_sql()

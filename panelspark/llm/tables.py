@@ -18,11 +18,14 @@ WORD = r"[^\x20\x09-\x0D]+"
 WRITTEN: list[str] = []
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """The same rows, written to the shared folder: later steps neither repeat the work nor see another row order."""
+def saved(df: DataFrame, scope: list[str] | None = None) -> DataFrame:
+    """The same rows, written to the shared folder: later steps neither repeat the work nor see another row order.
+
+    The folder's name is added to ``scope``, whose owner discards it, or else to ``WRITTEN``.
+    """
     path = shared_folder(df.sparkSession)
     df.write.parquet(path)
-    WRITTEN.append(path)
+    (WRITTEN if scope is None else scope).append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
