@@ -4,15 +4,16 @@ Tokens (shingle hashes) fall into groups by hash; the counts of a set per group
 points bounds the overlap of their sets, and that of a point and the maxima of an R-tree node bounds the overlap with all sets
 below it. Pairs that survive the bound are verified on the sets.
 
-No tree holds all sets: two sets with similarity t or more share a token among the first (1 - t) n + 1 of each in hash order, so
-trees are built per such token. Steps:
+No tree holds all sets: two sets with similarity t or more share a token among the first (1 - t) n + 1 of each in any one order, so
+trees are built per such token. The order is by rarity: a table of counts over hashed tokens, of fixed size, gives every token a class,
+and tokens are numbered by class first. What many sets share comes last and rarely lands in a prefix. Steps:
 
 1. Equal sets become one class. Prefix tokens of one class only can't link anything and are dropped.
-2. Near copies are joined first: classes meet at their first tokens, in blocks; a tree of leaders finds those worth verifying.
+2. Near copies are joined first: classes meet at their two smallest hashes, in blocks; a tree of leaders finds those worth verifying.
    Every class that matches is linked to the leader; others become leaders.
-3. All other links run between clusters. Tokens that are still shared by several clusters get trees over all their classes.
-   Pairs of different clusters that survive the bounds are counted over all tokens: what two prefixes share up to the smaller of
-   their ends, and the rest of that set, bounds the overlap again. Survivors are verified. This step loses no link.
+3. All other links run between clusters. Tokens that are still shared by several clusters get trees over all their classes. A pair
+   of different clusters that survives the bounds is looked at where its first common token is, and nowhere else: what two prefixes
+   share, and the rest of the set that ends first, bounds the overlap again. Survivors are verified. This step loses no link.
 """
 
 from __future__ import annotations
@@ -29,14 +30,19 @@ from pyspark.sql import functions as F
 from panelspark.llm.graph import components
 from panelspark.llm.retrieval import BROADCAST, flat, offered, present
 from panelspark.llm.tables import saved
+from panelspark.llm.verify import made, need, overlap, verified
 from panelspark.llm.words import mix, shingles, slices, words
 
 #: Coordinates of a point. Fixed: more of them bound closer and cost more.
 GROUPS = 64
 #: Share of the prefix that must be shared for a set to be kept at hand; others are made again from the text if a pair needs them.
-DENSE = 0.3
+DENSE = 0.05
+#: Counters of the table of token counts and counters of one row of it.
+TABLE, STRIPE = 1 << 20, 1 << 14
 #: Sets that one tree holds, about. Tokens with more are cut into blocks.
 BLOCK = 2000
+#: Bytes of sets that meet in one block, about.
+BYTES = 32 << 20
 #: Sizes of linked sets are at most one band apart (4/3 and a little).
 BAND = 1.334
 #: A coordinate that is this large stands for any count from there on.
@@ -50,10 +56,15 @@ def shingle_set(hashes: np.ndarray, k: int = 5) -> np.ndarray:
     return np.unique(shingles(hashes, min(k, len(hashes))))
 
 
-def need(size_a, size_b, share: tuple[int, int]):
-    """Smallest overlap of linked sets: overlap / (a + b - overlap) >= p / q."""
-    p, q = share
-    return -((-p * (size_a + size_b)) // (p + q))
+def classes_of(counts: np.ndarray) -> np.ndarray:
+    """Classes of rarity by counts, 0 to 63, two for every doubling."""
+    return np.minimum(63, 2 * np.log2(1.0 + counts)).astype(np.uint8)
+
+
+def by_rarity(tokens: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """The same set as sorted numbers: class, then hash."""
+    kind = classes[(tokens % np.uint64(len(classes))).astype(np.int64)].astype(np.uint64)
+    return np.sort((kind << np.uint64(58)) | (tokens >> np.uint64(6)))
 
 
 def prefix(size: int, share: tuple[int, int]) -> int:
@@ -64,7 +75,7 @@ def prefix(size: int, share: tuple[int, int]) -> int:
 
 def point(tokens: np.ndarray) -> np.ndarray:
     """Counts per token group, up to 16 bits; see ``bound`` for larger ones."""
-    c = np.bincount((tokens >> np.uint64(40)).astype(np.int64) % GROUPS, minlength=GROUPS)
+    c = np.bincount((tokens % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS)
     return np.minimum(c, _TOP).astype(np.uint16)
 
 
@@ -135,15 +146,36 @@ def _sets(batch: pa.RecordBatch, column: int, k: int) -> Iterator[tuple[int, np.
 
 
 def _cut(rows: DataFrame, keys: list[str], block: int) -> DataFrame:
-    """Adds ``cut``: into how many blocks the rows of a key go."""
-    counts = rows.groupBy(*keys).count()
-    return rows.join(counts.select(*keys, F.ceil(F.col("count") / block).cast("int").alias("cut")), keys)
+    """Adds ``cut``: into how many blocks the rows of a key go, by their number and the bytes of their sets of ``n`` tokens."""
+    size = rows.groupBy(*keys).agg(F.count("*").alias("k"), F.sum("n").alias("s"))
+    cut = F.greatest(F.ceil(F.col("k") / block), F.ceil(F.col("s") * 8 / BYTES)).cast("int")
+    return rows.join(size.select(*keys, cut.alias("cut")), keys)
 
 
 def _shards(rows: DataFrame, block: int) -> int:
     return max(1, math.ceil(rows.count() / block))
 
 
+def token_classes(stripes: DataFrame) -> np.ndarray:
+    """Classes of all counters from rows (part, counts) of the tasks, added in two levels. Only the table reaches the driver."""
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, part = None, None
+        for batch in batches:
+            for c in batch.column(1):
+                c = np.frombuffer(c.as_buffer(), np.int64)
+                total, part = (c.copy(), batch.column(0)[0]) if total is None else (total + c, part)
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([part.as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["part", "counts"])
+
+    def level(rows: DataFrame, fan: int) -> DataFrame:
+        keys = ["part", F.pmod(F.xxhash64("counts"), F.lit(fan))]
+        return rows.groupBy(*keys).applyInArrow(lambda group: pa.Table.from_batches(add(iter(group.to_batches()))), "part int, counts binary")
+
+    fan = max(1, math.ceil(stripes.count() / (TABLE // STRIPE) / 256))
+    rows = {r["part"]: np.frombuffer(r["counts"], np.int64) for r in level(level(stripes, fan), 1).collect()}
+    return classes_of(np.concatenate([rows.get(i, np.zeros(STRIPE, np.int64)) for i in range(TABLE // STRIPE)]))
+
+
 def link(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, share: tuple[int, int] = (3, 4), block: int = BLOCK,
          broadcast: int = BROADCAST) -> DataFrame:
     """Key, ``n_shingles`` and ``component_id`` (smallest key reachable by links) of every row.
@@ -155,20 +187,42 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, s
     source = _tokens(docs, key, text)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["id", "n", "f1", "f2", "part", "counts"]
+        table, held, waiting, id_kind = np.zeros(TABLE, np.int64), [], 0, pa.null()
         for batch in batches:
+            id_kind = batch.schema.field(0).type
             sizes, prints = np.zeros(batch.num_rows, np.int64), np.zeros((batch.num_rows, 2), np.int64)
             for i, s in _sets(batch, 1, k):
                 sizes[i], prints[i] = len(s), print_of(s)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(prints[:, 0]), pa.array(prints[:, 1])], ["id", "n", "f1", "f2"])
-
-    rows = saved(source.mapInArrow(describe, f"id {kind}, n long, f1 long, f2 long"))
+                held.append((s % np.uint64(TABLE)).astype(np.int64))
+                waiting += len(s)
+                if waiting > TABLE // 4:
+                    table += np.bincount(np.concatenate(held), minlength=TABLE)
+                    held, waiting = [], 0
+            none = pa.nulls(batch.num_rows, pa.int32()), pa.nulls(batch.num_rows, pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(prints[:, 0]), pa.array(prints[:, 1]), *none], names)
+        if held:
+            table += np.bincount(np.concatenate(held), minlength=TABLE)
+        if table.any():
+            parts, none = TABLE // STRIPE, pa.nulls(TABLE // STRIPE, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.nulls(parts, id_kind), none, none, none, pa.array(range(parts), pa.int32()),
+                                              pa.array([c.tobytes() for c in table.reshape(parts, -1)], pa.binary())], names)
+
+    both = saved(source.mapInArrow(describe, f"id {kind}, n long, f1 long, f2 long, part int, counts binary"))
+    rows = both.where("part is null").select("id", "n", "f1", "f2")
+    rarity = source.sparkSession.sparkContext.broadcast(token_classes(both.where("part is not null").select("part", "counts")))
     classes = saved(rows.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("id").alias("rep")))
 
+    def ranked_sets(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, np.ndarray]]:
+        for i, s in _sets(batch, column, k):
+            yield i, by_rarity(s, rarity.value)
+
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out, owners, held = [], [], 0
             for _, s in _sets(batch, 1, k):
-                out.append(s[:prefix(len(s), share)])
+                r = by_rarity(s, rarity.value)
+                out.append(r[:prefix(len(r), share)])
                 owners.append(np.full(len(out[-1]), print_of(s)[0], np.int64))
                 held += len(out[-1])
                 if held > 1 << 18:
@@ -179,25 +233,29 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, s
     tokens = source.mapInArrow(emit, "token long, f1 long")
     shared = saved(tokens.groupBy("token").agg(F.min("f1").alias("low"), F.max("f1").alias("high")).where("low <> high").select("token"))
 
-    held = _members(docs, source, shared, key, kind, k, share, broadcast)
+    held = _members(source, shared, kind, ranked_sets, share, broadcast)
     members = saved(held.join(classes.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"))
 
-    near = saved(_near(members, kind, share, block))
-    first = components(near)
-    label = members.select("id").join(first.select(F.col("node").alias("id"), "component"), "id", "left").select(
-        "id", F.coalesce("component", "id").alias("cluster"))
-    far = _far(members, saved(label), source, kind, k, share, block)
+    near = saved(_near(members.where("body is not null"), kind, share, block, _leaders))
+    label = clustered(members, near)
+    far = _far(members, label, source, kind, ranked_sets, share, block)
     reach = components(near.union(far))
     return (rows.join(classes, ["f1", "f2", "n"], "left").join(reach.select(F.col("node").alias("rep"), "component"), "rep", "left")
             .select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "id").alias("component_id")))
 
 
-def _members(docs, source, shared, key, kind, k, share, broadcast) -> DataFrame:
-    """Rows with a shared prefix token: id, n, length and end of the prefix, point, those tokens, and the set itself where they
-    are many (only such sets are likely to be verified)."""
+def clustered(members: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, cluster) of all members: the component by the edges, or the id itself."""
+    first = components(edges).select(F.col("node").alias("id"), "component")
+    return saved(members.select("id").join(first, "id", "left").select("id", F.coalesce("component", "id").alias("cluster")))
+
+
+def _members(source, shared, kind, sets, share, broadcast) -> DataFrame:
+    """Rows with a shared prefix token: id, n, length and end of the prefix, point, those tokens, two hashes to meet at, and the set
+    itself where enough are shared (few others are ever verified)."""
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, s in _sets(batch, 1, k):
+            for i, s in sets(batch, 1):
                 s = s[:prefix(len(s), share)]
                 yield pa.RecordBatch.from_arrays([pa.repeat(batch.column(0)[i], len(s)), flat([s])], ["id", "token"])
 
@@ -205,25 +263,29 @@ def _members(docs, source, shared, key, kind, k, share, broadcast) -> DataFrame:
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for i, s in _sets(batch, 1, k):
+            out, size = [], 0
+            for i, s in sets(batch, 1):
                 head = s[:prefix(len(s), share)]
                 own = head[present(head, known(batch.column(2)[i]))]
                 if len(own):
                     body = s.tobytes() if len(own) >= DENSE * len(head) else None
-                    out.append((batch.column(0)[i].as_py(), len(s), len(head), int(head[-1] >> np.uint64(1)), point(s).tobytes(), body, own.view(np.int64).tolist()))
-                if len(out) >= 500:
+                    meet = np.sort(mix(s))[:2].view(np.int64).tolist()
+                    out.append((batch.column(0)[i].as_py(), len(s), len(head), int(head[-1] >> np.uint64(1)), point(s).tobytes(), body,
+                                own.view(np.int64).tolist(), meet))
+                    size += 8 * len(s)
+                if len(out) >= 500 or size > BYTES:
                     yield _batch(out, batch.schema.field(0).type)
-                    out = []
+                    out, size = [], 0
             yield _batch(out, batch.schema.field(0).type)
 
-    return source.mapInArrow(build, f"id {kind}, n long, p long, end long, point binary, body binary, tokens array<long>")
+    return source.mapInArrow(build, f"id {kind}, n long, p long, end long, point binary, body binary, tokens array<long>, meet array<long>")
 
 
 def _batch(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
-    kinds = [kind, pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
+    longs = pa.list_(pa.int64())
+    kinds = [kind, pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), longs, longs]
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)],
-                                      ["id", "n", "p", "end", "point", "body", "tokens"])
+                                      ["id", "n", "p", "end", "point", "body", "tokens", "meet"])
 
 
 def _groups(values: np.ndarray) -> Iterator[slice]:
@@ -233,36 +295,29 @@ def _groups(values: np.ndarray) -> Iterator[slice]:
         yield slice(a, b)
 
 
-def overlap(a: np.ndarray, b: np.ndarray) -> int:
-    """Common tokens of two sorted sets."""
-    if len(a) > len(b):
-        a, b = b, a
-    at = np.minimum(np.searchsorted(b, a), len(b) - 1)
-    return int((b[at] == a).sum())
-
-
-def _near(members: DataFrame, kind: str, share, block: int) -> DataFrame:
-    """Verified links of classes to leaders of their blocks; not all links, see step 3."""
-    members = members.where("body is not null")
-    rows = members.select("id", "point", "body", F.explode(F.slice("tokens", 1, 2)).alias("token"))
+def _near(members: DataFrame, kind: str, share, block: int, leaders) -> DataFrame:
+    """Verified links of classes to leaders of their blocks; not all links, see step 3. ``members`` has id, n, point, body and meet."""
+    rows = members.select("id", "n", "point", "body", F.explode("meet").alias("token"))
     rows = _cut(rows, ["token"], block).withColumn("block", F.pmod(F.xxhash64("id"), F.col("cut")).cast("int"))
-    shards = _shards(members, block // 2)
+    size = members.agg(F.count("*").alias("k"), F.coalesce(F.sum("n"), F.lit(0)).alias("s")).first()
+    shards = max(1, math.ceil(size["k"] / (block // 2 or 1)), math.ceil(size["s"] * 8 / BYTES * 4))
 
     def cluster(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["token", "block", "id"])
         edges = []
-        for g in _groups(group["token"].to_numpy() * 1_000_003 + group["block"].to_numpy()):
+        mark = group[["token", "block"]].ne(group[["token", "block"]].shift()).any(axis=1).cumsum().to_numpy()
+        for g in _groups(mark):
             part = group.iloc[g]
             if len(part) > 1:
-                edges += _leaders(part["id"].tolist(), [np.frombuffer(b, np.uint64) for b in part["body"]],
-                                  np.stack([np.frombuffer(b, np.uint16) for b in part["point"]]), share)
+                edges += leaders(part["id"].tolist(), [np.frombuffer(b, np.uint64) for b in part["body"]], part["point"].tolist(), share)
         return pd.DataFrame(edges, columns=["a", "b"])
 
-    return rows.groupBy(F.pmod(F.xxhash64("token", "block"), F.lit(shards))).applyInPandas(cluster, f"a {kind}, b {kind}")
+    return rows.drop("n", "cut").groupBy(F.pmod(F.xxhash64("token", "block"), F.lit(shards))).applyInPandas(cluster, f"a {kind}, b {kind}")
 
 
-def _leaders(ids: list, sets: list[np.ndarray], points: np.ndarray, share) -> list[tuple]:
+def _leaders(ids: list, sets: list[np.ndarray], points: list[bytes], share) -> list[tuple]:
     """Each set is verified against the leaders that the tree finds for it; one that matches none becomes a leader."""
+    points = np.stack([np.frombuffer(b, np.uint16) for b in points])
     sizes, full = np.array([len(s) for s in sets]), bool((points == _TOP).any())
     none, edges, leaders, tree, fresh = np.zeros(len(sets), np.int64), [], [], None, []
     for i in range(len(ids)):
@@ -284,76 +339,93 @@ def _leaders(ids: list, sets: list[np.ndarray], points: np.ndarray, share) -> li
     return edges
 
 
-def _far(members: DataFrame, label: DataFrame, source: DataFrame, kind: str, k: int, share, block: int) -> DataFrame:
+def in_cells(rows: DataFrame) -> DataFrame:
+    """Rows of a key cut into ``cut`` sides, once for every side they meet: cell (x, y) holds sides x and y, ``side`` tells which."""
+    rows = rows.withColumn("side", F.pmod(F.xxhash64("id"), F.col("cut")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cut") - 1)))
+    return rows.withColumn("x", F.least("side", "other")).withColumn("y", F.greatest("side", "other")).drop("other", "cut")
+
+
+class Common:
+    """Common tokens of pairs of rows, each row with a sorted list of tokens."""
+
+    def __init__(self, tokens: list[np.ndarray]):
+        self.known, code = np.unique(np.concatenate(tokens), return_inverse=True)
+        self.count = np.array([len(t) for t in tokens])
+        self.at = np.cumsum(self.count) - self.count
+        self.keys = np.repeat(np.arange(len(tokens)), self.count) * len(self.known) + code
+        self.code = code
+
+    def of(self, q: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(number of common tokens, the first of them) of each pair; pairs have one at least."""
+        size = self.count[q]
+        edge = np.cumsum(size) - size
+        at = np.repeat(self.at[q] - edge, size) + np.arange(size.sum())
+        want = np.repeat(t, size) * len(self.known) + self.code[at]
+        hit = self.keys[np.minimum(np.searchsorted(self.keys, want), len(self.keys) - 1)] == want
+        number = np.add.reduceat(hit, edge, dtype=np.int64)
+        first = np.minimum.reduceat(np.where(hit, self.code[at], len(self.known) - 1), edge)
+        return number, self.known[first]
+
+
+def search(group: pd.DataFrame, share: tuple[int, int]) -> pd.DataFrame:
+    """Pairs of different clusters, each where its first common token is, that all bounds let pass."""
+    group = group.sort_values(["token", "band", "x", "y", "id"])
+    mark = group[["token", "band", "x", "y"]].ne(group[["token", "band", "x", "y"]].shift()).any(axis=1).cumsum().to_numpy()
+    points = np.stack([np.frombuffer(b, np.uint16) for b in group["point"]])
+    lists = [np.asarray(t, np.int64) for t in group["open"]]
+    sizes, rest, end, ids, cluster, own, side, token, x, y = (
+        group[c].to_numpy() for c in ("n", "rest", "end", "id", "cluster", "own", "side", "token", "x", "y"))
+    few, common, p_q = np.array([len(t) for t in lists]), Common(lists), sum(share)
+    found = []
+    for g in _groups(mark):
+        if g.stop - g.start < 2 or (cluster[g] == cluster[g.start]).all() or not own[g].any():
+            continue
+        rows, apart = np.arange(g.start, g.stop), x[g.start] != y[g.start]
+        left = rows[side[g] == x[g.start]] if apart else rows[own[g]]
+        right = rows[side[g] == y[g.start]] if apart else rows
+        if not len(left) or not len(right):
+            continue
+        tree = CountTree(points[right], sizes[right], few[right], rest[right], end[right])
+        for i in range(0, len(left), 256):
+            at = left[i:i + 256]
+            q, t = tree.pairs(points[at], sizes[at], few[at], rest[at], end[at], share)
+            q, t = at[q], right[t]
+            ok = (cluster[q] != cluster[t]) & (own[q] | own[t])
+            if not apart:
+                ok &= ~own[t] | (q < t)
+            q, t = q[ok], t[ok]
+            if len(q):
+                number, first = common.of(q, t)
+                most = number + np.where(end[q] <= end[t], rest[q], rest[t])
+                ok = (first == token[g.start]) & (most * p_q >= share[0] * (sizes[q] + sizes[t]))
+                found += [(ids[a], ids[b], sizes[a], sizes[b]) for a, b in zip(q[ok], t[ok])]
+    return pd.DataFrame(found, columns=["a", "b", "n_a", "n_b"])
+
+
+def _far(members: DataFrame, label: DataFrame, source: DataFrame, kind: str, sets, share, block: int) -> DataFrame:
     """All links between sets of different clusters."""
     rows = members.select("id", "n", F.explode("tokens").alias("token")).join(label, "id")
     open_ = rows.groupBy("token").agg(F.min("cluster").alias("low"), F.max("cluster").alias("high")).where("low <> high").select("token")
+    rows = saved(rows.join(open_, "token"))
+    # what a set can share with a set of another cluster
+    facts = rows.groupBy("id").agg(F.array_sort(F.collect_set("token")).alias("open"))
+    facts = members.join(facts, "id").select("id", "n", (F.col("n") - F.col("p")).alias("rest"), "end", "point", "open")
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(BAND)).cast("int")
     # a set meets its own band, and as the smaller one the next
-    rows = rows.join(open_, "token").withColumn("own", band).withColumn("band", F.explode(F.array("own", F.col("own") + 1)))
+    rows = rows.withColumn("own", band).withColumn("band", F.explode(F.array("own", F.col("own") + 1)))
     stats = rows.groupBy("token", "band").agg(F.min("cluster").alias("low"), F.max("cluster").alias("high"), F.count("*").alias("k"),
                                               F.max((F.col("own") == F.col("band")).cast("int")).alias("any"))
     # tokens of one band and cluster only drop out
     live = stats.where("low <> high and any = 1").select("token", "band", F.ceil(F.col("k") / block).cast("int").alias("cut"))
     rows = saved(rows.join(live, ["token", "band"]).select("id", "cluster", "token", "band", "cut", (F.col("own") == F.col("band")).alias("own")))
-    # a set shares no more tokens with another cluster than it has open ones
-    few = rows.groupBy("id").agg(F.countDistinct("token").alias("few"))
-    facts = members.join(few, "id").select("id", "n", (F.col("n") - F.col("p")).alias("rest"), "end", "point", "few")
-    rows = rows.withColumn("side", F.pmod(F.xxhash64("id"), F.col("cut")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cut") - 1)))
-    rows = rows.withColumn("cell", F.concat_ws(":", F.least("side", "other"), F.greatest("side", "other")))
-    rows = rows.select("id", "cluster", "token", "band", "cell", "own")
-    shards = _shards(rows, 4 * block)
-
-    def search(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["token", "band", "cell", "id"])
-        mark = group[["token", "band", "cell"]].ne(group[["token", "band", "cell"]].shift()).any(axis=1).cumsum().to_numpy()
-        found = []
-        points = np.stack([np.frombuffer(b, np.uint16) for b in group["point"]])
-        sizes, few, rest, end, ids, cluster, own = (group[c].to_numpy() for c in ("n", "few", "rest", "end", "id", "cluster", "own"))
-        for g in _groups(mark):
-            if g.stop - g.start < 2 or (cluster[g] == cluster[g.start]).all() or not own[g].any():
-                continue
-            p, s, f, r, e, o, c = points[g], sizes[g], few[g], rest[g], end[g], own[g], cluster[g]
-            tree = CountTree(p, s, f, r, e)
-            mine = np.flatnonzero(o)
-            for i in range(0, len(mine), 256):
-                at = mine[i:i + 256]
-                q, t = tree.pairs(p[at], s[at], f[at], r[at], e[at], share)
-                q = at[q]
-                ok = (c[q] != c[t]) & (~o[t] | (q < t))
-                found.append(np.stack([np.minimum(ids[g][q[ok]], ids[g][t[ok]]), np.maximum(ids[g][q[ok]], ids[g][t[ok]])], axis=1))
-        found = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-        pairs, common = np.unique(found, axis=0, return_counts=True)
-        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1], "common": common})
-
-    pairs = rows.join(facts, "id").groupBy(F.pmod(F.xxhash64("token", "band", "cell"), F.lit(shards))).applyInPandas(search, f"a {kind}, b {kind}, common long")
-    pairs = pairs.groupBy("a", "b").agg(F.sum("common").alias("common"))
-    fact = {x: members.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("end").alias(f"end_{x}"), (F.col("n") - F.col("p")).alias(f"rest_{x}"))
-            for x in "ab"}
-    most = F.col("common") + F.when(F.col("end_a") <= F.col("end_b"), F.col("rest_a")).otherwise(F.col("rest_b"))
-    p, q = share
-    pairs = saved(pairs.join(fact["a"], "a").join(fact["b"], "b").where(most * (p + q) >= p * (F.col("n_a") + F.col("n_b"))).select("a", "b"))
+    rows = in_cells(rows)
+    shards = _shards(rows, 2 * block)
+    pairs = rows.join(facts, "id").groupBy(F.pmod(F.xxhash64("token", "band", "x", "y"), F.lit(shards))).applyInPandas(
+        lambda group: search(group, share), f"a {kind}, b {kind}, n_a long, n_b long")
+    pairs = saved(pairs)
     bodies = members.where("body is not null").select("id", "body")
     lacking = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct().join(bodies.select("id"), "id", "left_anti")
     if lacking.take(1):
-        bodies = bodies.union(_bodies(source.join(lacking, "id").dropDuplicates(["id"]), kind, k))
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                keep.append(overlap(x, y) >= need(len(x), len(y), share))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    both = pairs.join(bodies.select(F.col("id").alias("a"), F.col("body").alias("x")), "a").join(
-        bodies.select(F.col("id").alias("b"), F.col("body").alias("y")), "b").select("a", "b", "x", "y")
-    return saved(both.mapInArrow(verify, f"a {kind}, b {kind}"))
-
-
-def _bodies(texts: DataFrame, kind: str, k: int) -> DataFrame:
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for _, s in _sets(batch, 1, k)], pa.binary())], ["id", "body"])
-
-    return texts.select("id", "text").mapInArrow(build, f"id {kind}, body binary")
+        bodies = bodies.union(made(source.join(lacking, "id").dropDuplicates(["id"]), sets, kind))
+    return verified(pairs, bodies, label, share)

@@ -365,7 +365,7 @@ def test_no_link_is_lost_at_the_largest_counts(monkeypatch, top):
     none = np.zeros(len(sets), np.int64)
     q, t = jaccard.CountTree(points, sizes, sizes, none, none).pairs(points, sizes, sizes, none, none, (3, 4))
     assert {(i, i ^ 1) for i in range(len(sets))} <= set(zip(q.tolist(), t.tolist()))
-    assert {(i, i + 1) for i in range(0, len(sets), 2)} == set(jaccard._leaders(list(range(len(sets))), sets, points, (3, 4)))
+    assert {(i, i + 1) for i in range(0, len(sets), 2)} == set(jaccard._leaders(list(range(len(sets))), sets, [p.tobytes() for p in points], (3, 4)))
 
 
 def test_components(spark):
