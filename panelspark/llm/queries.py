@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.llm import codes, decontaminate, divergence, jaccard, langid, licenses, lm, mixing, quality, sharding, substrings, tokens
+from panelspark.llm import codes, decontaminate, divergence, hamming, jaccard, langid, licenses, lm, mixing, quality, sharding, substrings, tokens
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -99,6 +99,12 @@ def op11_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(read(spark, sf_dir))
 
 
+@query
+def op12_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 2-word shingle sets have a Jaccard similarity of 0.8 or more; the smallest id stays."""
+    return hamming.deduplicate(read(spark, sf_dir))
+
+
 @query
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Codes of four parts of every vector, their errors, and the errors of each label together."""
@@ -125,17 +131,23 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN h ON d.doc_id = h.doc_id LEFT JOIN t ON d.doc_id = t.doc_id"""
 
-ORACLE["op9_jaccard_join"] = r"""
+def _components_sql(words: int, percent: int, more: str = "") -> str:
+    """Pairs of documents by the shingles that they share, and the smallest id that links reach."""
+    return rf"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                   '[^\x20\x09-\x0D]+') AS w FROM documents),
-s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + least(len(w), 5) - 1], ' ') AS g
-      FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + least(len(w), {words}) - 1], ' ') AS g
+      FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - {words - 1}, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
 p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS o FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2),
-e AS (SELECT a, b FROM p JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * o >= 75 * (x.n + y.n - o)),
+e AS (SELECT a, b FROM p JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * o >= {percent} * (x.n + y.n - o)),
 r AS (SELECT doc_id, doc_id AS c FROM d UNION SELECT r.doc_id, CASE WHEN e.a = r.c THEN e.b ELSE e.a END FROM r JOIN e ON r.c = e.a OR r.c = e.b)
-SELECT d.doc_id, coalesce(n, 0) AS n_shingles, min(c) AS component_id
-FROM d LEFT JOIN n ON d.doc_id = n.doc_id JOIN r ON d.doc_id = r.doc_id GROUP BY 1, 2"""
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, min(c) AS component_id{more}
+FROM d LEFT JOIN n ON d.doc_id = n.doc_id JOIN r ON d.doc_id = r.doc_id GROUP BY d.doc_id, n"""
+
+
+ORACLE["op9_jaccard_join"] = _components_sql(5, 75)
+ORACLE["op12_minhash_dedup"] = _components_sql(2, 80, ", min(c) = d.doc_id AS kept")
 
 ORACLE["op8_substring_dedup"] = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),

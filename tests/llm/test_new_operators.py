@@ -9,7 +9,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from panelspark.llm import codes, divergence, queries
+from panelspark.llm import codes, divergence, hamming, jaccard, queries
+from panelspark.llm.jaccard import in_cells
 from panelspark.llm.pointers import multikey_sort
 from panelspark.llm.words import spans
 from tests.llm.test_operators import SCHEMA, corpus, low
@@ -151,3 +152,132 @@ def test_labels_and_digest_of_the_query(spark, tmp_path):
         by[label[k]] += e
     digest = codes.digest(np.array(books))
     assert sorted(tuple(r) for r in got) == sorted((k, c, e, by[label[k]], digest) for k, c, e in want)
+
+
+def signatures(rng, n, wrong):
+    x = rng.integers(0, 256, (n, hamming.CHUNKS * hamming.WIDTH), np.uint8)
+    y = x.copy()
+    for row in y:
+        at = rng.choice(len(row), wrong, replace=False)
+        row[at] += rng.integers(1, 256, wrong).astype(np.uint8)
+    return x, y
+
+
+def test_every_pair_under_the_distance_meets():
+    rng = np.random.default_rng(2)
+    for wrong in (0, 1, 12, hamming.CHUNKS * (hamming.ERRORS + 1) - 1):
+        x, y = signatures(rng, 300, wrong)
+        shared = hamming.keys(x) == hamming.keys(y)
+        assert shared.any(axis=1).all()
+        far, first = hamming.meetings(x, y)
+        assert (far == wrong).all() and (first == shared.argmax(axis=1)).all()
+    x, y = signatures(rng, 300, 60)
+    shared, (_, first) = hamming.keys(x) == hamming.keys(y), hamming.meetings(x, y)
+    assert (np.where(shared.any(axis=1), shared.argmax(axis=1), -1) == first).all()
+
+
+def test_pairs_are_found_once(spark):
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 256, hamming.CHUNKS * hamming.WIDTH, np.uint8)
+    rows = []
+    for i in range(60):
+        s = base.copy()
+        s[rng.choice(len(s), 12, replace=False)] = rng.integers(0, 256, 12)
+        rows.append((i, s))
+    want = {(i, j) for i, a in rows for j, b in rows if i < j and i % 7 != j % 7 and (a != b).sum() <= hamming.FAR
+            and hamming.meetings(a[None], b[None])[1][0] >= 0}
+    held = [(i, int(t), i % 7, 3, 10, s.tobytes()) for i, s in rows for t in hamming.keys(s[None])[0].view(np.int64)]
+    cells = in_cells(spark.createDataFrame(held, "id long, token long, cluster long, cut int, n long, sig binary")).toPandas()
+    got = hamming.search(cells)
+    pairs = [tuple(sorted(p)) for p in zip(got["a"], got["b"])]
+    assert len(pairs) == len(set(pairs)) and set(pairs) == want
+
+
+def brute_links(rows, k, share):
+    sets = {}
+    for i, text in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", low(text or ""))
+        sets[i] = {tuple(w[j:j + k]) for j in range(max(len(w) - k + 1, 1))} if w else set()
+    ids, reach = sorted(sets), {i: i for i in sets}
+
+    def root(i):
+        while reach[i] != i:
+            i = reach[i]
+        return i
+
+    for n, a in enumerate(ids):
+        for b in ids[n + 1:]:
+            both = len(sets[a] & sets[b])
+            if sets[a] and sets[b] and both * share[1] >= share[0] * (len(sets[a]) + len(sets[b]) - both):
+                x, y = sorted((root(a), root(b)))
+                reach[y] = x
+    return {i: (len(sets[i]), root(i)) for i in ids}
+
+
+def family(rng, number, words, edits, first):
+    base = [f"v{rng.randrange(500)}" for _ in range(words)]
+    out = []
+    for i in range(number):
+        w = list(base)
+        for _ in range(rng.randrange(edits)):
+            w[rng.randrange(words)] = f"y{rng.randrange(10**6)}"
+        out.append((first + i, " ".join(w)))
+    return out
+
+
+@pytest.mark.parametrize("options", [{}, {"block": 3, "broadcast": 0, "sent": 0}])
+def test_hamming_join_against_brute_force(spark, options):
+    rng = random.Random(9)
+    rows = [(r[0], r[1]) for r in corpus()]
+    rows += family(rng, 60, 120, 12, 1000) + family(rng, 40, 40, 6, 2000) + family(rng, 30, 12, 3, 3000)
+    df = spark.createDataFrame([(i, t, "s", 1, "x") for i, t in rows], "doc_id long, text string, sig string, n int, token string").repartition(3)
+    got = hamming.deduplicate(df, **options).collect()
+    want = brute_links(rows, 2, (4, 5))
+    assert len(got) == len(rows)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
+    assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
+
+
+def test_hamming_join_of_odd_tables(spark):
+    kind = "doc_id long, text string"
+    assert hamming.deduplicate(spark.createDataFrame([], kind)).count() == 0
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(None, text), (None, text + " more"), (5, text + " more"), (7, "a b c d"), (7, text), (8, "A b\nc d"), (9, None), (None, None)]
+    got = hamming.deduplicate(spark.createDataFrame(rows, kind)).collect()
+    found = sorted(((r["doc_id"], r["component_id"], r["kept"]) for r in got), key=str)
+    # the two texts of 7 join the groups of both
+    assert found == sorted([(None, 5, False), (None, 5, False), (5, 5, True), (7, 5, False), (7, 5, False), (8, 5, False), (9, 9, True),
+                            (None, None, False)], key=str)
+
+
+def test_jaccard_pairs_are_compared_once(spark, monkeypatch):
+    """A token that all hold, over many blocks: each pair meets in one cell and is reported at one token."""
+    rng = random.Random(3)
+    common = [f"c{i}" for i in range(60)]
+    texts = [common + [f"u{rng.randrange(10**9)}" for _ in range(25)] for _ in range(40)]
+    rows = []
+    for i, w in enumerate(texts):
+        s = jaccard.by_rarity(jaccard.shingle_set(np.array([hash(x) & (2**63 - 1) for x in w], np.uint64)), np.zeros(16, np.uint8))
+        head = s[:jaccard.prefix(len(s), (3, 4))]
+        rows.append((i, i, s, head))
+    tokens = [t for *_, head in rows for t in head.view(np.int64).tolist()]
+    hot = [t for t in set(tokens) if tokens.count(t) > 1]
+    held = [(i, c, t, 1, True, 3, len(s), len(s) - len(head), int(head[-1] >> np.uint64(1)), jaccard.point(s).tobytes(),
+             sorted(x for x in head.view(np.int64).tolist() if x in hot)) for i, c, s, head in rows for t in head.view(np.int64).tolist() if t in hot]
+    cells = in_cells(spark.createDataFrame(held, "id long, cluster long, token long, band int, own boolean, cut int, n long, rest long, end long, "
+                                                 "point binary, open array<long>")).toPandas()
+    got = jaccard.search(cells, (1, 4))
+    pairs = [tuple(sorted(p)) for p in zip(got["a"], got["b"])]
+    assert pairs and len(pairs) == len(set(pairs))
+    linked = {(i, j) for i, _, a, _ in rows for j, _, b, _ in rows if i < j and jaccard.overlap(a, b) >= jaccard.need(len(a), len(b), (3, 4))}
+    assert linked <= set(pairs)
+
+
+def test_counts_are_added_over_tasks(spark):
+    parts = jaccard.TABLE // jaccard.STRIPE
+    one = np.zeros(jaccard.TABLE, np.int64)
+    one[5], one[-1] = 3, 100
+    rows = [(i, c.tobytes()) for i, c in enumerate(one.reshape(parts, -1))] * 3
+    got = jaccard.token_classes(spark.createDataFrame(rows, "part int, counts binary"))
+    assert got.tolist() == jaccard.classes_of(3 * one).tolist()
+    assert jaccard.token_classes(spark.createDataFrame([], "part int, counts binary")).sum() == 0
