@@ -12,8 +12,9 @@ and tokens are numbered by class first. What many sets share comes last and rare
 2. Near copies are joined first: classes meet at their two smallest hashes, in blocks; a tree of leaders finds those worth verifying.
    Every class that matches is linked to the leader; others become leaders.
 3. All other links run between clusters. Tokens that are still shared by several clusters get trees over all their classes. A pair
-   of different clusters that survives the bounds is looked at where its first common token is, and nowhere else: what two prefixes
-   share, and the rest of the set that ends first, bounds the overlap again. Survivors are verified. This step loses no link.
+   of different clusters that survives the bounds is reported at its first common token; each row brings its first few shared tokens
+   along, so nearly all pairs are reported once. What two prefixes share, and the rest of the set that ends first, bounds the overlap again.
+   Survivors are verified. This step loses no link.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from panelspark.llm.graph import components
 from panelspark.llm.retrieval import BROADCAST, flat, offered, present
 from panelspark.llm.tables import saved
-from panelspark.llm.verify import made, need, overlap, verified
+from panelspark.llm.verify import made, need, overlap, tested, verified
 from panelspark.llm.words import mix, shingles, slices, words
 
 #: Coordinates of a point. Fixed: more of them bound closer and cost more.
@@ -38,7 +39,9 @@ GROUPS = 64
 #: Share of the prefix that must be shared for a set to be kept at hand; others are made again from the text if a pair needs them.
 DENSE = 0.05
 #: Counters of the table of token counts and counters of one row of it.
-TABLE, STRIPE = 1 << 20, 1 << 14
+TABLE, STRIPE = 1 << 21, 1 << 15
+#: Shared tokens that a row brings along.
+FIRST = 4
 #: Sets that one tree holds, about. Tokens with more are cut into blocks.
 BLOCK = 2000
 #: Bytes of sets that meet in one block, about.
@@ -157,22 +160,25 @@ def _shards(rows: DataFrame, block: int) -> int:
 
 
 def token_classes(stripes: DataFrame) -> np.ndarray:
-    """Classes of all counters from rows (part, counts) of the tasks, added in two levels. Only the table reaches the driver."""
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Classes of all counters from rows (part, counts) of the tasks, added in two levels. Only the table reaches the driver.
+
+    A task counts up to 255 in a byte, which is frequent enough for any order.
+    """
+    def add(batches: Iterator[pa.RecordBatch], narrow: bool) -> Iterator[pa.RecordBatch]:
         total, part = None, None
         for batch in batches:
             for c in batch.column(1):
-                c = np.frombuffer(c.as_buffer(), np.int64)
-                total, part = (c.copy(), batch.column(0)[0]) if total is None else (total + c, part)
+                c = np.frombuffer(c.as_buffer(), np.uint8 if narrow else np.int64).astype(np.int64)
+                total, part = (c, batch.column(0)[0]) if total is None else (total + c, part)
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array([part.as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["part", "counts"])
 
-    def level(rows: DataFrame, fan: int) -> DataFrame:
+    def level(rows: DataFrame, fan: int, narrow: bool) -> DataFrame:
         keys = ["part", F.pmod(F.xxhash64("counts"), F.lit(fan))]
-        return rows.groupBy(*keys).applyInArrow(lambda group: pa.Table.from_batches(add(iter(group.to_batches()))), "part int, counts binary")
+        return rows.groupBy(*keys).applyInArrow(lambda group: pa.Table.from_batches(add(iter(group.to_batches()), narrow)), "part int, counts binary")
 
     fan = max(1, math.ceil(stripes.count() / (TABLE // STRIPE) / 256))
-    rows = {r["part"]: np.frombuffer(r["counts"], np.int64) for r in level(level(stripes, fan), 1).collect()}
+    rows = {r["part"]: np.frombuffer(r["counts"], np.int64) for r in level(level(stripes, fan, True), 1, False).collect()}
     return classes_of(np.concatenate([rows.get(i, np.zeros(STRIPE, np.int64)) for i in range(TABLE // STRIPE)]))
 
 
@@ -206,7 +212,7 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, s
         if table.any():
             parts, none = TABLE // STRIPE, pa.nulls(TABLE // STRIPE, pa.int64())
             yield pa.RecordBatch.from_arrays([pa.nulls(parts, id_kind), none, none, none, pa.array(range(parts), pa.int32()),
-                                              pa.array([c.tobytes() for c in table.reshape(parts, -1)], pa.binary())], names)
+                                              pa.array([c.tobytes() for c in np.minimum(table, 255).astype(np.uint8).reshape(parts, -1)], pa.binary())], names)
 
     both = saved(source.mapInArrow(describe, f"id {kind}, n long, f1 long, f2 long, part int, counts binary"))
     rows = both.where("part is null").select("id", "n", "f1", "f2")
@@ -346,37 +352,16 @@ def in_cells(rows: DataFrame) -> DataFrame:
     return rows.withColumn("x", F.least("side", "other")).withColumn("y", F.greatest("side", "other")).drop("other", "cut")
 
 
-class Common:
-    """Common tokens of pairs of rows, each row with a sorted list of tokens."""
-
-    def __init__(self, tokens: list[np.ndarray]):
-        self.known, code = np.unique(np.concatenate(tokens), return_inverse=True)
-        self.count = np.array([len(t) for t in tokens])
-        self.at = np.cumsum(self.count) - self.count
-        self.keys = np.repeat(np.arange(len(tokens)), self.count) * len(self.known) + code
-        self.code = code
-
-    def of(self, q: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(number of common tokens, the first of them) of each pair; pairs have one at least."""
-        size = self.count[q]
-        edge = np.cumsum(size) - size
-        at = np.repeat(self.at[q] - edge, size) + np.arange(size.sum())
-        want = np.repeat(t, size) * len(self.known) + self.code[at]
-        hit = self.keys[np.minimum(np.searchsorted(self.keys, want), len(self.keys) - 1)] == want
-        number = np.add.reduceat(hit, edge, dtype=np.int64)
-        first = np.minimum.reduceat(np.where(hit, self.code[at], len(self.known) - 1), edge)
-        return number, self.known[first]
-
-
 def search(group: pd.DataFrame, share: tuple[int, int]) -> pd.DataFrame:
-    """Pairs of different clusters, each where its first common token is, that all bounds let pass."""
+    """Pairs of different clusters that the trees let pass, but for those that share one of their first tokens before this one."""
     group = group.sort_values(["token", "band", "x", "y", "id"])
     mark = group[["token", "band", "x", "y"]].ne(group[["token", "band", "x", "y"]].shift()).any(axis=1).cumsum().to_numpy()
     points = np.stack([np.frombuffer(b, np.uint16) for b in group["point"]])
-    lists = [np.asarray(t, np.int64) for t in group["open"]]
-    sizes, rest, end, ids, cluster, own, side, token, x, y = (
-        group[c].to_numpy() for c in ("n", "rest", "end", "id", "cluster", "own", "side", "token", "x", "y"))
-    few, common, p_q = np.array([len(t) for t in lists]), Common(lists), sum(share)
+    heads = np.full((len(group), FIRST), np.iinfo(np.int64).max)
+    for i, t in enumerate(group["first"]):
+        heads[i, :len(t)] = t
+    sizes, few, rest, end, ids, cluster, own, side, token, x, y = (
+        group[c].to_numpy() for c in ("n", "few", "rest", "end", "id", "cluster", "own", "side", "token", "x", "y"))
     found = []
     for g in _groups(mark):
         if g.stop - g.start < 2 or (cluster[g] == cluster[g.start]).all() or not own[g].any():
@@ -395,12 +380,12 @@ def search(group: pd.DataFrame, share: tuple[int, int]) -> pd.DataFrame:
             if not apart:
                 ok &= ~own[t] | (q < t)
             q, t = q[ok], t[ok]
-            if len(q):
-                number, first = common.of(q, t)
-                most = number + np.where(end[q] <= end[t], rest[q], rest[t])
-                ok = (first == token[g.start]) & (most * p_q >= share[0] * (sizes[q] + sizes[t]))
-                found += [(ids[a], ids[b], sizes[a], sizes[b]) for a, b in zip(q[ok], t[ok])]
-    return pd.DataFrame(found, columns=["a", "b", "n_a", "n_b"])
+            for j in range(0, len(q), 1 << 14):
+                a, b = q[j:j + (1 << 14)], t[j:j + (1 << 14)]
+                before = (heads[a][:, :, None] == heads[b][:, None, :]) & (heads[a] < token[g.start])[:, :, None]
+                a, b = (v[~before.any(axis=(1, 2))] for v in (a, b))
+                found.append(pd.DataFrame({"a": np.minimum(ids[a], ids[b]), "b": np.maximum(ids[a], ids[b])}))
+    return pd.concat(found) if found else pd.DataFrame(columns=["a", "b"])
 
 
 def _far(members: DataFrame, label: DataFrame, source: DataFrame, kind: str, sets, share, block: int) -> DataFrame:
@@ -408,9 +393,10 @@ def _far(members: DataFrame, label: DataFrame, source: DataFrame, kind: str, set
     rows = members.select("id", "n", F.explode("tokens").alias("token")).join(label, "id")
     open_ = rows.groupBy("token").agg(F.min("cluster").alias("low"), F.max("cluster").alias("high")).where("low <> high").select("token")
     rows = saved(rows.join(open_, "token"))
-    # what a set can share with a set of another cluster
+    # what a set can share with a set of another cluster, behind the facts that bound the rest
     facts = rows.groupBy("id").agg(F.array_sort(F.collect_set("token")).alias("open"))
-    facts = members.join(facts, "id").select("id", "n", (F.col("n") - F.col("p")).alias("rest"), "end", "point", "open")
+    facts = saved(members.join(facts, "id").select("id", "n", (F.col("n") - F.col("p")).alias("rest"), "end", "point", F.size("open").alias("few"),
+                                                   F.slice("open", 1, FIRST).alias("first"), "open"))
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(BAND)).cast("int")
     # a set meets its own band, and as the smaller one the next
     rows = rows.withColumn("own", band).withColumn("band", F.explode(F.array("own", F.col("own") + 1)))
@@ -421,10 +407,17 @@ def _far(members: DataFrame, label: DataFrame, source: DataFrame, kind: str, set
     rows = saved(rows.join(live, ["token", "band"]).select("id", "cluster", "token", "band", "cut", (F.col("own") == F.col("band")).alias("own")))
     rows = in_cells(rows)
     shards = _shards(rows, 2 * block)
-    pairs = rows.join(facts, "id").groupBy(F.pmod(F.xxhash64("token", "band", "x", "y"), F.lit(shards))).applyInPandas(
-        lambda group: search(group, share), f"a {kind}, b {kind}, n_a long, n_b long")
-    pairs = saved(pairs)
-    bodies = members.where("body is not null").select("id", "body")
+    pairs = rows.join(facts.drop("open"), "id").groupBy(F.pmod(F.xxhash64("token", "band", "x", "y"), F.lit(shards))).applyInPandas(
+        lambda group: search(group, share), f"a {kind}, b {kind}")
+    pairs = saved(pairs.distinct())
+
+    def possible(x: np.ndarray, y: np.ndarray) -> bool:
+        common = overlap(x[3:], y[3:])
+        return common + (x[1] if x[2] <= y[2] else y[1]) >= need(x[0], y[0], share)
+
+    heads = facts.select("id", (F.col("few") + 3).cast("long").alias("size"), F.concat(F.array("n", "rest", "end"), "open").alias("body"))
+    pairs = tested(pairs, heads, label, possible)
+    bodies = members.where("body is not null").select("id", F.col("n").alias("size"), "body")
     lacking = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct().join(bodies.select("id"), "id", "left_anti")
     if lacking.take(1):
         bodies = bodies.union(made(source.join(lacking, "id").dropDuplicates(["id"]), sets, kind))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,9 +31,14 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def views(column: pa.Array | pa.ChunkedArray) -> list[np.ndarray]:
-    """Each binary value as 64-bit numbers, without a copy."""
+    """Each value, a list of 64-bit numbers or their bytes, as an array without a copy."""
     out = []
     for chunk in column.chunks if isinstance(column, pa.ChunkedArray) else [column]:
+        if pa.types.is_list(chunk.type):
+            at = chunk.offsets.to_numpy()
+            values = chunk.values.to_numpy()
+            out += [values[a:b] for a, b in zip(at.tolist(), at[1:].tolist())]
+            continue
         chunk = chunk.cast(pa.large_binary())
         at = np.frombuffer(chunk.buffers()[1], np.int64)[chunk.offset:chunk.offset + len(chunk) + 1].tolist()
         data = chunk.buffers()[2]
@@ -41,20 +46,26 @@ def views(column: pa.Array | pa.ChunkedArray) -> list[np.ndarray]:
     return out
 
 
-def verified(pairs: DataFrame, bodies: DataFrame, label: DataFrame, share: tuple[int, int], side: int = SIDE, load: int = LOAD) -> DataFrame:
-    """(a, b) of the pairs whose sets are similar enough.
+def linked(x: np.ndarray, y: np.ndarray, share: tuple[int, int]) -> bool:
+    return overlap(x, y) >= need(len(x), len(y), share)
 
-    ``pairs`` has a, b, n_a, n_b (sizes) once each, ``bodies`` has id and body (a sorted set as bytes), ``label`` id and cluster.
-    Sets of a cluster sit together, ``side`` at a time; a cell is a pair of seats, so a set goes to as many tasks as its partners have seats.
+
+def tested(pairs: DataFrame, bodies: DataFrame, label: DataFrame, test: Callable[[np.ndarray, np.ndarray], bool], side: int = SIDE,
+           load: int = LOAD) -> DataFrame:
+    """The pairs whose bodies pass ``test``.
+
+    ``pairs`` has a, b once each, ``bodies`` has id, size (in numbers) and body, ``label`` id and cluster. Bodies of a cluster sit together,
+    ``side`` at a time; a cell is a pair of seats, so a body goes to as many tasks as its partners have seats.
     """
-    kind = bodies.schema["id"].dataType.simpleString()
     sizes = label.groupBy("cluster").count().select("cluster", F.ceil(F.col("count") / side).cast("int").alias("cuts"))
     seat = label.join(sizes, "cluster").select("id", F.xxhash64("cluster", F.pmod(F.xxhash64("id"), F.col("cuts"))).alias("seat"))
+    kind = pairs.schema
+    met = pairs
     for x in "ab":
-        pairs = pairs.join(seat.select(F.col("id").alias(x), F.col("seat").alias(f"seat_{x}")), x)
-    met = saved(pairs.select("a", "b", "n_a", "n_b", F.xxhash64(F.least("seat_a", "seat_b"), F.greatest("seat_a", "seat_b")).alias("cell")))
-    ends = met.select("cell", F.col("a").alias("id"), F.col("n_a").alias("n")).union(met.select("cell", "b", "n_b")).distinct()
-    size = ends.agg((F.coalesce(F.sum("n"), F.lit(0)) * 8).alias("bytes")).first()["bytes"]
+        met = met.join(seat.select(F.col("id").alias(x), F.col("seat").alias(f"seat_{x}")), x)
+    met = saved(met.select(*pairs.columns, F.xxhash64(F.least("seat_a", "seat_b"), F.greatest("seat_a", "seat_b")).alias("cell")))
+    ends = met.select("cell", F.col("a").alias("id")).union(met.select("cell", "b")).distinct()
+    size = ends.join(bodies.select("id", "size"), "id").agg((F.coalesce(F.sum("size"), F.lit(0)) * 8).alias("bytes")).first()["bytes"]
     shards = max(1, math.ceil(size / load), math.ceil(met.count() / PAIRS))
     shard = F.pmod("cell", F.lit(shards)).alias("shard")
     sent = ends.select(shard, "id").distinct().join(bodies, "id").select("shard", "id", "body")
@@ -62,28 +73,34 @@ def verified(pairs: DataFrame, bodies: DataFrame, label: DataFrame, share: tuple
     def check(left: pa.Table, right: pa.Table) -> pa.Table:
         at = {x: i for i, x in enumerate(right["id"].to_pylist())}
         sets = views(right["body"])
-        keep = np.zeros(len(left), bool)
-        for i, (a, b) in enumerate(zip(left["a"].to_pylist(), left["b"].to_pylist())):
-            x, y = sets[at[a]], sets[at[b]]
-            keep[i] = overlap(x, y) >= need(len(x), len(y), share)
-        return left.select(["a", "b"]).filter(pa.array(keep))
+        keep = [test(sets[at[a]], sets[at[b]]) for a, b in zip(left["a"].to_pylist(), left["b"].to_pylist())]
+        return left.select(kind.names).filter(pa.array(keep, pa.bool_()))
+
+    return saved(met.select(shard, *pairs.columns).groupBy("shard").cogroup(sent.groupBy("shard")).applyInArrow(check, kind))
 
-    found = met.select(shard, "a", "b").groupBy("shard").cogroup(sent.groupBy("shard")).applyInArrow(check, f"a {kind}, b {kind}")
-    return saved(found)
+
+def verified(pairs: DataFrame, bodies: DataFrame, label: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """(a, b) of the pairs whose sets are similar enough. ``bodies`` (id, size, body) holds sorted sets as bytes."""
+    return tested(pairs.select("a", "b"), bodies, label, lambda x, y: linked(x, y, share))
 
 
 def made(texts: DataFrame, sets, kind: str) -> DataFrame:
-    """(id, body) of (id, text) by ``sets`` (batch, column) -> (row, set)."""
+    """(id, size, body) of (id, text) by ``sets`` (batch, column) -> (row, set)."""
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, bodies, held = [], [], 0
+
+            def done():
+                ids = batch.column(0).take(pa.array(rows, pa.int64()))
+                return pa.RecordBatch.from_arrays([ids, pa.array([len(b) // 8 for b in bodies], pa.int64()), pa.array(bodies, pa.binary())], ["id", "size", "body"])
+
             for i, s in sets(batch, 1):
                 rows.append(i)
                 bodies.append(s.tobytes())
                 held += s.nbytes
                 if held > LOAD:
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(bodies, pa.binary())], ["id", "body"])
+                    yield done()
                     rows, bodies, held = [], [], 0
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(bodies, pa.binary())], ["id", "body"])
+            yield done()
 
-    return texts.select("id", "text").mapInArrow(build, f"id {kind}, body binary")
+    return texts.select("id", "text").mapInArrow(build, f"id {kind}, size long, body binary")
