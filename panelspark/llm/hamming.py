@@ -29,7 +29,7 @@ from panelspark.llm.graph import components
 from panelspark.llm.jaccard import BLOCK, _groups, _near, _sets, _shards, _tokens, clustered, in_cells, print_of
 from panelspark.llm.retrieval import BROADCAST, offered, present
 from panelspark.llm.tables import saved
-from panelspark.llm.verify import made, need, overlap, verified, views
+from panelspark.llm.verify import need, overlap, verified
 from panelspark.llm.words import mix
 
 CHUNKS, WIDTH, ERRORS = 16, 6, 1
@@ -39,6 +39,8 @@ FAR = 46
 PIECE = 1 << 13
 #: Hashes of texts (8 bytes each) that go to all tasks, to find those whose sets are needed; for more, texts are joined by a shuffle.
 SENT = 4_000_000
+#: Bytes of sets that one batch holds.
+PART = 4 << 20
 
 _SEEDS = mix(np.arange(1, CHUNKS * WIDTH + 1, dtype=np.uint64)) | np.uint64(1)
 #: Kept bytes of a chunk for every choice of those that may differ.
@@ -105,7 +107,7 @@ def search(group: pd.DataFrame) -> pd.DataFrame:
     group = group.sort_values(["token", "x", "y", "cluster", "id"])
     mark = group[["token", "x", "y"]].ne(group[["token", "x", "y"]].shift()).any(axis=1).cumsum().to_numpy()
     s = np.stack([np.frombuffer(b, np.uint8) for b in group["sig"]])
-    ids, n, cluster, side, x, y, token = (group[c].to_numpy() for c in ("id", "n", "cluster", "side", "x", "y", "token"))
+    ids, cluster, side, x, y, token = (group[c].to_numpy() for c in ("id", "cluster", "side", "x", "y", "token"))
     found = []
 
     def compare(a: np.ndarray, b: np.ndarray, key: int):
@@ -123,7 +125,7 @@ def search(group: pd.DataFrame) -> pd.DataFrame:
             p, q, first = p[ok], q[ok], first[ok]
             if len(p):
                 here = keys(s[p])[np.arange(len(p)), first].view(np.int64) == key
-                found.extend(zip(ids[p[here]], ids[q[here]], n[p[here]], n[q[here]]))
+                found.extend(zip(ids[p[here]], ids[q[here]]))
 
     for g in _groups(mark):
         rows = np.arange(g.start, g.stop)
@@ -134,7 +136,7 @@ def search(group: pd.DataFrame) -> pd.DataFrame:
             continue
         for c in _groups(cluster[g]):  # rows of a cluster stand together and meet those of later ones
             compare(rows[c], rows[c.stop:], token[g.start])
-    return pd.DataFrame(found, columns=["a", "b", "n_a", "n_b"])
+    return pd.DataFrame(found, columns=["a", "b"])
 
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 2, share: tuple[int, int] = (4, 5), block: int = BLOCK,
@@ -179,10 +181,14 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int
 
     def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                all_ = keys(np.frombuffer(batch.column(1)[i].as_buffer(), np.uint8)[None])[0]
-                own = all_[present(all_, known(batch.column(2)[i]))]
-                yield pa.RecordBatch.from_arrays([pa.repeat(batch.column(0)[i], len(own)), pa.array(own.view(np.int64))], ["id", "token"])
+            if not batch.num_rows:
+                continue
+            all_ = keys(np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(batch.num_rows, -1))
+            if batch.column(2).null_count == batch.num_rows:  # all rows look for the same keys
+                own = present(all_.ravel(), known(None)).reshape(all_.shape)
+            else:
+                own = np.stack([present(row, known(batch.column(2)[i])) for i, row in enumerate(all_)])
+            yield pa.RecordBatch.from_arrays([pa.array(batch.column(0).to_numpy()[own.nonzero()[0]]), pa.array(all_[own].view(np.int64))], ["id", "token"])
 
     held = saved(marks.select("id", "sig", "own").mapInArrow(hold, "id long, token long"))
     members = classes.join(held.select("id").distinct(), "id")
@@ -194,9 +200,9 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int
     stats = met.groupBy("token").agg(F.min("cluster").alias("low"), F.max("cluster").alias("high"), F.count("*").alias("k"))
     cut = stats.where("low <> high").select("token", F.ceil(F.col("k") / block).cast("int").alias("cut"))
     met = saved(in_cells(met.join(cut, "token")))
-    pairs = saved(met.join(members.select("id", "n", "sig"), "id").groupBy(F.pmod(F.xxhash64("token", "x", "y"), F.lit(_shards(met, 2 * block))))
-                  .applyInPandas(search, "a long, b long, n_a long, n_b long"))
-    far = verified(pairs, members.select("id", "body"), label, share)
+    pairs = saved(met.join(members.select("id", "sig"), "id").groupBy(F.pmod(F.xxhash64("token", "x", "y"), F.lit(_shards(met, 2 * block))))
+                  .applyInPandas(search, "a long, b long"))
+    far = verified(pairs, members.select("id", F.col("n").alias("size"), "body"), label, share)
     # texts of one key belong together
     again = rows.where("n > 0 and key is not null").groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count_distinct("id").alias("k"))
     several = again.where("k > 1").select("key", "a")
@@ -213,23 +219,26 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int
 
 
 def _bodies(source: DataFrame, wanted: DataFrame, k: int, sent: int) -> DataFrame:
-    """(id, body) of the classes whose texts have a hash in ``wanted``, each once."""
+    """(id, body) of the classes whose texts have a hash in ``wanted``, each once. One Python step, as each has workers of its own."""
+    hashes = None
     if wanted.count() <= sent:
         hashes = source.sparkSession.sparkContext.broadcast(np.sort(wanted.toArrow()["hash"].to_numpy().view(np.uint64)))
-
-        def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                ok = pa.array(present(batch.column(0).to_numpy().view(np.uint64), hashes.value))
-                yield pa.RecordBatch.from_arrays([c.filter(ok) for c in batch.columns], ["id", "text"])
-
-        texts = source.select("hash", "text").mapInArrow(pick, "id long, text binary")
     else:
-        texts = source.join(wanted, "hash", "left_semi").select(F.col("hash").alias("id"), "text")
+        source = source.join(wanted, "hash", "left_semi")
 
-    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [print_of(b)[0] for b in views(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), batch.column(1)], ["id", "body"])
-
-    sets = made(texts, lambda batch, column: _sets(batch, column, k), "long").mapInArrow(name, "id long, body binary")
-    return sets.dropDuplicates(["id"])
+            texts = batch.column(1)
+            if hashes is not None:
+                texts = texts.filter(pa.array(present(batch.column(0).to_numpy().view(np.uint64), hashes.value)))
+            ids, bodies, held = [], [], 0
+            for _, s in _sets(pa.RecordBatch.from_arrays([texts], ["text"]), 0, k):
+                ids.append(print_of(s)[0])
+                bodies.append(s.tobytes())
+                held += s.nbytes
+                if held > PART:
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(bodies, pa.binary())], ["id", "body"])
+                    ids, bodies, held = [], [], 0
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(bodies, pa.binary())], ["id", "body"])
+
+    return source.select("hash", "text").mapInArrow(build, "id long, body binary").dropDuplicates(["id"])
