@@ -22,6 +22,14 @@ def unpack(packed, m: int) -> np.ndarray:
     return out
 
 
+def scaled_inverse(a: np.ndarray, rcond: float = 1e-11) -> np.ndarray:
+    """Pseudo-inverse of each symmetric matrix after scaling its diagonal to one."""
+    d = np.sqrt(np.einsum("bii->bi", a))
+    d = np.where(d > 0, d, 1.0)
+    d = d[:, :, None] * d[:, None, :]
+    return np.linalg.pinv(a / d, rcond=rcond, hermitian=True) / d
+
+
 def least_squares(gram: np.ndarray, xs: list[int], y: int, rcond: float = 1e-11):
     """Coefficients, residual sum of squares and inverse of X'X for each matrix.
 
@@ -29,10 +37,7 @@ def least_squares(gram: np.ndarray, xs: list[int], y: int, rcond: float = 1e-11)
     """
     a = gram[:, xs][:, :, xs]
     r = gram[:, xs, y]
-    d = np.sqrt(np.einsum("bii->bi", a))
-    d = np.where(d > 0, d, 1.0)
-    inv = np.linalg.pinv(a / (d[:, :, None] * d[:, None, :]), rcond=rcond, hermitian=True)
-    inv = inv / (d[:, :, None] * d[:, None, :])
+    inv = scaled_inverse(a, rcond)
     beta = np.einsum("bij,bj->bi", inv, r)
     rss = gram[:, y, y] - 2 * np.einsum("bi,bi->b", beta, r) + np.einsum("bi,bij,bj->b", beta, a, beta)
     return beta, np.maximum(rss, 0.0), inv

@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelspark.functions.dist import f_sf, norm_sf
-from panelspark.functions.series import sliding
-from panelspark.functions.solve import least_squares, none_if_nan, unpack
+from panelspark.functions.series import period_index, sliding
+from panelspark.functions.solve import least_squares, none_if_nan, scaled_inverse, unpack
 from panelspark.operators.audit import month_distance
 from panelspark.operators.clean import all_known
-from panelspark.operators.gram import add_arrays, cross_before, gram, hac_fit, per_row, prefix_gram, wald_f, with_const
+from panelspark.operators.expanding import SPAN, expanding
+from panelspark.operators.gram import add_arrays, gram, prefix_gram, with_const
 from panelspark.schema import attach
 
 # Asymptotic critical values of sup-F by trimming share and number of restrictions (Andrews 1993, Table I),
@@ -92,49 +93,193 @@ def _finish(df: DataFrame, k: int, nuisance: int = 0) -> DataFrame:
         "error", F.when(small, F.format_string("sub-sample too small (pre=%d, post=%d)", "n_pre", "n_post")))
 
 
+def _moment_pairs(k: int) -> list[tuple[int, int]]:
+    """Column pairs of the products v = (x_a x_c, x_a y); column k is the response."""
+    return [(a, c) for a in range(k) for c in range(a, k)] + [(a, k) for a in range(k)]
+
+
+def _moment_rows(df: DataFrame, y: str, xs: Sequence[str], keys: Sequence[str], lags: int, nuisance: Sequence | None = None):
+    """Usable rows for ``_products``: columns (constant, xs, period dummy, response) with their lags and the rows around each row.
+
+    Returns (rows with a period number ``_tag`` and ``near``, names of the lagged columns, means and deviations per key). xs and response are
+    standardised per key, which changes no joint test of all coefficients and keeps sums of fourth powers exact.
+    """
+    names = [*xs, y]
+    rows = df.filter(all_known(names)).select(*keys, "ts", *names)
+    stats = rows.groupBy(*keys).agg(*[f(c).alias(f"_{o}_{c}") for c in names for o, f in (("m", F.avg), ("s", F.stddev_pop))])
+    stats = stats.select(*keys, F.array(*[F.col(f"_m_{c}") for c in names]).alias("mean"),
+                         F.array(*[F.when(F.col(f"_s_{c}") > 0, F.col(f"_s_{c}")).otherwise(F.lit(1.0)) for c in names]).alias("sd"))
+    period = [] if nuisance is None else [F.col("ts").between(F.lit(nuisance[0]), F.lit(nuisance[1])).cast("double").alias("_period")]
+    columns = ["const", *xs, *(["_period"] if period else []), y]
+    scaled = rows.join(stats, list(keys)).select(*keys, "ts", F.lit(1.0).alias("const"), *period,
+                                                 *[((F.col(c) - F.col("mean")[i]) / F.col("sd")[i]).alias(c) for i, c in enumerate(names)])
+
+    def build(w):
+        out = {f"_l{lag}_{c}": F.lag(c, lag, 0.0).over(w) for lag in range(1, lags + 1) for c in columns}
+        return out | {f"_a{at}_{c}": F.lead(c, at, 0.0).over(w) for at in range(1, lags) for c in columns}
+
+    ready = sliding(scaled, keys, build, back=lags, ahead=lags).withColumn("_tag", period_index("ts"))
+    lagged = [*columns, *[f"_l{lag}_{c}" for lag in range(1, lags + 1) for c in columns]]
+    around = [*[f"_l{lag}_{c}" for lag in range(lags, 0, -1) for c in columns], *columns, *[f"_a{at}_{c}" for at in range(1, lags) for c in columns]]
+    return ready.withColumn("near", F.array(*around)), lagged, stats
+
+
+def _products(k: int, lags: int):
+    """Products v of every row and those of the rows 0 to ``lags`` before it."""
+    first, second = zip(*_moment_pairs(k))
+
+    def factors(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        x = x.reshape(len(x), lags + 1, k + 1)
+        v = x[:, :, list(first)] * x[:, :, list(second)]
+        return v[:, 0], v.reshape(len(x), (lags + 1) * len(first))
+
+    return factors
+
+
+def _inverse_or_nan(a: np.ndarray) -> np.ndarray:
+    try:
+        return np.linalg.inv(a)
+    except np.linalg.LinAlgError:
+        out = np.full(a.shape, np.nan)
+        for i, m in enumerate(a):
+            if np.isfinite(m).all() and np.linalg.matrix_rank(m) == len(m):
+                out[i] = np.linalg.inv(m)
+        return out
+
+
+def _hac_at(before: np.ndarray, total: np.ndarray, near: np.ndarray, k: int, lags: int, pre: np.ndarray, post: np.ndarray):
+    """Coefficients (r, d) and their Newey-West covariance (r, d, d) at each of r dates.
+
+    ``before`` (r, size, size * (lags + 1)) and ``total`` hold sums of v_t v_{t-l}' for all lags l, ``near`` (r, 2 lags, k + 1) the rows around
+    each date. A row's regressors are ``pre`` or ``post`` (d, k) times its k columns, by its side of the date. Scores are linear in v, so
+    every autocovariance of the scores follows from the sums. Pairs that straddle the date come from the nearby rows.
+    """
+    pairs = _moment_pairs(k)
+    index = {p: i for i, p in enumerate(pairs)}
+    size = len(pairs)
+    square, right = [[index[min(i, j), max(i, j)] for j in range(k)] for i in range(k)], [index[i, k] for i in range(k)]
+    own, to = (before, total - before), (pre, post)
+    sums = [o[:, 0, :size] for o in own]
+    inv = scaled_inverse(sum(m @ s[:, square] @ m.T for m, s in zip(to, sums)))
+    beta = (inv @ sum(m @ s[:, right, None] for m, s in zip(to, sums)))[:, :, 0]
+    lift = []
+    for m in to:
+        gamma = beta @ m
+        up = np.zeros((len(before), k, size))
+        for i in range(k):
+            up[:, i, right[i]] = 1.0
+            for j in range(k):
+                up[:, i, square[i][j]] -= gamma[:, j]
+        lift.append(m @ up)
+    around = near[:, :, [a for a, _ in pairs]] * near[:, :, [c for _, c in pairs]]       # v of rows -lags .. lags - 1
+    meat = np.zeros((len(before), len(pre), len(pre)))
+    for lag in range(lags + 1):
+        block = slice(lag * size, (lag + 1) * size)
+        straddle = around[:, lags:lags + lag].transpose(0, 2, 1) @ around[:, lags - lag:lags]
+        g = lift[0] @ own[0][:, :, block] @ lift[0].transpose(0, 2, 1)
+        g += lift[1] @ (own[1][:, :, block] - straddle) @ lift[1].transpose(0, 2, 1)
+        if lag:
+            g += lift[1] @ straddle @ lift[0].transpose(0, 2, 1)
+            g = (1 - lag / (lags + 1)) * (g + g.transpose(0, 2, 1))
+        meat += g
+    return beta, inv @ meat @ inv
+
+
+def _wald(beta: np.ndarray, cov: np.ndarray, tested: slice) -> np.ndarray:
+    """Wald statistic of 'the tested coefficients are zero' by their number; NaN if the covariance is singular."""
+    b, v = beta[:, tested], cov[:, tested, tested]
+    return np.einsum("bi,bij,bj->b", b, _inverse_or_nan(v), b) / b.shape[1]
+
+
+def _shifted(k: int, nuisance: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Regressors (k columns, the same after the date, nuisance columns) from the columns of a row before and after the date."""
+    pre, post = np.zeros((2 * k + nuisance, k + nuisance)), np.zeros((2 * k + nuisance, k + nuisance))
+    for m in (pre, post):
+        m[:k, :k] = np.eye(k)
+        m[2 * k:, k:] = np.eye(nuisance)
+    post[k:2 * k, :k] = np.eye(k)
+    return pre, post
+
+
+def _near_rows(frame: pd.DataFrame, lags: int, k: int) -> np.ndarray:
+    return np.stack([np.zeros((2 * lags, k + 1)) if v is None else np.asarray(v, float).reshape(2 * lags, k + 1) for v in frame["near"]]) \
+        if len(frame) else np.zeros((0, 2 * lags, k + 1))
+
+
+def _at_breaks(df: DataFrame, y: str, xs: Sequence[str], breaks: Sequence[Sequence], lags: int, keys: Sequence[str], fields, solve, nuisance=None) -> DataFrame:
+    """(keys, break_name, break_date, fields): ``solve`` on the sums before each break. History is read once, whatever the number of breaks."""
+    keys = list(keys)
+    ready, lagged, stats = _moment_rows(df, y, xs, keys, lags, nuisance)
+    k = 1 + len(xs) + (nuisance is not None)
+    firsts = ready.groupBy(*keys).agg(*[F.min_by("near", F.when(F.col("ts") >= F.lit(d), F.col("ts"))).alias(f"_n{i}") for i, (_, d) in enumerate(breaks)])
+    named = [F.struct(F.lit(n).alias("break_name"), F.lit(d).cast("date").alias("break_date"), period_index(F.date_sub(F.lit(d), 1)).alias("_tag"), F.col(f"_n{i}").alias("near"))
+             for i, (n, d) in enumerate(breaks)]
+    targets = firsts.select(*keys, F.explode(F.array(*named)).alias("_p")).select(*keys, "_p.*").join(stats, keys)
+    head = [T.StructField("break_name", T.StringType()), T.StructField("break_date", T.DateType())]
+    return expanding(ready, keys, lagged, [_products(k, lags)], "_tag", targets, [*head, *fields], solve)
+
+
 def chow_hac(df: DataFrame, y: str, xs: Sequence[str], breaks: Sequence[Sequence], lags: int = HAC_LAGS, nuisance: Sequence | None = None,
              keys=("entity",)) -> DataFrame:
-    """Chow test as a Wald test on dummy interactions with a Newey-West covariance.
+    """Chow test as a Wald test on dummy interactions with a Newey-West covariance; no row is repeated per break.
 
     ``nuisance`` (start, end) adds a period dummy that is estimated but not tested; its coefficient is reported.
     """
-    rows = _usable(df, y, xs, keys)
-    base = ["const", *xs]
-    k = len(base)
-    fan = attach(rows, [(n, d) for n, d in breaks], ["break_name", "break_date"])
-    after = (F.col("ts") >= F.col("break_date")).cast("double")
-    fan = fan.select("*", *[(after * F.col(c)).alias(f"D_{c}") for c in base])
-    design = [*base, *[f"D_{c}" for c in base]]
-    if nuisance is not None:
-        fan = fan.withColumn("_period", F.col("ts").between(F.lit(nuisance[0]), F.lit(nuisance[1])).cast("double"))
-        design.append("_period")
-    by = [*keys, "break_name", "break_date"]
-    fit = hac_fit(fan, by, y, design, lags)
-    sizes = fan.groupBy(*by).agg(F.count_if(F.col("ts") < F.col("break_date")).alias("n_pre"))
-    out = fit.join(sizes, by).withColumn("F", wald_f(F.col("beta"), F.col("cov"), len(design), range(k, 2 * k)))
-    extra = []
-    if nuisance is not None:
-        last = len(design) - 1
-        out = out.withColumn("period_coef", F.col("beta")[last]).withColumn("period_se", F.sqrt(F.col("cov")[last * len(design) + last]))
-        extra = ["period_coef", "period_se"]
-    return _finish(out.select(*by, "F", F.col("n").alias("n_total"), "n_pre", *extra), k, 1 if nuisance is not None else 0)
+    k, extra = 1 + len(xs), int(nuisance is not None)
+    pre, post = _shifted(k, extra)
+
+    def solve(sums, totals, frame):
+        n_pre = sums[0][:, 0, 0]
+        beta, cov = _hac_at(sums[0], totals[0], _near_rows(frame, lags, k + extra), k + extra, lags, pre, post)
+        out = frame[["break_name", "break_date"]].copy()
+        out["F"] = pd.Series([none_if_nan(v) for v in _wald(beta, cov, slice(k, 2 * k))], dtype=object, index=out.index)
+        out["n_total"], out["n_pre"] = int(round(totals[0][0, 0])), np.round(n_pre).astype(np.int64)
+        if extra:
+            sd = np.array([v[-1] for v in frame["sd"]])
+            out["period_coef"], out["period_se"] = beta[:, -1] * sd, np.sqrt(cov[:, -1, -1]) * sd
+        return out
+
+    fields = [T.StructField("F", T.DoubleType()), T.StructField("n_total", T.LongType()), T.StructField("n_pre", T.LongType()),
+              *[T.StructField(c, T.DoubleType()) for c in ("period_coef", "period_se")[:2 * extra]]]
+    return _finish(_at_breaks(df, y, xs, breaks, lags, keys, fields, solve, nuisance), k, extra)
 
 
 def coef_shift(df: DataFrame, y: str, xs: Sequence[str], breaks: Sequence[Sequence], lags: int = HAC_LAGS, keys=("entity",)) -> DataFrame:
-    """Each coefficient before and after each break, with robust errors, difference and z statistic."""
+    """Each coefficient before and after each break, with robust errors, difference and z statistic, from the same sums as ``chow_hac``."""
     base = ["const", *xs]
     k = len(base)
-    fan = attach(_usable(df, y, xs, keys), [(n, d) for n, d in breaks], ["break_name", "break_date"])
-    fan = fan.withColumn("side", F.when(F.col("ts") < F.col("break_date"), "pre").otherwise("post"))
-    by = [*keys, "break_name", "break_date"]
-    fit = hac_fit(fan, [*by, "side"], y, base, lags).filter(F.col("n") > k)
-    rows = F.array(*[F.struct(F.lit(c).alias("variable"), F.col("beta")[i].alias("coef"), F.sqrt(F.col("cov")[i * k + i]).alias("se")) for i, c in enumerate(base)])
-    long = fit.select(*by, "side", "n", F.explode(rows).alias("_p")).select(*by, "side", "n", "_p.*")
 
-    def side(s):
-        return [F.max(F.when(F.col("side") == s, F.col(c))).alias(f"{o}_{s}") for c, o in (("coef", "coef"), ("se", "se"), ("n", "n"))]
-
-    wide = long.groupBy(*by, "variable").agg(*side("pre"), *side("post")).filter(F.col("n_pre").isNotNull() & F.col("n_post").isNotNull())
+    def raw(beta, cov, frame):
+        """Coefficients and errors in the units of the data."""
+        mean, sd = (np.stack([np.asarray(v, float) for v in frame[c]]) for c in ("mean", "sd"))
+        back = np.zeros((len(frame), k, k))
+        back[:, 0, 0] = sd[:, -1]
+        for j in range(1, k):
+            back[:, j, j] = sd[:, -1] / sd[:, j - 1]
+            back[:, 0, j] = -mean[:, j - 1] * back[:, j, j]
+        coef = (back @ beta[:, :, None])[:, :, 0]
+        coef[:, 0] += mean[:, -1]
+        return coef, np.sqrt(np.einsum("bij,bjk,bik->bi", back, cov, back))
+
+    def solve(sums, totals, frame):
+        n = {"pre": sums[0][:, 0, 0], "post": totals[0][0, 0] - sums[0][:, 0, 0]}
+        near, out = _near_rows(frame, lags, k), []
+        enough = (n["pre"] > k) & (n["post"] > k)
+        frame, near, sums = frame[enough], near[enough], sums[0][enough]
+        if not len(frame):
+            return pd.DataFrame(columns=[f.name for f in [*head, *fields]])
+        sides = {s: raw(*_hac_at(sums, totals[0], near, k, lags, np.eye(k) * (s == "pre"), np.eye(k) * (s == "post")), frame) for s in n}
+        for j, name in enumerate(base):
+            part = frame[["break_name", "break_date"]].copy()
+            part["variable"] = name
+            for s in n:
+                part[f"coef_{s}"], part[f"se_{s}"], part[f"n_{s}"] = sides[s][0][:, j], sides[s][1][:, j], np.round(n[s][enough]).astype(np.int64)
+            out.append(part)
+        return pd.concat(out)
+
+    head = [T.StructField("break_name", T.StringType()), T.StructField("break_date", T.DateType())]
+    fields = [T.StructField("variable", T.StringType()), *[T.StructField(f"{c}_{s}", T.LongType() if c == "n" else T.DoubleType()) for s in ("pre", "post") for c in ("coef", "se", "n")]]
+    wide = _at_breaks(df, y, xs, breaks, lags, keys, fields, solve)
     se = F.sqrt(F.col("se_pre") * F.col("se_pre") + F.col("se_post") * F.col("se_post"))
     delta = F.col("coef_post") - F.col("coef_pre")
     out = wide.withColumn("delta", delta).withColumn("se_delta", se).withColumn("z_stat", F.when(se > 0, delta / se))
@@ -188,89 +333,28 @@ def sup_wald_scan(df: DataFrame, y: str, xs: Sequence[str], pi0: float = 0.15, k
                        _chow(F.col("_pre"), F.col("_all"), m)["F"].alias("wald_f"))
 
 
-def _robust_f(before: np.ndarray, total: np.ndarray, near: np.ndarray, k: int, lags: int) -> float:
-    """Newey-West Wald F of a full coefficient shift from moment sums before the date, of all rows, and the rows around it.
-
-    The scores of a row are linear in its products v = (x_a x_c, x_a y), so every autocovariance of the scores follows
-    from sums of v_t v_{t-l}'. Pairs that straddle the date belong to neither side and come from the nearby rows.
-    """
-    index = {p: i for i, p in enumerate([(a, c) for a in range(k) for c in range(a, k)] + [(a, k) for a in range(k)])}
-    size = len(index)
-    sums = {"pre": before[0, :size], "post": (total - before)[0, :size]}
-    beta, inv, lift = {}, {}, {}
-    for side, s in sums.items():
-        a = np.array([[s[index[min(i, j), max(i, j)]] for j in range(k)] for i in range(k)])
-        inv[side] = np.linalg.inv(a)
-        beta[side] = inv[side] @ np.array([s[index[i, k]] for i in range(k)])
-        lift[side] = np.zeros((k, size))
-        for i in range(k):
-            lift[side][i, index[i, k]] = 1.0
-            for j in range(k):
-                lift[side][i, index[min(i, j), max(i, j)]] -= beta[side][j]
-    around = np.array([[row[a] * row[c] for a, c in index] for row in near])       # v of rows -lags .. lags - 1
-    own = {"pre": before, "post": total - before}
-    s11, s22, s21 = np.zeros((k, k)), np.zeros((k, k)), np.zeros((k, k))
-    for lag in range(lags + 1):
-        block = slice(lag * size, (lag + 1) * size)
-        straddle = sum((np.outer(around[lags + i], around[lags + i - lag]) for i in range(lag)), np.zeros((size, size)))
-        weight = 1 - lag / (lags + 1)
-        a = lift["pre"] @ own["pre"][:, block] @ lift["pre"].T
-        b = lift["post"] @ (own["post"][:, block] - straddle) @ lift["post"].T
-        s11 += a if lag == 0 else weight * (a + a.T)
-        s22 += b if lag == 0 else weight * (b + b.T)
-        if lag:
-            s21 += weight * lift["post"] @ straddle @ lift["pre"].T
-    cross = inv["post"] @ s21 @ inv["pre"]
-    var = inv["pre"] @ s11 @ inv["pre"] + inv["post"] @ s22 @ inv["post"] - cross - cross.T
-    delta = beta["post"] - beta["pre"]
-    return float(delta @ np.linalg.solve(var, delta) / k)
-
-
-def robust_sup_wald_scan(df: DataFrame, y: str, xs: Sequence[str], pi0: float = 0.15, lags: int = HAC_LAGS, keys=("entity",)) -> DataFrame:
+def robust_sup_wald_scan(df: DataFrame, y: str, xs: Sequence[str], pi0: float = 0.15, lags: int = HAC_LAGS, keys=("entity",), span: int = SPAN) -> DataFrame:
     """The Newey-West Wald F of ``chow_hac`` at every admissible date, in time linear in the series' length.
 
-    No row is repeated per candidate: running sums of moment products give both sides of every date. Columns are
-    standardised per key first, which leaves the joint test of all coefficients unchanged.
+    No row is repeated per candidate: sums of moment products over blocks, and inside a block over its rows, give both sides of every date.
     """
-    keys, names = list(keys), [*xs, y]
-    rows = df.filter(all_known(names)).select(*keys, "ts", *names)
-    stats = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *[f(c).alias(f"_{o}_{c}") for c in names for o, f in (("m", F.avg), ("s", F.stddev_pop))])
-    scaled = rows.join(stats, keys).select(*keys, "ts", "_n", F.lit(1.0).alias("const"), *[
-        ((F.col(c) - F.col(f"_m_{c}")) / F.when(F.col(f"_s_{c}") > 0, F.col(f"_s_{c}")).otherwise(F.lit(1.0))).alias(c) for c in names])
-    base = ["const", *xs]
-    k = len(base)
-    pairs = [(a, c) for i, a in enumerate(base) for c in base[i:]] + [(a, y) for a in base]
-    products = [f"_v{i}" for i in range(len(pairs))]
-    wide = scaled.select("*", *[(F.col(a) * F.col(c)).alias(v) for v, (a, c) in zip(products, pairs)])
-    around = [*range(-lags, lags)]
-
-    def build(w):
-        out = {f"{v}_{lag}": F.lag(v, lag, 0.0).over(w) for lag in range(1, lags + 1) for v in products}
-        for at in around:
-            for c in (*base, y):
-                out[f"_near{at + lags}_{c}"] = F.lag(c, -at, 0.0).over(w) if at < 0 else F.lead(c, at, 0.0).over(w) if at else F.col(c)
-        return out
-
-    ready = sliding(wide, keys, build, back=lags, ahead=lags)
-    lagged = [*products, *[f"{v}_{lag}" for lag in range(1, lags + 1) for v in products]]
-    sums = cross_before(ready, keys, products, lagged, "ts")
-    near = ready.select(*keys, "ts", "_n", F.array(*[f"_near{at + lags}_{c}" for at in around for c in (*base, y)]).alias("near"))
-    packed = near.join(sums, [*keys, "ts"])
-    i, n = F.col("before")[0], F.col("_n")
-    packed = packed.filter((i >= F.ceil(pi0 * n)) & (i <= F.floor((1 - pi0) * n)))
-    size = len(pairs)
-
-    def stat(before, total, close):
-        b, t = (np.asarray(v, float).reshape(size, size * (lags + 1)) for v in (before, total))
-        n_pre, n_all = b[0, 0], t[0, 0]
-        try:
-            f = none_if_nan(_robust_f(b, t, np.asarray(close, float).reshape(2 * lags, k + 1), k, lags)) if min(n_pre, n_all - n_pre) > k else None
-        except np.linalg.LinAlgError:
-            f = None
-        yield int(round(n_pre)), int(round(n_all)), f
-
-    fields = [T.StructField("n_pre", T.LongType()), T.StructField("n_total", T.LongType()), T.StructField("wald_f", T.DoubleType())]
-    return per_row(packed.select(*keys, "ts", "before", "total", "near"), [*keys, "ts"], fields, stat).withColumnRenamed("ts", "candidate_date")
+    ready, lagged, _ = _moment_rows(df, y, xs, list(keys), lags)
+    k = 1 + len(xs)
+    pre, post = _shifted(k)
+    dates = ready.select(*keys, (F.col("_tag") - 1).alias("_tag"), F.col("ts").alias("candidate_date"), "near")
+
+    def solve(sums, totals, frame):
+        n_pre, n = sums[0][:, 0, 0], totals[0][0, 0]
+        keep = (n_pre >= np.ceil(pi0 * n)) & (n_pre <= np.floor((1 - pi0) * n))
+        frame, before, n_pre = frame[keep], sums[0][keep], n_pre[keep]
+        f = _wald(*_hac_at(before, totals[0], _near_rows(frame, lags, k), k, lags, pre, post), slice(k, 2 * k)) if len(frame) else np.zeros(0)
+        f = np.where(np.minimum(n_pre, n - n_pre) > k, f, np.nan)
+        return pd.DataFrame({"candidate_date": frame["candidate_date"], "n_pre": np.round(n_pre).astype(np.int64), "n_total": int(round(n)),
+                             "wald_f": pd.Series([none_if_nan(v) for v in f], dtype=object, index=frame.index)})
+
+    fields = [T.StructField("candidate_date", ready.schema["ts"].dataType), T.StructField("n_pre", T.LongType()), T.StructField("n_total", T.LongType()),
+              T.StructField("wald_f", T.DoubleType())]
+    return expanding(ready, keys, lagged, [_products(k, lags)], "_tag", dates, fields, solve, span)
 
 
 def scan_summary(scan: DataFrame, k: int, pi0: float = 0.15, keys=("entity",)) -> DataFrame:

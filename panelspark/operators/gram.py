@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,27 +44,23 @@ def gram(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFram
     return _gram_wide(df, keys, columns)
 
 
-def _partials(df: DataFrame, keys: Sequence[str], columns: Sequence[str], others: Sequence[str] | None = None) -> DataFrame:
-    """One partial matrix per key and task (map-side combine), so a hot key shuffles no more than a cold one.
-
-    The packed upper triangle of the products of ``columns``, or with ``others`` all products of the two lists, row by row.
-    """
+def _partials(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """One packed partial matrix per key and task (map-side combine), so a hot key shuffles no more than a cold one."""
     keys, columns = list(keys), list(columns)
-    right = list(others) if others is not None else columns
     upper = np.triu_indices(len(columns))
     schema = T.StructType([*[df.schema[k] for k in keys], T.StructField("g", DOUBLES)])
 
     def flush(held):
-        rows = [(*k, m[upper].tolist() if others is None else m.ravel().tolist()) for k, m in held.items()]
+        rows = [(*k, m[upper].tolist()) for k, m in held.items()]
         return pd.DataFrame(rows, columns=[*keys, "g"])
 
     def reduce(batches):
         held: dict = {}
         for batch in batches:
-            x, z = batch[columns].to_numpy(float), batch[right].to_numpy(float)
+            x = batch[columns].to_numpy(float)
             for key, rows in batch.groupby(keys, sort=False, dropna=False).indices.items():
                 key = key if isinstance(key, tuple) else (key,)
-                part = x[rows].T @ z[rows]
+                part = x[rows].T @ x[rows]
                 held[key] = held[key] + part if key in held else part
                 if len(held) > HELD:
                     yield flush(held)
@@ -72,7 +68,7 @@ def _partials(df: DataFrame, keys: Sequence[str], columns: Sequence[str], others
         if held:
             yield flush(held)
 
-    return df.select(*keys, *dict.fromkeys([*columns, *right])).mapInPandas(reduce, schema)
+    return df.select(*keys, *columns).mapInPandas(reduce, schema)
 
 
 def _gram_wide(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
@@ -91,34 +87,6 @@ def prefix_gram(df: DataFrame, keys: Sequence[str], columns: Sequence[str], ts:
     return out.select(*df.columns, F.array(*names).alias("g"))
 
 
-def gram_up_to(df: DataFrame, keys: Sequence[str], columns: Sequence[str], tag: str, at: DataFrame) -> DataFrame:
-    """(keys, tag, g): sums over all rows whose tag is not larger, at every tag of ``at`` (keys, tag) with any such row.
-
-    Rows are read once; the size is tags x columns^2. The first column must be constant. A tag without rows of its own (a gap just
-    before an origin) gets what was summed up before it.
-    """
-    per_tag = gram(df, [*keys, tag], columns)
-    size = len(columns) * (len(columns) + 1) // 2
-    asked = at.select(*keys, F.col(tag).cast(df.schema[tag].dataType).alias(tag)).distinct()
-    cells = per_tag.select(*keys, tag, F.posexplode("g").alias("pos", "v")).unionByName(
-        asked.select(*keys, tag, F.posexplode(F.array_repeat(F.lit(0.0), size)).alias("pos", "v")))
-    cells = cells.groupBy(*keys, tag, "pos").agg(F.sum("v").alias("v"))
-    w = Window.partitionBy(*keys, "pos").orderBy(tag).rowsBetween(Window.unboundedPreceding, 0)
-    total = cells.select(*keys, tag, "pos", F.sum("v").over(w).alias("v"))
-    return total.groupBy(*keys, tag).agg(packed_cells().alias("g")).filter(F.col("g")[0] > 0)
-
-
-def cross_before(df: DataFrame, keys: Sequence[str], columns: Sequence[str], others: Sequence[str], tag: str) -> DataFrame:
-    """(keys, tag, before, total): products of two column lists, summed over the rows with a smaller tag and over all rows."""
-    cells = _partials(df, [*keys, tag], columns, others).select(*keys, tag, F.posexplode("g").alias("pos", "v"))
-    summed = cells.groupBy(*keys, tag, "pos").agg(F.sum("v").alias("v"))
-    w = Window.partitionBy(*keys, "pos")
-    before = F.coalesce(F.sum("v").over(w.orderBy(tag).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    both = summed.select(*keys, tag, "pos", before.alias("b"), F.sum("v").over(w).alias("t"))
-    ordered = both.groupBy(*keys, tag).agg(F.array_sort(F.collect_list(F.struct("pos", "b", "t"))).alias("_c"))
-    return ordered.select(*keys, tag, F.transform("_c", lambda s: s["b"]).alias("before"), F.transform("_c", lambda s: s["t"]).alias("total"))
-
-
 OLS = T.StructType([T.StructField("beta", DOUBLES), T.StructField("rss", T.DoubleType()), T.StructField("inv", DOUBLES)])
 
 
@@ -171,26 +139,6 @@ def hac_fit(df: DataFrame, keys: Sequence[str], y: str, xs: Sequence[str], lags:
     return fits.join(meat, list(keys)).select(*keys, "n", "beta", "rss", sandwich("_inv", "_meat").alias("cov"))
 
 
-def wald_f(beta: Column, cov: Column, k: int, tested: Sequence[int]) -> Column:
-    """Wald statistic of 'these coefficients are zero', divided by their number; null if the covariance is singular."""
-    tested = list(tested)
-
-    @F.pandas_udf(T.DoubleType())
-    def stat(b: pd.Series, v: pd.Series) -> pd.Series:
-        out = []
-        for bi, vi in zip(b, v):
-            bi = np.asarray(bi, float)[tested]
-            vi = np.asarray(vi, float).reshape(k, k)[np.ix_(tested, tested)]
-            try:
-                f = bi @ np.linalg.solve(vi, bi) / len(tested)
-            except np.linalg.LinAlgError:
-                f = np.nan
-            out.append(float(f) if np.isfinite(f) else None)
-        return pd.Series(out, dtype=object)
-
-    return stat(beta, cov)
-
-
 def per_row(df: DataFrame, keys: Sequence[str], extra: Sequence[T.StructField], fn: Callable[[tuple], Iterator[tuple]]) -> DataFrame:
     """Apply a small solver to every aggregated row; it may give several output rows. No shuffle."""
     keys = list(keys)
@@ -218,4 +166,4 @@ def with_const(df: DataFrame, name: str = "const") -> DataFrame:
     return df.withColumn(name, F.lit(1.0))
 
 
-__all__ = ["add_arrays", "cross_before", "explode_names", "gram", "gram_up_to", "hac_fit", "ols", "per_row", "prefix_gram", "wald_f", "with_const"]
+__all__ = ["add_arrays", "explode_names", "gram", "hac_fit", "ols", "per_row", "prefix_gram", "with_const"]

@@ -9,15 +9,17 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelspark.functions.series import sliding
+from panelspark.functions.series import period_index, running, sliding
 from panelspark.functions.solve import none_if_nan, unpack
 from panelspark.operators.clean import all_known
 from panelspark.operators.features import CATEGORIES
-from panelspark.operators.gram import gram, gram_up_to, per_row
+from panelspark.operators.expanding import SPAN, expanding, moments
+from panelspark.operators.gram import gram, per_row
 from panelspark.schema import attach
 
 FOLDS = 5
@@ -72,9 +74,9 @@ def ridge_fit(df: DataFrame, xs: Sequence[str], y: str, alpha: float | str, keys
 
 
 def number_rows(df: DataFrame, keys: Sequence[str] = ("entity",)) -> DataFrame:
-    """Row number and row count per key, in date order; a key holds at most one row per calendar period."""
-    w = Window.partitionBy(*keys)
-    return df.withColumn("_rn", F.row_number().over(w.orderBy("ts"))).withColumn("_n", F.count(F.lit(1)).over(w))
+    """Row number and row count per key, in date order; counted inside blocks of the calendar and over block totals."""
+    numbered = running(df, keys, {"_rn": F.lit(1).cast("bigint")})
+    return numbered.join(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), list(keys))
 
 
 def fold_block(rn: Column, n: Column, folds: int = FOLDS) -> Column:
@@ -209,40 +211,44 @@ def magnitude_summary(stability: DataFrame, baseline, key: str = "entity") -> Da
     return agg.join(F.broadcast(base)).withColumn("ratio_to_baseline", F.try_divide("max_abs", "_b")).drop("_b")
 
 
-FORECAST_FIELDS = [T.StructField("n_train", T.LongType()), T.StructField("y_pred", T.DoubleType())]
+FORECAST_FIELDS = [T.StructField("origin_date", T.DateType()), T.StructField("y_true", T.DoubleType()), T.StructField("y_naive", T.DoubleType()),
+                   T.StructField("n_train", T.LongType()), T.StructField("y_pred", T.DoubleType())]
 
 
-def direct_walk_forward(df: DataFrame, xs: Sequence[str], y: str, alpha: DataFrame | float, start, horizons: Sequence[int], keys=("entity",), minimum: int = MIN_TRAIN) -> DataFrame:
-    """Direct h-step forecasts with a refit at every origin; history is aggregated once.
+def direct_walk_forward(df: DataFrame, xs: Sequence[str], y: str, alpha: DataFrame | float, start, horizons: Sequence[int], keys=("entity",), minimum: int = MIN_TRAIN,
+                        span: int = SPAN) -> DataFrame:
+    """Direct h-step forecasts with a refit at every origin; history is summed block by block.
 
-    A row trains the response h months later, so it first counts at origin = row + h. Rows are summed by that first
-    origin; running sums over origins give each refit its Gram.
+    A row trains the response h months later, so it first counts at origin = row + h. ``alpha`` is a number or a table (keys, alpha).
+    Origins with fewer than ``minimum`` rows have no forecast.
     """
     keys, xs, hmax = list(keys), list(xs), max(horizons)
     value = y if y not in xs else "_own"
     dense = df.select(*keys, "ts", *xs, F.col(y).alias("_own") if y in xs else F.col(y))
     ahead = sliding(dense, keys, lambda w: {f"_z{h}": F.lead(value, h).over(w) for h in horizons}, ahead=hmax)
     bounds = dense.filter(F.col(value).isNotNull()).groupBy(*keys).agg(F.max("ts").alias("_end"))
-    fan = ahead.withColumn("_p", F.explode(F.array(*[F.struct(F.lit(h).cast("bigint").alias("h"), F.col(f"_z{h}").alias("z")) for h in horizons]))).join(bounds, keys)
-    fan = fan.select(*keys, "ts", "_end", F.col("_p.h").alias("h"), F.col("_p.z").alias("_z"), F.col(value).alias("_now"), *xs).filter(all_known(xs))
-    last = F.add_months("_end", -hmax)
-    rows = fan.filter(F.col("_z").isNotNull()).withColumn("_tag", F.greatest(F.add_months("ts", F.col("h").cast("int")), F.lit(start).cast("date"))) \
-        .filter(F.col("_tag") <= last).withColumn("_one", F.lit(1.0))
-    origins = fan.filter((F.col("ts") >= F.lit(start)) & (F.col("ts") <= last)).select(*keys, "ts", "h", F.col("_now").alias("y_naive"), F.col("_z").alias("y_true"), F.array(*xs).alias("x"))
-    grams = gram_up_to(rows, [*keys, "h"], ["_one", *xs, "_z"], "_tag", origins.withColumnRenamed("ts", "_tag")).withColumnRenamed("_tag", "ts")
-    packed = origins.join(grams, [*keys, "ts", "h"])
-    packed = packed.withColumn("alpha", F.lit(float(alpha))) if not isinstance(alpha, DataFrame) else packed.join(alpha.select(*keys, "alpha"), keys)
-    m = len(xs) + 2
-
-    def predict(g, x, a):
-        n = int(round(g[0]))
-        if n < minimum:
-            yield n, None
-            return
-        w, mean, sd, ym = solve_ridge(unpack([g], m)[0], a)
-        yield n, float(ym + ((np.asarray(x, float) - mean) / sd) @ w)
-
-    out = per_row(packed.select(*keys, "h", F.col("ts").alias("origin_date"), "y_true", "y_naive", "g", "x", "alpha"), [*keys, "h", "origin_date", "y_true", "y_naive"], FORECAST_FIELDS, predict)
+    steps = F.explode(F.array(*[F.struct(F.lit(h).cast("bigint").alias("h"), F.col(f"_z{h}").alias("z")) for h in horizons]))
+    fan = ahead.filter(all_known(xs)).withColumn("_p", steps).select(
+        *keys, "ts", F.col("_p.h").alias("h"), F.col("_p.z").alias("_z"), F.col(value).alias("_now"), *xs)
+    rows = fan.filter(F.col("_z").isNotNull()).withColumn("_tag", period_index("ts") + F.col("h"))
+    origins = fan.filter(F.col("ts") >= F.lit(start)).join(bounds, keys).filter(F.col("ts") <= F.add_months("_end", -hmax)).select(
+        *keys, "h", period_index("ts").alias("_tag"), F.col("ts").alias("origin_date"), F.col("_z").alias("y_true"), F.col("_now").alias("y_naive"), F.array(*xs).alias("x"))
+    origins = origins.withColumn("alpha", F.lit(float(alpha))) if not isinstance(alpha, DataFrame) else origins.join(alpha.select(*keys, "alpha"), keys)
+
+    def predict(sums, totals, frame):
+        found = []
+        for g, x, a in zip(sums[0], frame["x"], frame["alpha"]):
+            if g[0, 0] < minimum:
+                found.append(None)
+                continue
+            w, mean, sd, ym = solve_ridge(g, a)
+            found.append(float(ym + ((np.asarray(x, float) - mean) / sd) @ w))
+        out = frame[["origin_date", "y_true", "y_naive"]].copy()
+        out["n_train"] = np.round(sums[0][:, 0, 0]).astype(np.int64)
+        out["y_pred"] = pd.Series(found, dtype=object, index=out.index)
+        return out
+
+    out = expanding(rows, [*keys, "h"], [*xs, "_z"], [moments(range(len(xs) + 1))], "_tag", origins, FORECAST_FIELDS, predict, span)
     return out.withColumn("target_date", F.add_months("origin_date", F.col("h").cast("int")))
 
 
@@ -283,9 +289,12 @@ def lens_audit(coefs: DataFrame, feature: str, pattern: str, top: int = 5, key:
 
 
 def heterogeneity(selection: DataFrame, top: DataFrame, pattern: str, key: str = "entity") -> DataFrame:
-    """Spread of the chosen penalties with the entities at both ends, and the entities whose leading features match."""
+    """Spread of the chosen penalties with the entities at both ends (one row), beside every entity whose leading features match.
+
+    One row per matching entity, by name; without any a single row with a null entity.
+    """
     spread = selection.agg(F.max("alpha").alias("alpha_max"), F.min("alpha").alias("alpha_min"), F.max_by(key, F.struct(F.col("alpha"), F.col(key))).alias("entity_max"),
                            F.min_by(key, F.struct(F.col("alpha"), F.col(key))).alias("entity_min"))
-    hits = top.filter(F.col("feature").rlike(pattern)).agg(F.array_join(F.array_sort(F.collect_set(key)), ",").alias("matching_entities"))
-    return spread.join(F.broadcast(hits)).withColumn("ratio", F.try_divide("alpha_max", "alpha_min"))
-
+    spread = spread.withColumn("ratio", F.try_divide("alpha_max", "alpha_min")).withColumn("_one", F.lit(True))
+    hits = top.filter(F.col("feature").rlike(pattern)).groupBy(F.col(key).alias("matching_entity")).agg(F.count(F.lit(1)).alias("n_matching")).withColumn("_one", F.lit(True))
+    return spread.join(hits, "_one", "left").drop("_one").na.fill(0, ["n_matching"])

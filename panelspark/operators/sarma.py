@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,7 +21,8 @@ from panelspark.functions.series import period_index, sliding
 from panelspark.functions.solve import least_squares, unpack
 from panelspark.operators import describe
 from panelspark.operators.clean import all_known
-from panelspark.operators.gram import gram, gram_up_to, ols, per_row
+from panelspark.operators.expanding import SPAN, expanding, moments
+from panelspark.operators.gram import gram, ols, per_row
 from panelspark.operators.transform import all_transforms
 
 KEY = ("variant_id",)
@@ -55,24 +57,24 @@ def parse_order(text: str) -> list[Column]:
     return [F.regexp_extract(text, pattern, i).cast("bigint").alias(c) for i, c in enumerate(("p", "d", "q", "P_s", "D_s", "Q_s", "s"), 1)]
 
 
-def _stage_one(series: DataFrame, season: int, long_lag: int, unit: str, train_before=None) -> DataFrame:
-    """(variant_id, D_s, ts, y, w, e): w is y or its seasonal difference, e the long-autoregression residual.
-
-    With ``train_before`` the autoregression is fitted on earlier rows only, so that later residuals use no future.
-    """
+def _differenced(series: DataFrame, season: int, unit: str) -> DataFrame:
+    """(variant_id, D_s, ts, y, w, base): w is y or its seasonal difference, base what a forecast of w lacks to y."""
     both = sliding(series, KEY, lambda w: {"_back": F.lag("y", season).over(w)}, back=season, unit=unit)
     forms = F.array(F.struct(F.lit(0).cast("bigint").alias("D_s"), F.col("y").alias("w"), F.lit(0.0).alias("base")),
                     F.struct(F.lit(1).cast("bigint").alias("D_s"), (F.col("y") - F.col("_back")).alias("w"), F.col("_back").alias("base")))
-    fan = both.select(*KEY, "ts", "y", F.explode(forms).alias("_p")).select(*KEY, "_p.D_s", "ts", "y", "_p.w", "_p.base").filter(F.col("w").isNotNull())
+    return both.select(*KEY, "ts", "y", F.explode(forms).alias("_p")).select(*KEY, "_p.D_s", "ts", "y", "_p.w", "_p.base")
+
+
+def _stage_one(series: DataFrame, season: int, long_lag: int, unit: str) -> DataFrame:
+    """(variant_id, D_s, ts, y, w, e): e is the residual of a long autoregression of w."""
     by = [*KEY, "D_s"]
     names = [f"_w{k}" for k in range(1, long_lag + 1)]
-    lagged = sliding(fan, by, lambda w: {f"_w{k}": F.lag("w", k).over(w) for k in range(1, long_lag + 1)}, back=long_lag, unit=unit)
-    rows = lagged.filter(all_known(names)).withColumn("_one", F.lit(1.0))
-    train = rows if train_before is None else rows.filter(F.col("ts") < F.lit(train_before))
+    lagged = sliding(_differenced(series, season, unit), by, lambda w: {f"_w{k}": F.lag("w", k).over(w) for k in range(1, long_lag + 1)}, back=long_lag, unit=unit)
+    rows = lagged.filter(all_known(["w", *names])).withColumn("_one", F.lit(1.0))
     m = long_lag + 2
-    fit = gram(train, by, ["_one", *names, "w"]).select(*by, ols(F.col("g"), m, range(m - 1), m - 1)["beta"].alias("_b"))
+    fit = gram(rows, by, ["_one", *names, "w"]).select(*by, ols(F.col("g"), m, range(m - 1), m - 1)["beta"].alias("_b"))
     fitted = F.aggregate(F.zip_with(F.array("_one", *names), "_b", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-    return rows.join(fit, by).select(*by, "ts", "y", "w", "base", (F.col("w") - fitted).alias("e"))
+    return rows.join(fit, by).select(*by, "ts", "y", "w", (F.col("w") - fitted).alias("e"))
 
 
 def _lag_list(season: int, short: int, seasonal: int) -> list[int]:
@@ -126,6 +128,25 @@ def fit_order_grid(series: DataFrame, season: int, long_lag: int, unit: str = "m
     return per_row(g, [*KEY, "D_s"], GRID, fit_all)
 
 
+def order_residuals(series: DataFrame, orders: DataFrame, season: int, long_lag: int, unit: str = "month", p=P_MAX, q=Q_MAX, sp=SP_MAX, sq=SQ_MAX) -> DataFrame:
+    """(variant_id, ts, e): in-sample residuals of one order per series, on the common sample of the order grid."""
+    rows, names = _stage_two(_stage_one(series, season, long_lag, unit), season, unit, p, q, sp, sq)
+    by, columns = [*KEY, "D_s"], ["_one", *names]
+    rows = rows.join(orders.select(*by, "p", "q", "P_s", "Q_s"), by)
+    m = len(columns) + 1
+    g = gram(rows, [*by, "p", "q", "P_s", "Q_s"], [*columns, "w"])
+
+    def fit(a, b, c, e, packed):
+        xs = _picked(a, b, c, e, p, q, sp)
+        beta = np.zeros(m - 1)
+        beta[xs] = least_squares(unpack([packed], m), xs, m - 1)[0][0]
+        yield (beta.tolist(),)
+
+    beta = per_row(g, by, [T.StructField("_b", T.ArrayType(T.DoubleType()))], fit)
+    value = F.aggregate(F.zip_with(F.array(*columns), "_b", lambda x, b: x * b), F.lit(0.0), lambda s, v: s + v)
+    return rows.join(beta, by).select(*KEY, "ts", (F.col("w") - value).alias("e"))
+
+
 def _best(metric: str) -> Column:
     """Smallest metric among converged fits (any fit if none converged), fewer parameters on ties."""
     rank = F.struct(~F.col("converged"), F.col(metric), F.col("n_params"), "p", "d", "q", "P_s", "D_s", "Q_s")
@@ -158,33 +179,57 @@ def residual_diagnostics(resid: DataFrame, keys=KEY, lags=(12, 24), arch_lags: i
     return moments.join(wide, list(keys), "left").join(arch, list(keys), "left")
 
 
-def expanding_one_step(series: DataFrame, orders: DataFrame, season: int, long_lag: int, first_target, unit: str = "month", p=P_MAX, q=Q_MAX, sp=SP_MAX, sq=SQ_MAX) -> DataFrame:
-    """One-step forecasts of every date from ``first_target`` on, each from a refit on strictly earlier rows.
+def expanding_one_step(series: DataFrame, orders: DataFrame, season: int, long_lag: int, first_target, unit: str = "month", p=P_MAX, q=Q_MAX, sp=SP_MAX, sq=SQ_MAX,
+                       span: int = SPAN) -> DataFrame:
+    """One-step forecasts of every date from ``first_target`` on, each from a refit of both stages on strictly earlier rows.
 
-    ``orders`` (variant_id, p, q, P_s, D_s, Q_s). All refits of all series are one job: rows are summed once by the first
-    target that may use them, then accumulated over targets. The stage-one autoregression stays as fitted before the
-    first target.
+    ``orders`` (variant_id, p, q, P_s, D_s, Q_s). Residuals are linear in lags of the series, so what stage two regresses on is T v, with v the
+    constant and all lags either stage needs and T made of stage one's coefficients. One sum of v v' over history serves both: at
+    every date stage one is fitted on it, and T (sum of v v') T' is the matrix of stage two. Rows with a gap among the lags of v take part in
+    stage one only. A date without enough earlier rows gives no forecast.
     """
-    one = _stage_one(series, season, long_lag, unit, first_target)
-    rows, names = _stage_two(one, season, unit, p, q, sp, sq)
-    by = [*KEY, "D_s"]
-    rows = rows.join(orders.select(*by), by, "left_semi")
-    at = period_index("ts", unit)
-    start = period_index(F.lit(first_target), unit)
-    targets = rows.filter(F.col("ts") >= F.lit(first_target)).select(*by, "ts", "y", "base", at.alias("_tag"), F.array("_one", *names).alias("x"))
-    grams = gram_up_to(rows.withColumn("_tag", F.greatest(at + 1, start)), by, ["_one", *names, "w"], "_tag", targets)
-    packed = targets.join(grams, [*by, "_tag"]).join(orders.select(*by, "p", "q", "P_s", "Q_s"), by)
-    m = len(names) + 2
-
-    def predict(g, x, base, a, b, c, e):
-        xs = _picked(a, b, c, e, p, q, sp)
-        if g[0] <= len(xs):
-            return
-        beta = least_squares(unpack([g], m), xs, m - 1)[0][0]
-        yield float(base + np.asarray(x, float)[xs] @ beta), int(round(g[0]))
-
-    out = per_row(packed.select(*KEY, "ts", "y", "g", "x", "base", "p", "q", "P_s", "Q_s"), [*KEY, "ts", "y"], [T.StructField("predicted", T.DoubleType()), T.StructField("n_train", T.LongType())], predict)
-    return out.select(*KEY, "ts", F.col("y").alias("actual"), "predicted", (F.col("y") - F.col("predicted")).alias("residual"), "n_train")
+    if season <= max(p, q):
+        raise ValueError("the season must be longer than the short orders")
+    ar, ma = _lag_list(season, p, sp), _lag_list(season, q, sq)
+    long = list(range(1, long_lag + 1)) if ma else []
+    used = sorted({*ar, *long, *ma, *[j + i for j in ma for i in long]})
+    by, place = [*KEY, "D_s"], {lag: i + 1 for i, lag in enumerate(used)}
+    rows = _differenced(series, season, unit).join(orders.select(*by), by, "left_semi")
+    rows = sliding(rows, by, lambda w: {f"_w{k}": F.lag("w", k).over(w) for k in used}, back=max([1, *used]), unit=unit)
+    names = [f"_w{k}" for k in used]
+    rows = rows.withColumn("_tag", period_index("ts", unit))
+    targets = rows.filter((F.col("ts") >= F.lit(first_target)) & all_known([*names, "w"])).select(
+        *by, (F.col("_tag") - 1).alias("_tag"), "ts", "y", "base", F.array(F.lit(1.0), *names).alias("v"))
+    targets = targets.join(orders.select(*by, "p", "q", "P_s", "Q_s"), by)
+
+    def solve(sums, totals, frame):
+        a, b, c, e = (int(frame[o].iloc[0]) for o in ("p", "q", "P_s", "Q_s"))
+        mine = [*range(1, a + 1), *[season * k for k in range(1, c + 1)]]
+        noise = [*range(1, b + 1), *[season * k for k in range(1, e + 1)]]
+        width, wide = len(used) + 2, 1 + len(mine) + len(noise)
+        t = np.zeros((len(frame), wide + 1, width))
+        t[:, 0, 0] = t[:, wide, width - 1] = 1.0
+        for i, lag in enumerate(mine, 1):
+            t[:, i, place[lag]] = 1.0
+        if noise:
+            phi = least_squares(sums[1], list(range(len(long) + 1)), len(long) + 1)[0]
+            for i, lag in enumerate(noise, 1 + len(mine)):
+                t[:, i, place[lag]] = 1.0
+                t[:, i, 0] = -phi[:, 0]
+                for k in long:
+                    t[:, i, place[lag + k]] -= phi[:, k]
+        full = t @ sums[0] @ t.transpose(0, 2, 1)
+        n = sums[0][:, 0, 0]
+        beta = least_squares(full, list(range(wide)), wide)[0]
+        v = np.stack([np.asarray(x, float) for x in frame["v"]])
+        z = np.einsum("bij,bj->bi", t[:, :wide, :-1], v)
+        out = pd.DataFrame({"ts": frame["ts"], "actual": frame["y"], "predicted": frame["base"] + (z * beta).sum(axis=1), "n_train": np.round(n).astype(np.int64)})
+        return out[n > wide]
+
+    factors = [moments(range(len(names) + 1)), *([moments([*range(len(long)), len(names)])] if ma else [])]
+    fields = [rows.schema["ts"], T.StructField("actual", T.DoubleType()), T.StructField("predicted", T.DoubleType()), T.StructField("n_train", T.LongType())]
+    out = expanding(rows, by, [*names, "w"], factors, "_tag", targets, fields, solve, span)
+    return out.select(*KEY, "ts", "actual", "predicted", (F.col("actual") - F.col("predicted")).alias("residual"), "n_train")
 
 
 def boundary_verdict(fits: DataFrame, keys=KEY, accept: float = ACCEPT) -> DataFrame:

@@ -15,13 +15,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelspark.functions.dist import f_sf, norm_sf
-from panelspark.functions.series import sliding
-from panelspark.functions.solve import none_if_nan, unpack
+from panelspark.functions.series import period_index, sliding
+from panelspark.functions.solve import none_if_nan, scaled_inverse, unpack
 from panelspark.operators import describe
 from panelspark.operators.clean import all_known
-from panelspark.operators.gram import DOUBLES, gram, gram_up_to, per_row
+from panelspark.operators.expanding import SPAN, expanding, moments
+from panelspark.operators.gram import DOUBLES, gram, per_row
 
 CRITERIA = ("aic", "bic", "hqic", "fpe")
+#: Keys whose replicate sums a task holds before it hands them on.
+HELD_BANDS = 16
 
 
 def regressors(endog: Sequence[str], p: int, exog: Sequence[str] = ()) -> list[str]:
@@ -40,9 +43,7 @@ def _solve(g: np.ndarray, k: int, used: Sequence[int]):
     """Coefficients (k x n), inverse of X'X and residual cross products, for the regressors ``used``."""
     used = list(used)
     a, r, yy = g[np.ix_(used, used)], g[np.ix_(used, range(k, len(g)))], g[k:, k:]
-    d = np.sqrt(np.diag(a))
-    d = np.where(d > 0, d, 1.0)
-    inv = np.linalg.pinv(a / np.outer(d, d), rcond=1e-11, hermitian=True) / np.outer(d, d)
+    inv = scaled_inverse(a[None])[0]
     b = inv @ r
     s = yy - b.T @ r
     return b, inv, (s + s.T) / 2
@@ -140,9 +141,13 @@ def residuals(panel: DataFrame, models: DataFrame, endog: Sequence[str], p: int,
     """(keys, equation, ts, e): in-sample residuals in long form."""
     names = regressors(endog, p, exog)
     n = len(endog)
-    rows = design(panel, endog, p, exog, keys).withColumn("_x", F.array(*names)).join(models.select(*keys, "coefs"), list(keys))
+    # one array of coefficients per equation, made once per key
+    own = [F.array(*[F.col("coefs")[j * n + i] for j in range(len(names))]).alias(f"_b{i}") for i in range(n)]
+    rows = design(panel, endog, p, exog, keys).withColumn("_x", F.array(*names)).join(models.select(*keys, *own), list(keys))
+
     def fitted(i):
-        return F.aggregate(F.zip_with("_x", F.filter("coefs", lambda _, at: at % n == i), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+        return F.aggregate(F.zip_with("_x", f"_b{i}", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+
     cells = F.array(*[F.struct(F.lit(c).alias("equation"), (F.col(c) - fitted(i)).alias("e")) for i, c in enumerate(endog)])
     return rows.select(*keys, "ts", F.explode(cells).alias("_p")).select(*keys, "_p.equation", "ts", "_p.e")
 
@@ -267,48 +272,65 @@ def irf_bands(panel: DataFrame, endog: Sequence[str], p: int, exog: Sequence[str
     """95% bands from a fixed-design wild bootstrap, with the point responses.
 
     A replicate flips the sign of whole residual rows, so its coefficients differ from the estimate by
-    inv(X'X) X'(e*sign). Those cross products are summed over rows in the map tasks for all replicates at once; signs come
-    from a hash of key, date and replicate, so that a recomputed task gives the same numbers.
+    inv(X'X) X'(e*sign). Those cross products are summed over rows in the map tasks for all replicates at once, into one packed row per
+    task and key; one more row per key adds them up and gives all responses of all replicates as one stack. Signs come from a
+    hash of key, date and replicate, so that a recomputed task gives the same numbers.
     """
     keys, names, endog = list(keys), regressors(endog, p, exog), list(endog)
     k, n = len(names), len(endog)
     models = fit(panel, endog, p, exog, keys)
     rows = design(panel, endog, p, exog, keys).withColumn("_seed", F.xxhash64(*keys, "ts", F.lit(seed))).join(models.select(*keys, "coefs"), keys)
-    schema = T.StructType([*[rows.schema[c] for c in keys], T.StructField("rep", T.LongType()), T.StructField("c", DOUBLES)])
+    key_fields = [rows.schema[c] for c in keys]
 
     def cross(batches):
-        reps = np.arange(replicates, dtype=np.uint64)
+        reps, held = np.arange(replicates, dtype=np.uint64), {}
+
+        def flush():
+            return pd.DataFrame([(*key, c.tobytes()) for key, c in held.items()], columns=[*keys, "c"])
+
         for batch in batches:
             x, y = batch[names].to_numpy(float), batch[endog].to_numpy(float)
-            b = np.stack([np.asarray(v, float).reshape(k, n) for v in batch["coefs"]]) if len(batch) else np.zeros((0, k, n))
-            e = y - np.einsum("tk,tkn->tn", x, b)
             with np.errstate(over="ignore"):
                 mixed = (batch["_seed"].to_numpy(np.int64).view(np.uint64)[:, None] ^ (reps * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xBF58476D1CE4E5B9)
                 mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
             sign = np.where((mixed >> np.uint64(63)).astype(bool), 1.0, -1.0)
-            out = []
             for key, at in batch.groupby(keys, sort=False, dropna=False).indices.items():
                 key = key if isinstance(key, tuple) else (key,)
-                sums = np.einsum("tk,tn,tr->rkn", x[at], e[at], sign[at], optimize=True)
-                out += [(*key, int(r), sums[r].ravel()) for r in range(replicates)]
-            yield pd.DataFrame(out, columns=[*keys, "rep", "c"])
-
-    parts = rows.select(*keys, *dict.fromkeys([*names, *endog]), "_seed", "coefs").mapInPandas(cross, schema)
-    sums = parts.select(*keys, "rep", F.posexplode("c").alias("pos", "v")).groupBy(*keys, "rep", "pos").agg(F.sum("v").alias("v"))
-    packed = sums.groupBy(*keys, "rep").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "v"))), lambda s: s["v"]).alias("c"))
-    drawn = packed.join(models.select(*keys, "coefs", "sigma", "inv", "n_obs", "n_reg"), keys)
-    inner = _irf_rows(endog, p, horizon)
-
-    def respond(c, coefs, sigma, inv, nobs, nreg):
-        cm, v = np.asarray(c, float).reshape(k, n), np.asarray(inv, float).reshape(k, k)
-        b = np.asarray(coefs, float).reshape(k, n) + v @ cm
-        dof = max(nobs - nreg, 1)
-        s = np.asarray(sigma, float).reshape(n, n) - cm.T @ v @ cm / dof
-        yield from inner(b, s)
-
-    boot = per_row(drawn, [*keys, "rep"], IRF, respond)
-    bands = boot.groupBy(*keys, "horizon", "response", "shock").agg(F.percentile("irf", F.array(F.lit(0.025), F.lit(0.975))).alias("_q"))
-    bands = bands.select(*keys, "horizon", "response", "shock", F.col("_q")[0].alias("lower"), F.col("_q")[1].alias("upper"))
+                e = y[at] - x[at] @ np.asarray(batch["coefs"].iloc[at[0]], float).reshape(k, n)
+                # X' diag(sign) e for all replicates is one product: (sign of replicate) times (x times e of every row)
+                part = sign[at].T @ (x[at][:, :, None] * e[:, None, :]).reshape(len(at), -1)
+                held[key] = held[key] + part if key in held else part
+                if len(held) > HELD_BANDS:
+                    yield flush()
+                    held = {}
+        if held:
+            yield flush()
+
+    parts = rows.select(*keys, *dict.fromkeys([*names, *endog]), "_seed", "coefs").mapInPandas(cross, T.StructType([*key_fields, T.StructField("c", T.BinaryType())]))
+    band = [*IRF[:3], T.StructField("lower", T.DoubleType()), T.StructField("upper", T.DoubleType())]
+
+    def respond(group, model):
+        out = group.iloc[:0][keys]
+        if len(group) and len(model):
+            one = model.iloc[0]
+            total = np.sum([np.frombuffer(c) for c in group["c"]], axis=0).reshape(replicates, k, n)
+            v = np.asarray(one["inv"], float).reshape(k, k)
+            b = np.asarray(one["coefs"], float).reshape(k, n) + v @ total
+            s = np.asarray(one["sigma"], float).reshape(n, n) - total.transpose(0, 2, 1) @ v @ total / max(one["n_obs"] - one["n_reg"], 1)
+            found = []
+            for b_, s_ in zip(b, s):
+                try:
+                    found.append(_responses(b_, s_, n, p, horizon))
+                except np.linalg.LinAlgError:  # a replicate without a positive definite covariance has no responses
+                    continue
+            low, high = np.quantile(found, [0.025, 0.975], axis=0) if found else np.full((2, horizon + 1, n, n), np.nan)
+            h, i, j = (a.ravel() for a in np.indices(low.shape))
+            out = pd.DataFrame({**{c: one[c] for c in keys}, "horizon": h, "response": np.array(endog, object)[i], "shock": np.array(endog, object)[j],
+                                "lower": low.ravel(), "upper": high.ravel()})
+        return out.reindex(columns=[*keys, *[f.name for f in band]])
+
+    facts = models.select(*keys, "coefs", "sigma", "inv", "n_obs", "n_reg")
+    bands = parts.groupBy(*keys).cogroup(facts.groupBy(*keys)).applyInPandas(respond, T.StructType([*key_fields, *band]))
     return irf(models, endog, p, horizon, keys).join(bands, [*keys, "horizon", "response", "shock"])
 
 
@@ -364,16 +386,16 @@ def future_exog(origin_rows: DataFrame, panel: DataFrame, exog: Sequence[str], h
 FORECAST = [T.StructField("variable", T.StringType()), T.StructField("h", T.LongType()), T.StructField("forecast", T.DoubleType())]
 
 
-def walk_forward(panel: DataFrame, endog: Sequence[str], p: int, exog: Sequence[str], start, horizons: Sequence[int], keys=("entity",)) -> DataFrame:
+def walk_forward(panel: DataFrame, endog: Sequence[str], p: int, exog: Sequence[str], start, horizons: Sequence[int], keys=("entity",), span: int = SPAN) -> DataFrame:
     """Expanding refit at every origin, iterated to the longest horizon; all entities and origins in one job.
 
-    History is summed once per origin interval and accumulated; each origin brings its last p values and the exogenous
-    values of its forecast months. Origins with fewer than 5p + 10 rows are skipped.
+    History is summed block by block; each origin brings its last p values and the exogenous values of its forecast months.
+    Origins with fewer than 5p + 10 rows are skipped.
     """
     keys, endog, exog, hmax = list(keys), list(endog), list(exog), max(horizons)
     names = regressors(endog, p, exog)
     k, n = len(names), len(endog)
-    rows = design(panel, endog, p, exog, keys).withColumn("_tag", F.greatest(F.col("ts"), F.lit(start).cast("date")))
+    rows = design(panel, endog, p, exog, keys).withColumn("_tag", period_index("ts"))
 
     def around(w):
         out = {f"_s{i}_{j}": F.lag(c, i).over(w) if i else F.col(c) for i in range(p) for j, c in enumerate(endog)}
@@ -386,25 +408,30 @@ def walk_forward(panel: DataFrame, endog: Sequence[str], p: int, exog: Sequence[
     actual = [f"_a{h}_{j}" for h in horizons for j in range(n)]
     starts = near.filter((F.col("ts") >= F.lit(start)) & all_known([*state, *future, *actual])).select(
         *keys, "ts", F.array(*state).alias("state"), (F.array(*future) if future else F.array().cast("array<double>")).alias("future"), F.array(*actual).alias("actual"))
-    grams = gram_up_to(rows, keys, [*names, *endog], "_tag", starts.withColumnRenamed("ts", "_tag")).withColumnRenamed("_tag", "ts")
-    packed = starts.join(grams, [*keys, "ts"]).withColumnRenamed("ts", "origin_date")
+    starts = starts.withColumn("_tag", period_index("ts"))
     hs = list(horizons)
 
-    def forecast(state_, future_, actual_, g):
-        if g[0] < 5 * p + 10:
-            return
-        b = np.asarray(_model(g, k, n)[2]).reshape(k, n)
-        past = np.asarray(state_, float).reshape(p, n)
-        ahead = np.asarray(future_, float).reshape(hmax, len(exog))
-        seen = np.asarray(actual_, float).reshape(len(hs), n)
+    def forecast(sums, totals, frame):
+        enough = sums[0][:, 0, 0] >= 5 * p + 10
+        g, frame = sums[0][enough], frame[enough]
+        inv = scaled_inverse(g[:, :k, :k])
+        b = inv @ g[:, :k, k:]
+        past = np.stack([np.asarray(v, float).reshape(p, n) for v in frame["state"]]) if len(frame) else np.zeros((0, p, n))
+        ahead = np.stack([np.asarray(v, float).reshape(hmax, len(exog)) for v in frame["future"]]) if len(frame) else np.zeros((0, hmax, len(exog)))
+        seen = np.stack([np.asarray(v, float).reshape(len(hs), n) for v in frame["actual"]]) if len(frame) else np.zeros((0, len(hs), n))
+        out = []
         for h in range(1, hmax + 1):
-            y = np.concatenate([[1.0], past.ravel(), ahead[h - 1]]) @ b
-            past = np.vstack([y, past[:-1]])
+            x = np.concatenate([np.ones((len(frame), 1)), past.reshape(len(frame), -1), ahead[:, h - 1]], axis=1)
+            y = np.einsum("bk,bkn->bn", x, b)
+            past = np.concatenate([y[:, None], past[:, :-1]], axis=1)
             if h in hs:
-                for j, name in enumerate(endog):
-                    yield name, h, float(y[j]), float(seen[hs.index(h), j])
+                out += [pd.DataFrame({"origin_date": frame["ts"], "variable": name, "h": h, "forecast": y[:, j], "actual": seen[:, hs.index(h), j]})
+                        for j, name in enumerate(endog)]
+        return pd.concat(out)
 
-    out = per_row(packed.select(*keys, "origin_date", "state", "future", "actual", "g"), [*keys, "origin_date"], [*FORECAST, T.StructField("actual", T.DoubleType())], forecast)
+    fields = [T.StructField("origin_date", T.DateType()), *FORECAST, T.StructField("actual", T.DoubleType())]
+    columns = [*names[1:], *endog]
+    out = expanding(rows, keys, columns, [moments(range(len(columns)))], "_tag", starts, fields, forecast, span)
     return out.withColumn("target_date", F.add_months("origin_date", F.col("h").cast("int")))
 
 

@@ -33,13 +33,64 @@ query("g01_chow_classical", f"SELECT entity, break_name, break_date, {r('F')} AS
       f"CAST(n_total - n_pre AS BIGINT) AS n_post, CAST(2 AS BIGINT) AS df_num, CAST(n_total - 4 AS BIGINT) AS df_denom, {r('pow(1 + 2 * F / (n_total - 4), -(n_total - 4) / 2.0)')} AS p_value, CAST(NULL AS VARCHAR) AS error FROM chowf")(classical)
 query("g01_chow_classical_all_regressors")(lambda t: breaks.chow_classical(growth(t), "yoy", ALL, BREAKS))
 query("g02_chow_hac")(lambda t: breaks.chow_hac(growth(t), "yoy", ALL, BREAKS))
+
+# one regressor: each side is a simple regression; h is a row's share in the difference of the two coefficient pairs, its sign by side
+define("bside", f"SELECT p.entity, break_name, d, ts, yoy AS y, URGENT AS x, CASE WHEN ts < d THEN 'pre' ELSE 'post' END AS side FROM pyn p CROSS JOIN (VALUES {_b}) b(break_name, d)")
+define("bfit", "SELECT entity, break_name, d, side, count(*) AS n, regr_slope(y, x) AS b, regr_intercept(y, x) AS a, regr_sxx(y, x) AS sxx, avg(x) AS mx FROM bside GROUP BY ALL")
+define("bh", "SELECT *, e * (1.0 / n - mx * (x - mx) / sxx) AS g0, e * (x - mx) / sxx AS g1 FROM (SELECT s.*, f.n, f.b, f.a, f.sxx, f.mx, s.y - f.a - f.b * s.x AS e FROM bside s JOIN bfit f USING (entity, break_name, d, side))")
+define("bhl", "SELECT *, " + ", ".join(f"coalesce(lag(s * g{i}, {k}) OVER w, 0) AS h{i}_{k}, coalesce(lag(g{i}, {k}) OVER v, 0) AS o{i}_{k}" for i in (0, 1) for k in range(1, 5)) + " FROM (SELECT *, CASE WHEN side = 'post' THEN 1 ELSE -1 END AS s FROM bh) "
+       "WINDOW w AS (PARTITION BY entity, break_name ORDER BY ts), v AS (PARTITION BY entity, break_name, side ORDER BY ts)")
+
+
+def _v(i, j, p="h", own="s * "):
+    """Newey-West sum of products of two components."""
+    return f"(sum(g{i} * g{j})" + "".join(f" + (1 - {k} / 5.0::DOUBLE) * sum({own}g{i} * {p}{j}_{k} + {own}g{j} * {p}{i}_{k})" for k in range(1, 5)) + ")"
+
+
+define("bvar", f"SELECT entity, break_name, d, {_v(0, 0)} AS v00, {_v(0, 1)} AS v01, {_v(1, 1)} AS v11 FROM bhl GROUP BY ALL")
+define("bwald", "SELECT v.entity, v.break_name, v.d AS break_date, p.n AS n_pre, q.n AS n_post, ((q.a - p.a) * ((q.a - p.a) * v11 - (q.b - p.b) * v01) + (q.b - p.b) * ((q.b - p.b) * v00 - (q.a - p.a) * v01)) / (v00 * v11 - v01 * v01) / 2 AS F "
+       "FROM bvar v JOIN bfit p ON p.entity = v.entity AND p.break_name = v.break_name AND p.side = 'pre' JOIN bfit q ON q.entity = v.entity AND q.break_name = v.break_name AND q.side = 'post'")
+_p2 = "pow(1 + 2 * F / (n_pre + n_post - 4), -(n_pre + n_post - 4) / 2.0)"
+define("bse", f"SELECT entity, break_name, d, side, sqrt({_v(0, 0, 'o', '')}) AS se0, sqrt({_v(1, 1, 'o', '')}) AS se1 FROM bhl GROUP BY ALL")
+define("bcoef", "SELECT entity, break_name, d, side, n, unnest([{'variable': 'const', 'coef': a, 'se': se0}, {'variable': 'URGENT', 'coef': b, 'se': se1}], recursive := true) FROM bfit JOIN bse USING (entity, break_name, d, side)")
+define("bshift", "SELECT p.entity, p.break_name, p.d AS break_date, p.variable, p.coef AS coef_pre, p.se AS se_pre, p.n AS n_pre, q.coef AS coef_post, q.se AS se_post, q.n AS n_post, q.coef - p.coef AS delta, sqrt(p.se * p.se + q.se * q.se) AS se_delta "
+       "FROM bcoef p JOIN bcoef q ON p.entity = q.entity AND p.break_name = q.break_name AND p.variable = q.variable AND p.side = 'pre' AND q.side = 'post'")
+
+
+def hac_one(t):
+    return breaks.chow_hac(growth(t), "yoy", ONE, BREAKS)
+
+
+def shift_one(t):
+    return breaks.coef_shift(growth(t), "yoy", ONE, BREAKS)
+
+
+query("g02_chow_hac_one_regressor", f"SELECT entity, break_name, break_date, {r('F')} AS F, CAST(n_pre + n_post AS BIGINT) AS n_total, CAST(n_pre AS BIGINT) AS n_pre, CAST(n_post AS BIGINT) AS n_post, CAST(2 AS BIGINT) AS df_num, CAST(n_pre + n_post - 4 AS BIGINT) AS df_denom, "
+      f"{r(_p2)} AS p_value, CAST(NULL AS VARCHAR) AS error FROM bwald")(hac_one)
+_sh = ", ".join(f"{r(c)} AS {c}" for c in ("coef_pre", "se_pre", "coef_post", "se_post", "delta", "se_delta", "z_stat"))
+query("g04_coef_shift_one_regressor", f"SELECT entity, break_name, break_date, variable, n_pre, n_post, {_sh} FROM (SELECT *, delta / se_delta AS z_stat FROM bshift)")(lambda t: shift_one(t).drop("p_value"))
+query("g05_dominant_driver_one_regressor", f"SELECT entity, break_name, CASE WHEN survives THEN top END AS driver, {r('z')} AS max_abs_z, survives, survives AND top <> 'const' AS generates_interaction FROM (SELECT s.entity, s.break_name, arg_max(variable, abs(delta / se_delta)) AS top, "
+      f"max(abs(delta / se_delta)) AS z, any_value({_p2.replace('n_pre', 'w.n_pre').replace('n_post', 'w.n_post')} < 0.05 / 12) AS survives FROM bshift s JOIN bwald w USING (entity, break_name) GROUP BY 1, 2)")(lambda t: breaks.dominant_driver(shift_one(t), hac_one(t)))
+query("g08_wald_at_break_one_regressor", f"SELECT entity, break_name, break_date, {r('F')} AS wald_f FROM bwald")(lambda t: hac_one(t).select("entity", "break_name", "break_date", F.col("F").alias("wald_f")))
 query("g03_chow_with_nuisance")(lambda t: breaks.chow_hac(growth(t), "yoy", ALL, BREAKS, nuisance=PERIODS[0][1:]))
 query("g04_coef_shift")(lambda t: breaks.coef_shift(growth(t), "yoy", ALL, BREAKS))
 query("g05_dominant_driver")(lambda t: breaks.dominant_driver(breaks.coef_shift(growth(t), "yoy", ALL, BREAKS), breaks.chow_hac(growth(t), "yoy", ALL, BREAKS)))
 
 
+def both(t):
+    return breaks.bonferroni([("classical", classical(t)), ("hac", hac_one(t))])
+
+
+_c2 = "pow(1 + 2 * F / (n_total - 4), -(n_total - 4) / 2.0)"
+define("bstack", f"SELECT 'classical' AS variant, entity, break_name, break_date, F, {_c2} AS p_value, n_total, n_pre, n_total - n_pre AS n_post FROM chowf UNION ALL SELECT 'hac', entity, break_name, break_date, F, {_p2}, n_pre + n_post, n_pre, n_post FROM bwald")
+query("g06_bonferroni_two_variants", f"SELECT variant, entity, break_name, break_date, {r('F')} AS F, {r('p_value')} AS p_value, CAST(n_total AS BIGINT) AS n_total, CAST(n_pre AS BIGINT) AS n_pre, CAST(n_post AS BIGINT) AS n_post, {r('0.05 / 12')} AS alpha_family, "
+      "p_value < 0.05 AS reject_nominal, p_value < 0.05 / 12 AS reject_family FROM bstack")(both)
+query("g07_concordance_two_variants", "SELECT 'classical-hac' AS pair, CAST(count(*) AS BIGINT) AS n_cells, CAST(count(CASE WHEN (a.p_value < 0.05) = (b.p_value < 0.05) THEN 1 END) AS BIGINT) AS n_agree FROM bstack a JOIN bstack b USING (entity, break_name) "
+      "WHERE a.variant = 'classical' AND b.variant = 'hac'")(lambda t: breaks.concordance(both(t), "classical", "hac"))
+
+
 def stacked(t):
-    return breaks.bonferroni([("classical", classical(t)), ("hac", breaks.chow_hac(growth(t), "yoy", ONE, BREAKS)),
+    return breaks.bonferroni([("classical", classical(t)), ("hac", hac_one(t)),
                               ("hac_period", breaks.chow_hac(growth(t), "yoy", ONE, BREAKS, nuisance=PERIODS[0][1:]))])
 
 

@@ -102,11 +102,28 @@ query("j09_magnitude_summary", f"SELECT entity, {r('mx')} AS max_abs, {r('av')}
       "sum(abs(c0)) AS sm, quantile_cont(abs(c0), 0.5) AS md, CAST(count(CASE WHEN sign_stable THEN 1 END) AS BIGINT) AS n_stable FROM stab GROUP BY 1)")(lambda t: ridge.magnitude_summary(ridge.coef_stability(coefs(t)), "ASIA"))
 
 
+def chosen(t):
+    """Penalty of every entity by cross-validation of the whole model one month ahead."""
+    return ridge.select_alpha(ridge.alpha_cv(train(t), XS, TARGET, ALPHAS, h=1))
+
+
 def walk(t):
-    return ridge.direct_walk_forward(matrix(t), XS, TARGET, A, TEST_START, HORIZONS)
+    return ridge.direct_walk_forward(matrix(t), XS, TARGET, chosen(t), TEST_START, HORIZONS)
+
+
+def walk_one(t):
+    """One feature, with the penalty that its own cross-validation selects."""
+    return ridge.direct_walk_forward(matrix(t), ["ORDERS"], TARGET, selection(t), TEST_START, HORIZONS)
 
 
 query("j10_direct_h_walk_forward")(walk)
+# a row of month m trains the response of m + h, so it counts from origin m + h on
+define("jrow", "SELECT a.entity, h, a.ts, a.ORDERS AS x, a.REVENUE AS now, b.REVENUE AS y, b.ts AS known FROM fmat a CROSS JOIN (VALUES (1), (3), (6), (12)) v(h) JOIN fmat b ON b.entity = a.entity AND b.ts = CAST(a.ts + to_months(h) AS DATE) "
+       "WHERE a.ORDERS IS NOT NULL AND b.REVENUE IS NOT NULL")
+define("jfit", "SELECT o.entity, o.h, o.ts, any_value(o.x) AS x, any_value(o.now) AS now, any_value(o.y) AS y, any_value(o.known) AS known, count(*) AS n, avg(t.x) AS mx, var_pop(t.x) AS vx, covar_pop(t.x, t.y) AS cxy, avg(t.y) AS my "
+       f"FROM jrow o JOIN jrow t ON t.entity = o.entity AND t.h = o.h AND t.known <= o.ts WHERE o.ts >= DATE '{TEST_START}' AND o.ts <= (SELECT max(ts) FROM fmat e WHERE e.entity = o.entity AND REVENUE IS NOT NULL) - INTERVAL 12 MONTH GROUP BY 1, 2, 3")
+define("jone", "SELECT f.entity, f.h, f.ts AS origin_date, known AS target_date, y AS y_true, now AS y_naive, n AS n_train, CASE WHEN n >= 20 THEN my + cxy / vx * n / (n + alpha) * (x - mx) END AS y_pred FROM jfit f JOIN csel USING (entity)")
+query("j10_direct_h_walk_forward_one_feature", f"SELECT entity, CAST(h AS BIGINT) AS h, origin_date, target_date, {r('y_true')} AS y_true, {r('y_naive')} AS y_naive, n_train, {r('y_pred')} AS y_pred FROM jone")(walk_one)
 query("j10_direct_naive_part", "SELECT a.entity, CAST(h AS BIGINT) AS h, a.ts AS origin_date, CAST(a.ts + to_months(h) AS DATE) AS target_date, " + r("a.REVENUE") + " AS y_naive, " + r("b.REVENUE") + " AS y_true FROM fmat a CROSS JOIN (VALUES (1), (3), (6), (12)) v(h) "
       f"JOIN fmat b ON b.entity = a.entity AND b.ts = CAST(a.ts + to_months(h) AS DATE) WHERE a.ts >= DATE '{TEST_START}' AND a.ts <= (SELECT max(ts) FROM fmat e WHERE e.entity = a.entity) - INTERVAL 12 MONTH")(
     lambda t: walk(t).select("entity", "h", "origin_date", "target_date", "y_naive", "y_true"))
@@ -123,6 +140,10 @@ def drift_metrics(t, layer="drift"):
 
 
 query("j11_direct_metrics_ridge")(lambda t: ridge.direct_metrics(walk(t), tscale(t)))
+define("jscale", f"SELECT entity, avg(abs(d)) AS scale FROM (SELECT entity, REVENUE - lag(REVENUE) OVER (PARTITION BY entity ORDER BY ts) AS d FROM fmat WHERE {ALLOK} AND ts <= DATE '{TRAIN_END}') GROUP BY 1")
+query("j11_direct_metrics_one_feature", f"SELECT entity, h, n AS n_origins, {r('rmse')} AS rmse, {r('mae')} AS mae, {r('bias')} AS bias, {r('med')} AS median_ae, {r('nr')} AS naive_rmse, {r('nm')} AS naive_mae, {r('rmse / nr')} AS rmse_ratio, {r('mae / scale')} AS mase FROM "
+      "(SELECT entity, CAST(h AS BIGINT) AS h, count(*) AS n, sqrt(avg(pow(y_true - y_pred, 2))) AS rmse, avg(abs(y_true - y_pred)) AS mae, avg(y_true - y_pred) AS bias, quantile_cont(abs(y_true - y_pred), 0.5) AS med, "
+      "sqrt(avg(pow(y_true - y_naive, 2))) AS nr, avg(abs(y_true - y_naive)) AS nm FROM jone WHERE y_pred IS NOT NULL GROUP BY 1, 2) JOIN jscale USING (entity)")(lambda t: ridge.direct_metrics(walk_one(t), tscale(t)))
 define("dmet", "SELECT entity, h, layer, count(*) AS n, sqrt(avg(e * e)) AS rmse, avg(abs(e)) AS mae, avg(e) AS bias, quantile_cont(abs(e), 0.5) AS med, sqrt(avg(ne * ne)) AS nr, avg(abs(ne)) AS nm, avg(abs(e)) / any_value(scale) AS mase FROM (SELECT a.*, a.y_true - b.y_pred AS ne FROM fce a "
        "JOIN fc b ON b.layer = 'naive' AND a.entity = b.entity AND a.form = b.form AND a.h = b.h AND a.origin_date = b.origin_date WHERE a.form = 'level') JOIN nscale USING (entity) GROUP BY ALL")
 query("j11_direct_metrics", f"SELECT entity, h, n AS n_origins, {r('rmse')} AS rmse, {r('mae')} AS mae, {r('bias')} AS bias, {r('med')} AS median_ae, {r('nr')} AS naive_rmse, {r('nm')} AS naive_mae, {r('rmse / nr')} AS rmse_ratio, {r('mase')} AS mase FROM dmet WHERE layer = 'drift'")(drift_metrics)
@@ -134,6 +155,6 @@ query("j13_entity_scorecard", f"SELECT s.entity, s.alpha, s.boundary, a.feature
     lambda t: ridge.entity_scorecard(selection(t), ridge.top_features(full_coefs(t)), drift_metrics(t), HORIZONS))
 query("j14_lens_audit", f"SELECT t.entity, in_top, matching, is_base, negative, {r('coef')} AS coef, in_top AND is_base AND negative AS passes FROM (SELECT entity, bool_or(feature = 'AVGVAL') AS in_top, coalesce(string_agg(CASE WHEN feature LIKE '%roll%' THEN feature END, ',' ORDER BY feature), '') AS matching FROM cfull WHERE rank <= 5 GROUP BY 1) t "
       "JOIN (SELECT entity, category = 'base' AS is_base, coef < 0 AS negative, coef FROM cfull WHERE feature = 'AVGVAL') USING (entity)")(lambda t: ridge.lens_audit(full_coefs(t), "AVGVAL", "roll"))
-query("j15_heterogeneity_stats", "SELECT max(alpha) AS alpha_max, min(alpha) AS alpha_min, (SELECT entity FROM csel ORDER BY alpha DESC, entity DESC LIMIT 1) AS entity_max, (SELECT entity FROM csel ORDER BY alpha, entity LIMIT 1) AS entity_min, max(alpha) / min(alpha) AS ratio, "
-      "(SELECT coalesce(string_agg(DISTINCT entity, ',' ORDER BY entity), '') FROM cfull WHERE rank <= 10 AND feature LIKE '%URGENT%') AS matching_entities FROM csel")(
+query("j15_heterogeneity_stats", "SELECT s.*, entity AS matching_entity, coalesce(n, 0) AS n_matching FROM (SELECT max(alpha) AS alpha_max, min(alpha) AS alpha_min, (SELECT entity FROM csel ORDER BY alpha DESC, entity DESC LIMIT 1) AS entity_max, (SELECT entity FROM csel ORDER BY alpha, entity LIMIT 1) AS entity_min, "
+      "max(alpha) / min(alpha) AS ratio FROM csel) s LEFT JOIN (SELECT entity, count(*) AS n FROM cfull WHERE rank <= 10 AND feature LIKE '%URGENT%' GROUP BY 1) ON true")(
     lambda t: ridge.heterogeneity(selection(t), ridge.top_features(full_coefs(t)), "URGENT"))

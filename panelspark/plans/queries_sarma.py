@@ -46,6 +46,12 @@ def pick(g):
     return sel, sel.select("variant_id", *sarma.parse_order("aic_order"))
 
 
+def fitted(t):
+    """Residuals of the selected order of every series on its training part."""
+    past = series(t).filter(F.col("ts") < F.lit(FIRST))
+    return sarma.order_residuals(past, pick(grid(t))[1], SEASON, LONG, "hour")
+
+
 query("h03_fit_order_grid")(grid)
 query("h04_select_order_fitted")(lambda t: pick(grid(t))[0])
 
@@ -88,9 +94,14 @@ define("hjb", "SELECT *, n / 6.0 * (skew * skew + kurt_excess * kurt_excess / 4)
 define("hlb", "SELECT a.variant_id, m, any_value(q.n) * (any_value(q.n) + 2) * sum(g * g / (q.n - k)) AS q FROM (SELECT a.variant_id, k, sum(a.c * b.c) / any_value(s) AS g FROM herr a JOIN herr b ON a.variant_id = b.variant_id JOIN range(1, 25) k(k) ON a.rn = b.rn + k JOIN (SELECT variant_id AS v0, sum(c * c) AS s FROM herr GROUP BY 1) "
        "ON v0 = a.variant_id GROUP BY 1, 2) a JOIN (VALUES (12), (24)) v(m) ON k <= m JOIN hmom q ON q.variant_id = a.variant_id GROUP BY 1, 2")
 _lb = ", ".join(f"{r(f'max(CASE WHEN m = {m} THEN q END)')} AS lb{m}_stat, {r(f'max(CASE WHEN m = {m} THEN ' + chi2_even('q', m) + ' END)')} AS lb{m}_p" for m in (12, 24))
-query("h06_residual_diagnostics", "SELECT * FROM (SELECT variant_id, n, " + ", ".join(f"{r(c)} AS {c}" for c in ("mean", "sd", "skew", "kurt_excess", "jb")) + f", {r('exp(-jb / 2)')} AS jb_p FROM hjb) JOIN (SELECT variant_id, {_lb} FROM hlb GROUP BY 1) USING (variant_id)")(
-    lambda t: sarma.residual_diagnostics(errors(t)).drop("arch_lm", "arch_p"))
-query("h06_residual_diagnostics_hourly")(lambda t: sarma.residual_diagnostics(series(t).withColumnRenamed("y", "e"), unit="hour"))
+# two lags: the share that a regression on two columns explains has a closed form in correlations
+define("harch", "SELECT variant_id, count(*) AS n, corr(s, s1) AS a, corr(s, s2) AS b, corr(s1, s2) AS c FROM (SELECT variant_id, e * e AS s, lag(e * e) OVER w AS s1, lag(e * e, 2) OVER w AS s2 FROM herr "
+       "WINDOW w AS (PARTITION BY variant_id ORDER BY ts)) WHERE s2 IS NOT NULL GROUP BY 1")
+_arch = "n * (a * a + b * b - 2 * a * b * c) / (1 - c * c)"
+query("h06_residual_diagnostics", "SELECT * FROM (SELECT variant_id, n, " + ", ".join(f"{r(c)} AS {c}" for c in ("mean", "sd", "skew", "kurt_excess", "jb")) + f", {r('exp(-jb / 2)')} AS jb_p FROM hjb) JOIN (SELECT variant_id, {_lb} FROM hlb GROUP BY 1) USING (variant_id) "
+      f"JOIN (SELECT variant_id, {r(_arch)} AS arch_lm, {r(f'exp(-{_arch} / 2)')} AS arch_p FROM harch) USING (variant_id)")(
+    lambda t: sarma.residual_diagnostics(errors(t), arch_lags=2))
+query("h06_residual_diagnostics_hourly")(lambda t: sarma.residual_diagnostics(fitted(t), unit="hour"))
 
 
 def walk(t, orders):
@@ -98,6 +109,18 @@ def walk(t, orders):
 
 
 query("h07_expanding_one_step")(lambda t: walk(t, pick(grid(t))[1]))
+# one lag and no noise term: a simple regression over all earlier rows at every date
+define("hlag", "SELECT variant_id, ts, y, lag(y) OVER (PARTITION BY variant_id ORDER BY ts) AS x FROM hser")
+define("hwalk", "SELECT variant_id, ts, y, x, count(*) OVER w AS n, regr_slope(y, x) OVER w AS b, regr_intercept(y, x) OVER w AS a FROM hlag WHERE x IS NOT NULL WINDOW w AS (PARTITION BY variant_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
+
+
+def one_lag(t):
+    s = series(t)
+    orders = s.select("variant_id").distinct().select("variant_id", *[F.lit(v).cast("bigint").alias(c) for c, v in (("p", 1), ("q", 0), ("P_s", 0), ("D_s", 0), ("Q_s", 0))])
+    return sarma.expanding_one_step(s, orders, SEASON, LONG, FIRST, "hour", 1, 0, 0, 0)
+
+
+query("h07_expanding_one_step_one_variable", f"SELECT variant_id, strftime(ts, '%Y-%m-%d %H:%M') AS ts, {r('y')} AS actual, {r('a + b * x')} AS predicted, {r('y - a - b * x')} AS residual, n AS n_train FROM hwalk WHERE ts >= TIMESTAMP '{FIRST}'")(one_lag)
 query("h09_boundary_verdict", f"SELECT variant_id, oo AS original_order, oa AS original_aic, eo AS extension_order, ea AS extension_aic, {r('ea - oa')} AS delta_aic, CASE WHEN ea - oa <= -2 THEN 'extend' ELSE 'accept' END AS verdict, n_extensions_converged FROM (SELECT variant_id, count(CASE WHEN NOT is_original AND converged THEN 1 END) AS n_extensions_converged "
       "FROM sord GROUP BY 1) JOIN (SELECT variant_id AS v1, o AS oo, aic AS oa FROM sord WHERE is_original QUALIFY row_number() OVER (PARTITION BY variant_id ORDER BY aic DESC, o DESC) = 1) ON v1 = variant_id JOIN (SELECT variant_id AS v2, o AS eo, aic AS ea FROM sord WHERE NOT is_original QUALIFY row_number() "
       "OVER (PARTITION BY variant_id ORDER BY converged DESC, aic, o) = 1) ON v2 = variant_id")(lambda t: sarma.boundary_verdict(table_grid(t)))

@@ -44,11 +44,6 @@ def ar(t):
     return var.fit(level(t), [TARGET], 1)
 
 
-def small(t):
-    """Five variables without exogenous columns."""
-    return var.fit(panel(t), ENDOG, P)
-
-
 define("arr", "SELECT entity, ts, REVENUE AS y, lag(REVENUE) OVER w AS x, row_number() OVER w - 1 AS rn FROM panel WINDOW w AS (PARTITION BY entity ORDER BY ts)")
 define("arm", "SELECT entity, count(*) AS n, regr_slope(y, x) AS phi, regr_intercept(y, x) AS c, regr_syy(y, x) - regr_sxy(y, x) * regr_sxy(y, x) / regr_sxx(y, x) AS rss, regr_syy(y, x) AS tss, regr_sxx(y, x) AS sxx, sum(x * x) AS xx FROM arr WHERE x IS NOT NULL GROUP BY 1")
 define("aric", " UNION ALL ".join(
@@ -92,13 +87,13 @@ def granger(t):
 query("i09_granger_matrix")(granger)
 query("i10_granger_target_panel")(lambda t: var.granger_target(granger(t), TARGET))
 query("i11_granger_summary")(lambda t: var.granger_summary(granger(t)))
-query("i12_irf_orthogonal")(lambda t: var.irf(small(t), ENDOG, P, H))
+query("i12_irf_orthogonal")(lambda t: var.irf(model(t), ENDOG, P, H))
 query("i12_irf_one_variable", f"SELECT entity, CAST(h AS BIGINT) AS horizon, 'REVENUE' AS response, 'REVENUE' AS shock, {r('sqrt(rss / (n - 2)) * pow(phi, h)')} AS irf, {r('sqrt(rss / (n - 2)) * (1 - pow(phi, h + 1)) / (1 - phi)')} AS cumulative FROM arm CROSS JOIN range(0, 25) k(h)")(
     lambda t: var.irf(ar(t), [TARGET], 1, H))
 
 
 def bands(t):
-    return var.irf_bands(panel(t), ENDOG, P, (), H, 200)
+    return var.irf_bands(with_exog(t), ENDOG, P, EXOG, H, 200)
 
 
 query("i13_irf_bands")(bands)
@@ -106,7 +101,7 @@ query("i14_irf_peak")(lambda t: var.irf_peak(bands(t), TARGET))
 
 
 def shares(t):
-    return var.fevd(var.irf(small(t), ENDOG, P, H))
+    return var.fevd(var.irf(model(t), ENDOG, P, H))
 
 
 query("i15_fevd")(shares)

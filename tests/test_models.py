@@ -334,3 +334,179 @@ def test_layers_that_disagree_on_the_actual_are_an_error(spark):
     df = forecasts(spark, {"one": np.ones(5), "two": np.zeros(5)}).withColumn("y_true", F.when(F.col("layer") == "two", F.col("y_true") + 0.1).otherwise(F.col("y_true")))
     with pytest.raises(Exception, match="disagree"):
         evaluate.align_matched(df, [("one", "two")]).collect()
+
+
+def refit_both_stages(y, t, p, q, sp, sq, sd, season, long_lag, grid):
+    """Forecast of y[t] from both stages fitted on rows before t; NaN marks gaps."""
+    w = y.copy()
+    if sd:
+        w = np.concatenate([np.full(season, np.nan), y[season:] - y[:-season]])
+
+    def lags(z, ks, at):
+        return np.array([z[at - k] if at >= k else np.nan for k in ks])
+
+    long = range(1, long_lag + 1)
+    ar, ma = [*range(1, grid[0] + 1), *[season * k for k in range(1, grid[2] + 1)]], [*range(1, grid[1] + 1), *[season * k for k in range(1, grid[3] + 1)]]
+    one = [i for i in range(len(w)) if not np.isnan([w[i], *lags(w, long, i)]).any()]
+    x = np.array([[1.0, *lags(w, long, i)] for i in one if i < t])
+    phi = np.linalg.lstsq(x, w[[i for i in one if i < t]], rcond=None)[0]
+    e = np.full(len(w), np.nan)
+    for i in one:
+        e[i] = w[i] - phi @ [1.0, *lags(w, long, i)]
+    two = [i for i in range(len(w)) if not np.isnan([w[i], *lags(w, long, i), *lags(w, ar, i), *lags(e, ma, i)]).any()]
+    own = [*range(1, p + 1), *[season * k for k in range(1, sp + 1)]], [*range(1, q + 1), *[season * k for k in range(1, sq + 1)]]
+
+    def row(i):
+        return [1.0, *lags(w, own[0], i), *lags(e, own[1], i)]
+
+    train = [i for i in two if i < t]
+    if t not in two or len(train) <= len(row(t)):
+        return None
+    beta = np.linalg.lstsq(np.array([row(i) for i in train]), w[train], rcond=None)[0]
+    return beta @ row(t) + (y[t - season] if sd else 0.0), len(train)
+
+
+@pytest.mark.parametrize("span", [7, 64])
+def test_both_stages_are_refitted_at_every_origin(spark, span):
+    rng = np.random.default_rng(8)
+    n, season, long_lag, grid = 130, 4, 5, (2, 2, 1, 1)
+    orders = {"a": (1, 1, 0, 0, 0), "b": (2, 0, 1, 0, 1), "c": (1, 2, 1, 1, 1)}
+    series, rows = {}, []
+    for name in orders:
+        y, e = np.zeros(n), rng.normal(size=n)
+        for t in range(1, n):
+            y[t] = 0.5 * y[t - 1] + e[t] + 0.4 * e[t - 1] + 0.02 * t
+        if name == "c":
+            y[[40, 41, 90]] = np.nan  # gaps before and after the first target
+        series[name] = y
+        rows += [(name, d, None if np.isnan(v) else float(v)) for d, v in zip(months(n), y)]
+    df = spark.createDataFrame(rows, "variant_id string, ts date, y double")
+    # columns of an order: p, q, seasonal p, seasonal q, seasonal difference
+    table = spark.createDataFrame([(k, *v) for k, v in orders.items()], "variant_id string, p long, q long, P_s long, Q_s long, D_s long")
+    got = {(r.variant_id, r.ts): r for r in sarma.expanding_one_step(df, table, season, long_lag, months(n)[80], "month", *grid, span=span).collect()}
+    checked = 0
+    for name, (p, q, sp, sq, sd) in orders.items():
+        for t in range(80, n):
+            want = refit_both_stages(series[name], t, p, q, sp, sq, sd, season, long_lag, grid)
+            if want is None:
+                assert (name, months(n)[t]) not in got
+                continue
+            r = got[name, months(n)[t]]
+            assert r.predicted == pytest.approx(want[0], rel=1e-6, abs=1e-8) and r.n_train == want[1] and r.actual == pytest.approx(series[name][t])
+            checked += 1
+    assert checked == len(got) > 110
+
+
+def test_expanding_sums_follow_blocks_and_not_rows(spark):
+    from panelspark.operators.expanding import expanding, moments
+    from pyspark.sql import types as T
+
+    df = spark.range(1000).select((F.col("id") % 2).alias("k"), F.col("id").alias("tag"), (F.col("id") % 7).cast("double").alias("x"))
+    at = df.filter("tag % 10 < 2").select("k", "tag", F.col("tag").alias("again"))
+
+    def solve(sums, totals, frame):
+        return pd.DataFrame({"again": frame["again"], "n": sums[0][:, 0, 0], "s": sums[0][:, 0, 1], "q": sums[0][:, 1, 1], "all": totals[0][0, 1]})
+
+    fields = [T.StructField("again", T.LongType()), *[T.StructField(c, T.DoubleType()) for c in ("n", "s", "q", "all")]]
+    out = expanding(df, ["k"], ["x"], [moments([0])], "tag", at, fields, solve, span=32)
+    rows = out.collect()
+    x = np.arange(1000) % 7
+    assert len(rows) == 200
+    for r in rows:
+        own = x[np.arange(r.k, r.again + 1, 2)]
+        assert (r.n, r.s, r.q, r["all"]) == (len(own), own.sum(), (own ** 2).sum(), x[r.k::2].sum())
+    # one exchange carries the rows; the sums that go from blocks to keys are one row per block
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("FlatMapGroupsInPandas") == 1 and "ReusedExchange" in plan and "posexplode" not in plan
+
+
+def test_order_residuals_are_those_of_the_fit(spark):
+    rng = np.random.default_rng(6)
+    y = rng.normal(size=120).cumsum()
+    df = spark.createDataFrame([("v", t, float(v)) for t, v in zip(months(120), y)], "variant_id string, ts date, y double")
+    orders = spark.createDataFrame([("v", 2, 0, 0, 0, 0)], "variant_id string, p long, q long, P_s long, D_s long, Q_s long")
+    got = sarma.order_residuals(df, orders, 4, 6, p=3, q=3).orderBy("ts").collect()
+    first = 6 + 8
+    x = np.column_stack([np.ones(120 - first), y[first - 1:119], y[first - 2:118]])
+    b, *_ = np.linalg.lstsq(x, y[first:], rcond=None)
+    assert np.allclose([r.e for r in got], y[first:] - x @ b)
+
+
+def test_bands_with_exogenous_columns_equal_a_loop(spark, panel, frame):
+    endog, p, horizon, reps = ["y", "x1"], 1, 3, 40
+    got = var.irf_bands(panel, endog, p, ["x2"], horizon, reps).toPandas()
+    seeds = {(r.entity, r.ts): r.s for r in panel.select("entity", "ts", F.xxhash64("entity", "ts", F.lit(7)).alias("s")).collect()}
+    for e, d in frame.groupby("entity"):
+        v, ex = d[endog].to_numpy(), d[["x2"]].to_numpy()
+        x, b = direct_var(v, p, ex)
+        r = v[p:] - x @ b
+        draws = []
+        for rep in range(reps):
+            sign = []
+            for ts in d.ts.iloc[p:]:
+                m = (np.uint64(seeds[e, ts] & (2 ** 64 - 1)) ^ np.uint64(rep * 0x9E3779B97F4A7C15 & (2 ** 64 - 1)))
+                m = int(m) * 0xBF58476D1CE4E5B9 & (2 ** 64 - 1)
+                m = (m ^ (m >> 31)) * 0x94D049BB133111EB & (2 ** 64 - 1)
+                sign.append(1.0 if m >> 63 else -1.0)
+            ystar = x @ b + r * np.array(sign)[:, None]
+            bs, *_ = np.linalg.lstsq(x, ystar, rcond=None)
+            es = ystar - x @ bs
+            chol = np.linalg.cholesky(es.T @ es / (len(x) - x.shape[1]))
+            draws.append([np.linalg.matrix_power(bs[1:3].T, h) @ chol for h in range(horizon + 1)])
+        low, high = np.quantile(draws, [0.025, 0.975], axis=0)
+        for row in got[got.entity == e].itertuples():
+            i, j = endog.index(row.response), endog.index(row.shock)
+            assert row.lower == pytest.approx(low[row.horizon, i, j], abs=1e-8) and row.upper == pytest.approx(high[row.horizon, i, j], abs=1e-8)
+
+
+def test_matching_guards(spark):
+    a, b = np.ones(40), np.zeros(40)
+    df = forecasts(spark, {"one": a, "two": b})
+    assert evaluate.align_matched(df, [("one", "two")]).count() == 40
+    with pytest.raises(Exception, match="several forecasts of layer one"):
+        evaluate.align_matched(df.union(df.filter("layer = 'one'").limit(1)), [("one", "two")]).collect()
+    with pytest.raises(Exception, match="no rows for any pair"):
+        evaluate.align_matched(df, [("one", "three")]).collect()
+
+
+def test_chow_with_a_period_dummy(panel, frame):
+    day, period = months(90)[45], (months(90)[20], months(90)[50])
+    rows = {r.entity: r for r in breaks.chow_hac(panel, "y", ["x1", "x2"], [("B", day), ("late", dt.date(2050, 1, 1))], nuisance=period).collect() if r.break_name == "B"}
+    for e, d in frame.groupby("entity"):
+        x = np.column_stack([np.ones(90), d.x1, d.x2])
+        inside = ((np.arange(90) >= 20) & (np.arange(90) <= 50)).astype(float)[:, None]
+        b, v = direct_hac(np.hstack([x, x * (np.arange(90) >= 45)[:, None], inside]), d.y.to_numpy())
+        r = rows[e]
+        assert r.F == pytest.approx(b[3:6] @ np.linalg.solve(v[3:6, 3:6], b[3:6]) / 3, rel=1e-7)
+        assert r.period_coef == pytest.approx(b[6], rel=1e-7) and r.period_se == pytest.approx(v[6, 6] ** 0.5, rel=1e-7)
+        assert (r.n_total, r.n_pre, r.df_denom) == (90, 45, 90 - 7)
+
+
+def test_breaks_beyond_the_data_are_small_samples(panel):
+    rows = breaks.chow_hac(panel, "y", ["x1"], [("early", dt.date(1900, 1, 1)), ("late", dt.date(2050, 1, 1)), ("B", months(90)[45])]).collect()
+    for r in rows:
+        assert (r.F is None) == (r.break_name != "B") == ("too small" in (r.error or ""))
+    assert {r.break_name for r in breaks.coef_shift(panel, "y", ["x1"], [("late", dt.date(2050, 1, 1)), ("B", months(90)[45])]).collect()} == {"B"}
+
+
+@pytest.mark.parametrize("rank", ["full", "lost"])
+def test_nested_sums_of_one_factor(rank):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(50, 6))
+    if rank == "lost":
+        x[:, 4] = 2 * x[:, 1]
+    z = np.column_stack([x, rng.normal(size=50)])
+    got = stationarity.nested_rss(z.T @ z, range(6), 6)
+    want = [((z[:, 6] - x[:, :i] @ np.linalg.lstsq(x[:, :i], z[:, 6], rcond=None)[0]) ** 2).sum() for i in range(1, 7)]
+    assert np.allclose(got, want)
+
+
+def test_adf_with_a_given_longest_lag(spark, frame):
+    df = spark.createDataFrame(frame[["entity", "ts", "y"]], "entity string, ts date, value double").withColumn("spec", F.lit("c"))
+    rows = {r.entity: r for r in stationarity.adf(df, ["entity"], maxlag=0).collect()}
+    for e, d in frame.groupby("entity"):
+        v = d.y.to_numpy()
+        x = np.column_stack([np.ones(89), v[:-1]])
+        b, *_ = np.linalg.lstsq(x, np.diff(v), rcond=None)
+        r = np.diff(v) - x @ b
+        assert rows[e].adf_stat == pytest.approx(b[1] / np.sqrt(r @ r / 87 * np.linalg.inv(x.T @ x)[1, 1])) and rows[e].adf_usedlag == 0
