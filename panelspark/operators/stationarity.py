@@ -12,8 +12,7 @@ from pyspark.sql import types as T
 
 from panelspark.functions.dist import adf_crit, adf_pvalue, kpss_clamped, kpss_crit, kpss_pvalue
 from panelspark.functions.series import SPAN, running
-from panelspark.functions.solve import least_squares, unpack
-from panelspark.operators.gram import DOUBLES, packed_cells
+from panelspark.functions.solve import least_squares
 from panelspark.operators.transform import PAIR, all_transforms
 from panelspark.schema import attach
 
@@ -36,103 +35,118 @@ def _numbered(df: DataFrame, keys: Sequence[str], unit: str) -> DataFrame:
     return running(known, keys, {"_pos": F.lit(1).cast("bigint")}, unit=unit)
 
 
-ADF = T.StructType([T.StructField("stat", T.DoubleType()), T.StructField("usedlag", T.LongType()), T.StructField("nobs", T.LongType()),
-                    T.StructField("error", T.StringType())])
+ADF = [T.StructField("n_obs", T.LongType()), T.StructField("spec", T.StringType()), T.StructField("adf_maxlag", T.LongType()),
+       T.StructField("adf_stat", T.DoubleType()), T.StructField("adf_usedlag", T.LongType()), T.StructField("adf_nobs", T.LongType()), T.StructField("adf_error", T.StringType())]
 
 
-def _choose_and_refit(tags, grams, maxlag: int, spec: str, m: int):
+def nested_rss(gram: np.ndarray, xs: Sequence[int], y: int) -> np.ndarray:
+    """Residual sums of squares of ``y`` on the first 1, 2, ... of the columns ``xs``: all from one Cholesky factor.
+
+    With L L' = X'X and L c = X'y, each further column takes c squared off the sum. A matrix without full rank is solved column by column.
+    """
+    xs = list(xs)
+    a, r = gram[np.ix_(xs, xs)], gram[xs, y]
+    d = np.sqrt(np.diag(a))
+    d = np.where(d > 0, d, 1.0)
+    try:
+        low = np.linalg.cholesky(a / np.outer(d, d))
+        if np.diag(low).min() < 1e-5:
+            raise np.linalg.LinAlgError
+    except np.linalg.LinAlgError:
+        return np.array([least_squares(gram[None], xs[:i + 1], y)[1][0] for i in range(len(xs))])
+    c = np.linalg.solve(low, r / d)
+    return np.maximum(gram[y, y] - np.cumsum(c * c), 0.0)
+
+
+def _choose_and_refit(common: np.ndarray, early: np.ndarray, positions: np.ndarray, maxlag: int, spec: str):
     """Lag by AIC on the common sample, then the statistic on the chosen lag's own longer sample.
 
-    ``tags`` is 0 for the common sample and the row number for each earlier row, kept as its own rank-one matrix.
+    ``early`` holds the rows that not all orders can use, with their ``positions`` in the series.
     """
-    full = unpack(grams, m)
-    tags = np.asarray(tags)
     terms = [0, 1] if spec == "ct" else [0]
-    common = full[tags == 0]
-    if len(common) == 0:
-        return None, -1, -1, "no rows left after lags"
-    common = common.sum(axis=0)
     n = common[0, 0]
-    best, used = np.inf, 0
-    for p in range(maxlag + 1):
-        xs = [*terms, 2, *range(4, 4 + p)]
-        if n <= len(xs):
+    if n <= 0:
+        return None, -1, -1, "no rows left after lags"
+    xs = [*terms, 2, *range(4, 4 + maxlag)]
+    rss = nested_rss(common, xs, 3)[len(terms):]
+    used, best = 0, np.inf
+    for p, value in enumerate(rss):
+        k = len(terms) + 1 + p
+        if n <= k:
             break
-        rss = least_squares(common[None], xs, 3)[1][0]
-        if rss <= 0:
-            continue
-        aic = n * (np.log(2 * np.pi * rss / n) + 1) + 2 * len(xs)
+        aic = n * (np.log(2 * np.pi * value / n) + 1) + 2 * k if value > 0 else np.inf
         if aic < best:
-            best, used = aic, p
-    own = common + full[(tags != 0) & (tags >= used + 2)].sum(axis=0)
-    xs = [*terms, 2, *range(4, 4 + used)]
+            used, best = p, aic
+    more = early[positions >= used + 2]
+    own = common + more.T @ more
+    xs = xs[:len(terms) + 1 + used]
     beta, rss, inv = least_squares(own[None], xs, 3)
-    nobs = own[0, 0]
-    at = len(terms)
+    nobs, at = own[0, 0], len(terms)
     var = rss[0] / (nobs - len(xs)) * inv[0, at, at] if nobs > len(xs) else np.nan
     if not var > 0:
         return None, used, int(nobs), "no residual variation"
     return float(beta[0, at] / np.sqrt(var)), used, int(round(nobs)), None
 
 
-def adf(df: DataFrame, keys: Sequence[str], unit: str = "month") -> DataFrame:
+def adf(df: DataFrame, keys: Sequence[str], unit: str = "month", maxlag: int | None = None) -> DataFrame:
     """Augmented Dickey-Fuller statistic per key. Input (keys, ts, value, spec); ``spec`` is 'c' or 'ct', null values are dropped.
 
-    One pass: sums over the rows that every lag order can use, plus one rank-one matrix for each of the few earlier
-    rows, so that the chosen order can be refitted on its longer sample without reading the series again. The work is cut into
-    blocks of positions; each block also gets the rows before it that the key's own longest lag reaches.
+    ``maxlag`` is the longest lag order tried; by default it follows from the length of the series. One pass: a block of positions adds
+    up the rows that every order can use and hands on the few earlier rows as they are, so that the chosen order can be refitted on its
+    longer sample without reading the series again. One row per block goes to the key, which adds up and tests. Each block also gets the rows
+    before it that the key's own longest lag reaches.
     """
     keys = list(keys)
     numbered = _numbered(df, keys, unit)
-    sizes = numbered.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_obs"), F.first("spec").alias("spec")).withColumn("maxlag", schwert_lag(F.col("n_obs")))
+    longest = schwert_lag(F.col("n_obs")) if maxlag is None else F.lit(maxlag).cast("bigint")
+    sizes = numbered.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_obs"), F.first("spec").alias("spec")).withColumn("maxlag", longest)
     at, reach = F.col("_pos") - 1, F.col("maxlag") + 1
     block = F.floor(at / SPAN)
     following = F.when(reach > SPAN, F.raise_error(F.lit("lags reach beyond a block")).cast("bigint")).when(at % SPAN >= SPAN - reach, block + 1)
-    rows = numbered.select(*keys, "_pos", "value").join(sizes.select(*keys, "maxlag"), keys).withColumn(
-        "_blk", F.explode(F.array_compact(F.array(block, following))))
-    schema = T.StructType([*[df.schema[k] for k in keys], T.StructField("_tag", T.LongType()), T.StructField("g", DOUBLES)])
+    rows = numbered.select(*keys, "_pos", "value").join(sizes, keys).withColumn("_blk", F.explode(F.array_compact(F.array(block, following))))
+    key_fields = [df.schema[k] for k in keys]
+    facts = ["n_obs", "spec", "maxlag"]
+    part = [T.StructField("n_obs", T.LongType()), T.StructField("spec", T.StringType()), T.StructField("maxlag", T.LongType()),
+            *[T.StructField(c, T.BinaryType()) for c in ("common", "early", "positions")]]
 
     def reduce(block: pd.DataFrame) -> pd.DataFrame:
         block = block.sort_values("_pos")
         v, pos, lags, own = block["value"].to_numpy(float), block["_pos"].to_numpy(), int(block["maxlag"].iloc[0]), int(block["_blk"].iloc[0])
         z = np.zeros((len(v), 4 + lags))
         z[:, 0], z[:, 1] = 1.0, pos
-        z[1:, 2], z[1:, 3] = v[:-1], np.diff(v)
+        step = np.diff(v)
+        z[1:, 2], z[1:, 3] = v[:-1], step
         for j in range(1, min(lags, len(v) - 2) + 1):
-            z[j + 1:, 3 + j] = np.diff(v)[:-j]
+            z[j + 1:, 3 + j] = step[:-j]
         mine = ((pos - 1) // SPAN == own) & (pos >= 2)
-        common = z[mine & (pos >= lags + 2)]
-        upper = np.triu_indices(z.shape[1])
-        out = [(0, (common.T @ common)[upper].tolist())] if len(common) else []
-        out += [(int(p), np.outer(row, row)[upper].tolist()) for p, row in zip(pos, z) if 2 <= p < lags + 2 and (p - 1) // SPAN == own]
-        frame = pd.DataFrame(out, columns=["_tag", "g"])
-        for k in reversed(keys):
-            frame.insert(0, k, block[k].iloc[0])
-        return frame
-
-    cells = rows.groupBy(*keys, "_blk").applyInPandas(reduce, schema).select(*keys, "_tag", F.posexplode("g").alias("pos", "v"))
-    parts = cells.groupBy(*keys, "_tag", "pos").agg(F.sum("v").alias("v")).groupBy(*keys, "_tag").agg(packed_cells().alias("g"))
-    packed = parts.groupBy(*keys).agg(F.collect_list(F.struct("_tag", "g")).alias("_p"))
-    packed = sizes.join(packed, keys, "left").withColumn("_p", F.coalesce("_p", F.array().cast("array<struct<_tag:bigint,g:array<double>>>")))
-
-    @F.pandas_udf(ADF)
-    def fit(tags: pd.Series, grams: pd.Series, maxlag: pd.Series, spec: pd.Series, n: pd.Series) -> pd.DataFrame:
-        out = []
-        for tg, gs, ml, sp, size in zip(tags, grams, maxlag, spec, n):
-            if size < MINIMUM:
-                out.append((None, -1, -1, "n < 10"))
-            elif ml > size // 2 - len(sp) - 1:
-                out.append((None, -1, -1, "maxlag too large for the sample"))
-            else:
-                out.append(_choose_and_refit(tg, list(gs), int(ml), sp, 4 + int(ml)))
-        frame = pd.DataFrame(out, columns=["stat", "usedlag", "nobs", "error"])
-        frame["stat"] = frame["stat"].astype(float)
-        return frame
-
-    tested = packed.withColumn("_r", fit(F.transform("_p", lambda s: s["_tag"]), F.transform("_p", lambda s: s["g"]), "maxlag", "spec", "n_obs"))
-    stat, nobs = F.col("_r.stat"), F.col("_r.nobs")
-    out = tested.select(*keys, "spec", "n_obs", stat.alias("adf_stat"), F.col("_r.usedlag").alias("adf_usedlag"), nobs.alias("adf_nobs"),
-                        F.col("maxlag").alias("adf_maxlag"), F.col("_r.error").alias("adf_error"))
+        common, early = z[mine & (pos >= lags + 2)], mine & (pos < lags + 2)
+        out = block.iloc[:1][[*keys, *facts]].copy()
+        out["common"], out["early"] = [(common.T @ common).tobytes()], [z[early].tobytes()]
+        out["positions"] = [pos[early].astype(np.int64).tobytes()]
+        return out
+
+    def test(parts: pd.DataFrame) -> pd.DataFrame:
+        n, spec, lags = (parts[c].iloc[0] for c in facts)
+        n, lags = int(n), int(lags)
+        if n < MINIMUM:
+            found = (None, -1, -1, "n < 10")
+        elif lags > n // 2 - len(spec) - 1:
+            found = (None, -1, -1, "maxlag too large for the sample")
+        else:
+            m = 4 + lags
+            common = sum(np.frombuffer(c).reshape(m, m) for c in parts["common"])
+            early = np.concatenate([np.frombuffer(c).reshape(-1, m) for c in parts["early"]])
+            found = _choose_and_refit(common, early, np.concatenate([np.frombuffer(c, np.int64) for c in parts["positions"]]), lags, spec)
+        out = parts.iloc[:1][keys].copy()
+        for name, value in zip([f.name for f in ADF], (n, spec, lags, *found)):
+            out[name] = pd.Series([value], index=out.index, dtype=object if name == "adf_error" else None)
+        out["adf_stat"] = out["adf_stat"].astype(float)
+        return out
+
+    blocks = rows.groupBy(*keys, "_blk").applyInPandas(reduce, T.StructType([*key_fields, *part]))
+    out = blocks.groupBy(*keys).applyInPandas(test, T.StructType([*key_fields, *ADF]))
+    out = out.withColumn("adf_stat", F.nanvl("adf_stat", F.lit(None).cast("double")))
+    out = out.select(*keys, "spec", "n_obs", "adf_stat", "adf_usedlag", "adf_nobs", "adf_maxlag", "adf_error")
     out = out.withColumn("adf_pvalue", adf_pvalue(F.col("adf_stat"), F.col("spec")))
     ok = F.col("adf_stat").isNotNull()
     return out.select("*", *[F.when(ok, adf_crit(F.col("spec"), F.col("adf_nobs"), lv)).alias(f"adf_crit_{lv}") for lv in ("1", "5", "10")])

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from panelspark.functions import dist
 from panelspark.operators import stationarity as st
 from panelspark.operators.clean import densify, forward_fill
 from panelspark.operators.transform import apply_transform, strip_suffix
@@ -33,6 +34,30 @@ def leveled(t):
 
 
 query("f02_adf_test")(lambda t: st.adf(leveled(t), PAIR))
+# without lags the statistic is that of a simple regression, with one lag that of a regression on two columns, which SQL can do
+define("flev", "SELECT entity, indicator, ts, value, value - lag(value) OVER w AS y, lag(value) OVER w AS x1, lag(value) OVER w - lag(value, 2) OVER w AS x2, count(*) OVER (PARTITION BY entity, indicator) AS n_obs FROM plong WINDOW w AS (PARTITION BY entity, indicator ORDER BY ts)")
+define("flag0", "SELECT entity, indicator, any_value(n_obs) AS n_obs, count(*) AS n, regr_slope(y, x1) / sqrt((regr_syy(y, x1) - regr_sxy(y, x1) * regr_sxy(y, x1) / regr_sxx(y, x1)) / (count(*) - 2) / regr_sxx(y, x1)) AS stat FROM flev WHERE x1 IS NOT NULL GROUP BY 1, 2")
+define("flag1", "SELECT *, (b * sy1 - c * sy2) / (a * b - c * c) AS b1, (a * sy2 - c * sy1) / (a * b - c * c) AS b2, syy - sy1 * sy1 / a AS rss0, syy - (sy1 * (b * sy1 - c * sy2) + sy2 * (a * sy2 - c * sy1)) / (a * b - c * c) AS rss1 FROM "
+       "(SELECT entity, indicator, count(*) AS n, regr_sxx(y, x1) AS a, regr_sxx(y, x2) AS b, regr_sxy(x2, x1) AS c, regr_sxy(y, x1) AS sy1, regr_sxy(y, x2) AS sy2, regr_syy(y, x1) AS syy FROM flev WHERE x2 IS NOT NULL GROUP BY 1, 2)")
+_one = "n * (ln(2 * pi() * rss1 / n) + 1) + 6 < n * (ln(2 * pi() * rss0 / n) + 1) + 4"
+
+
+def _crit(level):
+    c = ", ".join(str(v) for v in dist.ADF_CRIT["c"][level])
+    return f"list_sum(list_transform(list_zip([{c}], [1, 1.0 / adf_nobs, pow(1.0 / adf_nobs, 2), pow(1.0 / adf_nobs, 3)]), lambda z: z[1] * z[2]))"
+
+
+def adf_sql(maxlag):
+    source = ("SELECT entity, indicator, n_obs, stat AS s, CAST(0 AS BIGINT) AS adf_usedlag, n AS adf_nobs FROM flag0" if maxlag == 0 else
+              f"SELECT z.entity, z.indicator, n_obs, CASE WHEN used = 1 THEN stat1 ELSE stat END AS s, CAST(used AS BIGINT) AS adf_usedlag, CASE WHEN used = 1 THEN o.n ELSE z.n END AS adf_nobs FROM flag0 z JOIN "
+              f"(SELECT *, CASE WHEN {_one} THEN 1 ELSE 0 END AS used, b1 / sqrt(rss1 / (n - 3) * b / (a * b - c * c)) AS stat1 FROM flag1) o ON o.entity = z.entity AND o.indicator = z.indicator")
+    crit = ", ".join(f"{r(_crit(lv))} AS adf_crit_{lv}" for lv in ("1", "5", "10"))
+    return f"SELECT entity, indicator, n_obs, {r('s')} AS adf_stat, adf_usedlag, adf_nobs, CAST({maxlag} AS BIGINT) AS adf_maxlag, {crit} FROM ({source})"
+
+
+for _k in (0, 1):
+    query(f"f02_adf_test_maxlag_{_k}", adf_sql(_k))(
+        lambda t, k=_k: st.adf(dense_long(t).withColumn("spec", F.lit("c")), PAIR, maxlag=k).drop("spec", "adf_error", "adf_pvalue"))
 
 define("kres", "SELECT entity, indicator, ts, n, t, CASE WHEN indicator = 'REVENUE' THEN value - (my + b * (t - (n + 1) / 2.0)) ELSE value - my END AS e FROM (SELECT *, count(*) OVER p AS n, row_number() OVER (PARTITION BY entity, indicator ORDER BY ts) AS t, "
        "avg(value) OVER p AS my FROM plong WINDOW p AS (PARTITION BY entity, indicator)) JOIN (SELECT entity AS e1, indicator AS i1, regr_slope(value, t) AS b FROM (SELECT *, row_number() OVER (PARTITION BY entity, indicator ORDER BY ts) AS t FROM plong) GROUP BY 1, 2) "
