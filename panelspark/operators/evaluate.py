@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.functions.dist import t_sf
-from panelspark.functions.series import sliding
+from panelspark.functions.guards import provided
+from panelspark.functions.series import running, sliding
 from panelspark.schema import attach
 
 CELL = ("entity", "form", "h", "layer_1", "layer_2")
@@ -65,29 +66,37 @@ def pairs_of(layers: Sequence[str]) -> list[tuple[str, str]]:
     return [(a, b) for i, a in enumerate(layers) for b in layers[i + 1:]]
 
 
-def align_matched(forecasts: DataFrame, pairs: Sequence[tuple[str, str]], tolerance: float = 1e-6) -> DataFrame:
+def align_matched(forecasts: DataFrame, pairs: Sequence[tuple[str, str]], tolerance: float = 1e-6, guard: bool = True) -> DataFrame:
     """Errors of two layers on the same target, for all pairs at once.
 
-    The layers of one (entity, form, h, target) are brought side by side by one aggregate instead of a join per pair.
-    Layers that disagree on the actual value are an error.
+    The layers of one (entity, form, h, target) are brought side by side by one aggregate instead of a join per pair. The query fails if
+    layers disagree on the actual value, if a layer has several forecasts of one target, or (with ``guard``) if no target has forecasts of a pair.
     """
     layers = sorted({x for p in pairs for x in p})
-    side = forecasts.groupBy("entity", "form", "h", "target_date").agg(*[
-        F.max(F.when(F.col("layer") == x, F.struct("y_true", "y_pred"))).alias(f"_{i}") for i, x in enumerate(layers)])
+    side = forecasts.groupBy("entity", "form", "h", "target_date").agg(*[c for i, x in enumerate(layers) for c in (
+        F.max(F.when(F.col("layer") == x, F.struct("y_true", "y_pred"))).alias(f"_{i}"), F.count_if(F.col("layer") == x).alias(f"_k{i}"))])
+
+    def one(i: int, layer: str) -> Column:
+        several = F.raise_error(F.concat(F.lit(f"several forecasts of layer {layer} for "), F.concat_ws(" ", "entity", "form", "h", "target_date")))
+        return F.when(F.col(f"_k{i}") > 1, several.cast(side.schema[f"_{i}"].dataType)).otherwise(F.col(f"_{i}"))
+
+    side = side.select("entity", "form", "h", "target_date", *[one(i, x).alias(f"_{i}") for i, x in enumerate(layers)])
     at = {x: F.col(f"_{i}") for i, x in enumerate(layers)}
     both = F.array_compact(F.array(*[F.when(at[a].isNotNull() & at[b].isNotNull(), F.struct(
         F.lit(a).alias("layer_1"), F.lit(b).alias("layer_2"), at[a].alias("f1"), at[b].alias("f2"))) for a, b in pairs]))
     rows = side.select("entity", "form", "h", "target_date", F.explode(both).alias("p"))
     gap = F.abs(F.col("p.f1.y_true") - F.col("p.f2.y_true"))
     y = F.when(gap > tolerance, F.raise_error(F.lit("layers disagree on the actual value")).cast("double")).otherwise(F.col("p.f1.y_true"))
-    return rows.select("entity", "form", "h", "p.layer_1", "p.layer_2", "target_date", y.alias("y_true"),
-                       (y - F.col("p.f1.y_pred")).alias("e1"), (y - F.col("p.f2.y_pred")).alias("e2"))
+    out = rows.select("entity", "form", "h", "p.layer_1", "p.layer_2", "target_date", y.alias("y_true"),
+                      (y - F.col("p.f1.y_pred")).alias("e1"), (y - F.col("p.f2.y_pred")).alias("e2"))
+    return provided(out, "any pair of layers") if guard else out
 
 
 def _lagged(rows: DataFrame, d: str, by: Sequence[str], max_h: int) -> DataFrame:
-    """Row lags within a cell, which holds at most one row per calendar period."""
-    w = Window.partitionBy(*by).orderBy("target_date")
-    return rows.select("*", *[F.lag(d, k).over(w).alias(f"_d{k}") for k in range(1, max_h)])
+    """Lags of ``d`` by position in a cell: a missing target closes up. Cells are worked through in blocks of dates, then of positions."""
+    numbered = running(rows, by, {"_pos": F.lit(1).cast("bigint")}, ts="target_date")
+    lagged = sliding(numbered, by, lambda w: {f"_d{k}": F.lag(d, k).over(w) for k in range(1, max_h)}, back=max(1, max_h - 1), ts="_pos", unit="index")
+    return lagged.drop("_pos")
 
 
 def _autocov_sums(d: str, max_h: int) -> list[Column]:
@@ -158,7 +167,7 @@ def cell_manifest(entities: DataFrame, one_step: Sequence[tuple[str, str]], mult
 def cell_coverage(manifest: DataFrame, forecasts: DataFrame, pairs: Sequence[tuple[str, str]], minimum: int = MIN_PAIRS) -> DataFrame:
     """Rows per layer and matched rows for every cell, and whether the cell can be tested."""
     per_layer = forecasts.groupBy("entity", "form", "h", "layer").agg(F.count(F.lit(1)).alias("n"))
-    matched = align_matched(forecasts, pairs).groupBy(*CELL).agg(F.count(F.lit(1)).alias("n_paired"))
+    matched = align_matched(forecasts, pairs, guard=False).groupBy(*CELL).agg(F.count(F.lit(1)).alias("n_paired"))
     one = per_layer.select("entity", "form", "h", F.col("layer").alias("layer_1"), F.col("n").alias("n_layer_1"))
     two = per_layer.select("entity", "form", "h", F.col("layer").alias("layer_2"), F.col("n").alias("n_layer_2"))
     out = manifest.join(one, ["entity", "form", "h", "layer_1"], "left").join(two, ["entity", "form", "h", "layer_2"], "left").join(matched, list(CELL), "left")

@@ -12,7 +12,7 @@ from panelspark.plans.oracle import define, r
 from panelspark.functions.reshape import to_long
 from panelspark.plans.panels import ENTITIES, INDICATORS, TARGET, nation_panel, region_panel
 from panelspark.plans.standins import forecasts
-from panelspark.sources import readers, sinks
+from panelspark.sources import readers, sinks, textfiles
 from panelspark.sources import forecasts as adapters
 
 COLS = ", ".join(INDICATORS)
@@ -86,7 +86,12 @@ def a05(t):
     head = names.select("file", F.posexplode(F.array(
         F.concat(F.lit("Statistics of "), "file"), F.lit("unit: thousand"), F.lit("year-month,area,revenue value"))))
     head = head.select("file", F.col("pos").alias("line_no"), F.col("col").alias("text"))
-    return readers.ingest_messy(head.unionByName(data), ["year-month", "date"], ["value"], dt.date(1996, 1, 1))
+    path = shared_folder(t.spark)
+    lines = head.unionByName(data).repartition("file").sortWithinPartitions("file", "line_no").select(F.col("file").alias("of"), "text")
+    plain = {"sep": "\x01", "quote": "\x00", "escape": "\x00", "encoding": "Shift_JIS"}  # one column, written as it is
+    lines.write.partitionBy("of").options(**plain).csv(path)
+    back = textfiles.read_lines(t.spark, path).withColumn("file", F.regexp_extract("file", "/of=([^/]+)/", 1))
+    return readers.ingest_messy(back, ["year-month", "date"], ["value"], dt.date(1996, 1, 1))
 
 
 @query("a06_explode_api_json", "SELECT event_id, DATE '2024-12-01' AS ts, CAST(k AS DOUBLE) AS value FROM (SELECT event_id, "
@@ -108,11 +113,11 @@ def _univariate(t):
     return adapters.adapt_univariate(raw, variants)
 
 
-def _multivariate(t):
+def _multivariate(t, guard=True):
     raw = forecasts(t).filter((F.col("layer") == "mean12") & (F.col("form") == "level"))
     raw = raw.withColumn("variable", F.explode(F.array(F.lit(TARGET), F.lit("OTHER")))).select(
         "entity", "variable", "h", "origin_date", "target_date", F.col("y_true").alias("actual"), F.col("y_pred").alias("forecast"))
-    return adapters.adapt_multivariate(raw, TARGET, "level")
+    return adapters.adapt_multivariate(raw, TARGET, "level", guard=guard)
 
 
 def _direct(t):
@@ -136,7 +141,7 @@ query("a09_adapt_layer_direct", A09_SQL)(_direct)
 
 @query("a10_unify_forecasts", f"{A07_SQL} UNION ALL {A08_SQL} UNION ALL {A09_SQL}")
 def a10(t):
-    return adapters.unify_forecasts(_univariate(t), _multivariate(t), _direct(t))
+    return adapters.unify_forecasts(_univariate(t), _multivariate(t, False), _direct(t), names=["univariate", "multivariate", "direct"])
 
 
 FORMS = {"REVENUE": "yoy_pct_with_caveat", "ORDERS": "yoy_pct", "URGENT": "first_diff", "BALANCE": "level_with_linear_trend",

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelspark.functions.guards import provided
 from panelspark.schema import FORECAST, lookup, require_columns
 
+#: What two forecasts must have in common to be compared.
+CELL = ("entity", "form", "h", "target_date")
+
 
 def _mapped(column: str, what: str, key: str) -> Column:
     return F.coalesce(F.col(column), F.raise_error(F.concat(F.lit(f"unknown {what} "), F.col(key))).cast("string"))
@@ -34,12 +38,16 @@ def adapt_univariate(df: DataFrame, variants: Sequence[Sequence], layer: str = "
         F.col("actual").alias("y_true"), F.col("predicted").alias("y_pred")))
 
 
-def adapt_multivariate(df: DataFrame, target: str, form: str, layer: str = "multivariate") -> DataFrame:
-    """(entity, variable, h, origin_date, target_date, actual, forecast); only the target's rows are kept."""
+def adapt_multivariate(df: DataFrame, target: str, form: str, layer: str = "multivariate", guard: bool = True) -> DataFrame:
+    """(entity, variable, h, origin_date, target_date, actual, forecast); only the target's rows are kept.
+
+    A target without rows makes the query fail; without ``guard`` that is left to ``unify_forecasts``.
+    """
     require_columns(df, ["entity", "variable", "h", "origin_date", "target_date", "actual", "forecast"])
-    return _unified(df.filter(F.col("variable") == target).select(
+    out = _unified(df.filter(F.col("variable") == target).select(
         F.lit(layer).alias("layer"), "entity", F.lit(form).alias("form"), "h", "origin_date", "target_date",
         F.col("actual").alias("y_true"), F.col("forecast").alias("y_pred")))
+    return provided(out, f"target {target}", by=CELL) if guard else out
 
 
 def adapt_direct(df: DataFrame, labels: Sequence[Sequence], layer: str = "direct") -> DataFrame:
@@ -51,15 +59,19 @@ def adapt_direct(df: DataFrame, labels: Sequence[Sequence], layer: str = "direct
         "target_date", F.col("actual").alias("y_true"), F.col("forecast").alias("y_pred")))
 
 
-def unify_forecasts(*layers: DataFrame) -> DataFrame:
+def unify_forecasts(*layers: DataFrame, names: Sequence[str] = (), expected: Mapping[str, int] | None = None) -> DataFrame:
+    """All layers in one table, dealt by the columns that comparisons group by.
+
+    The query fails if there is no row, if a layer of ``names`` has none, or if a layer of ``expected`` has another number of rows (as counted
+    when its forecasts were made).
+    """
     out = layers[0]
     for df in layers[1:]:
         out = out.unionByName(df)
-    return out
 
+    def rows(layer: str) -> Column:
+        return F.count_if(F.col("layer") == layer)
 
-def require_rows(df: DataFrame, what: str) -> DataFrame:
-    """Fail early on an empty input; reads at most one row."""
-    if df.isEmpty():
-        raise ValueError(f"no rows for {what}")
-    return df
+    checks = [(rows(n) > 0, f"layer {n} has no rows") for n in names]
+    checks += [(rows(n) == k, F.concat(F.lit(f"layer {n} should have {k} rows and has "), rows(n).cast("string"))) for n, k in (expected or {}).items()]
+    return provided(out, "any layer", checks, CELL)

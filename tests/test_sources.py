@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelspark.schema import MissingColumns, literal_rows, nan_to_null
-from panelspark.sources import forecasts, readers, sinks
+from panelspark.sources import forecasts, readers, sinks, textfiles
 
 
 def test_read_series_and_missing_column(spark, tmp_path):
@@ -57,3 +57,68 @@ def test_nan_becomes_null_and_lists_are_bounded(spark):
     assert nan_to_null(spark.range(1).select(F.lit(float("nan")).alias("x"))).first().x is None
     with pytest.raises(ValueError):
         literal_rows([(i,) for i in range(10_001)], ["a"])
+
+
+def test_guards_of_adapters(spark):
+    rows = [("a", "REVENUE", 1, dt.date(2000, 1, 1), dt.date(2000, 2, 1), 1.0, 2.0), ("a", "ORDERS", 1, dt.date(2000, 1, 1), dt.date(2000, 2, 1), 1.0, 2.0)]
+    df = spark.createDataFrame(rows, "entity string, variable string, h int, origin_date date, target_date date, actual double, forecast double")
+    assert forecasts.adapt_multivariate(df, "REVENUE", "level").count() == 1
+    with pytest.raises(Exception, match="no rows for target PRICE"):
+        forecasts.adapt_multivariate(df, "PRICE", "level").collect()
+    one, two = (forecasts.adapt_multivariate(df, "REVENUE", "level", x, guard=False) for x in ("one", "two"))
+    assert forecasts.unify_forecasts(one, two, names=["one", "two"], expected={"one": 1}).count() == 2
+    with pytest.raises(Exception, match="layer two has no rows"):
+        forecasts.unify_forecasts(one, two.limit(0), names=["one", "two"]).collect()
+    with pytest.raises(Exception, match="layer two should have 2 rows and has 1"):
+        forecasts.unify_forecasts(one, two, expected={"two": 2}).collect()
+    with pytest.raises(Exception, match="no rows for any layer"):
+        forecasts.unify_forecasts(one.limit(0), two.limit(0)).collect()
+
+
+def test_guards_scan_sources_once(spark, tmp_path):
+    rows = [("a", "REVENUE", 1, dt.date(2000, 1, 1), dt.date(2000, 2, 1), 1.0, float(i)) for i in range(20)]
+    spark.createDataFrame(rows, "entity string, variable string, h int, origin_date date, target_date date, actual double, forecast double").write.parquet(str(tmp_path / "f"))
+    out = forecasts.adapt_multivariate(spark.read.parquet(str(tmp_path / "f")), "REVENUE", "level")
+    assert out.count() == 20
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "ReusedExchange" in plan and plan.count("FileScan") == 1
+
+
+def written(folder, name, text, encoding):
+    (folder / name).write_bytes(text.encode(encoding))
+
+
+@pytest.mark.parametrize("size", [1, 7, 64, 1000, 1 << 20])
+def test_every_line_is_read_once(spark, tmp_path, size):
+    lines = [f"{i}月,\"{'あ' * (i % 9)}\"" + ("\r" if i % 3 else "") for i in range(120)] + ["", "end without line end"]
+    written(tmp_path, "sjis.csv", "\n".join(lines), "cp932")
+    written(tmp_path, "_SUCCESS", "no data", "ascii")
+    size = max(size, 7)  # few enough tasks
+    rows = textfiles.read_lines(spark, str(tmp_path), range_bytes=size).orderBy("line_no").collect()
+    assert [r.text for r in rows] == [x.removesuffix("\r") for x in lines]
+    raw = textfiles.raw_lines(spark, str(tmp_path), size)
+    assert raw.rdd.getNumPartitions() == -(-len("\n".join(lines).encode("cp932")) // size)
+
+
+def test_encodings_and_files_that_none_fits(spark, tmp_path):
+    texts = {"utf-8-sig": "Größe,値\n1,2\n", "cp932": "消費者物価\n2001年1月,1\n", "cp1252": "caf\xe9,na\xefve \xff\n"}
+    for name, text in texts.items():
+        written(tmp_path, f"{name}.csv", text, name)
+    rows = textfiles.read_lines(spark, str(tmp_path), range_bytes=5).collect()
+    for name, text in texts.items():
+        got = [r.text for r in sorted(rows, key=lambda r: r.line_no) if r.file.endswith(f"{name}.csv")]
+        assert got == text.split("\n")[:-1]
+    (tmp_path / "empty.csv").write_bytes(b"")
+    assert textfiles.read_lines(spark, str(tmp_path / "empty.csv")).count() == 0
+    (tmp_path / "odd.csv").write_bytes(b"\x81\x8d\x8f\x90\x9d\xff\n")
+    with pytest.raises(Exception, match="no encoding fits"):
+        textfiles.read_lines(spark, str(tmp_path / "odd.csv"), ["utf-8", "cp932"]).collect()
+
+
+def test_messy_file_by_ranges(spark, tmp_path):
+    body = "".join(f"{2000 + i // 12}年{i % 12 + 1}月,\"1,{i:03d}.5\"\n" for i in range(240))
+    written(tmp_path, "x.csv", "消費者物価\n作成日,2024\n時間軸(月次),総合指数\n" + body, "cp932")
+    lines = textfiles.read_lines(spark, str(tmp_path / "x.csv"), range_bytes=500)
+    rows = readers.ingest_messy(lines, ["時間軸"], ["総合"], dt.date(2001, 1, 1)).orderBy("ts").collect()
+    assert len(rows) == 228 and [r.value for r in rows] == [1000.5 + i for i in range(12, 240)]
