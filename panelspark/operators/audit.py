@@ -55,7 +55,7 @@ def status_distribution(before: DataFrame, after: DataFrame, status: str = "fres
     zero = before.sparkSession.range(1).select(F.explode(literal_rows(
         [(s, i) for i, s in enumerate(order)], [status, "position"])).alias("_p")).select("_p.*")
     counts = both.groupBy(status).agg(F.sum("_b").alias("n_before"), F.sum("_a").alias("n_after"))
-    return F.broadcast(zero).join(counts, status, "left").select(
+    return zero.join(counts, status, "left").select(
         "position", status, F.coalesce("n_before", F.lit(0)).alias("n_before"),
         F.coalesce("n_after", F.lit(0)).alias("n_after"))
 

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from panelspark.functions.series import sliding
 from panelspark.operators.audit import nulls_leading_only
-from panelspark.operators.clean import all_known
+from panelspark.operators.clean import all_known, assemble_wide
+from panelspark.operators.transform import apply_transform
 from panelspark.functions.reshape import to_long
 
 LAGS = (1, 3, 6, 12)
@@ -90,6 +91,17 @@ def feature_matrix(panel: DataFrame, columns: Sequence[str], breaks, periods, sp
                    back=max(*lags, *windows), keep=[*keys, "ts", *columns])
 
 
+def form_matrices(long: DataFrame, registry: DataFrame, columns: Sequence[str], breaks, periods, spec: DataFrame, pairs,
+                  lags=LAGS, windows=WINDOWS) -> DataFrame:
+    """Feature matrices of several variants of a registry (variant, entity, indicator, form) in one pass, keyed by ``variant``.
+
+    ``long`` (entity, indicator, ts, value) is read once; every feature of an entity is built from the forms of its variant.
+    """
+    shaped = apply_transform(long, registry, keys=("variant", "entity", "indicator"))
+    wide = assemble_wide(shaped, columns, ("variant", "entity", "ts"))
+    return feature_matrix(wide, columns, breaks, periods, spec, pairs, lags, windows, ("variant", "entity"))
+
+
 def feature_names(columns, breaks, periods, pairs, lags=LAGS, windows=WINDOWS) -> list[str]:
     return [*columns, *[f"{c}_lag{k}" for c in columns for k in lags],
             *[f"{c}_roll{k}_{s}" for c in columns for k in windows for s in ("mean", "std")],

@@ -26,7 +26,6 @@ PLACEHOLDERS = (
 MARKDOWN_LINK = r"!?\[[^\]]*\]\(([^)]+)\)"
 HEADING = r"(?m)^#{1,6}[ \t]+(.+?)[ \t]*$"
 ANCHOR = r"\]\(#([^)]+)\)"
-IDENTIFIER = r"\b(D-0\d{2})\b"
 
 
 def scan_secrets(docs: DataFrame, key: str, text: str, patterns: Sequence[tuple[str, str]] = SECRETS) -> DataFrame:
@@ -67,7 +66,8 @@ def broken_anchors(docs: DataFrame, key: str, text: str, heading: str = HEADING,
     return docs.select(key, F.explode(F.array_except(anchors, slugs)).alias("anchor"))
 
 
-def identifiers(docs: DataFrame, key: str, text: str, pattern: str = IDENTIFIER) -> DataFrame:
+def identifiers(docs: DataFrame, key: str, text: str, pattern: str) -> DataFrame:
+    """(key, id): distinct identifiers of every text, as the first group of ``pattern`` finds them."""
     return docs.select(key, F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), 1))).alias("id"))
 
 

@@ -57,9 +57,10 @@ def apply_transform(long: DataFrame, registry: DataFrame, trending: Sequence[str
                     keys: Sequence[str] = PAIR) -> DataFrame:
     """Transform every series by its registry entry; adds ``spec`` for the tests. Unknown names are an error.
 
-    ``long`` must be dense; ``registry`` is one row per series and is joined on the keys.
+    ``long`` must be dense; ``registry`` is one row per series and is joined on those keys that ``long`` has. Further keys, such as a variant
+    of the registry, make a series of their own for each of their values.
     """
-    named = long.join(registry.select(*keys, strip_suffix(form).alias("_base")), list(keys))
+    named = long.join(registry.select(*keys, strip_suffix(form).alias("_base")), [k for k in keys if k in long.columns])
 
     def build(w):
         value = F.raise_error(F.concat(F.lit("unknown transform "), F.col("_base"))).cast("double")

@@ -38,8 +38,8 @@ query("k05_hln_factor", f"SELECT {KEY}, n, {r('sqrt((n + 1 - 2 * h + h * (h - 1)
     lambda t: forecasts(t).groupBy("entity", "form", "h", "layer").agg(F.count(F.lit(1)).alias("n")).withColumn("factor", ev.hln_factor(F.col("n"), F.col("h"))))
 
 
-def aligned_sql(src):
-    ps = ", ".join(f"('{a}','{b}')" for a, b in PAIRS)
+def aligned_sql(src, pairs=PAIRS):
+    ps = ", ".join(f"('{a}','{b}')" for a, b in pairs)
     return (f"SELECT a.entity, a.form, a.h, l1 AS layer_1, l2 AS layer_2, a.target_date, a.y_true, a.y_true - a.y_pred AS e1, a.y_true - b.y_pred AS e2, pow(a.y_true - a.y_pred, 2) - pow(a.y_true - b.y_pred, 2) AS d, "
             f"abs(a.y_true - a.y_pred) - abs(a.y_true - b.y_pred) AS da FROM {src} a JOIN (VALUES {ps}) p(l1, l2) ON a.layer = l1 JOIN {src} b ON b.layer = l2 AND a.entity = b.entity AND a.form = b.form AND a.h = b.h AND a.target_date = b.target_date")
 
@@ -102,11 +102,11 @@ def win(v):
     return f"CASE WHEN dm_{v} IS NULL THEN 'undefined' WHEN p_{v} >= 0.05 THEN 'tie' WHEN dm_{v} < 0 THEN layer_1 ELSE layer_2 END"
 
 
-def battery_sql(dm):
+def battery_sql(dm, cells="cells"):
     w = ", ".join(f"{win(v)} AS winner_{v}, coalesce(p_{v} < 0.05, false) AS sig_{v}" for v in ("standard", "hac", "robust"))
     cols = ", ".join(f"{r(f'dm_{v}')} AS dm_{v}, {r(f'p_{v}')} AS p_{v}" for v in ("standard", "hac", "robust"))
     return (f"SELECT *, winner_standard = winner_hac AND winner_standard = winner_robust AS agreement FROM (SELECT {CELLS}, scope, \"primary\", n AS n_paired, {r('md')} AS d_mean_squared, {r('mda')} AS d_mean_absolute, {cols}, {w}, "
-            f"coalesce(p_standard < 0.01, false) AS sig_standard_strict FROM cells JOIN {dm} USING ({CELLS}) WHERE n >= 30)")
+            f"coalesce(p_standard < 0.01, false) AS sig_standard_strict FROM {cells} JOIN {dm} USING ({CELLS}) WHERE n >= 30)")
 
 
 define("bat", battery_sql("dm"))

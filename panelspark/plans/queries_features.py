@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from panelspark.operators import features, transform
+from panelspark.operators import features
 from panelspark.plans.catalog import query
 from panelspark.plans.oracle import define, r
 from panelspark.plans.panels import BREAKS, INDICATORS, PERIODS, TARGET, TEST_START, TRAIN_END, region_panel
@@ -91,20 +91,25 @@ query("d10_joint_valid_summary", f"SELECT entity, CAST(count(*) AS BIGINT) AS n_
       " + ".join(f"CASE WHEN {n} IS NULL THEN 1 ELSE 0 END" for n in NAMES) + ") AS BIGINT) AS n_nulls FROM fmat GROUP BY 1")(
     lambda t: features.joint_valid_summary(matrix(t), NAMES))
 
-ALT = features.feature_names((TARGET,), (), (), ())
-define("alt", f"SELECT entity, ts, {TSQL['yoy_pct'].replace('value', 'REVENUE')} AS REVENUE FROM panel {W}")
+#: Name of the second form: the target of every entity as yearly growth, whatever the registry says.
+ALT = "yoy_pct"
+define("alt", f"SELECT entity, ts, {TSQL[ALT].replace('value', 'REVENUE')} AS REVENUE FROM panel {W}")
+define("altpanel", "SELECT t.entity, t.ts, a.REVENUE, " + ", ".join(f"t.{c}" for c in INDICATORS if c != TARGET) + " FROM tpanel t JOIN alt a ON a.entity = t.entity AND a.ts = t.ts")
+define("altmat", "SELECT entity, ts, " + ", ".join(f"{_feature_sql(n)} AS {n}" for n in NAMES) + f" FROM altpanel {W}")
 
 
-@query("d11_alternate_form_matrix", "SELECT 'yoy_pct' AS form, entity, ts, " + ", ".join(f"{r(_feature_sql(n))} AS {n}" for n in ALT) + f" FROM alt {W}")
-def d11(t):
-    """The target of every entity under another transform; the registry is a parameter, so nothing is restored."""
-    forms = registry_forms(t).filter(F.col("indicator") == TARGET).withColumn("form", F.lit("yoy_pct"))
-    alt = transform.transform_panel(dense_long(t).filter(F.col("indicator") == TARGET), forms, [TARGET])
-    lagged = features.lag_matrix(alt, [TARGET])
-    rolled = features.rolling_matrix(alt, [TARGET])
-    return alt.join(lagged, ["entity", "ts"]).join(rolled, ["entity", "ts"]).withColumn("form", F.lit("yoy_pct"))
+def both_forms(t):
+    """(variant, entity, ts, features): the registered forms and those with the target forced to ``ALT``, in one pass."""
+    own = registry_forms(t)
+    forced = F.when(F.col("indicator") == TARGET, F.lit(ALT)).otherwise(F.col("form"))
+    variants = F.array(F.struct(F.lit("primary").alias("variant"), F.col("form")), F.struct(F.lit(ALT).alias("variant"), forced.alias("form")))
+    registry = own.select("entity", "indicator", F.explode(variants).alias("_p")).select("entity", "indicator", "_p.variant", "_p.form")
+    return features.form_matrices(dense_long(t), registry, INDICATORS, BREAKS, PERIODS, spec(t), PAIRS)
 
 
+_named = ", ".join(f"{r(n)} AS {n}" for n in NAMES)
+query("d11_alternate_form_matrix", f"SELECT 'primary' AS variant, entity, ts, {_named} FROM fmat UNION ALL SELECT '{ALT}', entity, ts, {_named} FROM altmat")(both_forms)
+
 BLOCK = [*INDICATORS, *EXOG]
 query("d13_endog_exog_blocks", pick(BLOCK, where="WHERE " + " AND ".join(f"{n} IS NOT NULL" for n in BLOCK)))(
     lambda t: features.endog_exog(features.regime_matrix(base(t), BREAKS, PERIODS, spec(t), PAIRS, keep=("entity", "ts", *INDICATORS)), INDICATORS, EXOG))

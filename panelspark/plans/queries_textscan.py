@@ -50,10 +50,12 @@ _slug = "regexp_replace(trim(regexp_replace(lower(x), '[^\\p{L}\\p{N}_\\s-]', ''
 query("l04_broken_anchors", f"SELECT page_id, unnest(list_filter(list_distinct(regexp_extract_all(text, {_lit(ts.ANCHOR)}, 1)), lambda a: NOT list_contains(list_transform(regexp_extract_all(text, {_lit(ts.HEADING)}, 1), lambda x: {_slug}), a))) AS anchor FROM mdp")(
     lambda t: ts.broken_anchors(t.pages.select("page_id", F.expr(_md).alias("text")), "page_id", "text"))
 
-_ref = "text || ' see D-0' || lpad(CAST(doc_id * 7 % 100 AS {s}), 2, '0') || ' and D-0' || lpad(CAST(doc_id % 60 AS {s}), 2, '0') || '.'"
-define("refs", f"SELECT doc_id, lang, unnest(list_distinct(regexp_extract_all({_ref.format(s='VARCHAR')}, {_lit(ts.IDENTIFIER)}, 1))) AS id FROM documents")
+#: How documents are numbered here.
+IDENTIFIER = r"\b(REF-\d{2})\b"
+_ref = "text || ' see REF-' || lpad(CAST(doc_id * 7 % 100 AS {s}), 2, '0') || ' and REF-' || lpad(CAST(doc_id % 60 AS {s}), 2, '0') || '.'"
+define("refs", f"SELECT doc_id, lang, unnest(list_distinct(regexp_extract_all({_ref.format(s='VARCHAR')}, {_lit(IDENTIFIER)}, 1))) AS id FROM documents")
 query("l05_unresolved_ids", "SELECT id, count(*) AS n_texts, (SELECT max(CAST(regexp_extract(id, '([0-9]+)$', 1) AS BIGINT)) FROM refs WHERE lang = 'de') AS max_defined FROM refs WHERE lang <> 'de' AND id NOT IN (SELECT id FROM refs WHERE lang = 'de') GROUP BY 1")(
-    lambda t: ts.unresolved_ids(*[ts.identifiers(t.documents.filter(c).select("doc_id", F.expr(_ref.format(s="STRING")).alias("text")), "doc_id", "text") for c in ("lang <> 'de'", "lang = 'de'")]))
+    lambda t: ts.unresolved_ids(*[ts.identifiers(t.documents.filter(c).select("doc_id", F.expr(_ref.format(s="STRING")).alias("text")), "doc_id", "text", IDENTIFIER) for c in ("lang <> 'de'", "lang = 'de'")]))
 query("l06_size_outliers", "SELECT doc_id, n_chars, CASE WHEN n_chars >= 10000 THEN 'CRITICAL' ELSE 'WARNING' END AS severity FROM documents WHERE n_chars >= 5000")(
     lambda t: ts.size_outliers(t.documents, "doc_id", "n_chars", 5000, 10000))
 

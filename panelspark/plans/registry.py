@@ -2,16 +2,9 @@
 
 from __future__ import annotations
 
-import importlib
-
+from panelspark.plans import (  # noqa: F401
+    queries_breaks, queries_clean, queries_describe, queries_evaluate, queries_features, queries_fitted, queries_ridge, queries_sarma, queries_sources,
+    queries_stationarity, queries_textscan, queries_transforms, queries_var)
 from panelspark.plans.catalog import ORACLE, QUERIES
 
-for _name in ("sources", "clean", "transforms", "features", "describe", "stationarity", "breaks", "evaluate", "sarma",
-              "var", "ridge", "textscan"):
-    try:
-        importlib.import_module(f"panelspark.plans.queries_{_name}")
-    except ModuleNotFoundError as missing:
-        if missing.name != f"panelspark.plans.queries_{_name}":
-            raise
-
 __all__ = ["ORACLE", "QUERIES"]

@@ -49,3 +49,12 @@ def test_facts_are_scanned_once_and_nothing_is_crossed(spark, name):
     plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert len(re.findall(r"FileScan parquet \[o_", plan)) == 1
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+@pytest.mark.parametrize("name", ["k07_newey_west_lrv", "k10_dm_robust", "j02_time_series_folds", "j03_alpha_cv", "j05_intercept_bound", "j06_coef_stability_all_features"])
+def test_series_are_windowed_by_block(spark, name):
+    df = queries()[name](spark, ROOT)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    windows = re.findall(r"windowspecdefinition\((.*?)specifiedwindowframe", plan)
+    # ranks of the features of one fitted model are the only windows without blocks
+    assert windows and all("_blk" in w or "feature" in w for w in windows)
