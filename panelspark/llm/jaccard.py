@@ -12,9 +12,8 @@ and tokens are numbered by class first. What many sets share comes last and rare
 2. Near copies are joined first: classes meet at their two smallest hashes, in blocks; a tree of leaders finds those worth verifying.
    Every class that matches is linked to the leader; others become leaders.
 3. All other links run between clusters. Tokens that are still shared by several clusters get trees over all their classes. A pair
-   of different clusters that survives the bounds is reported at its first common token; each row brings its first few shared tokens
-   along, so nearly all pairs are reported once. What two prefixes share, and the rest of the set that ends first, bounds the overlap again.
-   Survivors are verified. This step loses no link.
+   of different clusters that survives the bounds is not reported itself: sets sit together in blocks, and the pair of seats is. Each pair of
+   seats is one cell, where points bound and sets are verified, until what can be joined is. This step loses no link.
 """
 
 from __future__ import annotations
@@ -31,7 +30,7 @@ from pyspark.sql import functions as F
 from panelspark.llm.graph import components
 from panelspark.llm.retrieval import BROADCAST, flat, offered, present
 from panelspark.llm.tables import saved
-from panelspark.llm.verify import made, need, overlap, tested, verified
+from panelspark.llm.verify import links_in_cells, made, need, overlap, seated
 from panelspark.llm.words import mix, shingles, slices, words
 
 #: Coordinates of a point. Fixed: more of them bound closer and cost more.
@@ -40,8 +39,8 @@ GROUPS = 64
 DENSE = 0.05
 #: Counters of the table of token counts and counters of one row of it.
 TABLE, STRIPE = 1 << 21, 1 << 15
-#: Shared tokens that a row brings along.
-FIRST = 4
+#: Smallest hashes of a set, at which it may meet others; near copies are looked for at the first ``NEAR`` of them.
+MEET, NEAR = 4, 2
 #: Sets that one tree holds, about. Tokens with more are cut into blocks.
 BLOCK = 2000
 #: Bytes of sets that meet in one block, about.
@@ -275,7 +274,7 @@ def _members(source, shared, kind, sets, share, broadcast) -> DataFrame:
                 own = head[present(head, known(batch.column(2)[i]))]
                 if len(own):
                     body = s.tobytes() if len(own) >= DENSE * len(head) else None
-                    meet = np.sort(mix(s))[:2].view(np.int64).tolist()
+                    meet = np.sort(mix(s))[:MEET].view(np.int64).tolist()
                     out.append((batch.column(0)[i].as_py(), len(s), len(head), int(head[-1] >> np.uint64(1)), point(s).tobytes(), body,
                                 own.view(np.int64).tolist(), meet))
                     size += 8 * len(s)
@@ -303,7 +302,7 @@ def _groups(values: np.ndarray) -> Iterator[slice]:
 
 def _near(members: DataFrame, kind: str, share, block: int, leaders) -> DataFrame:
     """Verified links of classes to leaders of their blocks; not all links, see step 3. ``members`` has id, n, point, body and meet."""
-    rows = members.select("id", "n", "point", "body", F.explode("meet").alias("token"))
+    rows = members.select("id", "n", "point", "body", F.explode(F.slice("meet", 1, NEAR)).alias("token"))
     rows = _cut(rows, ["token"], block).withColumn("block", F.pmod(F.xxhash64("id"), F.col("cut")).cast("int"))
     size = members.agg(F.count("*").alias("k"), F.coalesce(F.sum("n"), F.lit(0)).alias("s")).first()
     shards = max(1, math.ceil(size["k"] / (block // 2 or 1)), math.ceil(size["s"] * 8 / BYTES * 4))
@@ -353,15 +352,12 @@ def in_cells(rows: DataFrame) -> DataFrame:
 
 
 def search(group: pd.DataFrame, share: tuple[int, int]) -> pd.DataFrame:
-    """Pairs of different clusters that the trees let pass, but for those that share one of their first tokens before this one."""
+    """Pairs of seats with a pair of sets of different clusters that the trees let pass."""
     group = group.sort_values(["token", "band", "x", "y", "id"])
     mark = group[["token", "band", "x", "y"]].ne(group[["token", "band", "x", "y"]].shift()).any(axis=1).cumsum().to_numpy()
     points = np.stack([np.frombuffer(b, np.uint16) for b in group["point"]])
-    heads = np.full((len(group), FIRST), np.iinfo(np.int64).max)
-    for i, t in enumerate(group["first"]):
-        heads[i, :len(t)] = t
-    sizes, few, rest, end, ids, cluster, own, side, token, x, y = (
-        group[c].to_numpy() for c in ("n", "few", "rest", "end", "id", "cluster", "own", "side", "token", "x", "y"))
+    sizes, few, rest, end, cluster, own, side, seat, x, y = (
+        group[c].to_numpy() for c in ("n", "few", "rest", "end", "cluster", "own", "side", "seat", "x", "y"))
     found = []
     for g in _groups(mark):
         if g.stop - g.start < 2 or (cluster[g] == cluster[g.start]).all() or not own[g].any():
@@ -380,12 +376,18 @@ def search(group: pd.DataFrame, share: tuple[int, int]) -> pd.DataFrame:
             if not apart:
                 ok &= ~own[t] | (q < t)
             q, t = q[ok], t[ok]
-            for j in range(0, len(q), 1 << 14):
-                a, b = q[j:j + (1 << 14)], t[j:j + (1 << 14)]
-                before = (heads[a][:, :, None] == heads[b][:, None, :]) & (heads[a] < token[g.start])[:, :, None]
-                a, b = (v[~before.any(axis=(1, 2))] for v in (a, b))
-                found.append(pd.DataFrame({"a": np.minimum(ids[a], ids[b]), "b": np.maximum(ids[a], ids[b])}))
-    return pd.concat(found) if found else pd.DataFrame(columns=["a", "b"])
+            if len(q):
+                found.append(np.unique(np.sort(np.stack([seat[q], seat[t]], axis=1), axis=1), axis=0))
+    return pd.DataFrame(np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64), columns=["x", "y"])
+
+
+def _allowed(share: tuple[int, int]):
+    """Whether points allow a link of rows p and q."""
+    def near(points: list[bytes], sizes: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        c = np.stack([np.frombuffer(b, np.uint16) for b in points])
+        return bound(c[p], c[q], bool((c == _TOP).any())) >= need(sizes[p], sizes[q], share)
+
+    return near
 
 
 def _far(members: DataFrame, label: DataFrame, source: DataFrame, kind: str, sets, share, block: int) -> DataFrame:
@@ -393,10 +395,10 @@ def _far(members: DataFrame, label: DataFrame, source: DataFrame, kind: str, set
     rows = members.select("id", "n", F.explode("tokens").alias("token")).join(label, "id")
     open_ = rows.groupBy("token").agg(F.min("cluster").alias("low"), F.max("cluster").alias("high")).where("low <> high").select("token")
     rows = saved(rows.join(open_, "token"))
-    # what a set can share with a set of another cluster, behind the facts that bound the rest
-    facts = rows.groupBy("id").agg(F.array_sort(F.collect_set("token")).alias("open"))
-    facts = saved(members.join(facts, "id").select("id", "n", (F.col("n") - F.col("p")).alias("rest"), "end", "point", F.size("open").alias("few"),
-                                                   F.slice("open", 1, FIRST).alias("first"), "open"))
+    # a set shares no more tokens with another cluster than it has open ones
+    few = rows.groupBy("id").agg(F.countDistinct("token").alias("few"))
+    facts = saved(members.join(few, "id").join(seated(members.join(few, "id").select("id", "n", "meet")), "id")
+                  .select("id", "n", (F.col("n") - F.col("p")).alias("rest"), "end", "point", "few", "seat"))
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(BAND)).cast("int")
     # a set meets its own band, and as the smaller one the next
     rows = rows.withColumn("own", band).withColumn("band", F.explode(F.array("own", F.col("own") + 1)))
@@ -407,18 +409,13 @@ def _far(members: DataFrame, label: DataFrame, source: DataFrame, kind: str, set
     rows = saved(rows.join(live, ["token", "band"]).select("id", "cluster", "token", "band", "cut", (F.col("own") == F.col("band")).alias("own")))
     rows = in_cells(rows)
     shards = _shards(rows, 2 * block)
-    pairs = rows.join(facts.drop("open"), "id").groupBy(F.pmod(F.xxhash64("token", "band", "x", "y"), F.lit(shards))).applyInPandas(
-        lambda group: search(group, share), f"a {kind}, b {kind}")
-    pairs = saved(pairs.distinct())
-
-    def possible(x: np.ndarray, y: np.ndarray) -> bool:
-        common = overlap(x[3:], y[3:])
-        return common + (x[1] if x[2] <= y[2] else y[1]) >= need(x[0], y[0], share)
-
-    heads = facts.select("id", (F.col("few") + 3).cast("long").alias("size"), F.concat(F.array("n", "rest", "end"), "open").alias("body"))
-    pairs = tested(pairs, heads, label, possible)
-    bodies = members.where("body is not null").select("id", F.col("n").alias("size"), "body")
-    lacking = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct().join(bodies.select("id"), "id", "left_anti")
+    cells = rows.join(facts, "id").groupBy(F.pmod(F.xxhash64("token", "band", "x", "y"), F.lit(shards))).applyInPandas(
+        lambda group: search(group, share), "x long, y long")
+    cells = saved(cells.distinct())
+    bodies = members.where("body is not null").select("id", "body")
+    needed = facts.join(cells.select(F.explode(F.array("x", "y")).alias("seat")).distinct(), "seat").join(label, "id").select("id", "seat", "cluster", "n", "point")
+    needed = saved(needed)
+    lacking = needed.select("id").join(bodies.select("id"), "id", "left_anti")
     if lacking.take(1):
-        bodies = bodies.union(made(source.join(lacking, "id").dropDuplicates(["id"]), sets, kind))
-    return verified(pairs, bodies, label, share)
+        bodies = bodies.union(made(source.join(lacking, "id").dropDuplicates(["id"]), sets, kind).select("id", "body"))
+    return links_in_cells(cells, needed.join(bodies, "id"), _allowed(share), share)

@@ -1,4 +1,4 @@
-"""Exact check of candidate pairs of sets. Sets travel once for every block of partners, not once for every pair."""
+"""Exact check of candidate sets in cells. Sets travel once for every block of partners, not once for every pair."""
 
 from __future__ import annotations
 
@@ -6,14 +6,15 @@ import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.llm.tables import saved
 
-#: Sets of one cluster that go to a cell together, bytes of sets and number of pairs that one task checks, about.
-SIDE, LOAD, PAIRS = 256, 8 << 20, 200_000
+#: Sets that sit together, bytes of sets of a seat and of a task, and pairs that are compared at once, about.
+SIDE, SEAT, LOAD, PAIRS = 512, 4 << 20, 8 << 20, 1 << 15
 
 
 def need(size_a, size_b, share: tuple[int, int]):
@@ -30,58 +31,74 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum())
 
 
-def views(column: pa.Array | pa.ChunkedArray) -> list[np.ndarray]:
-    """Each value, a list of 64-bit numbers or their bytes, as an array without a copy."""
-    out = []
-    for chunk in column.chunks if isinstance(column, pa.ChunkedArray) else [column]:
-        if pa.types.is_list(chunk.type):
-            at = chunk.offsets.to_numpy()
-            values = chunk.values.to_numpy()
-            out += [values[a:b] for a, b in zip(at.tolist(), at[1:].tolist())]
-            continue
-        chunk = chunk.cast(pa.large_binary())
-        at = np.frombuffer(chunk.buffers()[1], np.int64)[chunk.offset:chunk.offset + len(chunk) + 1].tolist()
-        data = chunk.buffers()[2]
-        out += [np.frombuffer(data, np.uint64, (b - a) // 8, a) if b > a else np.zeros(0, np.uint64) for a, b in zip(at, at[1:])]
-    return out
+def seated(members: DataFrame, side: int = SIDE, limit: int = SEAT) -> DataFrame:
+    """(id, seat) of ``members`` (id, n, meet): sets that meet at one token sit together, ``side`` at a time.
 
+    ``meet`` holds a few smallest hashes of a set; it sits at the one that most sets have. Where a set sits decides only what travels with it.
+    """
+    spread = members.select("id", "n", F.explode("meet").alias("token"))
+    counts = spread.groupBy("token").agg(F.count("*").alias("k"))
+    at = spread.join(counts, "token").groupBy("id", "n").agg(F.max(F.struct("k", "token"))["token"].alias("family"))
+    cuts = at.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / side), F.ceil(F.sum("n") * 8 / limit)).cast("int").alias("cuts"))
+    return at.join(cuts, "family").select("id", F.xxhash64("family", F.pmod(F.xxhash64("id"), F.col("cuts"))).alias("seat"))
+
+
+class Forest:
+    """Components of what is linked so far."""
+
+    def __init__(self, labels: list):
+        self.up = {x: x for x in labels}
+
+    def root(self, x):
+        while self.up[x] != x:
+            self.up[x] = x = self.up[self.up[x]]
+        return x
 
-def linked(x: np.ndarray, y: np.ndarray, share: tuple[int, int]) -> bool:
-    return overlap(x, y) >= need(len(x), len(y), share)
+    def join(self, x, y) -> None:
+        self.up[self.root(x)] = self.root(y)
 
 
-def tested(pairs: DataFrame, bodies: DataFrame, label: DataFrame, test: Callable[[np.ndarray, np.ndarray], bool], side: int = SIDE,
-           load: int = LOAD) -> DataFrame:
-    """The pairs whose bodies pass ``test``.
+def links_in_cells(cells: DataFrame, members: DataFrame, near: Callable, share: tuple[int, int], load: int = LOAD) -> DataFrame:
+    """(a, b): links between sets of two seats, as many as join what they join.
 
-    ``pairs`` has a, b once each, ``bodies`` has id, size (in numbers) and body, ``label`` id and cluster. Bodies of a cluster sit together,
-    ``side`` at a time; a cell is a pair of seats, so a body goes to as many tasks as its partners have seats.
+    ``cells`` has pairs of seats (x, y) once each, ``members`` id, seat, cluster, n, point and body (a sorted set as bytes). In a cell all
+    pairs of different clusters that ``near(points, sizes, rows, rows)`` lets pass are verified on whole sets, unless links found before
+    connect them. Pairs never leave the task; only links that join components do.
     """
-    sizes = label.groupBy("cluster").count().select("cluster", F.ceil(F.col("count") / side).cast("int").alias("cuts"))
-    seat = label.join(sizes, "cluster").select("id", F.xxhash64("cluster", F.pmod(F.xxhash64("id"), F.col("cuts"))).alias("seat"))
-    kind = pairs.schema
-    met = pairs
-    for x in "ab":
-        met = met.join(seat.select(F.col("id").alias(x), F.col("seat").alias(f"seat_{x}")), x)
-    met = saved(met.select(*pairs.columns, F.xxhash64(F.least("seat_a", "seat_b"), F.greatest("seat_a", "seat_b")).alias("cell")))
-    ends = met.select("cell", F.col("a").alias("id")).union(met.select("cell", "b")).distinct()
-    size = ends.join(bodies.select("id", "size"), "id").agg((F.coalesce(F.sum("size"), F.lit(0)) * 8).alias("bytes")).first()["bytes"]
-    shards = max(1, math.ceil(size / load), math.ceil(met.count() / PAIRS))
-    shard = F.pmod("cell", F.lit(shards)).alias("shard")
-    sent = ends.select(shard, "id").distinct().join(bodies, "id").select("shard", "id", "body")
-
-    def check(left: pa.Table, right: pa.Table) -> pa.Table:
-        at = {x: i for i, x in enumerate(right["id"].to_pylist())}
-        sets = views(right["body"])
-        keep = [test(sets[at[a]], sets[at[b]]) for a, b in zip(left["a"].to_pylist(), left["b"].to_pylist())]
-        return left.select(kind.names).filter(pa.array(keep, pa.bool_()))
-
-    return saved(met.select(shard, *pairs.columns).groupBy("shard").cogroup(sent.groupBy("shard")).applyInArrow(check, kind))
-
-
-def verified(pairs: DataFrame, bodies: DataFrame, label: DataFrame, share: tuple[int, int]) -> DataFrame:
-    """(a, b) of the pairs whose sets are similar enough. ``bodies`` (id, size, body) holds sorted sets as bytes."""
-    return tested(pairs.select("a", "b"), bodies, label, lambda x, y: linked(x, y, share))
+    kind = members.schema["id"].dataType.simpleString()
+    cells = saved(cells.select(F.xxhash64("x", "y").alias("cell"), "x", "y"))
+    ends = cells.select("cell", F.explode(F.array_distinct(F.array("x", "y"))).alias("seat"))
+    size = ends.join(members.groupBy("seat").agg(F.sum("n").alias("n")), "seat").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    shards = max(1, math.ceil(size * 8 / load))
+    sent = ends.join(members.select("seat", "id", "cluster", "point", "body"), "seat")
+
+    def check(group: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        for _, cell in group.groupby("cell", sort=False):
+            cell = cell.sort_values(["cluster", "id"])
+            sets = [np.frombuffer(b, np.uint64) for b in cell["body"]]
+            sizes, points = np.array([len(b) for b in sets]), list(cell["point"])
+            ids, cluster, seat = cell["id"].tolist(), cell["cluster"].tolist(), cell["seat"].to_numpy()
+            code = pd.factorize(cell["cluster"])[0]
+            forest, apart = Forest(cluster), len(set(seat.tolist())) == 2
+            left = np.flatnonzero(seat == seat[0]) if apart else np.arange(len(ids))
+            right = np.flatnonzero(seat != seat[0]) if apart else np.arange(len(ids))
+            step = max(1, PAIRS // max(1, len(right)))
+            for i in range(0, len(left), step):
+                p, q = (v.ravel() for v in np.meshgrid(left[i:i + step], right, indexing="ij"))
+                ok = (code[p] != code[q]) & (apart | (p < q))
+                p, q = p[ok], q[ok]
+                least = need(sizes[p], sizes[q], share)
+                ok = least <= np.minimum(sizes[p], sizes[q])
+                p, q = p[ok], q[ok]
+                ok = near(points, sizes, p, q) if len(p) else np.zeros(0, bool)
+                for x, y in zip(p[ok].tolist(), q[ok].tolist()):
+                    if forest.root(cluster[x]) != forest.root(cluster[y]) and overlap(sets[x], sets[y]) >= need(len(sets[x]), len(sets[y]), share):
+                        forest.join(cluster[x], cluster[y])
+                        found.append((ids[x], ids[y]))
+        return pd.DataFrame(found, columns=["a", "b"])
+
+    return saved(sent.groupBy(F.pmod("cell", F.lit(shards))).applyInPandas(check, f"a {kind}, b {kind}"))
 
 
 def made(texts: DataFrame, sets, kind: str) -> DataFrame:
