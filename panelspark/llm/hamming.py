@@ -11,7 +11,8 @@ fewer than 2 errors: with probability 4e-8.
 2. Chunk keys of one class only can't link anything and are dropped. Sets are made for classes with a key left.
 3. Near copies are joined first: classes meet at their two smallest minima, in blocks, and are verified against leaders.
 4. Classes of different clusters that share a key are compared by their signatures, where the first chunk and choice are that they
-   share, and nowhere else. Those under ``FAR`` differences are verified on their sets.
+   share, and nowhere else. Those under ``FAR`` differences are not reported pair by pair: classes sit together in blocks, and the pair of
+   seats is. Each pair of seats is one cell, where signatures are compared and sets verified, until what can be joined is.
 """
 
 from __future__ import annotations
@@ -26,10 +27,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.llm.graph import components
-from panelspark.llm.jaccard import BLOCK, _groups, _near, _sets, _shards, _tokens, clustered, in_cells, print_of
+from panelspark.llm.jaccard import BLOCK, MEET, _groups, _near, _sets, _shards, _tokens, clustered, in_cells, print_of
 from panelspark.llm.retrieval import BROADCAST, offered, present
 from panelspark.llm.tables import saved
-from panelspark.llm.verify import need, overlap, verified
+from panelspark.llm.verify import links_in_cells, need, overlap, seated
 from panelspark.llm.words import mix
 
 CHUNKS, WIDTH, ERRORS = 16, 6, 1
@@ -103,11 +104,11 @@ def _leaders(ids: list, sets: list[np.ndarray], signatures: list[bytes], share)
 
 
 def search(group: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of different clusters under ``FAR`` differences, each where its first shared key is."""
+    """Pairs of seats with a pair of different clusters under ``FAR`` differences, each where its first shared key is."""
     group = group.sort_values(["token", "x", "y", "cluster", "id"])
     mark = group[["token", "x", "y"]].ne(group[["token", "x", "y"]].shift()).any(axis=1).cumsum().to_numpy()
     s = np.stack([np.frombuffer(b, np.uint8) for b in group["sig"]])
-    ids, cluster, side, x, y, token = (group[c].to_numpy() for c in ("id", "cluster", "side", "x", "y", "token"))
+    cluster, side, seat, x, y, token = (group[c].to_numpy() for c in ("cluster", "side", "seat", "x", "y", "token"))
     found = []
 
     def compare(a: np.ndarray, b: np.ndarray, key: int):
@@ -125,7 +126,8 @@ def search(group: pd.DataFrame) -> pd.DataFrame:
             p, q, first = p[ok], q[ok], first[ok]
             if len(p):
                 here = keys(s[p])[np.arange(len(p)), first].view(np.int64) == key
-                found.extend(zip(ids[p[here]], ids[q[here]]))
+                if here.any():
+                    found.append(np.unique(np.sort(np.stack([seat[p[here]], seat[q[here]]], axis=1), axis=1), axis=0))
 
     for g in _groups(mark):
         rows = np.arange(g.start, g.stop)
@@ -136,7 +138,13 @@ def search(group: pd.DataFrame) -> pd.DataFrame:
             continue
         for c in _groups(cluster[g]):  # rows of a cluster stand together and meet those of later ones
             compare(rows[c], rows[c.stop:], token[g.start])
-    return pd.DataFrame(found, columns=["a", "b"])
+    return pd.DataFrame(np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64), columns=["x", "y"])
+
+
+def _close(signatures: list[bytes], sizes: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Whether signatures of rows p and q are under ``FAR`` differences apart."""
+    s = np.stack([np.frombuffer(b, np.uint8) for b in signatures])
+    return (s[p] != s[q]).sum(axis=1) <= FAR
 
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 2, share: tuple[int, int] = (4, 5), block: int = BLOCK,
@@ -158,7 +166,7 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int
                 sizes[i], prints[i] = len(s), print_of(s)[0]
                 if len(s):
                     low = minima(s)
-                    marks[i], meet[i] = signature(low).tobytes(), mix(low[:2] ^ _SEEDS[:2]).view(np.int64).tolist()
+                    marks[i], meet[i] = signature(low).tobytes(), mix(low[:MEET] ^ _SEEDS[:MEET]).view(np.int64).tolist()
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sizes), pa.array(prints), pa.array(marks, pa.binary()),
                  pa.array(meet, pa.list_(pa.int64())), batch.column(2)], ["key", "n", "id", "sig", "meet", "hash"])
@@ -200,9 +208,11 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int
     stats = met.groupBy("token").agg(F.min("cluster").alias("low"), F.max("cluster").alias("high"), F.count("*").alias("k"))
     cut = stats.where("low <> high").select("token", F.ceil(F.col("k") / block).cast("int").alias("cut"))
     met = saved(in_cells(met.join(cut, "token")))
-    pairs = saved(met.join(members.select("id", "sig"), "id").groupBy(F.pmod(F.xxhash64("token", "x", "y"), F.lit(_shards(met, 2 * block))))
-                  .applyInPandas(search, "a long, b long"))
-    far = verified(pairs, members.select("id", F.col("n").alias("size"), "body"), label, share)
+    at = saved(seated(members))
+    cells = saved(met.join(members.select("id", "sig"), "id").join(at, "id").groupBy(F.pmod(F.xxhash64("token", "x", "y"), F.lit(_shards(met, 2 * block))))
+                  .applyInPandas(search, "x long, y long").distinct())
+    needed = members.join(at, "id").join(label, "id").select("id", "seat", "cluster", "n", F.col("sig").alias("point"), "body")
+    far = links_in_cells(cells, needed, _close, share)
     # texts of one key belong together
     again = rows.where("n > 0 and key is not null").groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count_distinct("id").alias("k"))
     several = again.where("k > 1").select("key", "a")

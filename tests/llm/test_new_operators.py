@@ -4,12 +4,13 @@ import collections
 import math
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from panelspark.llm import codes, divergence, hamming, jaccard, queries
+from panelspark.llm import codes, divergence, hamming, jaccard, queries, verify
 from panelspark.llm.jaccard import in_cells
 from panelspark.llm.pointers import multikey_sort
 from panelspark.llm.words import spans
@@ -176,21 +177,20 @@ def test_every_pair_under_the_distance_meets():
     assert (np.where(shared.any(axis=1), shared.argmax(axis=1), -1) == first).all()
 
 
-def test_pairs_are_found_once(spark):
+def test_pairs_of_seats_hold_all_near_pairs(spark):
     rng = np.random.default_rng(4)
     base = rng.integers(0, 256, hamming.CHUNKS * hamming.WIDTH, np.uint8)
     rows = []
     for i in range(60):
         s = base.copy()
-        s[rng.choice(len(s), 12, replace=False)] = rng.integers(0, 256, 12)
+        s[rng.choice(len(s), 12 + i % 30, replace=False)] = rng.integers(0, 256, 12 + i % 30)
         rows.append((i, s))
     want = {(i, j) for i, a in rows for j, b in rows if i < j and i % 7 != j % 7 and (a != b).sum() <= hamming.FAR
             and hamming.meetings(a[None], b[None])[1][0] >= 0}
-    held = [(i, int(t), i % 7, 3, s.tobytes()) for i, s in rows for t in hamming.keys(s[None])[0].view(np.int64)]
-    cells = in_cells(spark.createDataFrame(held, "id long, token long, cluster long, cut int, sig binary")).toPandas()
+    held = [(i, int(t), i % 7, 3, i, s.tobytes()) for i, s in rows for t in hamming.keys(s[None])[0].view(np.int64)]
+    cells = in_cells(spark.createDataFrame(held, "id long, token long, cluster long, cut int, seat long, sig binary")).toPandas()
     got = hamming.search(cells)
-    pairs = [tuple(sorted(p)) for p in zip(got["a"], got["b"])]
-    assert len(pairs) == len(set(pairs)) and set(pairs) == want
+    assert sorted(zip(got["x"], got["y"])) == sorted(want) and 50 < len(want) < 1700
 
 
 def brute_links(rows, k, share):
@@ -250,29 +250,66 @@ def test_hamming_join_of_odd_tables(spark):
                             (None, None, False)], key=str)
 
 
-def test_jaccard_pairs_are_reported_once(spark):
-    """Tokens that many hold, over several blocks: a pair meets in one cell of a token and is reported at its first common token."""
+def test_a_hot_token_is_searched_by_pairs_of_seats(spark):
+    """Tokens that many hold, over several blocks: no link is lost, and what is reported are seats and not pairs."""
     rng = random.Random(3)
     common = [f"c{i}" for i in range(60)]
-    texts = [common + [f"u{rng.randrange(10**9)}" for _ in range(25)] for _ in range(40)]
+    texts = [common[:40 + i % 21] + [f"u{rng.randrange(10**9)}" for _ in range(i % 25)] for i in range(60)]
     rows = []
     for i, w in enumerate(texts):
-        s = jaccard.by_rarity(jaccard.shingle_set(np.array([hash(x) & (2**63 - 1) for x in w], np.uint64)), np.zeros(16, np.uint8))
+        s = jaccard.by_rarity(jaccard.shingle_set(np.array([zlib.crc32(x.encode()) for x in w], np.uint64) * np.uint64(0x9E3779B97F4A7C15)), np.zeros(16, np.uint8))
         rows.append((i, s, s[:jaccard.prefix(len(s), (3, 4))]))
     seen = collections.Counter(t for *_, head in rows for t in head.view(np.int64).tolist())
-    held = []
-    for i, s, head in rows:
-        own = sorted(t for t in head.view(np.int64).tolist() if seen[t] > 1)
-        held += [(i, i, t, 1, True, 3, len(s), len(own), len(s) - len(head), int(head[-1] >> np.uint64(1)), jaccard.point(s).tobytes(), own[:jaccard.FIRST])
-                 for t in own]
-    cells = in_cells(spark.createDataFrame(held, "id long, cluster long, token long, band int, own boolean, cut int, n long, few long, rest long, end long, "
-                                                 "point binary, first array<long>")).toPandas()
-    got = jaccard.search(cells, (1, 4))
-    pairs = list(zip(got["a"], got["b"]))
-    tokens = sum(len(set(a.tolist()) & set(b.tolist())) for i, _, a in rows for j, _, b in rows if i < j)
-    assert len(pairs) <= 1.3 * len(set(pairs)) < tokens / 4
+
+    def reported(seat):
+        held = []
+        for i, s, head in rows:
+            own = [t for t in head.view(np.int64).tolist() if seen[t] > 1]
+            held += [(i, i, t, 1, True, 3, len(s), len(own), len(s) - len(head), int(head[-1] >> np.uint64(1)), jaccard.point(s).tobytes(), seat(i)) for t in own]
+        cells = in_cells(spark.createDataFrame(held, "id long, cluster long, token long, band int, own boolean, cut int, n long, few long, rest long, end long, "
+                                                     "point binary, seat long")).toPandas()
+        got = jaccard.search(cells, (3, 4))
+        return list(zip(got["x"], got["y"]))
+
     linked = {(i, j) for i, a, _ in rows for j, b, _ in rows if i < j and jaccard.overlap(a, b) >= jaccard.need(len(a), len(b), (3, 4))}
-    assert linked <= set(pairs)
+    pairs = reported(lambda i: i)
+    assert len(pairs) == len(set(pairs)) and linked and linked <= set(pairs)
+    assert set(reported(lambda i: i % 2)) <= {(0, 0), (0, 1), (1, 1)}
+
+
+@pytest.mark.parametrize("side, load", [(2, 200), (512, 1 << 20)])
+def test_links_in_cells_join_what_is_linked(spark, side, load):
+    rng = random.Random(7)
+    sets = [sorted(rng.sample(range(60), rng.randrange(20, 40))) for _ in range(30)]
+    for i in range(30):
+        s = set(sets[i % 5]) - {rng.randrange(60)}
+        sets.append(sorted(s))
+    rows = [(i, i % 50, len(s), np.array(s, np.uint64).tobytes(), [i % 3, 5, 6]) for i, s in enumerate(sets)]
+    df = spark.createDataFrame(rows, "id long, cluster long, n long, body binary, meet array<long>")
+    at = verify.seated(df, side)
+    members = df.join(at, "id").withColumn("point", F.col("body"))
+    seats = [r[0] for r in at.select("seat").distinct().collect()]
+    assert len(seats) == (1 if side == 512 else 30) or side == 2
+    cells = spark.createDataFrame([(a, b) for a in seats for b in seats if a <= b], "x long, y long")
+    got = [(r.a, r.b) for r in verify.links_in_cells(cells, members, lambda points, sizes, p, q: np.ones(len(p), bool), (3, 4), load).collect()]
+    reach = list(range(60))
+
+    def root(i):
+        while reach[i] != i:
+            i = reach[i]
+        return i
+
+    def components(links):
+        reach[:] = range(60)
+        for i in range(60):  # rows of one cluster are linked already
+            reach[root(i)] = root(i % 50)
+        for a, b in links:
+            reach[root(a)] = root(b)
+        return {frozenset(i for i in range(60) if root(i) == c) for c in map(root, range(60))}
+
+    true = [(i, j) for i in range(60) for j in range(i) if len(set(sets[i]) & set(sets[j])) * 4 >= 3 * len(set(sets[i]) | set(sets[j]))]
+    assert set(got) | {(b, a) for a, b in got} <= set(true) | {(b, a) for a, b in true}
+    assert components(got) == components(true)
 
 
 def test_counts_are_added_over_tasks(spark):
