@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from panelspark.llm.graph import components
 from panelspark.llm.retrieval import BROADCAST, flat, offered, present
 from panelspark.llm.tables import saved
-from panelspark.llm.verify import links_in_cells, made, need, overlap, seated
+from panelspark.llm.verify import in_their_cells, links_in_cells, made, need, overlap, seated
 from panelspark.llm.words import mix, shingles, slices, words
 
 #: Coordinates of a point. Fixed: more of them bound closer and cost more.
@@ -352,12 +352,12 @@ def in_cells(rows: DataFrame) -> DataFrame:
 
 
 def search(group: pd.DataFrame, share: tuple[int, int]) -> pd.DataFrame:
-    """Pairs of seats with a pair of sets of different clusters that the trees let pass."""
+    """(x, y, id): sets of different clusters that the trees let pass, in the cells of their seats."""
     group = group.sort_values(["token", "band", "x", "y", "id"])
     mark = group[["token", "band", "x", "y"]].ne(group[["token", "band", "x", "y"]].shift()).any(axis=1).cumsum().to_numpy()
     points = np.stack([np.frombuffer(b, np.uint16) for b in group["point"]])
-    sizes, few, rest, end, cluster, own, side, seat, x, y = (
-        group[c].to_numpy() for c in ("n", "few", "rest", "end", "cluster", "own", "side", "seat", "x", "y"))
+    ids, sizes, few, rest, end, cluster, own, side, seat, x, y = (
+        group[c].to_numpy() for c in ("id", "n", "few", "rest", "end", "cluster", "own", "side", "seat", "x", "y"))
     found = []
     for g in _groups(mark):
         if g.stop - g.start < 2 or (cluster[g] == cluster[g.start]).all() or not own[g].any():
@@ -377,8 +377,8 @@ def search(group: pd.DataFrame, share: tuple[int, int]) -> pd.DataFrame:
                 ok &= ~own[t] | (q < t)
             q, t = q[ok], t[ok]
             if len(q):
-                found.append(np.unique(np.sort(np.stack([seat[q], seat[t]], axis=1), axis=1), axis=0))
-    return pd.DataFrame(np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64), columns=["x", "y"])
+                found.append(in_their_cells(seat, ids, q, t))
+    return pd.concat(found).drop_duplicates() if found else pd.DataFrame(columns=["x", "y", "id"])
 
 
 def _allowed(share: tuple[int, int]):
@@ -410,11 +410,10 @@ def _far(members: DataFrame, label: DataFrame, source: DataFrame, kind: str, set
     rows = in_cells(rows)
     shards = _shards(rows, 2 * block)
     cells = rows.join(facts, "id").groupBy(F.pmod(F.xxhash64("token", "band", "x", "y"), F.lit(shards))).applyInPandas(
-        lambda group: search(group, share), "x long, y long")
+        lambda group: search(group, share), f"x long, y long, id {kind}")
     cells = saved(cells.distinct())
     bodies = members.where("body is not null").select("id", "body")
-    needed = facts.join(cells.select(F.explode(F.array("x", "y")).alias("seat")).distinct(), "seat").join(label, "id").select("id", "seat", "cluster", "n", "point")
-    needed = saved(needed)
+    needed = saved(facts.join(cells.select("id").distinct(), "id").join(label, "id").select("id", "seat", "cluster", "n", "point"))
     lacking = needed.select("id").join(bodies.select("id"), "id", "left_anti")
     if lacking.take(1):
         bodies = bodies.union(made(source.join(lacking, "id").dropDuplicates(["id"]), sets, kind).select("id", "body"))

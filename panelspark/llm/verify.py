@@ -58,19 +58,24 @@ class Forest:
         self.up[self.root(x)] = self.root(y)
 
 
-def links_in_cells(cells: DataFrame, members: DataFrame, near: Callable, share: tuple[int, int], load: int = LOAD) -> DataFrame:
+def in_their_cells(seat: np.ndarray, ids: np.ndarray, p: np.ndarray, q: np.ndarray) -> pd.DataFrame:
+    """(x, y, id): both rows of every pair (p, q) in the cell of their seats, once each."""
+    x, y = np.minimum(seat[p], seat[q]), np.maximum(seat[p], seat[q])
+    return pd.concat([pd.DataFrame({"x": x, "y": y, "id": ids[r]}) for r in (p, q)]).drop_duplicates()
+
+
+def links_in_cells(ends: DataFrame, members: DataFrame, near: Callable, share: tuple[int, int], load: int = LOAD) -> DataFrame:
     """(a, b): links between sets of two seats, as many as join what they join.
 
-    ``cells`` has pairs of seats (x, y) once each, ``members`` id, seat, cluster, n, point and body (a sorted set as bytes). In a cell all
-    pairs of different clusters that ``near(points, sizes, rows, rows)`` lets pass are verified on whole sets, unless links found before
-    connect them. Pairs never leave the task; only links that join components do.
+    ``ends`` has the sets (x, y, id) of every pair of seats that have a candidate there, once each, ``members`` id, seat, cluster, n, point and
+    body (a sorted set as bytes). In a cell all pairs of different clusters that ``near(points, sizes, rows, rows)`` lets pass are
+    verified on whole sets, unless links found before connect them. Pairs never leave the task; only links that join components do.
     """
     kind = members.schema["id"].dataType.simpleString()
-    cells = saved(cells.select(F.xxhash64("x", "y").alias("cell"), "x", "y"))
-    ends = cells.select("cell", F.explode(F.array_distinct(F.array("x", "y"))).alias("seat"))
-    size = ends.join(members.groupBy("seat").agg(F.sum("n").alias("n")), "seat").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    ends = ends.select(F.xxhash64("x", "y").alias("cell"), "id")
+    size = ends.join(members.select("id", "n"), "id").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     shards = max(1, math.ceil(size * 8 / load))
-    sent = ends.join(members.select("seat", "id", "cluster", "point", "body"), "seat")
+    sent = ends.join(members.select("seat", "id", "cluster", "point", "body"), "id")
 
     def check(group: pd.DataFrame) -> pd.DataFrame:
         found = []
