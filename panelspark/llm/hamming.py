@@ -30,7 +30,7 @@ from panelspark.llm.graph import components
 from panelspark.llm.jaccard import BLOCK, MEET, _groups, _near, _sets, _shards, _tokens, clustered, in_cells, print_of
 from panelspark.llm.retrieval import BROADCAST, offered, present
 from panelspark.llm.tables import saved
-from panelspark.llm.verify import links_in_cells, need, overlap, seated
+from panelspark.llm.verify import in_their_cells, links_in_cells, need, overlap, seated
 from panelspark.llm.words import mix
 
 CHUNKS, WIDTH, ERRORS = 16, 6, 1
@@ -104,11 +104,11 @@ def _leaders(ids: list, sets: list[np.ndarray], signatures: list[bytes], share)
 
 
 def search(group: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of seats with a pair of different clusters under ``FAR`` differences, each where its first shared key is."""
+    """(x, y, id): classes of different clusters under ``FAR`` differences, in the cells of their seats, each pair where its first shared key is."""
     group = group.sort_values(["token", "x", "y", "cluster", "id"])
     mark = group[["token", "x", "y"]].ne(group[["token", "x", "y"]].shift()).any(axis=1).cumsum().to_numpy()
     s = np.stack([np.frombuffer(b, np.uint8) for b in group["sig"]])
-    cluster, side, seat, x, y, token = (group[c].to_numpy() for c in ("cluster", "side", "seat", "x", "y", "token"))
+    ids, cluster, side, seat, x, y, token = (group[c].to_numpy() for c in ("id", "cluster", "side", "seat", "x", "y", "token"))
     found = []
 
     def compare(a: np.ndarray, b: np.ndarray, key: int):
@@ -127,7 +127,7 @@ def search(group: pd.DataFrame) -> pd.DataFrame:
             if len(p):
                 here = keys(s[p])[np.arange(len(p)), first].view(np.int64) == key
                 if here.any():
-                    found.append(np.unique(np.sort(np.stack([seat[p[here]], seat[q[here]]], axis=1), axis=1), axis=0))
+                    found.append(in_their_cells(seat, ids, p[here], q[here]))
 
     for g in _groups(mark):
         rows = np.arange(g.start, g.stop)
@@ -138,7 +138,7 @@ def search(group: pd.DataFrame) -> pd.DataFrame:
             continue
         for c in _groups(cluster[g]):  # rows of a cluster stand together and meet those of later ones
             compare(rows[c], rows[c.stop:], token[g.start])
-    return pd.DataFrame(np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64), columns=["x", "y"])
+    return pd.concat(found).drop_duplicates() if found else pd.DataFrame(columns=["x", "y", "id"])
 
 
 def _close(signatures: list[bytes], sizes: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -210,8 +210,8 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int
     met = saved(in_cells(met.join(cut, "token")))
     at = saved(seated(members))
     cells = saved(met.join(members.select("id", "sig"), "id").join(at, "id").groupBy(F.pmod(F.xxhash64("token", "x", "y"), F.lit(_shards(met, 2 * block))))
-                  .applyInPandas(search, "x long, y long").distinct())
-    needed = members.join(at, "id").join(label, "id").select("id", "seat", "cluster", "n", F.col("sig").alias("point"), "body")
+                  .applyInPandas(search, "x long, y long, id long").distinct())
+    needed = members.join(at, "id").join(label, "id").join(cells.select("id").distinct(), "id").select("id", "seat", "cluster", "n", F.col("sig").alias("point"), "body")
     far = links_in_cells(cells, needed, _close, share)
     # texts of one key belong together
     again = rows.where("n > 0 and key is not null").groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count_distinct("id").alias("k"))
