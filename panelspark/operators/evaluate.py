@@ -178,8 +178,8 @@ def cell_coverage(manifest: DataFrame, forecasts: DataFrame, pairs: Sequence[tup
 
 
 def dm_battery(forecasts: DataFrame, manifest: DataFrame, pairs: Sequence[tuple[str, str]], minimum: int = MIN_PAIRS, max_h: int = 12) -> DataFrame:
-    """All three tests for every testable cell of the manifest, with winners, flags and agreement."""
-    tests = dm_tests(align_matched(forecasts, pairs), max_h).filter(F.col("n_paired") >= minimum)
+    """All three tests for every testable cell of the manifest, with winners, flags and agreement; ``cell_coverage`` tells of the others."""
+    tests = dm_tests(align_matched(forecasts, pairs, guard=False), max_h).filter(F.col("n_paired") >= minimum)
     out = manifest.join(tests, list(CELL))
     for v in ("standard", "hac", "robust"):
         out = out.withColumn(f"winner_{v}", winner(F.col(f"dm_{v}"), F.col(f"p_{v}"), F.col("layer_1"), F.col("layer_2")))

@@ -102,11 +102,11 @@ def win(v):
     return f"CASE WHEN dm_{v} IS NULL THEN 'undefined' WHEN p_{v} >= 0.05 THEN 'tie' WHEN dm_{v} < 0 THEN layer_1 ELSE layer_2 END"
 
 
-def battery_sql(dm, cells="cells"):
+def battery_sql(dm, cells="cells", minimum=30):
     w = ", ".join(f"{win(v)} AS winner_{v}, coalesce(p_{v} < 0.05, false) AS sig_{v}" for v in ("standard", "hac", "robust"))
     cols = ", ".join(f"{r(f'dm_{v}')} AS dm_{v}, {r(f'p_{v}')} AS p_{v}" for v in ("standard", "hac", "robust"))
     return (f"SELECT *, winner_standard = winner_hac AND winner_standard = winner_robust AS agreement FROM (SELECT {CELLS}, scope, \"primary\", n AS n_paired, {r('md')} AS d_mean_squared, {r('mda')} AS d_mean_absolute, {cols}, {w}, "
-            f"coalesce(p_standard < 0.01, false) AS sig_standard_strict FROM {cells} JOIN {dm} USING ({CELLS}) WHERE n >= 30)")
+            f"coalesce(p_standard < 0.01, false) AS sig_standard_strict FROM {cells} JOIN {dm} USING ({CELLS}) WHERE n >= {minimum})")
 
 
 define("bat", battery_sql("dm"))

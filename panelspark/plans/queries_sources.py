@@ -88,7 +88,7 @@ def a05(t):
     head = head.select("file", F.col("pos").alias("line_no"), F.col("col").alias("text"))
     path = shared_folder(t.spark)
     lines = head.unionByName(data).repartition("file").sortWithinPartitions("file", "line_no").select(F.col("file").alias("of"), "text")
-    plain = {"sep": "\x01", "quote": "\x00", "escape": "\x00", "encoding": "Shift_JIS"}  # one column, written as it is
+    plain = {"sep": "\x01", "quote": "\x00", "escape": "\x00"}  # one column, written as it is
     lines.write.partitionBy("of").options(**plain).csv(path)
     back = textfiles.read_lines(t.spark, path).withColumn("file", F.regexp_extract("file", "/of=([^/]+)/", 1))
     return readers.ingest_messy(back, ["year-month", "date"], ["value"], dt.date(1996, 1, 1))
