@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from panelspark.llm.graph import components
 from panelspark.llm.retrieval import BROADCAST, flat, offered, present
 from panelspark.llm.tables import saved
-from panelspark.llm.verify import in_their_cells, links_in_cells, made, need, overlap, seated
+from panelspark.llm.verify import Cells, links_in_cells, made, need, overlap, seated
 from panelspark.llm.words import mix, shingles, slices, words
 
 #: Coordinates of a point. Fixed: more of them bound closer and cost more.
@@ -358,7 +358,7 @@ def search(group: pd.DataFrame, share: tuple[int, int]) -> pd.DataFrame:
     points = np.stack([np.frombuffer(b, np.uint16) for b in group["point"]])
     ids, sizes, few, rest, end, cluster, own, side, seat, x, y = (
         group[c].to_numpy() for c in ("id", "n", "few", "rest", "end", "cluster", "own", "side", "seat", "x", "y"))
-    found = []
+    found = Cells(seat, ids)
     for g in _groups(mark):
         if g.stop - g.start < 2 or (cluster[g] == cluster[g.start]).all() or not own[g].any():
             continue
@@ -377,8 +377,8 @@ def search(group: pd.DataFrame, share: tuple[int, int]) -> pd.DataFrame:
                 ok &= ~own[t] | (q < t)
             q, t = q[ok], t[ok]
             if len(q):
-                found.append(in_their_cells(seat, ids, q, t))
-    return pd.concat(found).drop_duplicates() if found else pd.DataFrame(columns=["x", "y", "id"])
+                found.add(q, t)
+    return found.frame()
 
 
 def _allowed(share: tuple[int, int]):

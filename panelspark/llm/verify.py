@@ -58,10 +58,31 @@ class Forest:
         self.up[self.root(x)] = self.root(y)
 
 
-def in_their_cells(seat: np.ndarray, ids: np.ndarray, p: np.ndarray, q: np.ndarray) -> pd.DataFrame:
-    """(x, y, id): both rows of every pair (p, q) in the cell of their seats, once each."""
-    x, y = np.minimum(seat[p], seat[q]), np.maximum(seat[p], seat[q])
-    return pd.concat([pd.DataFrame({"x": x, "y": y, "id": ids[r]}) for r in (p, q)]).drop_duplicates()
+class Cells:
+    """Collects (x, y, id): both rows of pairs in the cell of their seats, once each. Held as one number per entry."""
+
+    HELD = 1 << 21
+
+    def __init__(self, seat: np.ndarray, ids: np.ndarray):
+        self.seats, self.seat = np.unique(seat, return_inverse=True)
+        self.id, self.ids = pd.factorize(ids)
+        self.found, self.held = [], 0
+
+    def add(self, p: np.ndarray, q: np.ndarray) -> None:
+        a, b = self.seat[p], self.seat[q]
+        cell = (np.minimum(a, b) * len(self.seats) + np.maximum(a, b)) * len(self.ids)
+        self.found.append(np.unique(np.concatenate([cell + self.id[p], cell + self.id[q]])))
+        self.held += len(self.found[-1])
+        if self.held > self.HELD:
+            self.found = [np.unique(np.concatenate(self.found))]
+            self.held = len(self.found[0])
+
+    def frame(self) -> pd.DataFrame:
+        if not self.found:
+            return pd.DataFrame(columns=["x", "y", "id"])
+        cell, row = np.divmod(np.unique(np.concatenate(self.found)), len(self.ids))
+        x, y = np.divmod(cell, len(self.seats))
+        return pd.DataFrame({"x": self.seats[x], "y": self.seats[y], "id": self.ids[row]})
 
 
 def links_in_cells(ends: DataFrame, members: DataFrame, near: Callable, share: tuple[int, int], load: int = LOAD) -> DataFrame:
