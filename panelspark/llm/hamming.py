@@ -30,7 +30,7 @@ from panelspark.llm.graph import components
 from panelspark.llm.jaccard import BLOCK, MEET, _groups, _near, _sets, _shards, _tokens, clustered, in_cells, print_of
 from panelspark.llm.retrieval import BROADCAST, offered, present
 from panelspark.llm.tables import saved
-from panelspark.llm.verify import in_their_cells, links_in_cells, need, overlap, seated
+from panelspark.llm.verify import Cells, links_in_cells, need, overlap, seated
 from panelspark.llm.words import mix
 
 CHUNKS, WIDTH, ERRORS = 16, 6, 1
@@ -109,7 +109,7 @@ def search(group: pd.DataFrame) -> pd.DataFrame:
     mark = group[["token", "x", "y"]].ne(group[["token", "x", "y"]].shift()).any(axis=1).cumsum().to_numpy()
     s = np.stack([np.frombuffer(b, np.uint8) for b in group["sig"]])
     ids, cluster, side, seat, x, y, token = (group[c].to_numpy() for c in ("id", "cluster", "side", "seat", "x", "y", "token"))
-    found = []
+    found = Cells(seat, ids)
 
     def compare(a: np.ndarray, b: np.ndarray, key: int):
         """All rows of ``a`` with all rows of ``b``; their clusters differ unless told apart below."""
@@ -127,7 +127,7 @@ def search(group: pd.DataFrame) -> pd.DataFrame:
             if len(p):
                 here = keys(s[p])[np.arange(len(p)), first].view(np.int64) == key
                 if here.any():
-                    found.append(in_their_cells(seat, ids, p[here], q[here]))
+                    found.add(p[here], q[here])
 
     for g in _groups(mark):
         rows = np.arange(g.start, g.stop)
@@ -138,7 +138,7 @@ def search(group: pd.DataFrame) -> pd.DataFrame:
             continue
         for c in _groups(cluster[g]):  # rows of a cluster stand together and meet those of later ones
             compare(rows[c], rows[c.stop:], token[g.start])
-    return pd.concat(found).drop_duplicates() if found else pd.DataFrame(columns=["x", "y", "id"])
+    return found.frame()
 
 
 def _close(signatures: list[bytes], sizes: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
