@@ -220,7 +220,7 @@ def direct_walk_forward(df: DataFrame, xs: Sequence[str], y: str, alpha: DataFra
     """Direct h-step forecasts with a refit at every origin; history is summed block by block.
 
     A row trains the response h months later, so it first counts at origin = row + h. ``alpha`` is a number or a table (keys, alpha).
-    Origins with fewer than ``minimum`` rows have no forecast.
+    Origins with fewer than ``minimum`` rows, or without a penalty, have no forecast.
     """
     keys, xs, hmax = list(keys), list(xs), max(horizons)
     value = y if y not in xs else "_own"
@@ -233,12 +233,13 @@ def direct_walk_forward(df: DataFrame, xs: Sequence[str], y: str, alpha: DataFra
     rows = fan.filter(F.col("_z").isNotNull()).withColumn("_tag", period_index("ts") + F.col("h"))
     origins = fan.filter(F.col("ts") >= F.lit(start)).join(bounds, keys).filter(F.col("ts") <= F.add_months("_end", -hmax)).select(
         *keys, "h", period_index("ts").alias("_tag"), F.col("ts").alias("origin_date"), F.col("_z").alias("y_true"), F.col("_now").alias("y_naive"), F.array(*xs).alias("x"))
-    origins = origins.withColumn("alpha", F.lit(float(alpha))) if not isinstance(alpha, DataFrame) else origins.join(alpha.select(*keys, "alpha"), keys)
+    # a left join, so that the question which blocks have origins needs no penalty
+    origins = origins.withColumn("alpha", F.lit(float(alpha))) if not isinstance(alpha, DataFrame) else origins.join(alpha.select(*keys, "alpha"), keys, "left")
 
     def predict(sums, totals, frame):
         found = []
         for g, x, a in zip(sums[0], frame["x"], frame["alpha"]):
-            if g[0, 0] < minimum:
+            if g[0, 0] < minimum or a is None or np.isnan(a):
                 found.append(None)
                 continue
             w, mean, sd, ym = solve_ridge(g, a)

@@ -200,7 +200,7 @@ def expanding_one_step(series: DataFrame, orders: DataFrame, season: int, long_l
     rows = rows.withColumn("_tag", period_index("ts", unit))
     targets = rows.filter((F.col("ts") >= F.lit(first_target)) & all_known([*names, "w"])).select(
         *by, (F.col("_tag") - 1).alias("_tag"), "ts", "y", "base", F.array(F.lit(1.0), *names).alias("v"))
-    targets = targets.join(orders.select(*by, "p", "q", "P_s", "Q_s"), by)
+    targets = targets.join(orders.select(*by, "p", "q", "P_s", "Q_s"), by, "left")  # each has one, see above
 
     def solve(sums, totals, frame):
         a, b, c, e = (int(frame[o].iloc[0]) for o in ("p", "q", "P_s", "Q_s"))
