@@ -31,7 +31,10 @@ def stage(work):
 
 @stage
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a recognised language; a fifth of them doesn't train the model. ``lang`` stays as it came."""
+    """Documents with a recognised language; a fifth of them doesn't train the model. ``lang`` stays as it came.
+
+    Null, empty and letterless texts go, repeated rows are judged each, an empty table gives none.
+    """
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
     model = langid.train(docs.where(~held_out))
     # a row and its prediction stay together: the struct is the key that the operator hands on
@@ -41,7 +44,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each component."""
+    """The document with the smallest id of each component.
+
+    Null and empty texts link with nothing and stay, as do rows without an id; repeated rows of a kept id all stay.
+    """
     linked = jaccard.link(docs)
     gone = linked.where("component_id <> doc_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
@@ -49,20 +55,20 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 @stage
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no window of a benchmark item occurs."""
+    """Documents in which no window of a benchmark item occurs; those without words have none and stay, repeated rows are judged each."""
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 @stage
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them: not, once or twice."""
+    """Documents as often as the mix takes them: not, once or twice. Null sources form one of their own, a text without words has size 0."""
     rows = mixing.mix(docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text", "source"), ["row"])
     return rows.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
 
 @stage
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows in 40 shards of equal row counts, in a uniform order."""
+    """Rows in 40 shards of equal row counts, in a uniform order, whatever they hold."""
     return sharding.shard(docs, docs.columns)
 
 
