@@ -148,10 +148,14 @@ def _sets(batch: pa.RecordBatch, column: int, k: int) -> Iterator[tuple[int, np.
 
 
 def _cut(rows: DataFrame, keys: list[str], block: int) -> DataFrame:
-    """Adds ``cut``: into how many blocks the rows of a key go, by their number and the bytes of their sets of ``n`` tokens."""
+    """Adds ``cut``: into how many blocks the rows of a key go, by their number and the bytes of their sets of ``n`` tokens.
+
+    Keys with several blocks are few: only those are joined, so that rows with their sets need no shuffle of their own for it.
+    """
     size = rows.groupBy(*keys).agg(F.count("*").alias("k"), F.sum("n").alias("s"))
     cut = F.greatest(F.ceil(F.col("k") / block), F.ceil(F.col("s") * 8 / BYTES)).cast("int")
-    return rows.join(size.select(*keys, cut.alias("cut")), keys)
+    large = saved(size.select(*keys, cut.alias("cut")).where("cut > 1"))
+    return rows.join(large, keys, "left").withColumn("cut", F.coalesce("cut", F.lit(1)))
 
 
 def _shards(rows: DataFrame, block: int) -> int:
@@ -351,6 +355,17 @@ def in_cells(rows: DataFrame) -> DataFrame:
     return rows.withColumn("x", F.least("side", "other")).withColumn("y", F.greatest("side", "other")).drop("other", "cut")
 
 
+def at_home(live: DataFrame, block: int) -> DataFrame:
+    """Adds ``home`` to tokens (token, low, k, cut): those of one smallest cluster ``low`` meet in one task, as many as ``2 * block`` rows hold.
+
+    Sets that share many tokens are then reported by few tasks instead of by every task that has one of the tokens.
+    """
+    per_cell = F.when(F.col("cut") > 1, 2 / F.col("cut")).otherwise(1.0)
+    large = live.groupBy("low", "cut").agg(F.ceil(F.sum("k") * per_cell / (2 * block)).alias("pieces")).where("pieces > 1")
+    piece = F.pmod(F.xxhash64("token"), F.coalesce("pieces", F.lit(1)))
+    return live.join(large, ["low", "cut"], "left").withColumn("home", F.xxhash64("low", "cut", piece)).drop("pieces")
+
+
 def search(group: pd.DataFrame, share: tuple[int, int]) -> pd.DataFrame:
     """(x, y, id): sets of different clusters that the trees let pass, in the cells of their seats."""
     group = group.sort_values(["token", "band", "x", "y", "id"])
@@ -405,11 +420,11 @@ def _far(members: DataFrame, label: DataFrame, source: DataFrame, kind: str, set
     stats = rows.groupBy("token", "band").agg(F.min("cluster").alias("low"), F.max("cluster").alias("high"), F.count("*").alias("k"),
                                               F.max((F.col("own") == F.col("band")).cast("int")).alias("any"))
     # tokens of one band and cluster only drop out
-    live = stats.where("low <> high and any = 1").select("token", "band", F.ceil(F.col("k") / block).cast("int").alias("cut"))
-    rows = saved(rows.join(live, ["token", "band"]).select("id", "cluster", "token", "band", "cut", (F.col("own") == F.col("band")).alias("own")))
+    live = at_home(stats.where("low <> high and any = 1").select("token", "band", "low", "k", F.ceil(F.col("k") / block).cast("int").alias("cut")), block)
+    rows = saved(rows.join(live, ["token", "band"]).select("id", "cluster", "token", "band", "cut", "home", (F.col("own") == F.col("band")).alias("own")))
     rows = in_cells(rows)
     shards = _shards(rows, 2 * block)
-    cells = rows.join(facts, "id").groupBy(F.pmod(F.xxhash64("token", "band", "x", "y"), F.lit(shards))).applyInPandas(
+    cells = rows.join(facts, "id").groupBy(F.pmod(F.xxhash64("home", "x", "y"), F.lit(shards))).applyInPandas(
         lambda group: search(group, share), f"x long, y long, id {kind}")
     cells = saved(cells.distinct())
     bodies = members.where("body is not null").select("id", "body")
