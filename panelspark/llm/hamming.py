@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.llm.graph import components
-from panelspark.llm.jaccard import BLOCK, MEET, _groups, _near, _sets, _shards, _tokens, clustered, in_cells, print_of
+from panelspark.llm.jaccard import BLOCK, MEET, _groups, _near, _sets, _shards, _tokens, at_home, clustered, in_cells, print_of
 from panelspark.llm.retrieval import BROADCAST, offered, present
 from panelspark.llm.tables import saved
 from panelspark.llm.verify import Cells, links_in_cells, need, overlap, seated
@@ -206,10 +206,10 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int
     label = clustered(members, near)
     met = held.join(label, "id")
     stats = met.groupBy("token").agg(F.min("cluster").alias("low"), F.max("cluster").alias("high"), F.count("*").alias("k"))
-    cut = stats.where("low <> high").select("token", F.ceil(F.col("k") / block).cast("int").alias("cut"))
-    met = saved(in_cells(met.join(cut, "token")))
+    live = at_home(stats.where("low <> high").select("token", "low", "k", F.ceil(F.col("k") / block).cast("int").alias("cut")), block)
+    met = saved(in_cells(met.join(live.drop("low", "k"), "token")))
     at = saved(seated(members))
-    cells = saved(met.join(members.select("id", "sig"), "id").join(at, "id").groupBy(F.pmod(F.xxhash64("token", "x", "y"), F.lit(_shards(met, 2 * block))))
+    cells = saved(met.join(members.select("id", "sig"), "id").join(at, "id").groupBy(F.pmod(F.xxhash64("home", "x", "y"), F.lit(_shards(met, 2 * block))))
                   .applyInPandas(search, "x long, y long, id long").distinct())
     needed = members.join(at, "id").join(label, "id").join(cells.select("id").distinct(), "id").select("id", "seat", "cluster", "n", F.col("sig").alias("point"), "body")
     far = links_in_cells(cells, needed, _close, share)

@@ -277,6 +277,36 @@ def test_a_hot_token_is_searched_by_pairs_of_seats(spark):
     assert len(reported(lambda i: i % 2)) <= 60 + 60  # every set once with its own seat and once with the other
 
 
+def test_sets_with_many_common_tokens_are_reported_once_a_task(spark):
+    """Tokens of one smallest cluster meet in one task as far as they fit, so that a pair isn't reported by each of its tokens."""
+    kind = "token long, low long, k long, cut int"
+    rows = [(t, 1, 10, 1) for t in range(200)] + [(t, t, 10, 1) for t in range(200, 220)] + [(t, 1, 400, 2) for t in range(220, 224)]
+    live = spark.createDataFrame(rows, kind)
+    far = jaccard.at_home(live, 1000).collect()
+    assert {r["token"]: (r["low"], r["k"], r["cut"]) for r in far} == {r[0]: r[1:] for r in rows}
+    assert len({r["home"] for r in far if r["token"] < 200}) == 1 and len({r["home"] for r in far}) == 22
+    near = jaccard.at_home(live, 100).collect()
+    load = collections.Counter()
+    for r in near:
+        load[r["home"]] += r["k"] * (2 / r["cut"] if r["cut"] > 1 else 1)
+    assert len({r["home"] for r in near if r["token"] < 200}) == 10 and max(load.values()) <= 1600
+
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 256, hamming.CHUNKS * hamming.WIDTH, np.uint8)
+    sets = []
+    for _ in range(60):
+        s = base.copy()
+        s[rng.choice(len(s), 20, replace=False)] = rng.integers(0, 256, 20)
+        sets.append(s)
+    held = [(i, int(t), i, i % 3, s.tobytes()) for i, s in enumerate(sets) for t in hamming.keys(s[None])[0].view(np.int64)]
+    met = spark.createDataFrame(held, "id long, token long, cluster long, seat long, sig binary")
+    stats = met.groupBy("token").agg(F.min("cluster").alias("low"), F.max("cluster").alias("high"), F.count("*").alias("k")).where("low <> high")
+    live = jaccard.at_home(stats.withColumn("cut", F.lit(1)), 2000).select("token", "home", "cut")
+    cells = in_cells(met.join(live, "token")).toPandas()
+    told = {name: [tuple(r) for _, g in cells.groupby(name) for r in hamming.search(g).itertuples(index=False)] for name in ("token", "home")}
+    assert set(told["token"]) == set(told["home"]) and len(told["home"]) * 3 < len(told["token"]) * 2
+
+
 @pytest.mark.parametrize("side, load", [(2, 200), (512, 1 << 20)])
 def test_links_in_cells_join_what_is_linked(spark, side, load):
     rng = random.Random(7)
