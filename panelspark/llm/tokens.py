@@ -5,11 +5,15 @@ between a visible character and an ASCII blank or line end is a piece boundary i
 whatever follows, and what is right of it whatever precedes. Special strings hold no white space and can't span it either. Two
 chunks are spliced at such a place of their overlap that both encodings show as a token boundary; where an overlap has
 none, it is widened, in the end over the whole text.
+
+Shorter texts are cut at all such places. Parts that occur again, in the same text or in others, are encoded once as long as the
+counts of the parts seen fit into a table of fixed size.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -21,7 +25,11 @@ from pyspark.sql import functions as F
 CHUNK, OVERLAP = 1 << 15, 1 << 9
 #: Characters encoded by one call.
 BATCH = 1 << 18
+#: Parts whose counts a worker keeps, and characters of the longest one.
+KNOWN, LONGEST = 1 << 19, 64
 _BLANK = " \n\t\r"
+#: What lies between proven boundaries: an ASCII blank behind a visible character begins a part, other white space does not.
+_PART = re.compile(r"\s*\S+(?:[^\S \n\t\r]\s*\S*)*|\s+")
 
 
 @lru_cache(maxsize=2)
@@ -75,21 +83,35 @@ def count_long(tokenizer, text: str, chunk: int = CHUNK, overlap: int = OVERLAP)
     return total + sum(s >= done for s in starts)
 
 
-def count(tokenizer, texts: list[str]) -> list[int]:
-    """Tokens of each text."""
+@lru_cache(maxsize=2)
+def _known(spec: str) -> dict[str, int]:
+    """Tokens of parts that this worker has seen."""
+    return {}
+
+
+def count(tokenizer, texts: list[str], known: dict[str, int] | None = None, limit: int = KNOWN) -> list[int]:
+    """Tokens of each text. ``known`` has counts of parts by the same tokenizer; it is filled, and emptied beyond ``limit``."""
     out, waiting, size = [0] * len(texts), [], 0
+    known = {} if known is None else known
 
     def flush():
-        encoded = tokenizer.encode_batch_fast([texts[i] for i in waiting], add_special_tokens=False)
-        for i, e in zip(waiting, encoded):
-            out[i] = len(e)
+        fresh = list({p for _, parts in waiting for p in parts if p not in known})
+        if fresh:
+            known.update(zip(fresh, map(len, tokenizer.encode_batch_fast(fresh, add_special_tokens=False))))
+        for i, parts in waiting:
+            out[i] = sum(map(known.__getitem__, parts))
+        for p in fresh:
+            if len(p) > LONGEST:
+                del known[p]
+        if len(known) > limit:
+            known.clear()
         waiting.clear()
 
     for i, t in enumerate(texts):
         if len(t) > CHUNK:
             out[i] = count_long(tokenizer, t)
             continue
-        waiting.append(i)
+        waiting.append((i, _PART.findall(t)))
         size += len(t)
         if size >= BATCH:
             flush()
@@ -112,11 +134,11 @@ def token_counts(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
     shared = docs.sparkSession.sparkContext.broadcast(spec)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = load(shared.value)
+        tokenizer, known = load(shared.value), _known(shared.value)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(count(tokenizer, texts), pa.int64())],
+                [batch.column(0), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(count(tokenizer, texts, known), pa.int64())],
                 ["id", "n_bytes", "n_tokens"])
 
     kind = docs.schema[key].dataType.simpleString()

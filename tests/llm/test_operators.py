@@ -216,6 +216,32 @@ def test_token_counts_equal_the_library(spark, none):
     assert tokens.token_counts(none, path).count() == 0
 
 
+def test_parts_of_texts_are_encoded_once():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tok, asked = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), []
+
+    class Asked:
+        def encode_batch_fast(self, texts, **options):
+            asked.extend(texts)
+            return tok.encode_batch_fast(texts, **options)
+
+    rng = random.Random(5)
+    pieces = ["the", " of", " the", "\n\n", "  ", " ", "\t", "\r", "\x0b", "\x1c", "\x85", "\xa0", "\u3000", "é", "!!", "'s", "<|endoftext|>", "12", "日本", "x" * 70]
+    texts = ["", " ", "a "] + ["".join(rng.choice(pieces) for _ in range(rng.randrange(1, 60))) for _ in range(400)]
+    want = [len(tok.encode(t, add_special_tokens=False).ids) for t in texts]
+    for limit in (1 << 19, 5, 0):
+        known = {}
+        assert tokens.count(Asked(), texts, known, limit) == want and tokens.count(Asked(), texts[::-1], known, limit) == want[::-1]
+        assert len(known) <= limit and all(len(p) <= tokens.LONGEST for p in known)
+    asked.clear()
+    known = {}
+    for _ in range(3):
+        tokens.count(Asked(), ["the cat saw the cat", "and the cat ran"] * 50, known)
+    assert sorted(asked) == sorted(["the", " cat", " saw", " the", "and", " ran"])
+
+
 def test_quality_counts_and_outliers(spark, none):
     rng = random.Random(4)
     rows = [(i, prose(rng, rng.randrange(60, 200), 5000), "en", "a") for i in range(200)]
