@@ -2,8 +2,9 @@
 
 The most frequent words are put into classes by their left neighbours; P(word | context) = P(class | context) P(word | class, context),
 both softmaxes over hashed features of the context: word before, the two words before, and the word before those (skip).
-All other words share one class and are told apart by their corpus counts. Offsets are log frequencies, so weights of zero are
-the smoothed unigram model. Training makes one pass over all training documents in rounds: workers take gradient steps on
+All other words share one class. They are leaves of a tree by the digits of their hash, and every digit is a softmax over hashed
+features of the same contexts; words of one leaf, a handful, are told apart by their exact corpus counts, and words never seen have a
+share of their own. Offsets are log frequencies, so weights of zero are the smoothed unigram model. Training makes one pass over all training documents in rounds: workers take gradient steps on
 their rows from the same weights, the changes of each weight row are averaged over the workers that touched it.
 
 Words are known by 64-bit hashes. Counts cover the whole corpus and stay in tables; only the most frequent words go to tasks,
@@ -13,7 +14,7 @@ and counts of others are joined to the documents that hold them.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -28,8 +29,10 @@ from panelspark.llm.words import mix, slices, words
 CLASSES, WIDTH = 32, 64
 #: Words whose counts go to every task (16 bytes each).
 HEAD = 1 << 18
-#: Rows of the hashed weight tables of classes and of words in classes.
+#: Rows of the hashed weight tables of classes and of words in classes; up to 2**16, which ``_step`` sorts by.
 ROWS_CLASS, ROWS_WORD = 1 << 13, 1 << 14
+#: Bits of a digit of the tree, digits at most (fewer for small corpora), and rows of its hashed weight table.
+BITS, DIGITS, ROWS_TREE = 4, 4, 1 << 16
 #: Rounds of one pass, workers of a round, and step size.
 ROUNDS, WORKERS, STEP = 2, 24, 0.08
 #: Smoothing of the unigram base.
@@ -73,6 +76,17 @@ class Model:
     total: int
     distinct: int
     rest_log: float
+    offset_tree: np.ndarray
+    weights_tree: np.ndarray
+    leaf_log: np.ndarray
+    seen_log: float
+
+    def weights(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return self.weights_class, self.weights_word, self.weights_tree
+
+    def copy(self) -> Model:
+        """A model with weights of its own."""
+        return replace(self, **{name: getattr(self, name).copy() for name in ("weights_class", "weights_word", "weights_tree")})
 
     def ids(self, tok: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.words, tok), len(self.words) - 1)
@@ -80,17 +94,35 @@ class Model:
 
     def forward(self, tok, one, two):
         """Feature rows, class and word probabilities of a chunk."""
-        f = np.stack([mix(one ^ np.uint64(0x11)), mix(one * np.uint64(3) + two), mix(two ^ np.uint64(0x33))])
+        f = features(one, two)
         rows = (f % np.uint64(ROWS_CLASS)).astype(np.int64)
         ids = self.ids(tok)
         klass = np.where(ids >= 0, self.klass[ids], CLASSES)
-        p = self.offset_class + self.weights_class[rows[0]] + self.weights_class[rows[1]] + self.weights_class[rows[2]]
-        p = _softmax(p)
+        p = _softmax(_logits(self.offset_class, self.weights_class, rows))
         inside = np.flatnonzero(ids >= 0)
         own = klass[inside]
         g = (mix(f[:, inside] + own.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(ROWS_WORD)).astype(np.int64)
-        q = self.offset_word[own] + self.weights_word[g[0]] + self.weights_word[g[1]] + self.weights_word[g[2]]
-        return rows, klass, p, inside, g, self.slot[ids[inside]], _softmax(q)
+        return rows, klass, p, inside, g, self.slot[ids[inside]], _softmax(_logits(self.offset_word.take(own, axis=0), self.weights_word, g))
+
+    def digits(self, tok, one, two):
+        """Feature rows, digits and their probabilities of words outside the classes, level by level of each word."""
+        depth = digits_of(len(self.leaf_log))
+        level = np.arange(depth)
+        leaf = leaves(tok, depth)[:, None]
+        digit = (leaf >> (BITS * (depth - 1 - level))) & ((1 << BITS) - 1)
+        place = (leaf >> (BITS * (depth - level))) + ((1 << BITS * level) - 1) // ((1 << BITS) - 1)
+        f = features(one, two)[:, :, None] + (place + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        rows = (mix(f.reshape(3, -1)) % np.uint64(ROWS_TREE)).astype(np.int64)
+        return rows, digit.ravel(), _softmax(_logits(self.offset_tree.take(place.ravel(), axis=0), self.weights_tree, rows))
+
+    def outside_log10(self, tok, one, two) -> np.ndarray:
+        """What the context adds to the log probability of each word outside the classes, next to its share of the corpus counts."""
+        out, depth = np.zeros(len(tok)), digits_of(len(self.leaf_log))
+        for i in range(0, len(tok), _CHUNK):
+            cut = slice(i, i + _CHUNK)
+            _, digit, q = self.digits(tok[cut], one[cut], two[cut])
+            out[cut] = np.log10(np.maximum(q[np.arange(len(digit)), digit], 1e-30)).reshape(-1, depth).sum(axis=1, dtype=np.float64)
+        return out + self.seen_log - self.leaf_log[leaves(tok, depth)]
 
     def log10(self, tok, one, two) -> np.ndarray:
         """Log probability of each token; of words outside the model only that of their class."""
@@ -102,19 +134,47 @@ class Model:
             out[i + inside] += np.log10(np.maximum(q[np.arange(len(slot)), slot], 1e-30))
         return out
 
-    def learn(self, tok, one, two, past_class: np.ndarray, past_word: np.ndarray) -> None:
+    def learn(self, tok, one, two, past_class: np.ndarray, past_word: np.ndarray, past_tree: np.ndarray) -> None:
         """One gradient step, scaled by the root of each row's past squares."""
         rows, klass, p, inside, g, slot, q = self.forward(tok, one, two)
         p[np.arange(len(klass)), klass] -= 1.0
         q[np.arange(len(slot)), slot] -= 1.0
         _step(self.weights_class, past_class, rows, p)
         _step(self.weights_word, past_word, g, q)
+        rest = np.flatnonzero(klass == CLASSES)
+        if len(rest):
+            rows, digit, q = self.digits(tok[rest], one[rest], two[rest])
+            q[np.arange(len(digit)), digit] -= 1.0
+            _step(self.weights_tree, past_tree, rows, q)
+
+
+def features(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Hashes of the three contexts of every token."""
+    return np.stack([mix(one ^ np.uint64(0x11)), mix(one * np.uint64(3) + two), mix(two ^ np.uint64(0x33))])
+
+
+def digits_of(leaves: int) -> int:
+    return (leaves.bit_length() - 1) // BITS
+
+
+def leaves(tok: np.ndarray, depth: int) -> np.ndarray:
+    """Leaf of each word in a tree of ``depth`` digits."""
+    return (mix(tok ^ np.uint64(0x77)) >> np.uint64(64 - BITS * depth)).astype(np.int64)
+
+
+def _logits(offset: np.ndarray, weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    x = weights.take(rows[0], axis=0)
+    x += weights.take(rows[1], axis=0)
+    x += weights.take(rows[2], axis=0)
+    x += offset
+    return x
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(axis=1, keepdims=True)
+    """In place, of logits up to 80 either way."""
+    np.clip(x, -80.0, 80.0, out=x)
     np.exp(x, out=x)
-    x /= x.sum(axis=1, keepdims=True)
+    x /= (x @ np.ones(x.shape[1], x.dtype))[:, None]
     return x
 
 
@@ -122,11 +182,32 @@ def _step(weights, past, rows, gradient) -> None:
     flat = rows.ravel()
     if not len(flat):
         return
-    order = np.argsort(flat, kind="stable")
-    own, start = np.unique(flat[order], return_index=True)
-    g = np.add.reduceat(gradient[order % gradient.shape[0]], start, axis=0)
-    past[own] += (g * g).mean(axis=1)
-    weights[own] -= (STEP / np.sqrt(past[own] + 1e-3))[:, None] * g
+    order = np.argsort(flat.astype(np.uint16), kind="stable")
+    flat = flat[order]
+    start = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
+    own, g = flat[start], _sums(gradient, order % gradient.shape[0], start)
+    past[own] += np.einsum("ij,ij->i", g, g) / g.shape[1]
+    g *= (STEP / np.sqrt(past[own] + 1e-3))[:, None]
+    weights[own] -= g
+
+
+def _sums(x: np.ndarray, at: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Sums of the rows ``at`` of ``x`` between starts. Neighbours are added in rounds, all runs at once."""
+    out, run, length = np.empty((len(start), x.shape[1]), x.dtype), np.arange(len(start)), np.diff(np.append(start, len(at)))
+    while True:
+        done = length == 1
+        out[run[done]] = x.take(at[start[done]], axis=0)
+        if done.all():
+            return out
+        run, start, length = run[~done], start[~done], length[~done]
+        half = (length + 1) // 2
+        begin = np.cumsum(half) - half
+        step = 2 * (np.arange(half.sum()) - np.repeat(begin, half))
+        left = np.repeat(start, half) + step
+        y = x.take(at[left], axis=0)
+        both = np.flatnonzero(step + 1 < np.repeat(length, half))
+        y[both] += x.take(at[left[both] + 1], axis=0)
+        x, at, start, length = y, np.arange(len(y)), begin, half
 
 
 def make_classes(neighbours: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -229,8 +310,39 @@ def start(docs: DataFrame, counts: DataFrame, text: str, workers: int) -> Model:
     # all other words with their own 0.1 each, and one share for words never seen
     mass[CLASSES] = max(0, total - counts_sorted.sum()) + ADD * max(1, distinct - len(rank) + 1)
     offset_class = np.log(np.maximum(mass, 1e-30) / mass.sum()).astype(np.float32)
+    offset_tree, leaf_log, seen_log = make_tree(counts, sorted_words, int(distinct))
     return Model(sorted_words, klass, slot, offset_class, offset_word, np.zeros((ROWS_CLASS, CLASSES + 1), np.float32),
-                 np.zeros((ROWS_WORD, WIDTH), np.float32), head, head_counts, int(total), int(distinct), float(np.log10(mass[CLASSES])))
+                 np.zeros((ROWS_WORD, WIDTH), np.float32), head, head_counts, int(total), int(distinct), float(np.log10(mass[CLASSES])),
+                 offset_tree, np.zeros((ROWS_TREE, 1 << BITS), np.float32), leaf_log, seen_log)
+
+
+def make_tree(counts: DataFrame, inside: np.ndarray, distinct: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """(offsets of all nodes level by level, log10 mass of each leaf, log10 mass of all) of the words that are not ``inside``."""
+    depth = 1
+    while depth < DIGITS and 1 << BITS * depth < distinct - len(inside):
+        depth += 1
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, k = np.zeros(1 << BITS * depth, np.int64), np.zeros(1 << BITS * depth, np.int64)
+        for batch in batches:
+            word = batch.column(0).to_numpy().view(np.uint64)
+            rest = inside[np.minimum(np.searchsorted(inside, word), len(inside) - 1)] != word
+            leaf = leaves(word[rest], depth)
+            k += np.bincount(leaf, minlength=len(k))
+            np.add.at(n, leaf, batch.column(1).to_numpy()[rest])
+        some = np.flatnonzero(k)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some]), pa.array(k[some])], ["leaf", "n", "k"])
+
+    found = counts.select("word", "n").mapInArrow(add, "leaf long, n long, k long").groupBy("leaf").agg(F.sum("n").alias("n"), F.sum("k").alias("k")).toArrow().to_pandas()
+    mass = np.zeros(1 << BITS * depth)
+    mass[found["leaf"].to_numpy().astype(int)] = found["n"].to_numpy() + ADD * found["k"].to_numpy()
+    offsets, below = [], mass
+    for _ in range(depth):
+        below = below.reshape(-1, 1 << BITS)
+        above = below.sum(axis=1)
+        offsets.append(np.where(below > 0, np.log(np.maximum(below, 1e-30) / np.maximum(above, 1e-30)[:, None]), -1e30))
+        below = above
+    return np.concatenate(offsets[::-1]).astype(np.float32), np.log10(np.where(mass > 0, mass, 1.0)), float(np.log10(max(below[0], 1e-30)))
 
 
 def train(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", rounds: int = ROUNDS, workers: int = WORKERS) -> Model:
@@ -242,14 +354,14 @@ def train(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
 
         def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             m = sent.value
-            own = Model(**{**m.__dict__, "weights_class": m.weights_class.copy(), "weights_word": m.weights_word.copy()})
-            past_class, past_word = np.zeros(ROWS_CLASS, np.float32), np.zeros(ROWS_WORD, np.float32)
+            own = m.copy()
+            past_class, past_word, past_tree = (np.zeros(n, np.float32) for n in (ROWS_CLASS, ROWS_WORD, ROWS_TREE))
             for batch in batches:
                 for _, _, d, b in slices(batch.column(0)):
                     tok, _, one, two = tokens(d, b)
                     for i in range(0, len(tok), _CHUNK):
-                        own.learn(tok[i:i + _CHUNK], one[i:i + _CHUNK], two[i:i + _CHUNK], past_class, past_word)
-            for table, past, new, old in ((0, past_class, own.weights_class, m.weights_class), (1, past_word, own.weights_word, m.weights_word)):
+                        own.learn(tok[i:i + _CHUNK], one[i:i + _CHUNK], two[i:i + _CHUNK], past_class, past_word, past_tree)
+            for table, (past, new, old) in enumerate(zip((past_class, past_word, past_tree), own.weights(), m.weights())):
                 rows = np.flatnonzero(past)
                 for i in range(0, len(rows), 2048):
                     at = rows[i:i + 2048]
@@ -258,15 +370,18 @@ def train(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
                         ["tab", "row", "change"])
 
         def average(group: pd.DataFrame) -> pd.DataFrame:
-            out = [(t, r, np.mean([np.frombuffer(x, np.float32) for x in c], axis=0, dtype=np.float64).astype(np.float32).tobytes())
-                   for (t, r), c in group.groupby(["tab", "row"])["change"]]
+            out = []
+            for tab, part in group.sort_values(["tab", "row"]).groupby("tab"):
+                rows, start, times = np.unique(part["row"].to_numpy(), return_index=True, return_counts=True)
+                sums = np.add.reduceat(np.frombuffer(b"".join(part["change"]), np.float32).reshape(len(part), -1), start, axis=0, dtype=np.float64)
+                out += [(tab, r, x.tobytes()) for r, x in zip(rows.tolist(), (sums / times[:, None]).astype(np.float32))]
             return pd.DataFrame(out, columns=["tab", "row", "change"])
 
         schema = "tab int, row int, change binary"
         changes = _texts(part, text).coalesce(workers).mapInArrow(learn, schema).groupBy(F.pmod(F.xxhash64("tab", "row"), F.lit(64))).applyInPandas(average, schema)
-        model = Model(**{**model.__dict__, "weights_class": model.weights_class.copy(), "weights_word": model.weights_word.copy()})
+        model = model.copy()
         for tab, row, change in changes.toArrow().to_pandas().itertuples(index=False):  # bounded by the size of the weights
-            (model.weights_word if tab else model.weights_class)[row] += np.frombuffer(change, np.float32)
+            model.weights()[tab][row] += np.frombuffer(change, np.float32)
         sent.unpersist()
     return model
 
@@ -297,29 +412,36 @@ def score(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "t
                 in_head = m.head[at] == tok if len(m.head) else np.zeros(len(tok), bool)
                 own = np.where(in_head, np.log10(m.head_counts[at] + ADD), 0.0) if len(m.head) else np.zeros(len(tok))
                 logs = logs + np.where(outside, own - m.rest_log, 0.0)
-                rest = np.flatnonzero(~in_head)
-                pairs, times = np.unique(np.stack([owner[rest].astype(np.uint64), tok[rest]], axis=1), axis=0, return_counts=True)
-                cut = np.searchsorted(pairs[:, 0], np.arange(n + 1)) if len(pairs) else np.zeros(n + 1, np.int64)
+                tree = np.zeros(len(tok))
+                tree[outside] = m.outside_log10(tok[outside], one[outside], two[outside])
+                logs += np.where(in_head, tree, 0.0)
+                rest = np.flatnonzero(~in_head)  # counted below, by the join; the tree holds for those that training has seen
+                rest = rest[np.lexsort((tok[rest], owner[rest]))]
+                new = np.flatnonzero((np.diff(owner[rest], prepend=-1) != 0) | (np.diff(tok[rest], prepend=tok[rest[:1]]) != 0))
+                times = np.diff(np.append(new, len(rest)))
+                sums = np.add.reduceat(tree[rest], new) if len(new) else np.zeros(0)
+                cut = np.searchsorted(owner[rest[new]], np.arange(n + 1))
                 cut = pa.array(cut.astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(first, n), batch.column(2).slice(first, n), pa.array(np.bincount(owner, minlength=n)),
                      pa.array(np.bincount(owner[in_head], minlength=n)), pa.array(np.bincount(owner, own, n)), pa.array(np.bincount(owner, logs, n)),
-                     pa.ListArray.from_arrays(cut, pa.array(pairs[:, 1].copy().view(np.int64) if len(pairs) else np.zeros(0, np.int64))),
-                     pa.ListArray.from_arrays(cut, pa.array(times.astype(np.int64)))],
-                    ["id", "held_out", "n_tokens", "in_head", "own", "logs", "rare", "times"])
+                     pa.ListArray.from_arrays(cut, pa.array(tok[rest[new]].view(np.int64))), pa.ListArray.from_arrays(cut, pa.array(times.astype(np.int64))),
+                     pa.ListArray.from_arrays(cut, pa.array(sums))],
+                    ["id", "held_out", "n_tokens", "in_head", "own", "logs", "rare", "times", "tree"])
 
-    found = rows.mapInArrow(run, f"id {kind}, held_out boolean, n_tokens long, in_head long, own double, logs double, rare array<long>, times array<long>")
+    found = rows.mapInArrow(run, f"id {kind}, held_out boolean, n_tokens long, in_head long, own double, logs double, rare array<long>, times array<long>, tree array<double>")
     found = saved(found.withColumn("place", F.monotonically_increasing_id()))
-    rare = found.where(F.size("rare") > 0).select("place", F.explode(F.arrays_zip("rare", "times")).alias("x")).select(
-        "place", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
+    rare = found.where(F.size("rare") > 0).select("place", F.explode(F.arrays_zip("rare", "times", "tree")).alias("x")).select(
+        "place", F.col("x.rare").alias("word"), F.col("x.times").alias("times"), F.col("x.tree").alias("tree"))
     # words outside the head are rare, so no key of this join is hot
     c = F.coalesce(F.col("n"), F.lit(0))
     sums = rare.join(counts, "word", "left").groupBy("place").agg(
-        F.sum(F.col("times") * F.log10(c + ADD)).alias("rare_log"), F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("rare_known"))
+        F.sum(F.col("times") * F.log10(c + ADD)).alias("rare_log"), F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("rare_known"),
+        F.sum(F.when(c > 0, F.col("tree")).otherwise(0.0)).alias("rare_tree"))
     done = found.join(sums, "place", "left")
     base = np.log10(model.total + ADD * (model.distinct + 1))
     rare_log = F.coalesce("rare_log", F.lit(0.0))
     return done.select(
         F.col("id").alias(key), "held_out", "n_tokens", (F.col("in_head") + F.coalesce("rare_known", F.lit(0))).cast("long").alias("n_known"),
         F.lit(model.total).cast("long").alias("train_tokens"), (F.col("own") + rare_log - F.col("n_tokens") * float(base)).alias("base_score"),
-        (F.col("logs") + rare_log).alias("score"))
+        (F.col("logs") + rare_log + F.coalesce("rare_tree", F.lit(0.0))).alias("score"))

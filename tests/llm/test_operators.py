@@ -148,6 +148,36 @@ def test_model_is_a_distribution(spark):
     assert inside.sum() + outside[0] == pytest.approx(1.0, abs=1e-4)
 
 
+def test_words_outside_the_classes_have_features(spark, monkeypatch):
+    """A tree of digits tells them apart by their contexts, leaves by their counts, and all together stay a distribution."""
+    rng = random.Random(6)
+    text = lambda: " ".join(f"{'abc'[i % 3]}{rng.randrange(1400)} follow{i % 3}" for i in range(60))
+    rows = [(i, text()) for i in range(200)] + [(201, "a0 never"), (202, "a0 never never again never"), (203, "a0 follow0"), (204, "b0 follow0")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    counts = lm.count_tokens(df.where("doc_id < 200"))
+    table = {np.int64(r["word"]).view(np.uint64): r["n"] for r in counts.collect()}
+    model = lm.start(df.where("doc_id < 200"), counts, "text", 2)
+    every, n = np.array(list(table), np.uint64), np.array(list(table.values()))
+    context = np.full(len(every), every[0])
+
+    def logs(m):
+        outside = m.ids(every) < 0
+        return m.log10(every, context, context) + np.where(outside, m.outside_log10(every, context, context) + np.log10(n + lm.ADD) - m.rest_log, 0.0)
+
+    assert (model.ids(every) < 0).sum() > 1000
+    assert 10 ** logs(model) == pytest.approx((n + lm.ADD) / (n.sum() + lm.ADD * (len(n) + 1)), rel=1e-4)
+    done = lm.train(df.where("doc_id < 200"), model, workers=2)
+    assert np.abs(done.weights_tree).max() > 0 and np.abs(model.weights_tree).max() == 0
+    share = 10 ** done.log10(np.array([12345], np.uint64), context[:1], context[:1])[0]
+    assert (10 ** logs(done)).sum() == pytest.approx(1 - share * lm.ADD / 10 ** done.rest_log, abs=1e-4)
+    monkeypatch.setattr(lm, "HEAD", 2500)  # most words are joined
+    few = {r["doc_id"]: r for r in lm.score(df, F.col("doc_id") > 200, workers=2).collect()}
+    monkeypatch.setattr(lm, "HEAD", 1 << 18)
+    all_ = {r["doc_id"]: r for r in lm.score(df, F.col("doc_id") > 200, workers=2).collect()}
+    assert all(few[i][c] == pytest.approx(all_[i][c], rel=1e-6) for i in few for c in ("score", "base_score", "n_known"))
+    assert all_[202]["n_known"] <= 2 and np.isfinite(all_[202]["score"])
+
+
 def brute_hits(text, items):
     w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low(text or ""))
     hit, found = set(), set()
