@@ -47,6 +47,8 @@ BLOCK = 2000
 BYTES = 32 << 20
 #: Sizes of linked sets are at most one band apart (4/3 and a little).
 BAND = 1.334
+#: Up to so many ids go to all tasks, so that rows with their sets are picked where they are; more are joined by a shuffle.
+SENT = 2_000_000
 #: A coordinate that is this large stands for any count from there on.
 _TOP = np.iinfo(np.uint16).max
 
@@ -243,11 +245,15 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, s
     shared = saved(tokens.groupBy("token").agg(F.min("f1").alias("low"), F.max("f1").alias("high")).where("low <> high").select("token"))
 
     held = _members(source, shared, kind, ranked_sets, share, broadcast)
-    members = saved(held.join(classes.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"))
+    sent = min(broadcast, SENT)
+    reps = classes.select(F.col("rep").alias("id")).distinct()
+    copies = saved(rows.where("n > 0 and id is not null").select("id").distinct().join(reps, "id", "left_anti"))
+    members = saved(held.where("id is not null").join(F.broadcast(copies), "id", "left_anti") if copies.count() <= sent
+                    else held.join(reps, "id", "left_semi"))
 
     near = saved(_near(members.where("body is not null"), kind, share, block, _leaders))
     label = clustered(members, near)
-    far = _far(members, label, source, kind, ranked_sets, share, block)
+    far = _far(members, label, source, kind, ranked_sets, share, block, sent)
     reach = components(near.union(far))
     return (rows.join(classes, ["f1", "f2", "n"], "left").join(reach.select(F.col("node").alias("rep"), "component"), "rep", "left")
             .select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "id").alias("component_id")))
@@ -405,7 +411,7 @@ def _allowed(share: tuple[int, int]):
     return near
 
 
-def _far(members: DataFrame, label: DataFrame, source: DataFrame, kind: str, sets, share, block: int) -> DataFrame:
+def _far(members: DataFrame, label: DataFrame, source: DataFrame, kind: str, sets, share, block: int, sent: int = SENT) -> DataFrame:
     """All links between sets of different clusters."""
     rows = members.select("id", "n", F.explode("tokens").alias("token")).join(label, "id")
     open_ = rows.groupBy("token").agg(F.min("cluster").alias("low"), F.max("cluster").alias("high")).where("low <> high").select("token")
@@ -429,6 +435,8 @@ def _far(members: DataFrame, label: DataFrame, source: DataFrame, kind: str, set
     cells = saved(cells.distinct())
     bodies = members.where("body is not null").select("id", "body")
     needed = saved(facts.join(cells.select("id").distinct(), "id").join(label, "id").select("id", "seat", "cluster", "n", "point"))
+    if needed.count() <= sent:
+        bodies = bodies.join(F.broadcast(needed.select("id")), "id", "left_semi")
     lacking = needed.select("id").join(bodies.select("id"), "id", "left_anti")
     if lacking.take(1):
         bodies = bodies.union(made(source.join(lacking, "id").dropDuplicates(["id"]), sets, kind).select("id", "body"))

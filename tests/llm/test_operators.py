@@ -394,6 +394,22 @@ def test_jaccard_join_against_brute_force(spark, docs, none, rows, options):
         assert jaccard.link(none).count() == 0
 
 
+@pytest.mark.parametrize("sent", [0, 2_000_000])
+def test_copies_and_null_keys_however_rows_are_picked(spark, monkeypatch, sent):
+    """Ids that go to all tasks and ids joined by a shuffle pick the same rows, and links to sets of copies stay."""
+    monkeypatch.setattr(jaccard, "SENT", sent)
+    base = [f"w{i}" for i in range(60)]
+    text, near, other = " ".join(base), " ".join(base[:57]), " ".join(base[:53])
+    rows = [(None, text), (None, near), (3, text), (4, text), (5, near), (5, "x y z"), (6, "x y z"), (7, near), (8, other), (9, None), (10, "solo")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    plans = []
+    real = jaccard.saved
+    monkeypatch.setattr(jaccard, "saved", lambda rows, scope=None: plans.append(rows._jdf.queryExecution().executedPlan().toString()) or real(rows, scope))
+    got = sorted(((r["doc_id"], r["component_id"]) for r in jaccard.link(df).collect()), key=str)
+    assert any("BuildRight, LeftAnti" in p or "LeftAnti, BuildRight" in p for p in plans if "FlatMap" not in p and "MapInArrow" in p) == (sent > 0)
+    assert [x for x in got if x[0] is not None] == sorted([(3, 3), (4, 3), (5, 3), (5, 3), (6, 3), (7, 3), (8, 3), (9, 9), (10, 10)], key=str)
+
+
 def test_tree_loses_no_pair():
     rng = np.random.default_rng(2)
     points = rng.poisson(3, (400, jaccard.GROUPS)).astype(np.uint16)
