@@ -10,9 +10,10 @@ fewer than 2 errors: with probability 4e-8.
 1. Equal sets become one class with one signature; nothing after that works on copies.
 2. Chunk keys of one class only can't link anything and are dropped. Sets are made for classes with a key left.
 3. Near copies are joined first: classes meet at their two smallest minima, in blocks, and are verified against leaders.
-4. Classes of different clusters that share a key are compared by their signatures, where the first chunk and choice are that they
-   share, and nowhere else. Those under ``FAR`` differences are not reported pair by pair: classes sit together in blocks, and the pair of
-   seats is. Each pair of seats is one cell, where signatures are compared and sets verified, until what can be joined is.
+4. Classes of different clusters that share a key are compared by their sizes, their counts per token group, which bound the overlap,
+   and their signatures, where the first chunk and choice are that they share, and nowhere else. Those under ``FAR`` differences are not
+   reported pair by pair: classes sit together in blocks, and the pair of seats is. Each pair of seats is one cell, where signatures are
+   compared and sets verified, until what can be joined is.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.llm.graph import components
-from panelspark.llm.jaccard import BLOCK, MEET, _groups, _near, _sets, _shards, _tokens, at_home, clustered, in_cells, print_of
+from panelspark.llm.jaccard import _TOP, BLOCK, MEET, _groups, _near, _sets, _shards, _tokens, at_home, bound, clustered, in_cells, point, print_of
 from panelspark.llm.retrieval import BROADCAST, offered, present
 from panelspark.llm.tables import saved
 from panelspark.llm.verify import Cells, links_in_cells, need, overlap, seated
@@ -103,13 +104,26 @@ def _leaders(ids: list, sets: list[np.ndarray], signatures: list[bytes], share)
     return edges
 
 
-def search(group: pd.DataFrame) -> pd.DataFrame:
-    """(x, y, id): classes of different clusters under ``FAR`` differences, in the cells of their seats, each pair where its first shared key is."""
+def search(group: pd.DataFrame, share: tuple[int, int] | None = None) -> pd.DataFrame:
+    """(x, y, id): classes of different clusters under ``FAR`` differences, in the cells of their seats, each pair where its first shared key is.
+
+    With ``share``, pairs whose sizes ``n`` or counts ``point`` exclude a link are left out, which loses none.
+    """
     group = group.sort_values(["token", "x", "y", "cluster", "id"])
     mark = group[["token", "x", "y"]].ne(group[["token", "x", "y"]].shift()).any(axis=1).cumsum().to_numpy()
     s = np.stack([np.frombuffer(b, np.uint8) for b in group["sig"]])
     ids, cluster, side, seat, x, y, token = (group[c].to_numpy() for c in ("id", "cluster", "side", "seat", "x", "y", "token"))
     found = Cells(seat, ids)
+    if share:
+        sizes, points = group["n"].to_numpy(), np.stack([np.frombuffer(b, np.uint16) for b in group["point"]])
+        full = bool((points == _TOP).any())
+
+    def linkable(p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        least = need(sizes[p], sizes[q], share)
+        ok = least <= np.minimum(sizes[p], sizes[q])
+        p, q, least = p[ok], q[ok], least[ok]
+        ok = bound(points[p], points[q], full) >= least
+        return p[ok], q[ok]
 
     def compare(a: np.ndarray, b: np.ndarray, key: int):
         """All rows of ``a`` with all rows of ``b``; their clusters differ unless told apart below."""
@@ -119,6 +133,8 @@ def search(group: pd.DataFrame) -> pd.DataFrame:
             q = np.tile(b, len(a[i:i + step]))
             ok = cluster[p] != cluster[q]
             p, q = p[ok], q[ok]
+            if share and len(p):
+                p, q = linkable(p, q)
             if not len(p):
                 continue
             far, first = meetings(s[p], s[q])
@@ -200,7 +216,7 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int
 
     held = saved(marks.select("id", "sig", "own").mapInArrow(hold, "id long, token long"))
     members = classes.join(held.select("id").distinct(), "id")
-    members = saved(members.join(_bodies(source, members.select("hash"), k, sent), "id").select("id", "n", "sig", "meet", "body"))
+    members = saved(members.join(_bodies(source, members.select("hash"), k, sent), "id").select("id", "n", "sig", "meet", "counts", "body"))
 
     near = saved(_near(members.withColumnRenamed("sig", "point"), "long", share, block, _leaders))
     label = clustered(members, near)
@@ -209,8 +225,9 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int
     live = at_home(stats.where("low <> high").select("token", "low", "k", F.ceil(F.col("k") / block).cast("int").alias("cut")), block)
     met = saved(in_cells(met.join(live.drop("low", "k"), "token")))
     at = saved(seated(members))
-    cells = saved(met.join(members.select("id", "sig"), "id").join(at, "id").groupBy(F.pmod(F.xxhash64("home", "x", "y"), F.lit(_shards(met, 2 * block))))
-                  .applyInPandas(search, "x long, y long, id long").distinct())
+    facts = members.select("id", "n", "sig", F.col("counts").alias("point"))
+    cells = saved(met.join(facts, "id").join(at, "id").groupBy(F.pmod(F.xxhash64("home", "x", "y"), F.lit(_shards(met, 2 * block))))
+                  .applyInPandas(lambda group: search(group, share), "x long, y long, id long").distinct())
     needed = members.join(at, "id").join(label, "id").join(cells.select("id").distinct(), "id").select("id", "seat", "cluster", "n", F.col("sig").alias("point"), "body")
     far = links_in_cells(cells, needed, _close, share)
     # texts of one key belong together
@@ -229,7 +246,7 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int
 
 
 def _bodies(source: DataFrame, wanted: DataFrame, k: int, sent: int) -> DataFrame:
-    """(id, body) of the classes whose texts have a hash in ``wanted``, each once. One Python step, as each has workers of its own."""
+    """(id, body, counts per group) of the classes whose texts have a hash in ``wanted``, each once. One Python step, as each has workers of its own."""
     hashes = None
     if wanted.count() <= sent:
         hashes = source.sparkSession.sparkContext.broadcast(np.sort(wanted.toArrow()["hash"].to_numpy().view(np.uint64)))
@@ -241,14 +258,19 @@ def _bodies(source: DataFrame, wanted: DataFrame, k: int, sent: int) -> DataFram
             texts = batch.column(1)
             if hashes is not None:
                 texts = texts.filter(pa.array(present(batch.column(0).to_numpy().view(np.uint64), hashes.value)))
-            ids, bodies, held = [], [], 0
+            ids, bodies, counts, held = [], [], [], 0
             for _, s in _sets(pa.RecordBatch.from_arrays([texts], ["text"]), 0, k):
                 ids.append(print_of(s)[0])
                 bodies.append(s.tobytes())
+                counts.append(point(s).tobytes())
                 held += s.nbytes
                 if held > PART:
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(bodies, pa.binary())], ["id", "body"])
-                    ids, bodies, held = [], [], 0
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(bodies, pa.binary())], ["id", "body"])
+                    yield _bodies_batch(ids, bodies, counts)
+                    ids, bodies, counts, held = [], [], [], 0
+            yield _bodies_batch(ids, bodies, counts)
+
+    return source.select("hash", "text").mapInArrow(build, "id long, body binary, counts binary").dropDuplicates(["id"])
+
 
-    return source.select("hash", "text").mapInArrow(build, "id long, body binary").dropDuplicates(["id"])
+def _bodies_batch(ids: list, bodies: list, counts: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(bodies, pa.binary()), pa.array(counts, pa.binary())], ["id", "body", "counts"])

@@ -193,6 +193,18 @@ def test_pairs_of_seats_hold_all_near_pairs(spark):
     assert sorted(zip(got["x"], got["y"], got["id"])) == sorted((i, j, k) for i, j in want for k in (i, j)) and 50 < len(want) < 1700
 
 
+def test_search_leaves_out_pairs_that_sizes_or_counts_exclude(spark):
+    rng = np.random.default_rng(6)
+    base = np.arange(1, 101, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    sets = [np.sort(np.concatenate([base[:60 + i], rng.integers(1, 1 << 60, 40 - i % 40).astype(np.uint64)])) for i in range(41)]
+    mark = hamming.signature(hamming.minima(base))
+    rows = [(i, int(t), i, 2, i, mark.tobytes(), len(s), jaccard.point(s).tobytes()) for i, s in enumerate(sets) for t in hamming.keys(mark[None])[0].view(np.int64)]
+    cells = in_cells(spark.createDataFrame(rows, "id long, token long, cluster long, cut int, seat long, sig binary, n long, point binary")).toPandas()
+    found = {share: {(x, y) for x, y in hamming.search(cells, share)[["x", "y"]].itertuples(index=False)} for share in (None, (4, 5))}
+    links = {(i, j) for j in range(41) for i in range(j) if verify.overlap(sets[i], sets[j]) >= verify.need(len(sets[i]), len(sets[j]), (4, 5))}
+    assert len(found[None]) == 820 and links <= found[4, 5] and len(links) > 30 and len(found[4, 5]) < 600
+
+
 def brute_links(rows, k, share):
     sets = {}
     for i, text in rows:
