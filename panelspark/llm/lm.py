@@ -41,6 +41,8 @@ ADD = 0.1
 NEIGHBOURS = 64
 END, BEFORE = np.uint64(0x0E0D0E0D0E0D0E0D), np.uint64(0x0B0E0B0E0B0E0B0E)
 _CHUNK = 8192
+#: Numbers that are worked on at once, about; they stay close to the processor.
+_FLOATS = 1 << 18
 
 
 def tokens(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -93,19 +95,18 @@ class Model:
         return np.where(self.words[at] == tok, at, -1)
 
     def forward(self, tok, one, two):
-        """Feature rows, class and word probabilities of a chunk."""
+        """Feature rows and class of every token; which of them are in a class, their classes, feature rows and slots."""
         f = features(one, two)
         rows = (f % np.uint64(ROWS_CLASS)).astype(np.int64)
         ids = self.ids(tok)
         klass = np.where(ids >= 0, self.klass[ids], CLASSES)
-        p = _softmax(_logits(self.offset_class, self.weights_class, rows))
         inside = np.flatnonzero(ids >= 0)
         own = klass[inside]
         g = (mix(f[:, inside] + own.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(ROWS_WORD)).astype(np.int64)
-        return rows, klass, p, inside, g, self.slot[ids[inside]], _softmax(_logits(self.offset_word.take(own, axis=0), self.weights_word, g))
+        return rows, klass, inside, own, g, self.slot[ids[inside]]
 
     def digits(self, tok, one, two):
-        """Feature rows, digits and their probabilities of words outside the classes, level by level of each word."""
+        """Feature rows, nodes and digits of words outside the classes, level by level of each word."""
         depth = digits_of(len(self.leaf_log))
         level = np.arange(depth)
         leaf = leaves(tok, depth)[:, None]
@@ -113,15 +114,16 @@ class Model:
         place = (leaf >> (BITS * (depth - level))) + ((1 << BITS * level) - 1) // ((1 << BITS) - 1)
         f = features(one, two)[:, :, None] + (place + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         rows = (mix(f.reshape(3, -1)) % np.uint64(ROWS_TREE)).astype(np.int64)
-        return rows, digit.ravel(), _softmax(_logits(self.offset_tree.take(place.ravel(), axis=0), self.weights_tree, rows))
+        return rows, place.ravel(), digit.ravel()
 
     def outside_log10(self, tok, one, two) -> np.ndarray:
         """What the context adds to the log probability of each word outside the classes, next to its share of the corpus counts."""
         out, depth = np.zeros(len(tok)), digits_of(len(self.leaf_log))
         for i in range(0, len(tok), _CHUNK):
             cut = slice(i, i + _CHUNK)
-            _, digit, q = self.digits(tok[cut], one[cut], two[cut])
-            out[cut] = np.log10(np.maximum(q[np.arange(len(digit)), digit], 1e-30)).reshape(-1, depth).sum(axis=1, dtype=np.float64)
+            rows, place, digit = self.digits(tok[cut], one[cut], two[cut])
+            q = _chances(self.offset_tree, place, self.weights_tree, rows, digit)
+            out[cut] = np.log10(np.maximum(q, 1e-30)).reshape(-1, depth).sum(axis=1, dtype=np.float64)
         return out + self.seen_log - self.leaf_log[leaves(tok, depth)]
 
     def log10(self, tok, one, two) -> np.ndarray:
@@ -129,21 +131,24 @@ class Model:
         out = np.zeros(len(tok))
         for i in range(0, len(tok), _CHUNK):
             cut = slice(i, i + _CHUNK)
-            _, klass, p, inside, _, slot, q = self.forward(tok[cut], one[cut], two[cut])
-            out[cut] = np.log10(np.maximum(p[np.arange(len(klass)), klass], 1e-30))
-            out[i + inside] += np.log10(np.maximum(q[np.arange(len(slot)), slot], 1e-30))
+            rows, klass, inside, own, g, slot = self.forward(tok[cut], one[cut], two[cut])
+            out[cut] = np.log10(np.maximum(_chances(self.offset_class, None, self.weights_class, rows, klass), 1e-30))
+            out[i + inside] += np.log10(np.maximum(_chances(self.offset_word, own, self.weights_word, g, slot), 1e-30))
         return out
 
     def learn(self, tok, one, two, past_class: np.ndarray, past_word: np.ndarray, past_tree: np.ndarray) -> None:
         """One gradient step, scaled by the root of each row's past squares."""
-        rows, klass, p, inside, g, slot, q = self.forward(tok, one, two)
+        rows, klass, _, own, g, slot = self.forward(tok, one, two)
+        p = _chances(self.offset_class, None, self.weights_class, rows)
+        q = _chances(self.offset_word, own, self.weights_word, g)
         p[np.arange(len(klass)), klass] -= 1.0
         q[np.arange(len(slot)), slot] -= 1.0
         _step(self.weights_class, past_class, rows, p)
         _step(self.weights_word, past_word, g, q)
         rest = np.flatnonzero(klass == CLASSES)
         if len(rest):
-            rows, digit, q = self.digits(tok[rest], one[rest], two[rest])
+            rows, place, digit = self.digits(tok[rest], one[rest], two[rest])
+            q = _chances(self.offset_tree, place, self.weights_tree, rows)
             q[np.arange(len(digit)), digit] -= 1.0
             _step(self.weights_tree, past_tree, rows, q)
 
@@ -162,20 +167,27 @@ def leaves(tok: np.ndarray, depth: int) -> np.ndarray:
     return (mix(tok ^ np.uint64(0x77)) >> np.uint64(64 - BITS * depth)).astype(np.int64)
 
 
-def _logits(offset: np.ndarray, weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    x = weights.take(rows[0], axis=0)
-    x += weights.take(rows[1], axis=0)
-    x += weights.take(rows[2], axis=0)
-    x += offset
-    return x
+def _chances(offset: np.ndarray, at: np.ndarray | None, weights: np.ndarray, rows: np.ndarray, only: np.ndarray | None = None) -> np.ndarray:
+    """Softmax of summed weight rows plus ``offset`` (its rows ``at``, or the same for all), of logits up to 80 either way.
 
-
-def _softmax(x: np.ndarray) -> np.ndarray:
-    """In place, of logits up to 80 either way."""
-    np.clip(x, -80.0, 80.0, out=x)
-    np.exp(x, out=x)
-    x /= (x @ np.ones(x.shape[1], x.dtype))[:, None]
-    return x
+    With ``only``, that column of each row alone.
+    """
+    n, width = rows.shape[1], weights.shape[1]
+    out = np.empty((n, width) if only is None else n, weights.dtype)
+    ones, step = np.ones(width, weights.dtype), max(1, _FLOATS // width)
+    for i in range(0, n, step):
+        part = slice(i, i + step)
+        x = weights.take(rows[0, part], axis=0)
+        x += weights.take(rows[1, part], axis=0)
+        x += weights.take(rows[2, part], axis=0)
+        x += offset if at is None else offset.take(at[part], axis=0)
+        np.clip(x, -80.0, 80.0, out=x)
+        np.exp(x, out=x)
+        if only is None:
+            np.divide(x, (x @ ones)[:, None], out=out[part])
+        else:
+            np.divide(x[np.arange(len(x)), only[part]], x @ ones, out=out[part])
+    return out
 
 
 def _step(weights, past, rows, gradient) -> None:
@@ -185,29 +197,31 @@ def _step(weights, past, rows, gradient) -> None:
     order = np.argsort(flat.astype(np.uint16), kind="stable")
     flat = flat[order]
     start = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
-    own, g = flat[start], _sums(gradient, order % gradient.shape[0], start)
-    past[own] += np.einsum("ij,ij->i", g, g) / g.shape[1]
-    g *= (STEP / np.sqrt(past[own] + 1e-3))[:, None]
-    weights[own] -= g
-
-
-def _sums(x: np.ndarray, at: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Sums of the rows ``at`` of ``x`` between starts. Neighbours are added in rounds, all runs at once."""
-    out, run, length = np.empty((len(start), x.shape[1]), x.dtype), np.arange(len(start)), np.diff(np.append(start, len(at)))
-    while True:
-        done = length == 1
-        out[run[done]] = x.take(at[start[done]], axis=0)
-        if done.all():
-            return out
-        run, start, length = run[~done], start[~done], length[~done]
-        half = (length + 1) // 2
-        begin = np.cumsum(half) - half
-        step = 2 * (np.arange(half.sum()) - np.repeat(begin, half))
-        left = np.repeat(start, half) + step
-        y = x.take(at[left], axis=0)
-        both = np.flatnonzero(step + 1 < np.repeat(length, half))
-        y[both] += x.take(at[left[both] + 1], axis=0)
-        x, at, start, length = y, np.arange(len(y)), begin, half
+    for some, g in _sums(gradient, order % gradient.shape[0], start):
+        own = flat[start[some]]
+        squares = past[own] + np.einsum("ij,ij->i", g, g) / g.shape[1]
+        past[own] = squares
+        g *= (STEP / np.sqrt(squares + 1e-3))[:, None]
+        weights[own] = np.subtract(weights.take(own, axis=0), g, out=g)
+
+
+def _sums(x: np.ndarray, at: np.ndarray, start: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(runs, sums) of the rows ``at`` of ``x`` between starts. Neighbours are added in rounds, runs of one length up to a power of two at once."""
+    x = np.concatenate([x, np.zeros((1, x.shape[1]), x.dtype)])
+    at, length = np.append(at, len(x) - 1), np.diff(np.append(start, len(at)))
+    rounds = np.frexp(length - 0.5)[1]
+    by_rounds, first, place = np.argsort(rounds.astype(np.uint8), kind="stable"), 0, np.zeros(1, np.int64)
+    for runs in np.bincount(rounds).tolist():
+        step = max(1, _FLOATS // x.shape[1] // len(place))
+        for i in range(first, first + runs, step):
+            some = by_rounds[i:min(i + step, first + runs)]
+            # short runs end in rows of zeros; neighbours of a round stand half the rows apart
+            y = x.take(at.take(np.where(place[:, None] < length[some], start[some] + place[:, None], len(at) - 1)).ravel(), axis=0)
+            while len(y) > len(some):
+                y = y[:len(y) // 2] + y[len(y) // 2:]
+            yield some, y
+        first += runs
+        place = np.concatenate([2 * place, 2 * place + 1])
 
 
 def make_classes(neighbours: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -402,13 +416,17 @@ def score(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
+        known = np.append(np.searchsorted(m.head, m.words), 0)
         for batch in batches:
             for first, end, d, b in slices(batch.column(1)):
                 tok, owner, one, two = tokens(d, b)
                 n = end - first
                 logs = m.log10(tok, one, two) if len(m.words) else np.zeros(len(tok))
-                outside = m.ids(tok) < 0 if len(m.words) else np.ones(len(tok), bool)
-                at = np.minimum(np.searchsorted(m.head, tok), max(0, len(m.head) - 1))
+                ids = m.ids(tok) if len(m.words) else np.full(len(tok), -1)
+                outside = ids < 0
+                at = known[ids]  # words of the model are looked up once a task
+                at[outside] = np.searchsorted(m.head, tok[outside])
+                at = np.minimum(at, max(0, len(m.head) - 1))
                 in_head = m.head[at] == tok if len(m.head) else np.zeros(len(tok), bool)
                 own = np.where(in_head, np.log10(m.head_counts[at] + ADD), 0.0) if len(m.head) else np.zeros(len(tok))
                 logs = logs + np.where(outside, own - m.rest_log, 0.0)

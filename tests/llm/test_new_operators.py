@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from panelspark.llm import codes, divergence, hamming, jaccard, queries, verify
+from panelspark.llm import codes, divergence, hamming, jaccard, lm, queries, verify
 from panelspark.llm.jaccard import in_cells
 from panelspark.llm.pointers import multikey_sort
 from panelspark.llm.words import spans
@@ -205,6 +205,30 @@ def test_search_leaves_out_pairs_that_sizes_or_counts_exclude(spark):
     assert len(found[None]) == 820 and links <= found[4, 5] and len(links) > 30 and len(found[4, 5]) < 600
 
 
+def test_gradients_are_added_in_blocks_and_single_columns_are_those_of_the_whole():
+    rng = np.random.default_rng(8)
+    rows = rng.integers(0, 400, (3, 2000)) ** 2 // 400
+    rows[:, :300] = 7
+    gradient, weights, past = rng.normal(size=(2000, 33)).astype(np.float32), rng.normal(size=(400, 33)).astype(np.float32), np.zeros(400, np.float32)
+    want = np.zeros((400, 33))
+    for r in rows:
+        np.add.at(want, r, gradient)
+    order = np.argsort(rows.ravel(), kind="stable")
+    flat = rows.ravel()[order]
+    start = np.flatnonzero(np.diff(flat, prepend=-1))
+    got = np.zeros((400, 33))
+    for some, g in lm._sums(gradient, order % 2000, start):
+        got[flat[start[some]]] += g
+    assert np.allclose(got, want, atol=1e-3)
+    before = weights.copy()
+    lm._step(weights, past, rows, gradient)
+    squares = (want ** 2).sum(axis=1) / 33
+    assert np.allclose(past, squares, rtol=1e-3) and np.allclose(weights, before - want * (lm.STEP / np.sqrt(squares + 1e-3))[:, None], atol=1e-4)
+    offset, at, only = rng.normal(size=(5, 33)).astype(np.float32), rng.integers(0, 5, 2000), rng.integers(0, 33, 2000)
+    whole = lm._chances(offset, at, weights, rows)
+    assert np.allclose(whole.sum(axis=1), 1, atol=1e-5) and (lm._chances(offset, at, weights, rows, only) == whole[np.arange(2000), only]).all()
+
+
 def brute_links(rows, k, share):
     sets = {}
     for i, text in rows:
