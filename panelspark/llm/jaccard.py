@@ -149,14 +149,18 @@ def _sets(batch: pa.RecordBatch, column: int, k: int) -> Iterator[tuple[int, np.
             yield first + i, shingle_set(w.of(i), k)
 
 
-def _cut(rows: DataFrame, keys: list[str], block: int) -> DataFrame:
+def _cut(rows: DataFrame, keys: list[str], block: int, sent: int = SENT) -> DataFrame:
     """Adds ``cut``: into how many blocks the rows of a key go, by their number and the bytes of their sets of ``n`` tokens.
 
-    Keys with several blocks are few: only those are joined, so that rows with their sets need no shuffle of their own for it.
+    A row that is alone at its key meets nothing and is left out where it is, if the keys of several rows can go to all tasks. Else only
+    keys with several blocks, which are few, are joined, so that rows with their sets need no shuffle of their own for it.
     """
     size = rows.groupBy(*keys).agg(F.count("*").alias("k"), F.sum("n").alias("s"))
     cut = F.greatest(F.ceil(F.col("k") / block), F.ceil(F.col("s") * 8 / BYTES)).cast("int")
-    large = saved(size.select(*keys, cut.alias("cut")).where("cut > 1"))
+    several = saved(size.where("k > 1").select(*keys, cut.alias("cut")))
+    if several.count() <= sent:
+        return rows.join(F.broadcast(several), keys)
+    large = several.where("cut > 1")
     return rows.join(large, keys, "left").withColumn("cut", F.coalesce("cut", F.lit(1)))
 
 

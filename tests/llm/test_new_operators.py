@@ -229,6 +229,13 @@ def test_gradients_are_added_in_blocks_and_single_columns_are_those_of_the_whole
     assert np.allclose(whole.sum(axis=1), 1, atol=1e-5) and (lm._chances(offset, at, weights, rows, only) == whole[np.arange(2000), only]).all()
 
 
+def test_rows_alone_at_their_key_do_not_travel(spark):
+    rows = spark.createDataFrame([(i, 10, t) for t, n in ((1, 1), (2, 2), (3, 5), (4, 1)) for i in range(n)], "id long, n long, token long")
+    cut = {name: sorted(tuple(r) for r in jaccard._cut(rows, ["token"], 2, sent).select("token", "id", "cut").collect()) for name, sent in (("some", 2), ("all", 1))}
+    met = [(2, 0, 1), (2, 1, 1), *[(3, i, 3) for i in range(5)]]
+    assert cut["some"] == met and cut["all"] == sorted([(1, 0, 1), *met, (4, 0, 1)])
+
+
 def brute_links(rows, k, share):
     sets = {}
     for i, text in rows:
