@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from panelspark.llm.graph import components
 from panelspark.llm.retrieval import BROADCAST, flat, offered, present
-from panelspark.llm.tables import saved
+from panelspark.llm.tables import discard, saved
 from panelspark.llm.verify import Cells, links_in_cells, made, need, overlap, seated
 from panelspark.llm.words import mix, shingles, slices, words
 
@@ -223,37 +223,50 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, s
             yield pa.RecordBatch.from_arrays([pa.nulls(parts, id_kind), none, none, none, pa.array(range(parts), pa.int32()),
                                               pa.array([c.tobytes() for c in np.minimum(table, 255).astype(np.uint8).reshape(parts, -1)], pa.binary())], names)
 
-    both = saved(source.mapInArrow(describe, f"id {kind}, n long, f1 long, f2 long, part int, counts binary"))
-    rows = both.where("part is null").select("id", "n", "f1", "f2")
-    rarity = source.sparkSession.sparkContext.broadcast(token_classes(both.where("part is not null").select("part", "counts")))
+    spark, counted, found = source.sparkSession, [], []
+    both = saved(source.mapInArrow(describe, f"id {kind}, n long, f1 long, f2 long, part int, counts binary"), counted)
+    rows = saved(both.where("part is null").select("id", "n", "f1", "f2"))
+    rarity = spark.sparkContext.broadcast(token_classes(both.where("part is not null").select("part", "counts")))
+    discard(spark, counted)
     classes = saved(rows.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("id").alias("rep")))
 
     def ranked_sets(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, np.ndarray]]:
         for i, s in _sets(batch, column, k):
             yield i, by_rarity(s, rarity.value)
 
+    sent = min(broadcast, SENT)
+    reps = classes.select(F.col("rep").alias("id")).distinct()
+    copies = saved(rows.where("n > 0 and id is not null").select("id").distinct().join(reps, "id", "left_anti"))
+    picked = copies.count() <= sent
+    own = source.where("id is not null").join(F.broadcast(copies), "id", "left_anti") if picked else source
+
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([flat(out)] + [flat(owners)] * (not picked), ["token"] + ["f1"] * (not picked))
+
         for batch in batches:
             out, owners, held = [], [], 0
             for _, s in _sets(batch, 1, k):
                 r = by_rarity(s, rarity.value)
                 out.append(r[:prefix(len(r), share)])
-                owners.append(np.full(len(out[-1]), print_of(s)[0], np.int64))
+                if not picked:
+                    owners.append(np.full(len(out[-1]), print_of(s)[0], np.int64))
                 held += len(out[-1])
                 if held > 1 << 18:
-                    yield pa.RecordBatch.from_arrays([flat(out), flat(owners)], ["token", "f1"])
+                    yield done()
                     out, owners, held = [], [], 0
-            yield pa.RecordBatch.from_arrays([flat(out), flat(owners)], ["token", "f1"])
+            yield done()
 
-    tokens = source.mapInArrow(emit, "token long, f1 long")
-    shared = saved(tokens.groupBy("token").agg(F.min("f1").alias("low"), F.max("f1").alias("high")).where("low <> high").select("token"))
+    if picked:  # one row stands for a class, so tokens need not travel with it
+        shared = own.mapInArrow(emit, "token long").groupBy("token").count().where("count > 1").select("token")
+    else:
+        tokens = own.mapInArrow(emit, "token long, f1 long")
+        shared = tokens.groupBy("token").agg(F.min("f1").alias("low"), F.max("f1").alias("high")).where("low <> high").select("token")
+    shared = saved(shared, found)
 
-    held = _members(source, shared, kind, ranked_sets, share, broadcast)
-    sent = min(broadcast, SENT)
-    reps = classes.select(F.col("rep").alias("id")).distinct()
-    copies = saved(rows.where("n > 0 and id is not null").select("id").distinct().join(reps, "id", "left_anti"))
-    members = saved(held.where("id is not null").join(F.broadcast(copies), "id", "left_anti") if copies.count() <= sent
-                    else held.join(reps, "id", "left_semi"))
+    held = _members(own, shared, kind, ranked_sets, share, broadcast)
+    members = saved(held if picked else held.where("id is not null").join(reps, "id", "left_semi"))
+    discard(spark, found)
 
     near = saved(_near(members.where("body is not null"), kind, share, block, _leaders))
     label = clustered(members, near)
@@ -417,26 +430,30 @@ def _allowed(share: tuple[int, int]):
 
 def _far(members: DataFrame, label: DataFrame, source: DataFrame, kind: str, sets, share, block: int, sent: int = SENT) -> DataFrame:
     """All links between sets of different clusters."""
-    rows = members.select("id", "n", F.explode("tokens").alias("token")).join(label, "id")
+    spark, opened, met = members.sparkSession, [], []
+    rows = members.select("id", "n", "tokens").join(label, "id").select("id", "n", "cluster", F.explode("tokens").alias("token"))
     open_ = rows.groupBy("token").agg(F.min("cluster").alias("low"), F.max("cluster").alias("high")).where("low <> high").select("token")
-    rows = saved(rows.join(open_, "token"))
-    # a set shares no more tokens with another cluster than it has open ones
-    few = rows.groupBy("id").agg(F.countDistinct("token").alias("few"))
+    rows = saved(rows.join(open_, "token"), opened)
+    # a set shares no more tokens with another cluster than it has open ones; ids that come twice count theirs twice
+    few = rows.groupBy("id").agg(F.count("*").alias("few"))
     facts = saved(members.join(few, "id").join(seated(members.join(few, "id").select("id", "n", "meet")), "id")
                   .select("id", "n", (F.col("n") - F.col("p")).alias("rest"), "end", "point", "few", "seat"))
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(BAND)).cast("int")
     # a set meets its own band, and as the smaller one the next
-    rows = rows.withColumn("own", band).withColumn("band", F.explode(F.array("own", F.col("own") + 1)))
-    stats = rows.groupBy("token", "band").agg(F.min("cluster").alias("low"), F.max("cluster").alias("high"), F.count("*").alias("k"),
+    rows = rows.withColumn("own", band)
+    stats = rows.withColumn("band", F.explode(F.array("own", F.col("own") + 1))).groupBy("token", "band").agg(F.min("cluster").alias("low"), F.max("cluster").alias("high"), F.count("*").alias("k"),
                                               F.max((F.col("own") == F.col("band")).cast("int")).alias("any"))
     # tokens of one band and cluster only drop out
-    live = at_home(stats.where("low <> high and any = 1").select("token", "band", "low", "k", F.ceil(F.col("k") / block).cast("int").alias("cut")), block)
-    rows = saved(rows.join(live, ["token", "band"]).select("id", "cluster", "token", "band", "cut", "home", (F.col("own") == F.col("band")).alias("own")))
+    live = saved(stats.where("low <> high and any = 1").select("token", "band", "low", "k", F.ceil(F.col("k") / block).cast("int").alias("cut")), opened)
+    rows = rows.join(at_home(live, block), "token").where("band = own or band = own + 1")
+    rows = saved(rows.select("id", "cluster", "token", "band", "cut", "home", (F.col("own") == F.col("band")).alias("own")), met)
+    discard(spark, opened)
     rows = in_cells(rows)
     shards = _shards(rows, 2 * block)
     cells = rows.join(facts, "id").groupBy(F.pmod(F.xxhash64("home", "x", "y"), F.lit(shards))).applyInPandas(
         lambda group: search(group, share), f"x long, y long, id {kind}")
     cells = saved(cells.distinct())
+    discard(spark, met)
     bodies = members.where("body is not null").select("id", "body")
     needed = saved(facts.join(cells.select("id").distinct(), "id").join(label, "id").select("id", "seat", "cluster", "n", "point"))
     if needed.count() <= sent:

@@ -2,6 +2,7 @@
 
 import collections
 import math
+import os
 import random
 import re
 import zlib
@@ -236,6 +237,26 @@ def test_rows_alone_at_their_key_do_not_travel(spark):
     assert cut["some"] == met and cut["all"] == sorted([(1, 0, 1), *met, (4, 0, 1)])
 
 
+def test_tokens_travel_alone_and_spent_tables_go(spark, monkeypatch):
+    """Classes are told apart by one row each, and what no later step reads leaves the shared folder before the join ends."""
+    made, real = [], jaccard.saved
+
+    def saved(rows, scope=None):
+        plan, out = rows._jdf.queryExecution().executedPlan().toString(), real(rows, scope)
+        made.append((rows.columns, plan, out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(jaccard, "saved", saved)
+    base = [f"w{i}" for i in range(80)]
+    texts = [" ".join(base), " ".join(base), " ".join(base[:77]), " ".join(base[8:]), "a b c d e f", "a b c d e f", "x y"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    got = sorted((r["doc_id"], r["component_id"]) for r in jaccard.link(df).collect())
+    assert got == [(0, 0), (1, 0), (2, 0), (3, 0), (4, 4), (5, 4), (6, 6)]
+    assert all("f1" not in plan for columns, plan, _ in made if columns == ["token"])
+    gone = [set(columns) for columns, _, files in made if files and not any(os.path.exists(f.removeprefix("file:").replace("///", "/")) for f in files)]
+    assert {"token"} in gone and any("counts" in columns for columns in gone)
+
+
 def brute_links(rows, k, share):
     sets = {}
     for i, text in rows:
