@@ -49,8 +49,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Null and empty texts link with nothing and stay, as do rows without an id; repeated rows of a kept id all stay.
     """
     linked = jaccard.link(docs)
-    gone = linked.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = saved(linked.where("component_id <> doc_id").select("doc_id").distinct())
+    # so that texts stay where they are
+    return docs.join(F.broadcast(gone) if gone.count() <= jaccard.SENT else gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 @stage

@@ -15,6 +15,8 @@ from panelspark.llm.tables import saved
 
 #: Sets that sit together, bytes of sets of a seat and of a task, and pairs that are compared at once, about.
 SIDE, SEAT, LOAD, PAIRS = 512, 4 << 20, 8 << 20, 1 << 15
+#: Bytes of sets that are handed to Python at once, about. A group is held whole on both sides, on its way even twice.
+HANDED = 1 << 20
 
 
 def need(size_a, size_b, share: tuple[int, int]):
@@ -85,7 +87,7 @@ class Cells:
         return pd.DataFrame({"x": self.seats[x], "y": self.seats[y], "id": self.ids[row]})
 
 
-def links_in_cells(ends: DataFrame, members: DataFrame, near: Callable, share: tuple[int, int], load: int = LOAD) -> DataFrame:
+def links_in_cells(ends: DataFrame, members: DataFrame, near: Callable, share: tuple[int, int], load: int = HANDED) -> DataFrame:
     """(a, b): links between sets of two seats, as many as join what they join.
 
     ``ends`` has the sets (x, y, id) of every pair of seats that have a candidate there, once each, ``members`` id, seat, cluster, n, point and
