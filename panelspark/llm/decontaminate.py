@@ -8,15 +8,16 @@ step of the search is a numpy operation over all of them.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.llm.tables import saved
+from panelspark.llm.tables import WRITTEN, discard, saved
 
 WINDOW = 10
 #: Patterns in one set of tables. More patterns make more sets, each in a pass of its own, so tasks hold one set only.
@@ -124,6 +125,17 @@ def search(texts: list[bytes], tables: list[Tables]) -> tuple[list[np.ndarray],
     return hits, keys
 
 
+def _searched(column: pa.Array, tables: list[Tables]) -> Iterator[tuple[list[bytes], list[np.ndarray], list[list[int]]]]:
+    """Spelled texts of a column, about ``CHUNK`` bytes at a time, and what ``search`` finds in them."""
+    waiting, size = [], 0
+    for i, raw in enumerate(column):
+        waiting.append(spell(raw.as_py()))
+        size += len(waiting[-1])
+        if size >= CHUNK or i == len(column) - 1:
+            yield waiting, *search(waiting, tables)
+            waiting, size = [], 0
+
+
 def _uid(key: str, text: str) -> tuple:
     return F.xxhash64(F.col(key)).alias("u1"), F.xxhash64(F.lit(1), F.col(text)).alias("u2")
 
@@ -134,18 +146,11 @@ def _scan(docs: DataFrame, key: str, text: str, patterns: list[tuple[int, bytes]
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = build(shared.value)
         for batch in batches:
-            column = batch.column(3)
             counts, hits, keys = [], [], []
-            waiting, size = [], 0
-            for i, raw in enumerate(column):
-                waiting.append(spell(raw.as_py()))
-                size += len(waiting[-1])
-                if size >= CHUNK or i == len(column) - 1:
-                    h, k = search(waiting, tables)
-                    counts += [t.count(b" ") + 1 if t else 0 for t in waiting]
-                    hits += h
-                    keys += k
-                    waiting, size = [], 0
+            for texts, h, k in _searched(batch.column(3), tables):
+                counts += [t.count(b" ") + 1 if t else 0 for t in texts]
+                hits += h
+                keys += k
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:3], pa.array(counts, pa.int64()), pa.array(hits, pa.list_(pa.int32())), pa.array(keys, pa.list_(pa.int64()))],
                 ["id", "u1", "u2", "n_words", "hits", "keys"])
@@ -167,6 +172,14 @@ def item_windows(items: DataFrame, item: str, text: str, size: int = WINDOW) ->
     return cut_.select(F.xxhash64("pattern").alias("key"), "item", "pattern")
 
 
+def _sets(cuts: DataFrame, patterns: int) -> Iterator[list[tuple[int, bytes]]]:
+    """Distinct (key, pattern) of ``cuts`` in sets of about ``patterns``; one empty set if there are none."""
+    distinct = cuts.select("key", "pattern").distinct()
+    sets = max(1, -(-distinct.count() // patterns))
+    for s in range(sets):
+        yield [(r["key"], bytes(r["pattern"])) for r in distinct.where(F.pmod("key", F.lit(sets)) == s).collect()]
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id",
                   item_text: str = "text", size: int = WINDOW, patterns: int = PATTERNS) -> DataFrame:
     """One row per document: key, ``n_words``, ``hits`` (numbers of hit words), ``items`` (sorted), and hashes ``u1``, ``u2`` of the row.
@@ -175,12 +188,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     empty benchmark hits nothing, equal windows of several items count for each of them.
     """
     cuts = saved(item_windows(benchmark, item, item_text, size))
-    distinct = cuts.select("key", "pattern").distinct()
-    sets = max(1, -(-distinct.count() // patterns))
-    parts = []
-    for s in range(sets):
-        own = [(r["key"], bytes(r["pattern"])) for r in distinct.where(F.pmod("key", F.lit(sets)) == s).collect()]
-        parts.append(_scan(docs, key, text, own))
+    parts = [_scan(docs, key, text, own) for own in _sets(cuts, patterns)]
     found = parts[0]
     for more in parts[1:]:  # equal rows have equal finds
         more = more.where(F.size("keys") > 0).dropDuplicates(["u1", "u2"]).select("u1", "u2", F.col("hits").alias("h"), F.col("keys").alias("k"))
@@ -195,9 +203,27 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
         F.col("id").alias(key), "n_words", "hits", F.coalesce("items", F.array().cast("array<string>")).alias("items"), "u1", "u2")
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """Rows of ``docs`` in which no window of the benchmark occurs."""
-    bad = decontaminate(docs, benchmark, key, text, **options).where(F.size("hits") > 0).select("u1", "u2").distinct()
-    u1, u2 = _uid(key, text)
-    rows = docs.select(F.struct("*").alias("row"), u1, u2).join(bad, ["u1", "u2"], "left_anti")
-    return rows.select("row.*")
+def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id",
+          item_text: str = "text", size: int = WINDOW, patterns: int = PATTERNS) -> DataFrame:
+    """Rows of ``docs`` in which no window of the benchmark occurs. They stay where they are, so ``key`` may be anything; further sets search what is left."""
+    spark, written = docs.sparkSession, []
+    for i, own in enumerate(_sets(saved(item_windows(benchmark, item, item_text, size)), patterns)):
+        if i:
+            before, written = written, []
+            docs = saved(docs, written)
+            discard(spark, before)
+        docs = docs.where(~_hit(spark.sparkContext.broadcast(own))(F.col(text).cast("binary")))
+    WRITTEN.extend(written)
+    return docs
+
+
+def _hit(shared: Broadcast) -> Callable[[Column], Column]:
+    """Whether a pattern occurs in a text; never in null."""
+
+    @F.arrow_udf("boolean")
+    def hit(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        tables = build(shared.value)
+        for column in batches:
+            yield pa.array([bool(k) for _, _, keys in _searched(column, tables) for k in keys], pa.bool_())
+
+    return hit

@@ -209,6 +209,22 @@ def test_decontamination_against_brute_force(spark, docs, none, rows, patterns):
         assert decontaminate.decontaminate(docs, bench.where("false")).where(F.size("hits") > 0).count() == 0
 
 
+def test_clean_leaves_rows_where_they_are(spark, docs, none, rows):
+    base = rows[1][1].split()
+    items = [(1, " ".join(base[20:45])), (2, "W1, w2"), (3, None), (4, ""), (5, "école"), (6, "w7"), (7, "zz " * 12)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    left = sorted(i for i, t, *_ in rows if not brute_hits(t, items)[1])
+    assert 0 < len(left) < len(rows)
+    twice = docs.unionByName(docs.withColumn("doc_id", F.lit(None).cast("long")))  # null ids and repeated texts are rows like others
+    for patterns in (50_000, 9):
+        kept = decontaminate.clean(docs, bench, patterns=patterns)
+        plan, given = (df._jdf.queryExecution().executedPlan().toString() for df in (kept, docs))
+        assert "Join" not in plan and plan.count("Exchange") <= given.count("Exchange")
+        assert sorted(r["doc_id"] for r in kept.collect()) == left and kept.columns == docs.columns
+        assert decontaminate.clean(twice, bench, patterns=patterns).where("doc_id is null").count() == len(left)
+    assert decontaminate.clean(none, bench).count() == 0 and decontaminate.clean(docs, bench.where("false")).count() == len(rows)
+
+
 def test_language_id(spark, docs, none):
     rng = random.Random(5)
     kinds = {"aa": "abcde", "bb": "fghij", "cc": "klmñé"}
