@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -39,6 +40,8 @@ ROUNDS, WORKERS, STEP = 2, 24, 0.08
 ADD = 0.1
 #: Columns of the neighbour counts that classes are made from.
 NEIGHBOURS = 64
+#: Words whose counts a task holds before it hands them on, about.
+COUNTED = 1 << 20
 END, BEFORE = np.uint64(0x0E0D0E0D0E0D0E0D), np.uint64(0x0B0E0B0E0B0E0B0E)
 _CHUNK = 8192
 #: Numbers that are worked on at once, about; they stay close to the processor.
@@ -83,6 +86,18 @@ class Model:
     leaf_log: np.ndarray
     seen_log: float
 
+    @cached_property
+    def places(self) -> np.ndarray:
+        return marks(self.words)
+
+    @cached_property
+    def factors(self) -> Model | None:
+        """The model with exponentials of its weights and offsets, which are multiplied; none if a product could leave the range of logits."""
+        largest = [3 * np.abs(w).max(initial=0) + np.abs(o[o > -1e30]).max(initial=0) for w, o in zip(self.weights(), (self.offset_class, self.offset_word, self.offset_tree))]
+        if max(largest) > 80.0:
+            return None
+        return replace(self, **{f"{kind}_{name}": np.exp(np.maximum(getattr(self, f"{kind}_{name}"), -80.0)) for kind in ("weights", "offset") for name in ("class", "word", "tree")})
+
     def weights(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return self.weights_class, self.weights_word, self.weights_tree
 
@@ -91,14 +106,14 @@ class Model:
         return replace(self, **{name: getattr(self, name).copy() for name in ("weights_class", "weights_word", "weights_tree")})
 
     def ids(self, tok: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.words, tok), len(self.words) - 1)
-        return np.where(self.words[at] == tok, at, -1)
+        at = positions(self.words, self.places, tok)
+        return np.where(self.words.take(at) == tok, at, -1)
 
-    def forward(self, tok, one, two):
+    def forward(self, tok, one, two, ids=None):
         """Feature rows and class of every token; which of them are in a class, their classes, feature rows and slots."""
         f = features(one, two)
         rows = (f % np.uint64(ROWS_CLASS)).astype(np.int64)
-        ids = self.ids(tok)
+        ids = self.ids(tok) if ids is None else ids
         klass = np.where(ids >= 0, self.klass[ids], CLASSES)
         inside = np.flatnonzero(ids >= 0)
         own = klass[inside]
@@ -119,25 +134,28 @@ class Model:
     def outside_log10(self, tok, one, two) -> np.ndarray:
         """What the context adds to the log probability of each word outside the classes, next to its share of the corpus counts."""
         out, depth = np.zeros(len(tok)), digits_of(len(self.leaf_log))
+        m, chance = (self, _chances) if self.factors is None else (self.factors, _quotients)
         for i in range(0, len(tok), _CHUNK):
             cut = slice(i, i + _CHUNK)
             rows, place, digit = self.digits(tok[cut], one[cut], two[cut])
-            q = _chances(self.offset_tree, place, self.weights_tree, rows, digit)
+            q = chance(m.offset_tree, place, m.weights_tree, rows, digit)
             out[cut] = np.log10(np.maximum(q, 1e-30)).reshape(-1, depth).sum(axis=1, dtype=np.float64)
         return out + self.seen_log - self.leaf_log[leaves(tok, depth)]
 
-    def log10(self, tok, one, two) -> np.ndarray:
-        """Log probability of each token; of words outside the model only that of their class."""
+    def log10(self, tok, one, two, ids=None) -> np.ndarray:
+        """Log probability of each token; of words outside the model only that of their class. ``ids`` are looked up if not given."""
         out = np.zeros(len(tok))
+        m, chance = (self, _chances) if self.factors is None else (self.factors, _quotients)
         for i in range(0, len(tok), _CHUNK):
             cut = slice(i, i + _CHUNK)
-            rows, klass, inside, own, g, slot = self.forward(tok[cut], one[cut], two[cut])
-            out[cut] = np.log10(np.maximum(_chances(self.offset_class, None, self.weights_class, rows, klass), 1e-30))
-            out[i + inside] += np.log10(np.maximum(_chances(self.offset_word, own, self.weights_word, g, slot), 1e-30))
+            rows, klass, inside, own, g, slot = self.forward(tok[cut], one[cut], two[cut], None if ids is None else ids[cut])
+            out[cut] = np.log10(np.maximum(chance(m.offset_class, None, m.weights_class, rows, klass), 1e-30))
+            out[i + inside] += np.log10(np.maximum(chance(m.offset_word, own, m.weights_word, g, slot), 1e-30))
         return out
 
     def learn(self, tok, one, two, past_class: np.ndarray, past_word: np.ndarray, past_tree: np.ndarray) -> None:
         """One gradient step, scaled by the root of each row's past squares."""
+        self.__dict__.pop("factors", None)
         rows, klass, _, own, g, slot = self.forward(tok, one, two)
         p = _chances(self.offset_class, None, self.weights_class, rows)
         q = _chances(self.offset_word, own, self.weights_word, g)
@@ -153,6 +171,25 @@ class Model:
             _step(self.weights_tree, past_tree, rows, q)
 
 
+def marks(keys: np.ndarray) -> np.ndarray:
+    """Where sorted hashes with the same first bits begin; about one hash has the same ones."""
+    bits = max(1, len(keys).bit_length())
+    return np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
+
+
+def positions(keys: np.ndarray, first: np.ndarray, tok: np.ndarray) -> np.ndarray:
+    """Position in sorted ``keys``, whose ``marks`` are ``first``, of each token that is among them; of others a position of another key."""
+    last = len(keys) - 1
+    at = np.minimum(first.take((tok >> np.uint64(65 - len(first).bit_length())).astype(np.int64)), last)
+    less = np.flatnonzero(keys.take(at) < tok)
+    while len(less):
+        some = at[less] + 1
+        less, some = less[some <= last], some[some <= last]
+        at[less] = some
+        less = less[keys.take(some) < tok[less]]
+    return at
+
+
 def features(one: np.ndarray, two: np.ndarray) -> np.ndarray:
     """Hashes of the three contexts of every token."""
     return np.stack([mix(one ^ np.uint64(0x11)), mix(one * np.uint64(3) + two), mix(two ^ np.uint64(0x33))])
@@ -190,19 +227,37 @@ def _chances(offset: np.ndarray, at: np.ndarray | None, weights: np.ndarray, row
     return out
 
 
+def _quotients(offset: np.ndarray, at: np.ndarray | None, weights: np.ndarray, rows: np.ndarray, only: np.ndarray) -> np.ndarray:
+    """What ``_chances`` gives for columns ``only``, from exponentials of weights and offsets."""
+    n, width = rows.shape[1], weights.shape[1]
+    out, ones, step = np.empty(n, weights.dtype), np.ones(width, weights.dtype), max(1, _FLOATS // width)
+    for i in range(0, n, step):
+        part = slice(i, i + step)
+        x = weights.take(rows[0, part], axis=0)
+        x *= weights.take(rows[1, part], axis=0)
+        x *= weights.take(rows[2, part], axis=0)
+        x *= offset if at is None else offset.take(at[part], axis=0)
+        np.divide(x.take(np.arange(len(x)) * width + only[part]), np.maximum(x @ ones, 1e-37), out=out[part])
+    return out
+
+
 def _step(weights, past, rows, gradient) -> None:
-    flat = rows.ravel()
+    n, flat = gradient.shape[0], rows.ravel()
     if not len(flat):
         return
-    order = np.argsort(flat.astype(np.uint16), kind="stable")
-    flat = flat[order]
+    bits = np.uint64(len(flat).bit_length())
+    order = (flat.astype(np.uint64) << bits) + np.arange(len(flat), dtype=np.uint64)
+    order.sort()  # by rows, in a row as they came
+    flat = (order >> bits).astype(np.int64)
+    order = (order & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
     start = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
-    for some, g in _sums(gradient, order % gradient.shape[0], start):
-        own = flat[start[some]]
-        squares = past[own] + np.einsum("ij,ij->i", g, g) / g.shape[1]
+    whole = np.dtype((np.void, weights.strides[0]))  # rows are written as one value each
+    for some, g in _sums(gradient, order % n, start):
+        own = flat.take(start.take(some))
+        squares = past.take(own) + np.einsum("ij,ij->i", g, g) / g.shape[1]
         past[own] = squares
         g *= (STEP / np.sqrt(squares + 1e-3))[:, None]
-        weights[own] = np.subtract(weights.take(own, axis=0), g, out=g)
+        np.put(weights.view(whole), own, np.subtract(weights.take(own, axis=0), g, out=g).view(whole))
 
 
 def _sums(x: np.ndarray, at: np.ndarray, start: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -216,9 +271,12 @@ def _sums(x: np.ndarray, at: np.ndarray, start: np.ndarray) -> Iterator[tuple[np
         for i in range(first, first + runs, step):
             some = by_rounds[i:min(i + step, first + runs)]
             # short runs end in rows of zeros; neighbours of a round stand half the rows apart
-            y = x.take(at.take(np.where(place[:, None] < length[some], start[some] + place[:, None], len(at) - 1)).ravel(), axis=0)
+            if len(place) == 1:
+                y = x.take(at.take(start.take(some)), axis=0)
+            else:
+                y = x.take(at.take(np.where(place[:, None] < length[some], start[some] + place[:, None], len(at) - 1)).ravel(), axis=0)
             while len(y) > len(some):
-                y = y[:len(y) // 2] + y[len(y) // 2:]
+                y = np.add(y[:len(y) // 2], y[len(y) // 2:], out=y[:len(y) // 2])
             yield some, y
         first += runs
         place = np.concatenate([2 * place, 2 * place + 1])
@@ -253,14 +311,31 @@ def _texts(docs: DataFrame, text: str) -> DataFrame:
     return docs.select(F.col(text).cast("binary").alias("text"))
 
 
+def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct words of several (words, counts), and their counts."""
+    w, n = (np.concatenate(x) for x in zip(*parts))
+    order = np.argsort(w)
+    w, n = w[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
+    return w[first], np.add.reduceat(n, first)
+
+
 def count_tokens(docs: DataFrame, text: str = "text") -> DataFrame:
     """(word, n) over whole texts, the end of a text as a word."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, size = [], 0
         for batch in batches:
-            parts = [np.unique(tokens(d, b)[0], return_counts=True) for _, _, d, b in slices(batch.column(0), 1 << 22)]
-            for w, n in parts:
-                yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(n.astype(np.int64))], ["word", "n"])
+            for _, _, d, b in slices(batch.column(0)):
+                waiting.append(np.unique(tokens(d, b)[0], return_counts=True))
+                size += len(waiting[-1][0])
+                if size >= COUNTED:
+                    waiting = [_added(waiting)]
+                    if 2 * len(waiting[0][0]) >= COUNTED:
+                        yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in waiting.pop()], ["word", "n"])
+                    size = sum(len(w) for w, _ in waiting)
+        if waiting:
+            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in _added(waiting)], ["word", "n"])
 
     return _texts(docs, text).mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -417,18 +492,20 @@ def score(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         known = np.append(np.searchsorted(m.head, m.words), 0)
+        first_of, head_log = marks(m.head), np.log10(m.head_counts + ADD)
         for batch in batches:
             for first, end, d, b in slices(batch.column(1)):
                 tok, owner, one, two = tokens(d, b)
                 n = end - first
-                logs = m.log10(tok, one, two) if len(m.words) else np.zeros(len(tok))
                 ids = m.ids(tok) if len(m.words) else np.full(len(tok), -1)
+                logs = m.log10(tok, one, two, ids) if len(m.words) else np.zeros(len(tok))
                 outside = ids < 0
                 at = known[ids]  # words of the model are looked up once a task
-                at[outside] = np.searchsorted(m.head, tok[outside])
-                at = np.minimum(at, max(0, len(m.head) - 1))
-                in_head = m.head[at] == tok if len(m.head) else np.zeros(len(tok), bool)
-                own = np.where(in_head, np.log10(m.head_counts[at] + ADD), 0.0) if len(m.head) else np.zeros(len(tok))
+                if len(m.head):
+                    at[outside] = positions(m.head, first_of, tok[outside])
+                    at = np.minimum(at, len(m.head) - 1)
+                in_head = m.head.take(at) == tok if len(m.head) else np.zeros(len(tok), bool)
+                own = np.where(in_head, head_log.take(at), 0.0) if len(m.head) else np.zeros(len(tok))
                 logs = logs + np.where(outside, own - m.rest_log, 0.0)
                 tree = np.zeros(len(tok))
                 tree[outside] = m.outside_log10(tok[outside], one[outside], two[outside])

@@ -228,6 +228,26 @@ def test_gradients_are_added_in_blocks_and_single_columns_are_those_of_the_whole
     offset, at, only = rng.normal(size=(5, 33)).astype(np.float32), rng.integers(0, 5, 2000), rng.integers(0, 33, 2000)
     whole = lm._chances(offset, at, weights, rows)
     assert np.allclose(whole.sum(axis=1), 1, atol=1e-5) and (lm._chances(offset, at, weights, rows, only) == whole[np.arange(2000), only]).all()
+    factors = np.exp(np.maximum(offset, -80)), np.exp(weights)
+    assert np.allclose(lm._quotients(factors[0], at, factors[1], rows, only), whole[np.arange(2000), only], rtol=1e-4)
+    assert np.allclose(lm._quotients(factors[0][at[0]], None, factors[1], rows, only), lm._chances(offset[at[0]], None, weights, rows, only), rtol=1e-4)
+
+
+def test_hashes_are_found_and_counted_in_parts(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    for n in (1, 2, 300, 5000):
+        keys = np.unique(rng.integers(0, 1 << 64, n, np.uint64))
+        keys[n // 2:] |= np.uint64(0xFFF) << np.uint64(52)  # many with the same first bits
+        keys = np.unique(keys)
+        asked = np.concatenate([keys, keys + np.uint64(1), rng.integers(0, 1 << 64, 2000, np.uint64), np.array([0, 2**64 - 1], np.uint64)])
+        at = lm.positions(keys, lm.marks(keys), asked)
+        assert ((keys[at] == asked) == np.isin(asked, keys)).all()
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 400, 60)) for _ in range(200)] + [None, ""]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+    want = sorted(np.unique(np.concatenate([lm.tokens(np.frombuffer((t or "").encode(), np.uint8), np.array([0, len(t or "")]))[0] for t in texts]).view(np.int64), return_counts=True)[1].tolist())
+    for held in (1 << 20, 64):
+        monkeypatch.setattr(lm, "COUNTED", held)
+        assert sorted(r["n"] for r in lm.count_tokens(df).collect()) == want
 
 
 def test_rows_alone_at_their_key_do_not_travel(spark):
