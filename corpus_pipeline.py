@@ -10,16 +10,22 @@ from pyspark.sql import functions as F
 from panelspark.llm import decontaminate, jaccard, langid, mixing, sharding
 from panelspark.llm.tables import WRITTEN, discard, saved
 
+#: Bytes of rows that are handed to Python at once, about. Spark's own limits allow 10,000 whole texts, of which a task holds some copies.
+HANDED = 2 << 20
 #: Working tables of the stage that ran last.
 _LEFT: list[str] = []
 
 
 def stage(work):
-    """A stage: the working tables of the one before go first, as its result has been written and read again by then."""
+    """A stage: the working tables of the one before go first, as its result has been written and read again by then.
+
+    Its result is computed after it returns, so the session keeps the limit on what is handed to Python at once.
+    """
 
     @functools.wraps(work)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         discard(spark, _LEFT)
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", HANDED)
         before = len(WRITTEN)
         out = work(spark, docs, sf_dir)
         _LEFT[:] = WRITTEN[before:]
